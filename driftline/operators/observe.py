@@ -56,13 +56,17 @@ def observe(desired: DataFrame, observed: DataFrame, key: str, row_id: str | Non
 
 
 def missing(desired: DataFrame, observed: DataFrame, key: str) -> DataFrame:
-    """Desired rows without an observed row: the candidates to create."""
-    return desired.join(observed.select(key), key, "left_anti")
+    """Desired rows without an observed row: the candidates to create.
+
+    Observed keys are made distinct first, so copies of one key collapse inside each
+    task; the join then reuses that partitioning.
+    """
+    return desired.join(observed.select(key).distinct(), key, "left_anti")
 
 
 def present(desired: DataFrame, observed: DataFrame, key: str) -> DataFrame:
-    """Desired rows that have an observed row."""
-    return desired.join(observed.select(key), key, "left_semi")
+    """Desired rows that have an observed row; keys as in ``missing``."""
+    return desired.join(observed.select(key).distinct(), key, "left_semi")
 
 
 def flow_current(flows: DataFrame, info: DataFrame, prior: DataFrame, key: str) -> DataFrame:
