@@ -265,7 +265,7 @@ def named_groups(spark, folder):
 WITH {OBSERVE_SQL}
 SELECT key, named AND n IS NOT NULL AND failure IS NULL AS exists,
        CASE WHEN named AND failure IS NOT NULL AND NOT lost THEN failure END AS error,
-       CASE WHEN named THEN n END AS n FROM f""")
+       CASE WHEN named AND failure IS NULL THEN n END AS n FROM f""")
 def observe(spark, folder):
     return O.observe(
         named_groups(spark, folder), observed_lookups(spark, folder), "external_name", "key"

@@ -15,7 +15,8 @@ ALL = {"availableNow": True}
 
 def event_stream(spark, folder):
     """The event files as a stream, one file per micro-batch."""
-    path = f"{folder}/events.parquet"
+    # A file source wants a folder or a pattern, and the events are one file or one folder.
+    path = f"{folder}/events*.parquet"
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as X
@@ -11,8 +11,20 @@ from driftline.functions import scalars as X
 NAMELESS_SPREAD = 1024
 
 
-def _usable(name: Column) -> Column:
-    return F.nullif(name, F.lit(""))
+def _named(df: DataFrame, key: str) -> DataFrame:
+    """Rows whose key can be looked up: not null and not the empty text."""
+    is_text = dict(df.dtypes)[key] == "string"
+    return df.where(F.col(key) != "") if is_text else df.where(F.col(key).isNotNull())
+
+
+def _lookup(desired: DataFrame, found: DataFrame, key: str, row_id: str | None) -> DataFrame:
+    """Left join on the key; see ``observe`` for ``row_id``."""
+    if row_id is None:
+        return desired.join(found, key, "left")
+    nameless = F.col(key).isNull() | (F.col(key).cast("string") == "")
+    spread = F.when(nameless, F.pmod(F.hash(row_id), F.lit(NAMELESS_SPREAD))).otherwise(F.lit(0))
+    left = desired.withColumn("_spread", spread)
+    return left.join(found.withColumn("_spread", F.lit(0)), [key, "_spread"], "left").drop("_spread")
 
 
 def observe(desired: DataFrame, observed: DataFrame, key: str, row_id: str | None = None) -> DataFrame:
@@ -23,34 +35,25 @@ def observe(desired: DataFrame, observed: DataFrame, key: str, row_id: str | Non
     ``error``: an empty name, no row and a not-found failure all mean that the
     resource does not exist; any other failure is an error.
 
-    Rows without a name can never match. They carry a spread key (from ``row_id``)
-    so that a large share of them does not land in one task.
+    The join is on the plain key, so tables bucketed by it meet without a shuffle.
+    Rows without a name match nothing. Where they may be many, name a column in
+    ``row_id``: they are then spread by it instead of meeting in one task.
     """
-    spread = F.lit(0)
-    if row_id is not None:
-        spread = F.when(_usable(F.col(key)).isNotNull(), F.lit(0)).otherwise(
-            F.pmod(F.hash(F.col(row_id)), F.lit(NAMELESS_SPREAD)).cast("int")
-        )
-    left = desired.withColumn("_key", _usable(F.col(key))).withColumn("_spread", spread)
-    right = observed.select(
-        F.col(key).alias("_key"),
-        F.lit(0).alias("_spread"),
-        F.lit(True).alias("_fetched"),
-        *[c for c in observed.columns if c != key],
-    )
-    joined = left.join(right, ["_key", "_spread"], "left").drop("_key", "_spread")
-    fetched = F.coalesce(F.col("_fetched"), F.lit(False))
+    found = _named(observed, key).withColumn("_fetched", F.lit(True))
+    joined = _lookup(desired, found, key, row_id)
+    fetched = F.coalesce("_fetched", F.lit(False))
     if "error_text" not in observed.columns:
-        return joined.withColumn("exists", fetched).withColumn(
-            "error", F.lit(None).cast("string")
-        ).drop("_fetched")
+        return (
+            joined.withColumn("exists", fetched)
+            .withColumn("error", F.lit(None).cast("string"))
+            .drop("_fetched")
+        )
     failed = F.col("error_text").isNotNull() | F.col("http_status").isNotNull()
-    missing = failed & (
-        X.classify_error(F.col("http_status"), F.col("error_text")) == X.NOT_FOUND
-    )
+    lost = X.classify_error(F.col("http_status"), F.col("error_text")) == X.NOT_FOUND
     return (
         joined.withColumn("exists", fetched & ~failed)
-        .withColumn("error", F.when(fetched & failed & ~missing, F.col("error_text")))
+        .withColumn("error", F.when(fetched & failed & ~lost, F.coalesce("error_text", F.lit(""))))
+        .withColumn("observed", F.when(F.col("exists"), F.col("observed")))
         .drop("_fetched", "http_status", "error_text")
     )
 
@@ -107,7 +110,7 @@ def context_binding(groups: DataFrame, contexts: DataFrame) -> DataFrame:
     side, so no pair can be hot.
     """
     declared = (
-        groups.where(_usable(F.col("context_id")).isNotNull())
+        _named(groups, "context_id")
         .select("group_id", "context_id")
         .distinct()
         .withColumn("declared", F.lit(True))
