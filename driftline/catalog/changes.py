@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.catalog.common import EVENTS_SQL, PROCESSOR_HAVE, events, pick, query, sql_case, table
+from driftline.catalog.common import EVENTS_SQL, events, pick, query, table
 from driftline.functions import compare as C
 from driftline.operators import changes, conditions, metrics, planning
 from driftline.session import scratch_path
@@ -141,34 +141,41 @@ def state_metrics(spark, folder):
     return metrics.state_metrics(resources(spark, folder))
 
 
-def user_states(spark, folder, compare):
-    """A declared state against the state the next event reports, compared by ``compare``."""
-    wanted = F.upper(pick(F.col("event_type"), PROCESSOR_HAVE))
-    seen = pick(F.col("event_type"), PROCESSOR_HAVE)
-    return events(spark, folder).select("event_id", compare(wanted, seen).alias("same"))
+REPORTED = {0: "Running", 1: "RUNNING", 2: "Stopped", 3: "Disabled", 4: "stopped"}
+STATE_SQL = f"""
+{EVENTS_SQL},
+sx AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'RUNNING' WHEN 'click' THEN 'STOPPED' WHEN 'error' THEN 'DISABLED' END AS want,
+              CASE k % 6 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in REPORTED.items())} END AS have FROM ev)
+"""
 
 
-STATE_SQL = sql_case("event_type", PROCESSOR_HAVE)
+def states(spark, folder, compare):
+    """A declared state against a reported one; both may be absent."""
+    want = pick(F.col("event_type"), {"view": "RUNNING", "click": "STOPPED", "error": "DISABLED"})
+    have = pick(F.col("k") % 6, REPORTED)
+    return events(spark, folder).select("event_id", compare(want, have).alias("same"))
 
 
-@query("state_fold_equal", "SELECT event_id, true AS same FROM events")
+@query("state_fold_equal", f"""
+WITH {STATE_SQL} SELECT event_id, lower(coalesce(want, '')) = lower(coalesce(have, '')) AS same FROM sx""")
 def state_fold_equal(spark, folder):
-    return user_states(spark, folder, C.state_fold_equal)
+    return states(spark, folder, C.state_fold_equal)
 
 
 @query("state_exact_equal", f"""
-SELECT event_id, coalesce(upper({STATE_SQL}), '') = coalesce({STATE_SQL}, '') AS same FROM events""")
+WITH {STATE_SQL} SELECT event_id, coalesce(want, '') = coalesce(have, '') AS same FROM sx""")
 def state_exact_equal(spark, folder):
-    return user_states(spark, folder, C.state_exact_equal)
+    return states(spark, folder, C.state_exact_equal)
 
 
 APPLY_SQL = f"""
 {EVENTS_SQL},
 cu AS (SELECT s_suppkey AS key, CAST(floor(abs(s_acctbal)) AS BIGINT) % 100 AS revision, s_name AS name FROM supplier),
-w AS (SELECT user_id, event_id, k, cu.key IS NOT NULL AS known, cu.revision AS current
+w AS (SELECT user_id, event_id, k, event_type, cu.key IS NOT NULL AS known, cu.revision AS current,
+             event_type = 'error' AS del, k = 0 AND event_type <> 'error' AS creates
       FROM ev LEFT JOIN cu ON cu.key = user_id),
-f AS (SELECT *, (known AND k = current) OR (NOT known AND k = 0) AS fits FROM w),
-r AS (SELECT *, CASE WHEN fits THEN row_number() OVER (PARTITION BY user_id, fits ORDER BY event_id) END AS n FROM f)
+f AS (SELECT *, (known AND k = current) OR (NOT known AND creates) AS fits FROM w),
+r AS (SELECT *, fits AND row_number() OVER (PARTITION BY user_id, fits ORDER BY event_id) = 1 AS won FROM f)
 """
 
 
@@ -183,6 +190,7 @@ def revision_writes(spark, folder):
         F.col("user_id").alias("key"),
         F.col("k").alias("revision"),
         F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "error", "DELETE").otherwise("PUT").alias("op"),
         F.col("event_type").alias("name"),
     )
     return current, batch
@@ -190,8 +198,9 @@ def revision_writes(spark, folder):
 
 @query("apply_checked", f"""
 WITH {APPLY_SQL}
-SELECT user_id AS key, event_id AS seq, CASE WHEN n = 1 THEN 'applied' ELSE 'conflict' END AS outcome,
-       CASE WHEN n = 1 THEN CASE WHEN known THEN current + 1 ELSE 0 END END AS new_revision FROM r""")
+SELECT user_id AS key, event_id AS seq,
+       CASE WHEN won THEN 'applied' WHEN NOT known AND NOT creates THEN 'not_found' ELSE 'conflict' END AS outcome,
+       CASE WHEN won AND NOT del THEN CASE WHEN known THEN current + 1 ELSE 0 END END AS new_revision FROM r""")
 def apply_checked(spark, folder):
     current, batch = revision_writes(spark, folder)
     writes = planning.classify_writes(current, batch, "key")
@@ -200,9 +209,8 @@ def apply_checked(spark, folder):
 
 @query("apply_next_snapshot", f"""
 WITH {APPLY_SQL},
-a AS (SELECT user_id AS key, CASE WHEN known THEN current + 1 ELSE 0 END AS revision, event_type AS name
-      FROM r JOIN events USING (user_id, event_id) WHERE n = 1)
-SELECT key, revision, name FROM a
+a AS (SELECT user_id AS key, CASE WHEN known THEN current + 1 ELSE 0 END AS revision, event_type AS name, del FROM r WHERE won)
+SELECT key, revision, name FROM a WHERE NOT del
 UNION ALL SELECT key, revision, name FROM cu WHERE key NOT IN (SELECT key FROM a)""")
 def apply_next_snapshot(spark, folder):
     current, batch = revision_writes(spark, folder)

@@ -60,15 +60,20 @@ def named_list_diff(desired: Column, observed: Column, prefix: str = "parameter"
 
     The sizes must match (entries without a body count), every desired name must
     exist, and value and description differ only where both sides state them. Of
-    several observed entries with one name the last counts.
+    several observed entries with one name the last counts. A null name reads as ``''``.
     """
 
     def entry_reasons(want: Column) -> Column:
-        same_name = F.filter(observed, lambda e: e["parameter"]["name"] == want["name"])
+        name = F.coalesce(want["name"], F.lit(""))
+        same_name = F.filter(
+            observed,
+            lambda e: e["parameter"].isNotNull()
+            & (F.coalesce(e["parameter"]["name"], F.lit("")) == name),
+        )
         last = F.try_element_at(same_name, F.lit(-1))["parameter"]
         value, text = last["value"], last["description"]
         asked_text = F.coalesce(want["description"], F.lit(""))
-        label = lambda suffix: F.concat(F.lit(f"{prefix}{suffix}:"), want["name"])
+        label = lambda suffix: F.concat(F.lit(f"{prefix}{suffix}:"), name)
         return F.when(list_size(same_name) == 0, F.array(label(""))).otherwise(
             F.concat(
                 reason(want["value"] != value, label("_value")),

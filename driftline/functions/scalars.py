@@ -89,20 +89,30 @@ def config_problem(credentials: Column) -> Column:
     """Why a credential document cannot be used, null where it can.
 
     It must be a JSON object whose known fields have their types, with a ``url``.
+    Field names match in any case, the exact one first.
     """
     parsed = F.try_parse_json(credentials)
     shape = F.schema_of_variant(parsed)
+    entries = F.try_variant_get(parsed, "$", "map<string,variant>")
+
+    def field(name: str) -> Column:
+        alike = F.map_filter(entries, lambda k, v: F.lower(k) == name.lower())
+        return F.coalesce(
+            F.try_element_at(entries, F.lit(name)),
+            F.try_element_at(F.map_values(alike), F.lit(1)),
+        )
+
     usable = F.startswith(shape, F.lit("OBJECT")) | (shape == "VOID")
-    for field, wanted in (
+    for name, wanted in (
         ("url", "STRING"),
         ("username", "STRING"),
         ("password", "STRING"),
         ("token", "STRING"),
         ("tlsSkipVerify", "BOOLEAN"),
     ):
-        found = F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant"))
+        found = F.schema_of_variant(field(name))
         usable &= found.isNull() | found.isin(wanted, "VOID")
-    url = F.coalesce(F.try_variant_get(parsed, "$.url", "string"), F.lit(""))
+    url = F.coalesce(F.try_variant_get(field("url"), "$", "string"), F.lit(""))
     return F.when(
         parsed.isNull() | ~F.coalesce(usable, F.lit(False)), F.lit("cannot parse credentials")
     ).when(url == "", F.lit("url is required"))

@@ -34,14 +34,14 @@ def with_previous(
     whole = in_slice.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     staged = (
         log.withColumn("_slice", slice_by)
-        .withColumn("_rn", F.row_number().over(in_slice))
         .withColumn("_prev", F.lag(state).over(in_slice))
         .withColumn("_tail", F.last(state).over(whole))
     )
-    heads = staged.where("_rn = 1").withColumn(
+    is_head = F.col("_prev").isNull()
+    heads = staged.where(is_head).withColumn(
         "_prev", F.lag("_tail").over(W.partitionBy(*key).orderBy("_slice"))
     )
-    return heads.unionByName(staged.where("_rn > 1")).drop("_slice", "_rn", "_tail")
+    return heads.unionByName(staged.where(~is_head)).drop("_slice", "_tail")
 
 
 def desired_changed(

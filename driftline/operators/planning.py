@@ -157,49 +157,65 @@ def step_order(plan: DataFrame, key: list[str]) -> DataFrame:
 
 
 def classify_writes(current: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Add ``outcome`` (``applied`` or ``conflict``) and ``new_revision`` to a batch of writes.
+    """Add ``outcome`` and ``new_revision`` to a batch of writes.
 
     ``current`` has ``key`` and ``revision``; ``batch`` has ``key``, ``revision`` as
-    submitted and a unique ``seq``. All writers of a batch saw the same state, so of
-    the writes that submit the current revision the first one by ``seq`` wins and the
-    rest conflict. A new record starts with a write of revision 0.
+    submitted, a unique ``seq`` and, optionally, ``op`` (``PUT`` or ``DELETE``). All
+    writers of a batch saw the same state: of the writes that submit the current
+    revision the first by ``seq`` is ``applied``, every other one is a ``conflict``. A put
+    of revision 0 creates a record that does not exist; any other write to one that
+    does not exist is ``not_found``.
 
     The batch is reduced to one row per (key, submitted revision) before it meets
-    ``current``, and winners are matched on (key, seq); no join is on a hot key alone.
+    ``current``, and winners are matched on (key, seq). Keys that do not exist are few
+    and are joined by key, where a hot key is split by the adaptive skew join.
     """
-    firsts = batch.groupBy(key, "revision").agg(F.min("seq").alias("seq"))
+    is_put = F.col("op") == "PUT" if "op" in batch.columns else F.lit(True)
+    firsts = batch.groupBy(key, "revision").agg(
+        F.min("seq").alias("seq"), F.min(F.when(is_put, F.col("seq"))).alias("_put")
+    )
     updates = firsts.join(current.select(key, "revision"), [key, "revision"], "left_semi")
-    creates = firsts.where("revision = 0").join(current.select(key), key, "left_anti")
-    winners = (
-        updates.withColumn("_new", F.col("revision") + 1)
-        .unionByName(creates.withColumn("_new", F.lit(0).cast("bigint")))
-        .select(key, "seq", "_new")
+    unknown = firsts.join(current.select(key), key, "left_anti")
+    creates = unknown.where("revision = 0 AND _put IS NOT NULL")
+    winners = updates.select(key, "seq", (F.col("revision") + 1).alias("_new")).unionByName(
+        creates.select(key, F.col("_put").alias("seq"), F.lit(0).cast("bigint").alias("_new"))
     )
+    absent = unknown.select(key).distinct().withColumn("_absent", F.lit(True))
+    applied = F.col("_new").isNotNull()
+    may_create = is_put & (F.col("revision") == 0)
     return (
         batch.join(winners, [key, "seq"], "left")
-        .withColumn("outcome", F.when(F.col("_new").isNotNull(), "applied").otherwise("conflict"))
-        .withColumnRenamed("_new", "new_revision")
+        .join(absent, key, "left")
+        .withColumn(
+            "outcome",
+            F.when(applied, "applied")
+            .when(F.col("_absent") & ~may_create, "not_found")
+            .otherwise("conflict"),
+        )
+        .withColumn("new_revision", F.when(is_put, F.col("_new")))
+        .drop("_new", "_absent")
     )
 
 
 def next_snapshot(current: DataFrame, writes: DataFrame, key: str) -> DataFrame:
-    """``current`` after the applied writes: replaced rows, new rows, everything else kept."""
+    """``current`` after the applied writes: put rows, deleted rows gone, the rest kept."""
     fields = [c for c in current.columns if c not in (key, "revision")]
-    applied = writes.where("outcome = 'applied'").select(
+    applied = writes.where("outcome = 'applied'")
+    put = applied.where("new_revision IS NOT NULL").select(
         key, F.col("new_revision").alias("revision"), *fields
     )
     kept = current.join(applied.select(key), key, "left_anti")
-    return kept.select(key, "revision", *fields).unionByName(applied)
+    return kept.select(key, "revision", *fields).unionByName(put)
 
 
 def apply_checked(
     current: DataFrame, batch: DataFrame, key: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Revision-checked apply: (applied writes, conflicting writes, next snapshot)."""
+    """Revision-checked apply: (applied writes, refused writes, next snapshot)."""
     writes = classify_writes(current, batch, key)
     return (
         writes.where("outcome = 'applied'"),
-        writes.where("outcome = 'conflict'"),
+        writes.where("outcome <> 'applied'"),
         next_snapshot(current, writes, key),
     )
 

@@ -28,7 +28,21 @@ def required_violations(kind: str, desired: Column) -> Column:
         if "." in path:
             absent &= dig(desired, path.rsplit(".", 1)[0]).isNotNull()
         found.append(C.reason(absent, label))
-    return F.concat(*found)
+    return F.when(desired.isNull(), F.array(F.lit("forProvider required"))).otherwise(
+        F.concat(*found)
+    )
+
+
+def reference_violations(reference: Column) -> Column:
+    """A stated config reference needs its kind and its name."""
+    return F.concat(
+        *[
+            C.reason(
+                reference.isNotNull() & reference[n].isNull(), f"providerConfigRef.{n} required"
+            )
+            for n in ("kind", "name")
+        ]
+    )
 
 
 def enum_violation(value: Column, allowed: tuple, path: str) -> Column:
@@ -59,9 +73,14 @@ def config_violations(source: Column, version: Column) -> Column:
 
 
 def validate(df: DataFrame, kind: str, desired: str = "desired") -> DataFrame:
-    """Add ``violations``: absent required fields, then values outside their sets."""
+    """Add ``violations``: absent required fields, then values outside their sets.
+
+    ``managementPolicies`` and ``providerConfigRef`` are checked where they are columns.
+    """
     d = F.col(desired)
     found = [required_violations(kind, d), enum_violations(kind, d)]
+    if "providerConfigRef" in df.columns:
+        found.append(reference_violations(F.col("providerConfigRef")))
     if "managementPolicies" in df.columns:
         found.append(policy_violations(F.col("managementPolicies")))
     return df.withColumn("violations", F.concat(*found))

@@ -82,13 +82,26 @@ METADATA = (
 )
 
 
+SECRET = "STRUCT<name STRING, namespace STRING, key STRING>"
+REFERENCE = "STRUCT<kind STRING, name STRING>"
+CONFIG_KINDS = ("ProviderConfig", "ClusterProviderConfig")
+USAGE_KINDS = ("ProviderConfigUsage", "ClusterProviderConfigUsage")
+
+
 def resource_schema(kind: str) -> str:
-    """DDL of one whole resource document of ``kind``."""
-    return f"""
-        apiVersion STRING, kind STRING, metadata {METADATA},
+    """DDL of one whole document: a resource, a config or a usage record."""
+    head = f"apiVersion STRING, kind STRING, metadata {METADATA}"
+    if kind in CONFIG_KINDS:
+        return f"""{head},
+            spec STRUCT<credentials STRUCT<source STRING, secretRef {SECRET}>, systemVersion INT>,
+            status STRUCT<users BIGINT>"""
+    if kind in USAGE_KINDS:
+        return f"""{head}, providerConfigRef {REFERENCE},
+            resourceRef STRUCT<apiVersion STRING, kind STRING, name STRING, uid STRING>"""
+    return f"""{head},
         spec STRUCT<forProvider STRUCT<{DESIRED[kind]}>,
                     managementPolicies ARRAY<STRING>,
-                    providerConfigRef STRUCT<kind STRING, name STRING>>,
+                    providerConfigRef {REFERENCE}>,
         status STRUCT<conditions ARRAY<{CONDITION}>, observedGeneration BIGINT>"""
 
 
