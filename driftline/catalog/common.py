@@ -86,6 +86,8 @@ def desired_groups(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").alias("key"),
         "o_custkey",
         "o_orderdate",
+        "o_orderstatus",
+        "o_totalprice",
         priority.alias("priority"),
         F.struct(
             F.col("o_custkey").cast("string").alias("parentGroupId"),

@@ -332,4 +332,4 @@ def group_tree(spark, folder):
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.format_string("o%d", "l_orderkey").alias("id"), "n")
     )
-    return extensions.group_tree(tree, counts, levels=5)
+    return extensions.group_tree(tree, counts)

@@ -106,12 +106,8 @@ SELECT o_orderkey AS key, 'order ' || o_orderkey AS name,
        CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS x, CAST(0 AS BIGINT) AS revision
 FROM orders""")
 def build_group(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    wide = desired_groups(spark, folder).join(
-        orders.withColumnRenamed("o_orderkey", "key"), "key"
-    )
     status = F.col("o_orderstatus")
-    placed = wide.withColumn(
+    placed = desired_groups(spark, folder).withColumn(
         "desired",
         F.col("desired")
         .withField(

@@ -115,16 +115,34 @@ def hash_content(records: DataFrame, content: str, attribute: str = "content.has
     )
 
 
-# The example flow as vertices and connections.
-HASH_FLOW_VERTICES = [
-    ("generate", []),
-    ("hash", ["failure"]),
-    ("log", ["success"]),
-]
-HASH_FLOW_EDGES = [
-    ("generate-to-hash", "generate", "hash", ["success"]),
-    ("hash-to-log", "hash", "log", ["success"]),
-]
+# The example flow as relationships its vertices end, and its connections
+# (name, source, destination, selected relationships).
+HASH_FLOW_ENDED = {"generate": (), "hash": ("failure",), "log": ("success",)}
+HASH_FLOW_EDGES = (
+    ("generate-to-hash", "generate", "hash", ("success",)),
+    ("hash-to-log", "hash", "log", ("success",)),
+)
+
+
+def route_from(records: DataFrame, source: str, edges: tuple, ended: tuple = ()) -> DataFrame:
+    """``route`` out of one vertex of a flow that is fixed while the plan is built.
+
+    The connections of a fixed flow are literals, so a record finds its own without a
+    join: nothing is shuffled, however large the records are. Records whose
+    ``relationship`` is ended or taken by no connection are dropped.
+    """
+    taken = [
+        F.when(
+            F.col("relationship").isin(*selected) & ~F.col("relationship").isin(*ended),
+            F.struct(F.lit(name).alias("connection_id"), F.lit(to).alias("destination_id")),
+        )
+        for name, start, to, selected in edges
+        if start == source
+    ]
+    kept = [c for c in records.columns if c not in ("connection_id", "destination_id")]
+    return records.select(*kept, F.explode(F.array_compact(F.array(*taken))).alias("_edge")).select(
+        *kept, "_edge.*"
+    )
 
 
 def hash_flow(records: DataFrame, content: str) -> DataFrame:
@@ -133,23 +151,10 @@ def hash_flow(records: DataFrame, content: str) -> DataFrame:
     Returns the records that reach the log with their hash in ``content_hash`` and the
     connection they came by.
     """
-    spark = records.sparkSession
-    edges = spark.createDataFrame(
-        HASH_FLOW_EDGES,
-        "connection_id string, source_id string, destination_id string, "
-        "selectedRelationships array<string>",
-    )
-    vertices = spark.createDataFrame(
-        HASH_FLOW_VERTICES, "source_id string, autoTerminatedRelationships array<string>"
-    )
-    emitted = records.withColumn("source_id", F.lit("generate")).withColumn(
-        "relationship", F.lit("success")
-    )
-    queued = route(emitted, edges).select(
-        *records.columns, F.col("destination_id").alias("source_id")
-    )
-    hashed = auto_terminate(hash_content(queued, content), vertices)
-    return route(hashed, edges).withColumn(
+    emitted = records.withColumn("relationship", F.lit("success"))
+    queued = route_from(emitted, "generate", HASH_FLOW_EDGES, HASH_FLOW_ENDED["generate"])
+    hashed = hash_content(queued, content)
+    return route_from(hashed, "hash", HASH_FLOW_EDGES, HASH_FLOW_ENDED["hash"]).withColumn(
         "content_hash", F.element_at("attributes", "content.hash")
     )
 

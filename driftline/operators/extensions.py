@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as X
+from driftline.session import scratch_path
 
 
 def dangling_edges(edges: DataFrame, vertices: DataFrame, groups: DataFrame) -> DataFrame:
@@ -34,29 +35,38 @@ def dangling_edges(edges: DataFrame, vertices: DataFrame, groups: DataFrame) ->
     )
 
 
-def group_tree(groups: DataFrame, counts: DataFrame, levels: int) -> DataFrame:
+#: Depth at which ``group_tree`` takes the parents for a cycle.
+DEEPEST = 100
+
+
+def group_tree(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """Component counts of every group with those of all groups below it.
 
-    ``groups`` has ``id``, ``parent_id`` (null or absent parent: a root); ``counts`` has
-    ``id`` and ``n``. ``levels`` is the depth of the tree. Each round lifts the sums one
-    level up and adds what arrives at one parent inside each task first; no pairs of
-    groups are ever formed.
+    ``groups`` has ``id`` and ``parent_id`` (null: a root); ``counts`` has ``id`` and
+    ``n``. Each round lifts the sums one level up: a join on the unique ``id`` and a sum
+    per parent that is taken inside each task first, so a parent of most groups is no
+    burden and no pairs of groups are formed. Rounds are written to the shared folder;
+    the next one reads them back instead of repeating all before it.
     """
+    spark = groups.sparkSession
+    path = scratch_path(spark, "tree")
     parents = groups.select("id", "parent_id")
-    level = groups.select("id").join(counts.select("id", "n"), "id", "left").select(
-        "id", F.coalesce("n", F.lit(0)).alias("n")
-    )
-    total = level
-    for _ in range(levels - 1):
-        level = (
-            level.where("n > 0")
-            .join(parents, "id")
-            .where(F.col("parent_id").isNotNull())
+    own = groups.select("id").join(counts.select("id", "n"), "id", "left")
+    own.select("id", F.coalesce("n", F.lit(0)).alias("n")).write.parquet(f"{path}/level=0")
+    for depth in range(1, DEEPEST + 1):
+        below = spark.read.parquet(f"{path}/level={depth - 1}").where("n > 0")
+        lifted = (
+            below.join(parents.where(F.col("parent_id").isNotNull()), "id")
             .groupBy(F.col("parent_id").alias("id"))
             .agg(F.sum("n").alias("n"))
         )
-        total = total.unionByName(level)
-    return total.groupBy("id").agg(F.sum("n").alias("n")).join(parents.select("id"), "id", "left_semi")
+        lifted.write.parquet(f"{path}/level={depth}")
+        if spark.read.parquet(f"{path}/level={depth}").isEmpty():
+            break
+    else:
+        raise ValueError(f"groups nest deeper than {DEEPEST} or form a cycle")
+    total = spark.read.parquet(path).groupBy("id").agg(F.sum("n").alias("n"))
+    return total.join(parents.select("id"), "id", "left_semi")
 
 
 def state_conflicts(groups: DataFrame, children: DataFrame) -> DataFrame:

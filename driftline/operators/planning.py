@@ -174,13 +174,15 @@ def classify_writes(current: DataFrame, batch: DataFrame, key: str) -> DataFrame
     firsts = batch.groupBy(key, "revision").agg(
         F.min("seq").alias("seq"), F.min(F.when(is_put, F.col("seq"))).alias("_put")
     )
-    updates = firsts.join(current.select(key, "revision"), [key, "revision"], "left_semi")
-    unknown = firsts.join(current.select(key), key, "left_anti")
-    creates = unknown.where("revision = 0 AND _put IS NOT NULL")
-    winners = updates.select(key, "seq", (F.col("revision") + 1).alias("_new")).unionByName(
-        creates.select(key, F.col("_put").alias("seq"), F.lit(0).cast("bigint").alias("_new"))
+    seen = firsts.join(current.select(key, F.col("revision").alias("_current")), key, "left")
+    unknown = F.col("_current").isNull()
+    creates = unknown & (F.col("revision") == 0) & F.col("_put").isNotNull()
+    winners = seen.where(creates | (F.col("_current") == F.col("revision"))).select(
+        key,
+        F.when(creates, F.col("_put")).otherwise(F.col("seq")).alias("seq"),
+        F.when(creates, F.lit(0)).otherwise(F.col("revision") + 1).cast("bigint").alias("_new"),
     )
-    absent = unknown.select(key).distinct().withColumn("_absent", F.lit(True))
+    absent = seen.where(unknown).select(key).distinct().withColumn("_absent", F.lit(True))
     applied = F.col("_new").isNotNull()
     may_create = is_put & (F.col("revision") == 0)
     return (
@@ -199,13 +201,18 @@ def classify_writes(current: DataFrame, batch: DataFrame, key: str) -> DataFrame
 
 def next_snapshot(current: DataFrame, writes: DataFrame, key: str) -> DataFrame:
     """``current`` after the applied writes: put rows, deleted rows gone, the rest kept."""
-    fields = [c for c in current.columns if c not in (key, "revision")]
-    applied = writes.where("outcome = 'applied'")
-    put = applied.where("new_revision IS NOT NULL").select(
-        key, F.col("new_revision").alias("revision"), *fields
+    fields = ["revision", *[c for c in current.columns if c not in (key, "revision")]]
+    applied = writes.where("outcome = 'applied'").select(
+        key,
+        F.struct(
+            F.col("new_revision").alias("revision"), *[F.col(c) for c in fields[1:]]
+        ).alias("_put"),
+    )
+    both = current.select(key, F.struct(*fields).alias("_old")).join(applied, key, "full_outer")
+    gone = F.col("_put").isNotNull() & F.col("_put.revision").isNull()
+    return both.where(~gone).select(
+        key, *[F.when(F.col("_put").isNull(), F.col(f"_old.{c}")).otherwise(F.col(f"_put.{c}")).alias(c) for c in fields]
     )
-    kept = current.join(applied.select(key), key, "left_anti")
-    return kept.select(key, "revision", *fields).unionByName(put)
 
 
 def apply_checked(

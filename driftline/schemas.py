@@ -88,12 +88,15 @@ CONFIG_KINDS = ("ProviderConfig", "ClusterProviderConfig")
 USAGE_KINDS = ("ProviderConfigUsage", "ClusterProviderConfigUsage")
 
 
-def resource_schema(kind: str) -> str:
+VERSION_FIELD = "systemVersion"
+
+
+def resource_schema(kind: str, version_field: str = VERSION_FIELD) -> str:
     """DDL of one whole document: a resource, a config or a usage record."""
     head = f"apiVersion STRING, kind STRING, metadata {METADATA}"
     if kind in CONFIG_KINDS:
         return f"""{head},
-            spec STRUCT<credentials STRUCT<source STRING, secretRef {SECRET}>, systemVersion INT>,
+            spec STRUCT<credentials STRUCT<source STRING, secretRef {SECRET}>, {version_field} INT>,
             status STRUCT<users BIGINT>"""
     if kind in USAGE_KINDS:
         return f"""{head}, providerConfigRef {REFERENCE},

@@ -73,19 +73,27 @@ def parse_manifests(texts: DataFrame, source: str, text: str) -> DataFrame:
     ).mapInPandas(_documents, "source string, position int, document string, error string")
 
 
-def manifest_resources(documents: DataFrame, kind: str, column: str = "document") -> DataFrame:
-    """Documents of one kind as rows with the schema of the kind."""
+def manifest_resources(
+    documents: DataFrame, kind: str, column: str = "document", version_field: str = S.VERSION_FIELD
+) -> DataFrame:
+    """Documents of one kind as rows with the schema of the kind.
+
+    ``version_field`` is the name under which a config states the system version.
+    """
     is_kind = F.get_json_object(column, "$.kind") == kind
     keep = [c for c in documents.columns if c != column]
-    return documents.where(is_kind).select(
-        *keep, F.from_json(column, S.resource_schema(kind)).alias("resource")
-    )
+    read = F.from_json(column, S.resource_schema(kind, version_field))
+    # The cast goes by position, so it only renames the version field.
+    resource = read.cast(f"struct<{S.resource_schema(kind)}>")
+    return documents.where(is_kind).select(*keep, resource.alias("resource"))
 
 
-def read_manifests(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def read_manifests(
+    spark: SparkSession, path: str, kind: str, version_field: str = S.VERSION_FIELD
+) -> DataFrame:
     """Desired resources of ``kind`` from the YAML or JSON files below ``path``.
 
-    JSON files skip the Python step.
+    JSON files hold one document each and skip the Python step.
     """
     files = (
         spark.read.text(path, wholetext=True)
@@ -100,7 +108,8 @@ def read_manifests(spark: SparkSession, path: str, kind: str) -> DataFrame:
         F.col("text").alias("document"),
         F.lit(None).cast("string").alias("error"),
     )
-    return manifest_resources(decoded.unionByName(direct), kind)
+    documents = decoded.unionByName(direct)
+    return manifest_resources(documents, kind, version_field=version_field)
 
 
 def _flow_fields(entity: Column, prior: dict[str, Column]) -> dict[str, Column]:
