@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.catalog.common import EVENTS_SQL, events, pick, query, table
+from driftline.catalog.common import EVENTS_SQL, events, pick, query, table, tag
 from driftline.functions import compare as C
 from driftline.operators import changes, conditions, metrics, planning
 from driftline.session import scratch_path
@@ -104,10 +104,10 @@ def resources(spark, folder):
         "user_id",
         pick(user % 6, KIND_NAMES).alias("kind"),
         F.struct(
-            F.format_string("user-%d", "user_id").alias("name"),
+            tag("user-", "user_id").alias("name"),
             F.when(
                 user % 5 != 0,
-                F.create_map(F.lit("example.org/external-name"), F.format_string("id-%d", "user_id")),
+                F.create_map(F.lit("example.org/external-name"), tag("id-", "user_id")),
             ).alias("annotations"),
             F.col("born").alias("creationTimestamp"),
         ).alias("metadata"),

@@ -36,6 +36,12 @@ def joined(items: Column) -> Column:
     return F.array_join(items, ",")
 
 
+def tag(text: str, key: Column | str) -> Column:
+    """A name made of a text and a key."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.concat(F.lit(text), key.cast("string"))
+
+
 def pick(value: Column, choices: dict, default=None) -> Column:
     """``choices[value]`` as a column."""
     out = F.lit(default)
@@ -91,7 +97,7 @@ def desired_groups(spark: SparkSession, folder: str) -> DataFrame:
         priority.alias("priority"),
         F.struct(
             F.col("o_custkey").cast("string").alias("parentGroupId"),
-            F.format_string("order %d", "o_orderkey").alias("name"),
+            tag("order ", "o_orderkey").alias("name"),
             F.lit(None).cast("struct<x:double,y:double>").alias("position"),
             F.when(priority == "4-NOT SPECIFIED", "").otherwise(priority).alias("comments"),
             F.lit("").alias("parameterContextId"),
@@ -117,7 +123,7 @@ def observed_groups(counted: DataFrame) -> DataFrame:
         F.col("key").cast("string").alias("id"),
         F.struct(F.lit(0).cast("bigint").alias("version")).alias("revision"),
         F.struct(
-            F.format_string("order %d", "key").alias("name"),
+            tag("order ", "key").alias("name"),
             F.when(running >= 3, "5-LOW").otherwise(F.col("priority")).alias("comments"),
         ).alias("component"),
         running.alias("runningCount"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.catalog.common import events, joined, pick, query, table
+from driftline.catalog.common import events, joined, pick, query, table, tag
 from driftline.functions import scalars as X
 from driftline.operators import configs as K
 from driftline.operators import extensions, observe as O
@@ -27,13 +27,13 @@ def referring(spark, folder):
     """Customers as resources; those of one segment state no config reference."""
     nation, segment = F.col("c_nationkey"), F.col("c_mktsegment")
     kind = pick(segment, {"BUILDING": "ProviderConfig", "HOUSEHOLD": "SecretStore"}, "ClusterProviderConfig")
-    name = F.when(segment == "BUILDING", F.format_string("NATION_%d", nation)).otherwise(
-        F.format_string("region-%d", nation % 7)
+    name = F.when(segment == "BUILDING", tag("NATION_", nation)).otherwise(
+        tag("region-", nation % 7)
     )
     shift = F.when(F.col("c_acctbal") < 0, 1).otherwise(0)
     rows = table(spark, folder, "customer").select(
         F.col("c_custkey"),
-        F.format_string("region-%d", (nation + shift) % 5).alias("namespace"),
+        tag("region-", (nation + shift) % 5).alias("namespace"),
         F.lit("v1").alias("apiVersion"),
         F.lit("Processor").alias("kind"),
         F.col("c_name").alias("name"),
@@ -50,16 +50,16 @@ def referring(spark, folder):
 
 def scoped_configs(spark, folder):
     return table(spark, folder, "nation").select(
-        F.format_string("region-%d", "n_regionkey").alias("namespace"),
+        tag("region-", "n_regionkey").alias("namespace"),
         F.col("n_name").alias("name"),
-        F.format_string("https://nation-%d", "n_nationkey").alias("config"),
+        tag("https://nation-", "n_nationkey").alias("config"),
     )
 
 
 def cluster_configs(spark, folder):
     return table(spark, folder, "region").select(
-        F.format_string("region-%d", "r_regionkey").alias("name"),
-        F.format_string("https://%s", "r_name").alias("config"),
+        tag("region-", "r_regionkey").alias("name"),
+        tag("https://", "r_name").alias("config"),
     )
 
 
@@ -148,7 +148,7 @@ def config_columns(spark, folder):
     """Orders as config records, those of one status without a secret."""
     secret = F.when(
         F.col("o_orderstatus") != "P",
-        F.struct(F.format_string("secret-%d", "o_custkey").alias("name")),
+        F.struct(tag("secret-", "o_custkey").alias("name")),
     )
     rows = table(spark, folder, "orders").select(
         F.struct(
@@ -277,7 +277,7 @@ def inherited_params(spark, folder):
     """Suppliers inherit from their nation, nations from their region."""
     s, n, r = (table(spark, folder, t) for t in ("supplier", "nation", "region"))
     supplier, nation, region = (
-        F.format_string(f"{k[0]}%d", k) for k in ("s_suppkey", "n_nationkey", "r_regionkey")
+        tag(k[0], k) for k in ("s_suppkey", "n_nationkey", "r_regionkey")
     )
 
     def param(df, context, name, value):
@@ -292,9 +292,9 @@ def inherited_params(spark, folder):
         .unionByName(param(r, region, "scope", "r_name"))
     )
     links = s.select(
-        supplier.alias("context_id"), F.format_string("n%d", "s_nationkey").alias("parent_id")
+        supplier.alias("context_id"), tag("n", "s_nationkey").alias("parent_id")
     ).unionByName(
-        n.select(nation.alias("context_id"), F.format_string("r%d", "n_regionkey").alias("parent_id"))
+        n.select(nation.alias("context_id"), tag("r", "n_regionkey").alias("parent_id"))
     )
     return extensions.inherited_params(own, links.withColumn("position", F.lit(0)), levels=3)
 
@@ -312,13 +312,13 @@ def group_tree(spark, folder):
 
     def level(name, prefix, key, parent):
         return table(spark, folder, name).select(
-            F.format_string(f"{prefix}%d", key).alias("id"), parent.alias("parent_id")
+            tag(prefix, key).alias("id"), parent.alias("parent_id")
         )
 
     tree = (
-        level("orders", "o", "o_orderkey", F.format_string("c%d", "o_custkey"))
-        .unionByName(level("customer", "c", "c_custkey", F.format_string("n%d", "c_nationkey")))
-        .unionByName(level("nation", "n", "n_nationkey", F.format_string("r%d", "n_regionkey")))
+        level("orders", "o", "o_orderkey", tag("c", "o_custkey"))
+        .unionByName(level("customer", "c", "c_custkey", tag("n", "c_nationkey")))
+        .unionByName(level("nation", "n", "n_nationkey", tag("r", "n_regionkey")))
         .unionByName(level("region", "r", "r_regionkey", F.lit("root")))
         .unionByName(
             table(spark, folder, "region")
@@ -330,6 +330,6 @@ def group_tree(spark, folder):
         table(spark, folder, "lineitem")
         .groupBy("l_orderkey")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.format_string("o%d", "l_orderkey").alias("id"), "n")
+        .select(tag("o", "l_orderkey").alias("id"), "n")
     )
     return extensions.group_tree(tree, counts)

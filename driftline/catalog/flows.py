@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.catalog.common import EVENTS_SQL, events, joined, pick, query, table
+from driftline.catalog.common import EVENTS_SQL, events, joined, pick, query, table, tag
 from driftline.functions import scalars as X
 from driftline.operators import drift as D, extensions, observe as O, planning
 from driftline.operators.payloads import build_import as import_payload
@@ -39,7 +39,7 @@ def flows(spark, folder):
             F.lit("root").alias("parentGroupId"),
             F.lit("registry").alias("registryId"),
             F.lit("bucket").alias("bucketId"),
-            F.format_string("flow-%d", "conv_id").alias("flowId"),
+            tag("flow-", "conv_id").alias("flowId"),
             (F.col("users") - 1).alias("flowVersion"),
             F.when(style == 0, F.struct(F.lit(3.0).alias("x"), F.lit(4.0).alias("y"))).alias("position"),
             pick(style, {0: "RUNNING", 1: "", 2: "DISABLED"}).alias("desiredState"),
@@ -92,7 +92,7 @@ def build_import(spark, folder):
             F.lit("root").alias("parentGroupId"),
             F.lit("registry").alias("registryId"),
             F.lit("bucket").alias("bucketId"),
-            F.format_string("flow-%d", "conv_id").alias("flowId"),
+            tag("flow-", "conv_id").alias("flowId"),
             (F.col("turn") - 1).cast("int").alias("flowVersion"),
             F.when(
                 F.col("role") == "user", F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))

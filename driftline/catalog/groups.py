@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftline.catalog.common import (
-    GROUPS_SQL, component_counts, desired_groups, groups, joined, observed_groups, pick, query, table,
+    GROUPS_SQL, component_counts, desired_groups, groups, joined, observed_groups, pick, query, table, tag,
 )
 from driftline.functions import compare as C
 from driftline.functions import scalars as X
@@ -112,7 +112,7 @@ def build_group(spark, folder):
         F.col("desired")
         .withField(
             "parameterContextId",
-            F.when(status == "F", F.format_string("ctx-%d", "o_custkey")).otherwise(""),
+            F.when(status == "F", tag("ctx-", "o_custkey")).otherwise(""),
         )
         .withField(
             "position",
@@ -135,7 +135,7 @@ SELECT o_orderkey AS key, 'g' || o_orderkey AS id, 'g' || o_orderkey AS componen
 FROM orders""")
 def update_payload_query(spark, folder):
     built = build_payload(desired_groups(spark, folder), "ProcessGroup")
-    named = built.withColumn("external_name", F.format_string("g%d", "key")).withColumn(
+    named = built.withColumn("external_name", tag("g", "key")).withColumn(
         "revision", F.month("o_orderdate").cast("bigint")
     )
     return update_payload(named, "external_name", "revision").select(

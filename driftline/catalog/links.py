@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.catalog.common import EVENTS_SQL, events, joined, pick, query, table
+from driftline.catalog.common import EVENTS_SQL, events, joined, pick, query, table, tag
 from driftline.operators import dataflow, extensions
 from driftline.plans import composite
 
@@ -94,7 +94,7 @@ def back_pressure(spark, folder):
     edges = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("connection_id"),
         (F.col("c_nationkey") * 5).cast("bigint").alias("backPressureObjectThreshold"),
-        F.format_string("%d MB", F.col("c_nationkey") % 4).alias("backPressureDataSizeThreshold"),
+        F.concat((F.col("c_nationkey") % 4).cast("string"), F.lit(" MB")).alias("backPressureDataSizeThreshold"),
     )
     return dataflow.back_pressure(queue, edges)
 
@@ -139,7 +139,7 @@ def outputs(spark, folder):
         *[
             F.when(
                 nation % 5 > i,
-                F.struct(F.lit(p).alias("path"), F.format_string(f"id{i}-%d", "c_custkey").alias("value")),
+                F.struct(F.lit(p).alias("path"), tag(f"id{i}-", "c_custkey").alias("value")),
             )
             for i, p in enumerate(paths)
         ]
@@ -199,8 +199,8 @@ def dangling_edges(spark, folder):
         F.concat(F.lit("s"), (F.col("l_suppkey") + shift).cast("string")).alias("destination_id"),
         (F.col("l_orderkey") + shift).alias("group_id"),
     )
-    parts = table(spark, folder, "part").select(F.format_string("p%d", "p_partkey").alias("id"))
-    suppliers = table(spark, folder, "supplier").select(F.format_string("s%d", "s_suppkey").alias("id"))
+    parts = table(spark, folder, "part").select(tag("p", "p_partkey").alias("id"))
+    suppliers = table(spark, folder, "supplier").select(tag("s", "s_suppkey").alias("id"))
     homes = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
     lost = extensions.dangling_edges(edges, parts.unionByName(suppliers), homes)
     return lost.withColumn("id", F.regexp_replace("id", "^[ps]", ""))

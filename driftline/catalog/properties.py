@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftline.catalog.common import (
     PROCESSOR_HAVE, PROCESSOR_WANT, PROPERTIES_SQL, SERVICE_HAVE, SERVICE_WANT, events, joined, pick,
-    query, sql_case, two_halves, user_properties,
+    query, sql_case, two_halves, user_properties, tag,
 )
 from driftline.functions import compare as C
 from driftline.functions import scalars as X
@@ -33,7 +33,7 @@ xp AS (SELECT *, present AND reasons = '' AS up_to_date,
 def processors(spark, folder):
     """Processors per user: declared from the first half, observed in the second."""
     early, late = two_halves(spark, folder)
-    user = F.format_string("user %d", "user_id")
+    user = tag("user ", "user_id")
     want = early.select(
         "user_id",
         F.struct(
@@ -183,7 +183,7 @@ sp AS (SELECT *, present AND reasons = '' AS up_to_date,
 
 def services(spark, folder):
     early, late = two_halves(spark, folder)
-    user = F.format_string("user %d", "user_id")
+    user = tag("user ", "user_id")
     want = early.select(
         "user_id",
         F.struct(
@@ -268,7 +268,7 @@ def declared_parameters(entries):
 
 def contexts(spark, folder):
     early, late = two_halves(spark, folder)
-    user = F.format_string("user %d", "user_id")
+    user = tag("user ", "user_id")
     want = early.select(
         "user_id",
         F.struct(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.catalog.common import EVENTS_SQL, events, pick, query, table
+from driftline.catalog.common import EVENTS_SQL, events, pick, query, table, tag
 from driftline.operators import dataflow
 from driftline.session import scratch_path
 from driftline.sources import generate, readers, sinks
@@ -71,7 +71,7 @@ def src_observed(spark, folder):
     k = F.col("k")
     entity = F.to_json(
         F.struct(
-            F.format_string("u%d", "user_id").alias("id"),
+            tag("u", "user_id").alias("id"),
             F.when(k % 4 != 0, F.struct(k.alias("version"))).alias("revision"),
             F.when(k % 10 != 2, F.struct(F.col("event_type").alias("runStatus"))).alias("status"),
             F.struct(F.lit("n").alias("name"), F.lit("VALID").alias("validationStatus")).alias("component"),
@@ -120,7 +120,7 @@ def src_generate(spark, folder):
     nation = F.col("c_nationkey")
     generators = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("generator_id"),
-        F.format_string("%d sec", 1 + nation % 5).alias("period"),
+        F.concat((1 + nation % 5).cast("string"), F.lit(" sec")).alias("period"),
         (1 + nation % 3).alias("batch_size"),
         F.lit("1 KB").alias("record_size"),
     )

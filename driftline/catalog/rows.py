@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.catalog.common import EVENTS_SQL, events, joined, pick, query, table
+from driftline.catalog.common import EVENTS_SQL, events, joined, pick, query, table, tag
 from driftline.functions import scalars as X
 from driftline.operators import validation as V
 from driftline.operators.extensions import flow_limits
@@ -123,7 +123,7 @@ def failures(spark, folder):
         "event_id",
         F.when(k == 0, 404).when(k == 1, 500).alias("status"),
         F.when(k == 2, "404 Not Found").when(k == 3, "409 Conflict").alias("status_text"),
-        F.format_string("cannot reach processor %d", "event_id").alias("text"),
+        tag("cannot reach processor ", "event_id").alias("text"),
     )
 
 
@@ -212,7 +212,7 @@ def build_connection(spark, folder):
         end("l_partkey", "PROCESSOR").alias("source"),
         end("l_suppkey", "FUNNEL").alias("destination"),
         F.array("l_returnflag", "l_linestatus").alias("selectedRelationships"),
-        F.format_string("line %d", "l_linenumber").alias("name"),
+        tag("line ", "l_linenumber").alias("name"),
         F.lit("0 sec").alias("flowFileExpiration"),
         F.col("l_quantity").cast("bigint").alias("backPressureObjectThreshold"),
         F.lit("1 GB").alias("backPressureDataSizeThreshold"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,6 +87,16 @@ def auth_mode(has_token: Column, has_user: Column, has_password: Column) -> Colu
     )
 
 
+# Why a credential document cannot be used.
+CONFIG_UNREADABLE = "cannot parse credentials"
+CONFIG_WITHOUT_URL = "url is required"
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out a single time per row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def config_problem(credentials: Column) -> Column:
     """Why a credential document cannot be used, null where it can.
 
@@ -92,30 +104,36 @@ def config_problem(credentials: Column) -> Column:
     Field names match in any case, the exact one first.
     """
     parsed = F.try_parse_json(credentials)
-    shape = F.schema_of_variant(parsed)
-    entries = F.try_variant_get(parsed, "$", "map<string,variant>")
-
-    def field(name: str) -> Column:
-        alike = F.map_filter(entries, lambda k, v: F.lower(k) == name.lower())
-        return F.coalesce(
-            F.try_element_at(entries, F.lit(name)),
-            F.try_element_at(F.map_values(alike), F.lit(1)),
-        )
-
-    usable = F.startswith(shape, F.lit("OBJECT")) | (shape == "VOID")
-    for name, wanted in (
+    kinds = (
         ("url", "STRING"),
         ("username", "STRING"),
         ("password", "STRING"),
         ("token", "STRING"),
         ("tlsSkipVerify", "BOOLEAN"),
-    ):
-        found = F.schema_of_variant(field(name))
-        usable &= found.isNull() | found.isin(wanted, "VOID")
-    url = F.coalesce(F.try_variant_get(field("url"), "$", "string"), F.lit(""))
-    return F.when(
-        parsed.isNull() | ~F.coalesce(usable, F.lit(False)), F.lit("cannot parse credentials")
-    ).when(url == "", F.lit("url is required"))
+    )
+
+    def problem(fields: Column) -> Column:
+        def value(name: str) -> Column:
+            alike = F.map_filter(fields, lambda k, v: F.lower(k) == name.lower())
+            return F.coalesce(
+                F.try_element_at(fields, F.lit(name)),
+                F.try_element_at(F.map_values(alike), F.lit(1)),
+            )
+
+        odd = F.lit(False)
+        for name, wanted in kinds:
+            shape = F.schema_of_variant(value(name))
+            odd |= ~F.coalesce(shape.isin(wanted, "VOID"), F.lit(True))
+        url = F.coalesce(F.try_variant_get(value("url"), "$", "string"), F.lit(""))
+        return F.when(fields.isNull() | odd, F.lit(CONFIG_UNREADABLE)).when(
+            url == "", F.lit(CONFIG_WITHOUT_URL)
+        )
+
+    # JSON null is a document without fields; anything else but an object has no map.
+    read = F.try_variant_get(parsed, "$", "map<string,variant>")
+    nothing = F.create_map().cast("map<string,variant>")
+    is_null = F.schema_of_variant(parsed) == "VOID"
+    return once(F.when(is_null, nothing).otherwise(read), problem)
 
 
 def config_valid(credentials: Column) -> Column:

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 def latest_revision(log: DataFrame, key: list[str], revision: str, tiebreak: list[str]) -> DataFrame:
     """The newest record of each key; equal revisions are settled by ``tiebreak``.
 
-    An aggregate, not a window: each task first reduces its own rows to one per key,
-    so a key with a third of all rows costs no more than any other.
+    Asking a window for its first row lets Spark keep one row per key inside each task
+    before the shuffle, so a key with a third of all rows costs no more than any other.
+    Streams have no such window and use the aggregate that means the same.
     """
-    rest = [c for c in log.columns if c not in key]
-    newest = F.max_by(F.struct(*rest), F.struct(revision, *tiebreak)).alias("_newest")
-    return log.groupBy(*key).agg(newest).select(*key, "_newest.*").select(*log.columns)
+    if log.isStreaming:
+        rest = [c for c in log.columns if c not in key]
+        newest = F.max_by(F.struct(*rest), F.struct(revision, *tiebreak)).alias("_newest")
+        return log.groupBy(*key).agg(newest).select(*key, "_newest.*").select(*log.columns)
+    newest_first = [F.col(c).desc() for c in (revision, *tiebreak)]
+    place = F.row_number().over(W.partitionBy(*key).orderBy(*newest_first))
+    return log.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def with_previous(

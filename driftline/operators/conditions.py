@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.changes import latest_revision
+
 # The condition an action sets, as (type, status, reason).
 ACTION_CONDITIONS = {
     "CREATE": ("Ready", "False", "Creating"),
@@ -16,15 +18,7 @@ ACTION_CONDITIONS = {
 
 def conditions_by_type(conditions: DataFrame, key: list[str], tiebreak: list[str]) -> DataFrame:
     """At most one condition per resource and type; the latest transition wins."""
-    group = [*key, "type"]
-    rest = [c for c in conditions.columns if c not in group]
-    newest = F.max_by(F.struct(*rest), F.struct("lastTransitionTime", *tiebreak))
-    return (
-        conditions.groupBy(*group)
-        .agg(newest.alias("_newest"))
-        .select(*group, "_newest.*")
-        .select(*conditions.columns)
-    )
+    return latest_revision(conditions, [*key, "type"], "lastTransitionTime", tiebreak)
 
 
 def condition_status(conditions: Column, kind: str) -> Column:

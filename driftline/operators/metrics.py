@@ -13,10 +13,10 @@ def group_counts(components: DataFrame, parent: str, state: str) -> DataFrame:
 
     ``state`` holds ``running``, ``stopped``, ``disabled`` or ``invalid`` in any case.
     """
-    value = F.lower(F.col(state))
-    return components.groupBy(parent).agg(
+    folded = components.select(parent, F.lower(F.col(state)).alias("_state"))
+    return folded.groupBy(parent).agg(
         *[
-            F.count_if(value == name).cast("int").alias(f"{name}Count")
+            F.count_if(F.col("_state") == name).cast("int").alias(f"{name}Count")
             for name in ("running", "stopped", "disabled", "invalid")
         ]
     )

@@ -53,16 +53,22 @@ class Steps(NamedTuple):
     delete: Column
 
 
-def _steps(*parts: str | tuple[Column, tuple[str, ...]]) -> Column:
-    """Concatenate fixed steps and steps under a condition (null is false)."""
-    lists = []
-    for part in parts:
-        names = (part,) if isinstance(part, str) else part[1]
-        listed = F.array(*[F.lit(n) for n in names])
-        if not isinstance(part, str):
-            listed = F.when(part[0], listed).otherwise(F.array().cast("array<string>"))
-        lists.append(listed)
-    return F.concat(*lists)
+def _steps(*parts: str | tuple[Column, tuple[str, ...]], done: tuple[str, ...] = ()) -> Column:
+    """Fixed steps and steps under a condition (null is false), in order.
+
+    A choice between whole lists, which Spark folds to constants, instead of lists put
+    together row by row.
+    """
+    if not parts:
+        listed = F.array(*[F.lit(n) for n in done])
+        return listed if done else listed.cast("array<string>")
+    head, *rest = parts
+    if isinstance(head, str):
+        return _steps(*rest, done=(*done, head))
+    condition, names = head
+    return F.when(condition, _steps(*rest, done=(*done, *names))).otherwise(
+        _steps(*rest, done=done)
+    )
 
 
 def _count(c: Column) -> Column:

@@ -95,14 +95,8 @@ _SHAPES = {
 }
 
 
-def typed_violations(document: Column, types: dict[str, str]) -> Column:
-    """Fields of a JSON document whose values do not have their declared type.
-
-    ``types`` maps JSON paths (``config.labelIndex``) to ``string``, ``integer``,
-    ``number``, ``boolean`` or ``string_map``. Absent fields and JSON nulls pass; text
-    that is no JSON at all is one violation of its own.
-    """
-    parsed = F.try_parse_json(document)
+def typed_violations(parsed: Column, types: dict[str, str]) -> Column:
+    """Fields of a parsed JSON document whose values do not have their declared type."""
     found = []
     for path, wanted in types.items():
         value = F.try_variant_get(parsed, f"$.{path}", "variant")
@@ -118,11 +112,21 @@ def typed_violations(document: Column, types: dict[str, str]) -> Column:
         else:
             bad = stated & ~_SHAPES[wanted](shape)
         found.append(C.reason(bad, f"{path} not {wanted}"))
-    return F.when(
-        document.isNotNull() & parsed.isNull(), F.array(F.lit("not JSON"))
-    ).otherwise(F.concat(C.no_reasons(), *found))
+    return F.concat(C.no_reasons(), *found)
 
 
 def validate_typed(df: DataFrame, document: str, types: dict[str, str]) -> DataFrame:
-    """Add ``violations`` of a JSON text column against declared field types."""
-    return df.withColumn("violations", typed_violations(F.col(document), types))
+    """Add ``violations`` of a JSON text column against declared field types.
+
+    ``types`` maps JSON paths (``config.labelIndex``) to ``string``, ``integer``,
+    ``number``, ``boolean`` or ``string_map``. Absent fields and JSON nulls pass; text
+    that is no JSON at all is one violation of its own.
+    """
+    parsed = F.col("_parsed")
+    unreadable = F.col(document).isNotNull() & parsed.isNull()
+    found = F.when(unreadable, F.array(F.lit("not JSON"))).otherwise(typed_violations(parsed, types))
+    return (
+        df.withColumn("_parsed", F.try_parse_json(document))
+        .withColumn("violations", found)
+        .drop("_parsed")
+    )
