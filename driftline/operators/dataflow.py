@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as X
+from driftline.functions.unnest import unnest
 
 
 def route(records: DataFrame, edges: DataFrame) -> DataFrame:
@@ -140,9 +141,8 @@ def route_from(records: DataFrame, source: str, edges: tuple, ended: tuple = ())
         if start == source
     ]
     kept = [c for c in records.columns if c not in ("connection_id", "destination_id")]
-    return records.select(*kept, F.explode(F.array_compact(F.array(*taken))).alias("_edge")).select(
-        *kept, "_edge.*"
-    )
+    found = F.array_compact(F.array(*taken))
+    return unnest(records, kept, found, "_edge").select(*kept, "_edge.*")
 
 
 def hash_flow(records: DataFrame, content: str) -> DataFrame:

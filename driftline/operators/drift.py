@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import compare as C
+from driftline.functions.unnest import unnest
 from driftline.kinds import KINDS
 
 
@@ -62,7 +63,7 @@ def diff_named_rows(
             ),
         )
     )
-    entries = matched.select(owner, F.explode(per_entry).alias("reason"))
+    entries = unnest(matched, [owner], per_entry, "reason")
     sizes = (
         desired.select(owner, F.lit(1).alias("_n"))
         .unionByName(observed.select(owner, F.lit(-1).alias("_n")))

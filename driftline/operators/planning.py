@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as X
+from driftline.functions.unnest import unnest
 from driftline.operators.drift import drift
 
 POLICY_NAMES = {"CREATE": "Create", "UPDATE": "Update", "DELETE": "Delete"}
@@ -159,7 +160,7 @@ def plan_steps(
 
 def step_order(plan: DataFrame, key: list[str]) -> DataFrame:
     """One row per step with its position in the plan, counted from 0."""
-    return plan.select(*key, F.posexplode("steps").alias("position", "step"))
+    return unnest(plan, key, "steps", "step", "position")
 
 
 def classify_writes(current: DataFrame, batch: DataFrame, key: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftline import schemas as S
 from driftline.functions import scalars as X
+from driftline.functions.unnest import unnest
 
 
 def list_schema(kind: str) -> str:
@@ -34,7 +35,7 @@ def parse_lists(texts: DataFrame, column: str, kind: str) -> DataFrame:
 def list_items(lists: DataFrame) -> DataFrame:
     """One row per resource of each list, with its position in the list."""
     keep = [c for c in lists.columns if c != "items"]
-    return lists.select(*keep, F.posexplode("items").alias("position", "resource"))
+    return unnest(lists, keep, "items", "resource", "position")
 
 
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
