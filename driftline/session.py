@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="driftline-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
