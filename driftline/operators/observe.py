@@ -23,8 +23,10 @@ def _lookup(desired: DataFrame, found: DataFrame, key: str, row_id: str | None)
         return desired.join(found, key, "left")
     nameless = F.col(key).isNull() | (F.col(key).cast("string") == "")
     spread = F.when(nameless, F.pmod(F.hash(row_id), F.lit(NAMELESS_SPREAD))).otherwise(F.lit(0))
-    left = desired.withColumn("_spread", spread)
-    return left.join(found.withColumn("_spread", F.lit(0)), [key, "_spread"], "left").drop("_spread")
+    # One struct, because a constant column of its own would be optimised out of the join.
+    left = desired.withColumn("_at", F.struct(F.col(key).alias("key"), spread.alias("spread")))
+    right = found.withColumn("_at", F.struct(F.col(key).alias("key"), F.lit(0).alias("spread")))
+    return left.join(right.drop(key), "_at", "left").drop("_at")
 
 
 def observe(desired: DataFrame, observed: DataFrame, key: str, row_id: str | None = None) -> DataFrame:

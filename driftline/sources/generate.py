@@ -21,8 +21,10 @@ def generate_records(generators: DataFrame, duration_ms: int) -> DataFrame:
 
     ``generators`` has ``generator_id``, ``period``, ``batch_size`` and ``record_size``.
     Work is cut into chunks that are spread over the cluster before any record exists,
-    so one busy generator is shared by many tasks.
+    so one busy generator is shared by many tasks. The number of tasks is stated, since
+    the chunks alone look too small to keep apart.
     """
+    tasks = int(generators.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     period = X.duration_ms(F.col("period"))
     ticks = F.ceil(F.lit(duration_ms) / period)
     planned = generators.select(
@@ -34,7 +36,7 @@ def generate_records(generators: DataFrame, duration_ms: int) -> DataFrame:
     ).where("_total > 0")
     chunks = planned.withColumn(
         "_from", F.explode(F.sequence(F.lit(0), F.col("_total") - 1, F.lit(CHUNK)))
-    ).repartition("generator_id", "_from")
+    ).repartition(tasks, "generator_id", "_from")
     upto = F.least(F.col("_from") + CHUNK, F.col("_total")) - 1
     return chunks.withColumn("sequence", F.explode(F.sequence("_from", upto))).select(
         "generator_id",
