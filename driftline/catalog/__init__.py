@@ -4,6 +4,7 @@ from driftline.catalog import (  # noqa: F401
     changes,
     configs,
     content,
+    fleet,
     flows,
     groups,
     links,

@@ -26,31 +26,39 @@ def resolve_config(resources: DataFrame, scoped: DataFrame, cluster: DataFrame)
     ``namespace``, ``name``, ``config``; ``cluster`` has ``name``, ``config``. The kind
     of the reference decides which table is asked.
     """
-    kind, name = F.col("providerConfigRef.kind"), F.col("providerConfigRef.name")
+    kind = F.col("providerConfigRef.kind")
     is_scoped, is_cluster = kind == S.SCOPED_CONFIG_KIND, kind == S.DEFAULT_CONFIG_KIND
-    asked = resources.withColumn("_scoped", F.when(is_scoped, name)).withColumn(
-        "_cluster", F.when(is_cluster, name)
+    # Both scopes as one table, so that one join asks it and no row waits with a null key.
+    known = scoped.select(
+        F.lit(S.SCOPED_CONFIG_KIND).alias("_kind"), F.col("namespace").alias("_ns"),
+        F.col("name").alias("_name"), F.struct("config").alias("_found"),
+    ).unionByName(
+        cluster.select(
+            F.lit(S.DEFAULT_CONFIG_KIND).alias("_kind"), F.lit("").alias("_ns"),
+            F.col("name").alias("_name"), F.struct("config").alias("_found"),
+        )
     )
-    by_scope = scoped.select(
-        F.col("namespace").alias("_ns"), F.col("name").alias("_sn"),
-        F.struct("config").alias("_from_scope"),
+    asked = resources.withColumns(
+        {
+            "_kind": kind,
+            "_ns": F.when(is_scoped, F.col("namespace")).otherwise(""),
+            "_name": F.col("providerConfigRef.name"),
+        }
     )
-    by_name = cluster.select(F.col("name").alias("_cn"), F.struct("config").alias("_from_cluster"))
-    joined = asked.join(
-        by_scope, (F.col("_scoped") == F.col("_sn")) & (F.col("namespace") == F.col("_ns")), "left"
-    ).join(by_name, F.col("_cluster") == F.col("_cn"), "left")
+    lost = F.col("_found").isNull()
     error = (
-        F.when(is_scoped & F.col("_from_scope").isNull(), F.lit(MISSING_SCOPED))
-        .when(is_cluster & F.col("_from_cluster").isNull(), F.lit(MISSING_CLUSTER))
+        F.when(is_scoped & lost, F.lit(MISSING_SCOPED))
+        .when(is_cluster & lost, F.lit(MISSING_CLUSTER))
         .when(
             ~F.coalesce(is_scoped | is_cluster, F.lit(False)),
             F.concat(F.lit(UNSUPPORTED_KIND), F.coalesce(kind, F.lit(""))),
         )
     )
     return (
-        joined.withColumn("config", F.coalesce("_from_scope.config", "_from_cluster.config"))
+        asked.join(known, ["_kind", "_ns", "_name"], "left")
+        .withColumn("config", F.col("_found.config"))
         .withColumn("config_error", error)
-        .drop("_scoped", "_cluster", "_ns", "_sn", "_cn", "_from_scope", "_from_cluster")
+        .drop("_kind", "_ns", "_name", "_found")
     )
 
 

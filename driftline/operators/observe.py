@@ -17,19 +17,24 @@ def _named(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key) != "") if is_text else df.where(F.col(key).isNotNull())
 
 
-def _lookup(desired: DataFrame, found: DataFrame, key: str, row_id: str | None) -> DataFrame:
-    """Left join on the key; see ``observe`` for ``row_id``."""
+def _lookup(
+    desired: DataFrame, found: DataFrame, key: str, row_id: str | None, how: str
+) -> DataFrame:
+    """Join on the key; see ``observe`` for ``row_id``."""
     if row_id is None:
-        return desired.join(found, key, "left")
+        return desired.join(found, key, how)
     nameless = F.col(key).isNull() | (F.col(key).cast("string") == "")
     spread = F.when(nameless, F.pmod(F.hash(row_id), F.lit(NAMELESS_SPREAD))).otherwise(F.lit(0))
     # One struct, because a constant column of its own would be optimised out of the join.
     left = desired.withColumn("_at", F.struct(F.col(key).alias("key"), spread.alias("spread")))
     right = found.withColumn("_at", F.struct(F.col(key).alias("key"), F.lit(0).alias("spread")))
-    return left.join(right.drop(key), "_at", "left").drop("_at")
+    return left.join(right.drop(key), "_at", how).drop("_at")
 
 
-def observe(desired: DataFrame, observed: DataFrame, key: str, row_id: str | None = None) -> DataFrame:
+def observe(
+    desired: DataFrame, observed: DataFrame, key: str, row_id: str | None = None,
+    only_fetched: bool = False,
+) -> DataFrame:
     """``desired`` left-joined to ``observed`` on the external name ``key``.
 
     ``observed`` holds one row per key with an ``observed`` struct and, where a
@@ -40,9 +45,10 @@ def observe(desired: DataFrame, observed: DataFrame, key: str, row_id: str | Non
     The join is on the plain key, so tables bucketed by it meet without a shuffle.
     Rows without a name match nothing. Where they may be many, name a column in
     ``row_id``: they are then spread by it instead of meeting in one task.
+    ``only_fetched`` keeps just the rows that ``observed`` speaks about.
     """
     found = _named(observed, key).withColumn("_fetched", F.lit(True))
-    joined = _lookup(desired, found, key, row_id)
+    joined = _lookup(desired, found, key, row_id, "inner" if only_fetched else "left")
     fetched = F.coalesce("_fetched", F.lit(False))
     if "error_text" not in observed.columns:
         return (

@@ -57,8 +57,7 @@ def stream_observe(
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        polled = desired.join(batch.select(key).distinct(), key, "left_semi")
-        _replace(reconcile(polled, batch, kind, key), out, epoch)
+        _replace(reconcile(desired, batch, kind, key, only_fetched=True), out, epoch)
 
     return _start(source, out, trigger, "append", write)
 
@@ -123,7 +122,7 @@ def stream_state_metrics(
 
 
 def stream_changelog(source: DataFrame, out: str, trigger: dict = POLL) -> StreamingQuery:
-    """Append change records as they come."""
+    """Append change records, or the lines of ``log_lines``, as they come."""
     return (
         source.writeStream.outputMode("append")
         .format("parquet")

@@ -48,6 +48,18 @@ def test_previous_value_with_a_hot_key(spark, skewed, width):
         (s, p) for _, s, state, p in walk(skewed) if p is not None and p != state}
 
 
+def test_even_slices_of_a_crowded_history(spark, skewed):
+    crowded = [(k, t if t < 100 else 100 + t % 7, seq, s) for k, t, seq, s in skewed]
+    df = spark.createDataFrame(crowded, LOG).repartition(7)
+    slices = changes.even_slices(df, "t", 16)
+    assert 3 < df.select(slices).distinct().count() <= 16
+    # A slice never falls as the order rises.
+    spans = df.groupBy(slices.alias("s")).agg(F.min("t").alias("low"), F.max("t").alias("high")).orderBy("s").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(spans, spans[1:], strict=False))
+    kept = changes.desired_changed(df, ["key"], ["t", "seq"], ["state"], slices).collect()
+    assert sorted(r["seq"] for r in kept) == sorted(s for _, s, state, p in walk(crowded) if p != state)
+
+
 def test_null_states_are_values(spark):
     rows = [("k", 1, 1, None), ("k", 2, 2, None), ("k", 3, 3, "a"), ("k", 4, 4, None)]
     df = spark.createDataFrame(rows, LOG)

@@ -81,6 +81,29 @@ def test_metrics_drop_what_is_too_late(spark, tmp_path):
     assert got == {("2024-01-01 00:00:00", 2, 2, 0), ("2024-01-01 00:00:30", 1, 1, 0)}
 
 
+def test_flow_operators_on_a_stream(spark, feed, tmp_path):
+    """Routing, termination and hashing are the same functions on a stream."""
+    from driftline.operators import dataflow
+
+    path, write, events = feed
+    write(0)
+    edges = spark.createDataFrame([("c1", 1, "x", ["view"]), ("c2", 1, "y", ["view", "click"])],
+                                  "connection_id string, source_id bigint, destination_id string, selectedRelationships array<string>")
+    ended = spark.createDataFrame([(1, ["click"])], "source_id bigint, autoTerminatedRelationships array<string>")
+
+    def flow(records):
+        named = records.withColumnsRenamed({"user_id": "source_id", "event_type": "relationship"})
+        kept = dataflow.auto_terminate(named, ended)
+        routed = dataflow.route(kept, edges).drop("relationship")
+        return dataflow.log_lines(dataflow.hash_content(routed, "destination_id"), "info")
+
+    out = str(tmp_path / "out")
+    streams.stream_changelog(flow(source(spark, path)), out, ALL).awaitTermination()
+    got = spark.read.parquet(f"{out}/rows").select("event_id", "connection_id", "attributes").collect()
+    want = flow(spark.read.parquet(path)).select("event_id", "connection_id", "attributes").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_generator_stream(spark, tmp_path):
     df = generate.generate_stream(spark, batch_size=3, record_bytes=4)
     assert df.isStreaming
