@@ -7,10 +7,17 @@ value of a field (``''`` or ``0``), and an absent map key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out a single time per row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def no_reasons() -> Column:
     return F.array().cast("array<string>")
 
@@ -70,16 +77,19 @@ def named_list_diff(desired: Column, observed: Column, prefix: str = "parameter"
             lambda e: e["parameter"].isNotNull()
             & (F.coalesce(e["parameter"]["name"], F.lit("")) == name),
         )
-        last = F.try_element_at(same_name, F.lit(-1))["parameter"]
-        value, text = last["value"], last["description"]
         asked_text = F.coalesce(want["description"], F.lit(""))
         label = lambda suffix: F.concat(F.lit(f"{prefix}{suffix}:"), name)
-        return F.when(list_size(same_name) == 0, F.array(label(""))).otherwise(
-            F.concat(
-                reason(want["value"] != value, label("_value")),
-                reason((asked_text != "") & (asked_text != text), label("_description")),
+
+        def against(last: Column) -> Column:
+            value, text = last["parameter"]["value"], last["parameter"]["description"]
+            return F.when(last.isNull(), F.array(label(""))).otherwise(
+                F.concat(
+                    reason(want["value"] != value, label("_value")),
+                    reason((asked_text != "") & (asked_text != text), label("_description")),
+                )
             )
-        )
+
+        return once(F.try_element_at(same_name, F.lit(-1)), against)
 
     return F.concat(
         reason(list_size(desired) != list_size(observed), f"{prefix}_count"),

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftline import schemas as S
+from driftline.functions.compare import once
 
 # The state a kind falls back to when none is declared.
 DEFAULT_STATES = {
@@ -92,11 +91,6 @@ CONFIG_UNREADABLE = "cannot parse credentials"
 CONFIG_WITHOUT_URL = "url is required"
 
 
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value worked out a single time per row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def config_problem(credentials: Column) -> Column:
     """Why a credential document cannot be used, null where it can.
 
