@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.catalog.common import EVENTS_SQL, events, pick, query, table, tag
+from driftline.catalog.common import EVENTS_SQL, events, query, table, tag
 from driftline.operators import dataflow
 from driftline.session import scratch_path
 from driftline.sources import generate, readers, sinks

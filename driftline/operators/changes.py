@@ -23,30 +23,52 @@ def latest_revision(log: DataFrame, key: list[str], revision: str, tiebreak: lis
     return log.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
+#: A key with fewer rows is left whole: one task sorts that many in seconds.
+HOT_ROWS = 1_000_000
+#: At most so many keys are cut into slices, which bounds what is broadcast. A key beyond
+#: them holds less than a hundred-thousandth of all rows.
+HOT_KEYS = 100_000
+
+
+def hot_keys(log: DataFrame, key: list[str]) -> DataFrame:
+    """The keys with the most rows: at most ``HOT_KEYS``, none below ``HOT_ROWS``."""
+    counted = log.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    return counted.where(F.col("_rows") >= HOT_ROWS).orderBy(F.desc("_rows")).limit(HOT_KEYS)
+
+
 def with_previous(
     log: DataFrame, key: list[str], order: list[str], values: list[str], slice_by: Column
 ) -> DataFrame:
     """Add ``_prev``, the struct of ``values`` in the row before, null for the first.
 
-    ``slice_by`` must never fall as ``order`` rises (the hour of a timestamp, a range
-    of a number). A key is worked on in slices, each its own group, so a hot key
-    spreads over as many tasks as it has slices; the row before the first row of a
-    slice is then found among the last rows of the slices, a far smaller table. Both
-    halves of the union read one and the same shuffle.
+    A key is one group of a window, but for the hot ones. Those are worked on in
+    slices, each its own group, so that they spread over as many tasks as they have
+    slices. ``slice_by`` must never fall as ``order`` rises: the hour of a timestamp, a
+    range of a number, ``even_slices``. The row before the first row of a slice is the
+    last row of a slice before; those come from an aggregate over the hot keys alone and
+    are merged in on the partitioning and the sort that the window has made already.
     """
+    hot = hot_keys(log, key).select(
+        *[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(key)], F.lit(True).alias("_is_hot")
+    )
+    is_key = [F.col(k) == F.col(f"_hot_{i}") for i, k in enumerate(key)]
+    marked = log.join(F.broadcast(hot), is_key, "left").withColumn(
+        "_slice", F.when(F.col("_is_hot"), slice_by)
+    )
     state = F.struct(*values)
     in_slice = W.partitionBy(*key, "_slice").orderBy(*order)
-    whole = in_slice.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    staged = (
-        log.withColumn("_slice", slice_by)
-        .withColumn("_prev", F.lag(state).over(in_slice))
-        .withColumn("_tail", F.last(state).over(whole))
-    )
-    is_head = F.col("_prev").isNull()
-    heads = staged.where(is_head).withColumn(
-        "_prev", F.lag("_tail").over(W.partitionBy(*key).orderBy("_slice"))
+    staged = marked.select(*log.columns, "_slice").withColumn("_prev", F.lag(state).over(in_slice))
+
+    last = F.max_by(state, F.struct(*order)).alias("_last")
+    ends = marked.where("_is_hot").groupBy(*key, "_slice").agg(last)
+    before = F.lag("_last").over(W.partitionBy(*key).orderBy("_slice"))
+    carry = ends.withColumn("_carry", before).select(
+        *[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(key)],
+        F.col("_slice").alias("_hot_slice"),
+        "_carry",
     )
-    return heads.unionByName(staged.where(~is_head)).drop("_slice", "_tail")
+    joined = staged.join(carry, [*is_key, F.col("_slice") == F.col("_hot_slice")], "left")
+    return joined.select(*log.columns, F.coalesce("_prev", "_carry").alias("_prev"))
 
 
 def even_slices(log: DataFrame, column: str, slices: int) -> Column:

@@ -37,8 +37,9 @@ def walk(rows):
         last[key] = state
 
 
-@pytest.mark.parametrize("width", [1, 50, 100000])
-def test_previous_value_with_a_hot_key(spark, skewed, width):
+@pytest.mark.parametrize("width, hot_rows", [(1, 1), (50, 1), (50, 500), (100000, 1), (50, 10**6)])
+def test_previous_value_with_a_hot_key(spark, skewed, monkeypatch, width, hot_rows):
+    monkeypatch.setattr(changes, "HOT_ROWS", hot_rows)
     df = spark.createDataFrame(skewed, LOG).repartition(7)
     slices = F.floor(F.col("t") / width)
     kept = changes.desired_changed(df, ["key"], ["t", "seq"], ["state"], slices).collect()
@@ -48,7 +49,24 @@ def test_previous_value_with_a_hot_key(spark, skewed, width):
         (s, p) for _, s, state, p in walk(skewed) if p is not None and p != state}
 
 
-def test_even_slices_of_a_crowded_history(spark, skewed):
+def test_only_the_hottest_keys_are_sliced(spark, skewed, monkeypatch):
+    df = spark.createDataFrame(skewed, LOG)
+    monkeypatch.setattr(changes, "HOT_ROWS", 50)
+    monkeypatch.setattr(changes, "HOT_KEYS", 2)
+    assert "hot" in {r["key"] for r in changes.hot_keys(df, ["key"]).collect()}
+    kept = changes.desired_changed(df, ["key"], ["t", "seq"], ["state"], F.floor(F.col("t") / 9)).collect()
+    assert sorted(r["seq"] for r in kept) == sorted(s for _, s, state, p in walk(skewed) if p != state)
+
+
+def test_null_keys_are_a_key(spark, monkeypatch):
+    monkeypatch.setattr(changes, "HOT_ROWS", 1)
+    rows = [(None, t, t, "ab"[t // 3 % 2]) for t in range(30)]
+    kept = changes.desired_changed(spark.createDataFrame(rows, LOG), ["key"], ["t", "seq"], ["state"], F.floor(F.col("t") / 4))
+    assert sorted(r["seq"] for r in kept.collect()) == list(range(0, 30, 3))
+
+
+def test_even_slices_of_a_crowded_history(spark, skewed, monkeypatch):
+    monkeypatch.setattr(changes, "HOT_ROWS", 1)
     crowded = [(k, t if t < 100 else 100 + t % 7, seq, s) for k, t, seq, s in skewed]
     df = spark.createDataFrame(crowded, LOG).repartition(7)
     slices = changes.even_slices(df, "t", 16)
@@ -60,7 +78,8 @@ def test_even_slices_of_a_crowded_history(spark, skewed):
     assert sorted(r["seq"] for r in kept) == sorted(s for _, s, state, p in walk(crowded) if p != state)
 
 
-def test_null_states_are_values(spark):
+def test_null_states_are_values(spark, monkeypatch):
+    monkeypatch.setattr(changes, "HOT_ROWS", 1)
     rows = [("k", 1, 1, None), ("k", 2, 2, None), ("k", 3, 3, "a"), ("k", 4, 4, None)]
     df = spark.createDataFrame(rows, LOG)
     kept = changes.desired_changed(df, ["key"], ["t", "seq"], ["state"], F.col("t")).collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.operators import changes
 from driftline.operators.changes import desired_changed, latest_revision
 from driftline.sources import generate
 from driftline.streaming import streams
@@ -38,7 +39,9 @@ def source(spark, path):
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_desired_changed_over_restarts(spark, feed, tmp_path):
+@pytest.mark.parametrize("hot_rows", [1, 10**6])
+def test_desired_changed_over_restarts(spark, feed, tmp_path, monkeypatch, hot_rows):
+    monkeypatch.setattr(changes, "HOT_ROWS", hot_rows)
     path, write, events = feed
     out = str(tmp_path / "out")
     for part in range(3):
