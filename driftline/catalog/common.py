@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.operators.changes import latest_revision
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -175,19 +177,17 @@ def user_properties(spark: SparkSession, folder: str, early: bool, null_every: i
     half = F.col("ts") < F.lit(HALF).cast("timestamp_ntz")
     when = F.struct("ts", "event_id")
     value = F.when(F.col("k") % null_every != 0, F.floor(F.col("k") / 25).cast("string"))
-    newest = (
+    log = (
         events(spark, folder)
         .where(half if early else ~half)
         .withColumn(
             "prop",
             F.concat("event_type", F.lit(":"), F.floor(F.hour("ts") / 6).cast("string")),
         )
-        .groupBy("user_id", "prop")
-        .agg(
-            F.max(F.struct("ts", "event_id", "event_type", "k")).alias("last"),
-        )
-        .select("user_id", "prop", "last.*")
-        .select("user_id", "prop", "event_type", value.alias("val"), when.alias("at"))
+        .select("user_id", "prop", "ts", "event_id", "event_type", "k")
+    )
+    newest = latest_revision(log, ["user_id", "prop"], "ts", ["event_id"]).select(
+        "user_id", "prop", "event_type", value.alias("val"), when.alias("at")
     )
     return newest.groupBy("user_id").agg(
         F.map_from_entries(F.collect_list(F.struct("prop", "val"))).alias("props"),
