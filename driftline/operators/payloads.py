@@ -14,10 +14,6 @@ def _fields(record: Column, *names: str) -> list[Column]:
     return [record[n].alias(n) for n in names]
 
 
-def _triple(end: Column) -> Column:
-    return F.struct(*_fields(end, "id", "type", "groupId"))
-
-
 def _none_if_empty(items: Column, built: Column) -> Column:
     return F.when(list_size(items) > 0, built)
 
@@ -39,16 +35,14 @@ def _processor(d: Column) -> list[Column]:
 
 
 def _connection(d: Column) -> list[Column]:
-    bends = F.transform(d["bends"], lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y")))
+    # Ends and bends have the fields of the wire record already.
     return [
         *_fields(
-            d, "parentGroupId", "selectedRelationships", "name", "flowFileExpiration",
+            d, "source", "destination", "parentGroupId", "selectedRelationships", "name", "flowFileExpiration",
             "backPressureObjectThreshold", "backPressureDataSizeThreshold", "loadBalanceStrategy",
             "loadBalancePartitionAttribute", "loadBalanceCompression", "labelIndex", "prioritizers",
         ),
-        _triple(d["source"]).alias("source"),
-        _triple(d["destination"]).alias("destination"),
-        _none_if_empty(d["bends"], bends).alias("bends"),
+        _none_if_empty(d["bends"], d["bends"]).alias("bends"),
     ]
 
 

@@ -107,30 +107,21 @@ HASH_TEMPLATE = Template(
 
 def _with_outputs(
     claims: DataFrame, template: Template, outputs: DataFrame, claim: str
-) -> DataFrame:
-    """Claims with ``_known``, the map of every path the template reads or reports."""
-    paths = tuple(dict.fromkeys((*template.paths, *template.outputs)))
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Claims with one column per path the template reads or reports, and those columns.
+
+    A value that a resource reported comes before one that the claim states.
+    """
+    names = {
+        path: f"_known_{i}"
+        for i, path in enumerate(dict.fromkeys((*template.paths, *template.outputs)))
+    }
     reported = outputs.groupBy(claim).agg(
-        *[
-            F.max(F.when(F.col("path") == path, F.col("value"))).alias(f"_out{i}")
-            for i, path in enumerate(paths)
-        ]
+        *[F.max(F.when(F.col("path") == p, F.col("value"))).alias(n) for p, n in names.items()]
     )
-    known = F.create_map(
-        *[
-            part
-            for i, path in enumerate(paths)
-            for part in (
-                F.lit(path),
-                F.coalesce(F.col(f"_out{i}"), F.try_element_at("spec", F.lit(path))),
-            )
-        ]
-    )
-    return claims.join(reported, claim, "left").withColumn("_known", known)
-
-
-def _at(path: str) -> Column:
-    return F.try_element_at("_known", F.lit(path))
+    stated = {n: F.coalesce(n, F.try_element_at("spec", F.lit(p))) for p, n in names.items()}
+    known = claims.join(reported, claim, "left").withColumns(stated)
+    return known, {p: F.col(n) for p, n in names.items()}
 
 
 def _strings(items: list[Column]) -> Column:
@@ -146,13 +137,14 @@ def resolve_patches(
     ``claim``, ``path`` and ``value`` of what resources reported. An optional patch
     without a value leaves its field alone; a required one blocks the step.
     """
+    known, at = _with_outputs(claims, template, outputs, claim)
     steps = []
     for step in template.steps:
         fields = F.create_map(
-            *[c for p in step.patches for c in (F.lit(p.target), _at(p.source))]
+            *[c for p in step.patches for c in (F.lit(p.target), at[p.source])]
         )
         missing = [
-            F.when(_at(p.source).isNull(), F.lit(p.target)) for p in step.patches if p.required
+            F.when(at[p.source].isNull(), F.lit(p.target)) for p in step.patches if p.required
         ]
         steps.append(
             F.struct(
@@ -163,8 +155,7 @@ def resolve_patches(
             )
         )
     return (
-        _with_outputs(claims, template, outputs, claim)
-        .select(claim, F.explode(F.array(*steps)).alias("s"))
+        known.select(claim, F.explode(F.array(*steps)).alias("s"))
         .select(claim, "s.*")
         .withColumn("blocked", F.size("missing") > 0)
     )
@@ -178,6 +169,7 @@ def creation_rounds(
     A step waits for the steps whose outputs it requires and which have not reported
     yet. A step that needs a path nobody provides has no round.
     """
+    known, at = _with_outputs(claims, template, outputs, claim)
     makers = {s.output: s.name for s in template.steps if s.output}
     order = sorted(template.steps, key=lambda s: template.depths()[s.name])
     rounds: dict[str, Column] = {}
@@ -185,10 +177,11 @@ def creation_rounds(
         waits = []
         for path in {p.source for p in step.patches if p.required}:
             later = rounds[makers[path]] if path in makers else F.lit(None).cast("int")
-            waits.append(F.when(_at(path).isNotNull(), F.lit(0)).otherwise(later))
+            waits.append(F.when(at[path].isNotNull(), F.lit(0)).otherwise(later))
         stuck = F.lit(False)
         for wait in waits:
             stuck |= wait.isNull()
+        # greatest() wants two values at least.
         latest = F.greatest(F.lit(0), F.lit(0), *waits)
         rounds[step.name] = F.when(~stuck, latest + 1)
     rows = [
@@ -196,7 +189,6 @@ def creation_rounds(
         for s in template.steps
     ]
     return (
-        _with_outputs(claims, template, outputs, claim)
-        .select(claim, F.explode(F.array(*rows)).alias("s"))
+        known.select(claim, F.explode(F.array(*rows)).alias("s"))
         .select(claim, "s.*")
     )
