@@ -147,8 +147,9 @@ def test_nameless_rows_are_spread(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
-def test_skew_join_splits_a_hot_source(spark):
-    """The routing join, too large to broadcast, splits the partition of a hot source."""
+@pytest.fixture
+def large_joins(spark):
+    """Settings under which small test tables are too large to broadcast, and skewed."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -158,20 +159,54 @@ def test_skew_join_splits_a_hot_source(spark):
     }
     for k, v in settings.items():
         spark.conf.set(k, v)
-    try:
-        records = spark.range(0, 60000, 1, 8).select(
-            F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("source_id"),
-            F.lit("success").alias("relationship"), F.col("id").alias("record"))
-        edges = spark.range(60000).select(
-            F.col("id").alias("connection_id"), F.col("id").alias("source_id"), (F.col("id") + 1).alias("destination_id"),
-            F.array(F.lit("success"), F.lit("success")).alias("selectedRelationships"))
-        out = dataflow.route(records, edges)
-        rows = out.collect()
-        assert len(rows) == 60000 and len({r["record"] for r in rows}) == 60000
-        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k in settings:
-            spark.conf.unset(k)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def split(df):
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_source_is_split(spark, large_joins):
+    records = spark.range(0, 60000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("source_id"),
+        F.lit("success").alias("relationship"), F.col("id").alias("record"))
+    edges = spark.range(60000).select(
+        F.col("id").alias("connection_id"), F.col("id").alias("source_id"), (F.col("id") + 1).alias("destination_id"),
+        F.array(F.lit("success"), F.lit("success")).alias("selectedRelationships"))
+    out = dataflow.route(records, edges)
+    rows = out.collect()
+    assert len(rows) == 60000 and len({r["record"] for r in rows}) == 60000
+    assert split(out)
+
+
+def test_a_hot_name_is_split(spark, large_joins):
+    """Resources without a name, and resources that share one, in the lookup join."""
+    desired = spark.range(0, 60000, 1, 8).select(
+        "id", F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "n1").otherwise(F.concat(F.lit("n"), "id")).alias("name"))
+    observed = spark.range(60000).select(F.concat(F.lit("n"), "id").alias("name"), F.struct("id").alias("observed"))
+    out = observe(desired, observed, "name")
+    assert [out.collect().count(None), len(out.collect())] == [0, 60000]
+    assert split(out)
+    assert out.where("exists").count() == 40000
+
+
+def test_a_hot_config_is_split(spark, large_joins):
+    from driftline.operators.configs import resolve_config
+
+    n = F.col("id")
+    resources = spark.range(0, 60000, 1, 8).select(
+        # Shuffle sizes count after compression, so the rows must not all look alike.
+        n, F.sha2(n.cast("string"), 256).alias("uid"), F.lit("ns").alias("namespace"),
+        F.struct(F.when(n % 2 == 0, "ProviderConfig").otherwise("ClusterProviderConfig").alias("kind"),
+                 F.when(n % 2 == 0, "default").otherwise(F.concat(F.lit("c"), "id")).alias("name")).alias("providerConfigRef"))
+    scoped = spark.range(1).select(F.lit("ns").alias("namespace"), F.lit("default").alias("name"), F.lit("u").alias("config"))
+    cluster = spark.range(50000).select(F.concat(F.lit("c"), "id").alias("name"), F.lit("v").alias("config"))
+    out = resolve_config(resources, scoped, cluster)
+    assert len(out.collect()) == 60000
+    assert split(out)
+    assert out.where("config_error IS NOT NULL").count() == 5000
 
 
 def test_reasons_do_not_depend_on_layout(spark, folder):

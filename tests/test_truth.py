@@ -440,6 +440,18 @@ def test_kinds():
     assert KINDS["Processor"].default_state == "STOPPED" and KINDS["Connection"].default_state is None
 
 
+def test_a_new_kind_is_data(spark, monkeypatch):
+    from driftline import kinds
+
+    funnel = kinds.KindSpec(name="Funnel", checks=(kinds.always("name"), kinds.when_set("size", 0)), required=("name",))
+    monkeypatch.setitem(KINDS, "Funnel", funnel)
+    monkeypatch.setitem(planning.STEP_RULES, "Funnel", planning.simple_steps)
+    df = spark.sql("""SELECT true AS exists, named_struct('name', 'a', 'size', 2L) AS desired,
+                      named_struct('component', named_struct('name', 'b', 'size', 2L)) AS observed""")
+    row = planning.plan_steps(planning.plan_action(drift(df, "Funnel")), "Funnel").first()
+    assert (row["reasons"], row["action"], row["steps"]) == (["name"], "UPDATE", ["PUT"])
+
+
 def test_usage_type_of_cluster_configs(spark):
     """Q15: one usage type, also for configs of the cluster."""
     from driftline.operators.configs import usage_edges
