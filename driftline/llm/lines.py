@@ -20,7 +20,7 @@ SYMBOLS = "[#*$%&|<>]"
 #: A line fails if more than this share of its words carry a symbol, or end in '!!', or stand between bars.
 NOISY_WORDS = 0.3
 #: A document goes if less than this share of its words' characters is left.
-LEAST_LEFT = 0.6
+LEAST_LEFT = 0.35
 WINDOW = 5
 
 
