@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import exact, lines, mixing
+from driftline.llm import bpe, exact, lines, mixing, pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -86,3 +93,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
  n_lines, n_failed_lines, left_share, clean_text FROM f""")
 def op9_line_quality(spark, folder):
     return lines.clean_lines(table(spark, folder, "documents"))
+
+
+@query("op6_piece_counts")
+def op6_piece_counts(spark, folder):
+    return pieces.count_pieces(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+@query("op10_bpe")
+def op10_bpe(spark, folder):
+    coded = bpe.encode_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
