@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: An output batch is sent on when its values reach this size.
 BATCH_BYTES = 16 << 20
@@ -26,6 +29,25 @@ def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield data[start:]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the workers, once per application, so that they need not have it."""
+    context = spark.sparkContext
+    if getattr(context, "_driftline_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = os.path.dirname(package)
+    # addPyFile uploads the driver's copy; workers get it from the driver.
+    path = os.path.join(tempfile.mkdtemp(prefix="driftline-"), "driftline.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
+    context._driftline_shipped = True
+
+
 def rows_to_rows(
     df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterable[tuple]]]
 ) -> DataFrame:
@@ -36,6 +58,7 @@ def rows_to_rows(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
