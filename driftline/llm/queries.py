@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, exact, language, lines, mixing, pieces, simhash
+from driftline.llm import bpe, exact, language, lines, mixing, pieces, simhash, warc
+from driftline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,3 +117,14 @@ def op2_simhash(spark, folder):
 @query("op1_language_id")
 def op1_language_id(spark, folder):
     return language.identify_languages(table(spark, folder, "documents"))
+
+
+@query("op4_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload, strlen(payload) AS payload_bytes, array_to_string(list_transform(generate_series(0, 31),
+ lambda i: substr('{warc.BASE32}', (((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> first THEN first END AS refers_to FROM f""")
+def op4_warc(spark, folder):
+    return warc.archive_round_trip(table(spark, folder, "pages"), scratch_path(spark, "warc"))
