@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, exact, language, lines, mixing, pieces, simhash, warc
+from driftline.llm import bpe, exact, html, language, lines, mixing, pieces, simhash, warc
 from driftline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
  CASE WHEN page_id <> first THEN first END AS refers_to FROM f""")
 def op4_warc(spark, folder):
     return warc.archive_round_trip(table(spark, folder, "pages"), scratch_path(spark, "warc"))
+
+
+@query("op5_main_text")
+def op5_main_text(spark, folder):
+    return html.extract_text(table(spark, folder, "pages"))
