@@ -200,3 +200,21 @@ def predict_language(
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """predict_language with a model fitted to the same table's labelled rows."""
     return predict_language(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
+
+
+def keep_identified(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with ``least_score`` or more; all columns as they are. No shuffle."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        flags = np.zeros(SIZE, bool)
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                found = m.predict([grams(t.as_py() or "", m.table, flags) for t in part.column(at)])
+                yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, exact, html, language, lines, mixing, pieces, simhash, warc
+from driftline.llm import bpe, exact, html, language, lines, mixing, pieces, shards, simhash, warc
 from driftline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,13 @@ def op4_warc(spark, folder):
 @query("op5_main_text")
 def op5_main_text(spark, folder):
     return html.extract_text(table(spark, folder, "pages"))
+
+
+@query("op8_training_order")
+def op8_training_order(spark, folder):
+    import public_tokenizers
+
+    out = scratch_path(spark, "shards")
+    shards.write_shards(table(spark, folder, "documents"), out, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = shards.read_shards(spark, out)
+    return rows.select("slot", "doc_id", "seq", "n_ids", F.sha2("ids", 256).alias("ids_sha256"))
