@@ -179,15 +179,23 @@ def normalise_archives(spark: SparkSession, source: str, folder: str) -> None:
         if rows:
             yield sent()
 
-    files = spark.read.format("binaryFile").load(source).select("content")
+    files = archive_files(spark, source).select("content")
     made = files.mapInArrow(run, "kind string, seq bigint, value binary").sortWithinPartitions("kind", "seq")
     out = made.select("kind", F.col("value").cast("string").alias("value"))
     out.write.partitionBy("kind").option("lineSep", "\0").option("compression", "none").text(folder)
 
 
+def archive_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The archives in ``folder``: all its files, or those beside an index."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.where("kind = 'warc'") if "kind" in files.columns else files
+
+
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """part, offset, length, id, type, digest of each record of normalised archives."""
-    lines = spark.read.option("lineSep", "\0").schema("value string").text(f"{folder}/kind=index")
+    lines = spark.read.option("lineSep", "\0").text(folder)
+    # Without a record there is no folder for either kind.
+    lines = lines.where("kind = 'index'") if "kind" in lines.columns else lines
     schema = "part int, offset bigint, length bigint, id string, type string, digest string"
     return lines.select(F.from_json("value", schema).alias("e")).select("e.*")
 
@@ -228,7 +236,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                         [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "record_type", "payload_bytes", "payload_digest", "refers_to"]
                     )
 
-    files = spark.read.format("binaryFile").load(folder).select("content")
+    files = archive_files(spark, folder).select("content")
     return files.mapInArrow(run, "id string, record_type string, payload_bytes bigint, payload_digest string, refers_to string")
 
 
@@ -239,7 +247,7 @@ def archive_round_trip(pages: DataFrame, folder: str, id_col: str = "page_id", *
     kind = pages.schema[id_col].dataType
     write_archives(pages, f"{folder}/stream", id_col, **options)
     normalise_archives(spark, f"{folder}/stream", f"{folder}/members")
-    rows = read_archives(spark, f"{folder}/members/kind=warc")
+    rows = read_archives(spark, f"{folder}/members")
     return rows.select(
         F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
     )
