@@ -88,9 +88,11 @@ def exact_duplicates(
     written = scratch_path(spark, "recipes")
     lists.write.parquet(written)
     lists = spark.read.parquet(written)
-    groups = lists.groupBy("recipe").agg(
-        F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")
-    )
+    # Written, so that the join has plain shuffles on both sides and Spark can split a hot recipe.
+    grouped = lists.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
+    written = scratch_path(spark, "recipe-groups")
+    grouped.write.parquet(written)
+    groups = spark.read.parquet(written)
     return lists.join(groups, "recipe").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"),
