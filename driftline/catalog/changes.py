@@ -41,7 +41,7 @@ SELECT user_id, event_id, event_type FROM
 WHERE p IS NULL OR p <> event_type""")
 def desired_changed(spark, folder):
     log = state_log(spark, folder)
-    kept = changes.desired_changed(log, ["user_id"], ["ts", "event_id"], ["event_type"], by_hour())
+    kept = changes.desired_changed(log, ["user_id"], ["ts", "event_id"], ["event_type"])
     return kept.select("user_id", "event_id", "event_type")
 
 
@@ -82,8 +82,7 @@ SELECT user_id, event_id, type, status, p AS previous_status FROM
 WHERE p IS NOT NULL AND p <> status""")
 def condition_transitions(spark, folder):
     moved = changes.condition_transitions(
-        condition_log(spark, folder), ["user_id", "type"], ["lastTransitionTime", "event_id"], "status",
-        F.date_trunc("hour", F.col("lastTransitionTime")),
+        condition_log(spark, folder), ["user_id", "type"], ["lastTransitionTime", "event_id"], "status"
     )
     return moved.select("user_id", "event_id", "type", "status", "previous_status")
 

@@ -296,7 +296,7 @@ def inherited_params(spark, folder):
     ).unionByName(
         n.select(nation.alias("context_id"), tag("r", "n_regionkey").alias("parent_id"))
     )
-    return extensions.inherited_params(own, links.withColumn("position", F.lit(0)), levels=3)
+    return extensions.inherited_params(own, links.withColumn("position", F.lit(0)))
 
 
 @query("group_tree", """

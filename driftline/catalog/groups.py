@@ -192,8 +192,9 @@ def step_order(spark, folder):
 
 @query("set_condition", f"""
 WITH {DELETE_SQL}
-SELECT key, 'Ready' AS type, CASE WHEN action IN ('CREATE', 'DELETE') THEN 'False' ELSE 'True' END AS status,
-       CASE action WHEN 'CREATE' THEN 'Creating' WHEN 'DELETE' THEN 'Deleting' ELSE 'Available' END AS reason
+SELECT key, CASE WHEN present OR action = 'CREATE' THEN 'Ready' END AS type,
+       CASE WHEN action = 'CREATE' OR (present AND action = 'DELETE') THEN 'False' WHEN present THEN 'True' END AS status,
+       CASE WHEN action = 'CREATE' THEN 'Creating' WHEN present AND action = 'DELETE' THEN 'Deleting' WHEN present THEN 'Available' END AS reason
 FROM st""")
 def set_condition(spark, folder):
     return conditions.set_condition(deleting(spark, folder)).select("key", "condition.*")
@@ -264,7 +265,7 @@ SELECT key, named AND n IS NOT NULL AND failure IS NULL AS exists,
        CASE WHEN named AND failure IS NULL THEN n END AS n FROM f""")
 def observe(spark, folder):
     return O.observe(
-        named_groups(spark, folder), observed_lookups(spark, folder), "external_name", "key"
+        named_groups(spark, folder), observed_lookups(spark, folder), "external_name", "key", unique=True
     ).select("key", "exists", "error", "observed.n")
 
 
@@ -318,12 +319,12 @@ SELECT 'ProcessGroup' AS kind, action, any_value(n) AS n, CAST(0 AS BIGINT) AS f
        max(age) FILTER (i = ceil(n * 0.5)) AS age_p50, max(age) FILTER (i = ceil(n * 0.95)) AS age_p95
 FROM ag GROUP BY action""")
 def aged_metrics(spark, folder):
-    """Actions with the percentiles of their age, exact for up to a million of each."""
+    """Actions with the exact percentiles of their age."""
     as_of = F.lit("2002-01-01 00:00:00").cast("timestamp_ntz")
     aged = changelog(spark, folder).withColumn(
         "age_seconds", F.timestamp_diff("SECOND", F.col("ts"), as_of)
     )
-    return metrics.reconcile_metrics(aged, accuracy=1_000_000)
+    return metrics.reconcile_metrics(aged)
 
 
 @query("state_conflicts", """
@@ -364,5 +365,5 @@ def reconcile_named_groups(spark, folder):
             F.lit(0).alias("stoppedCount"),
         ),
     )
-    plan = reconcile(named_groups(spark, folder), lookups, "ProcessGroup", "external_name", "key")
+    plan = reconcile(named_groups(spark, folder), lookups, "ProcessGroup", "external_name", "key", unique=True)
     return plan.select("key", "action", joined(F.col("steps")).alias("steps"))

@@ -65,8 +65,8 @@ def auto_terminate(spark, folder):
 
 @query("expire", """
 SELECT event_id, user_id AS connection_id FROM events LEFT JOIN customer ON c_custkey = user_id
-WHERE CASE c_nationkey % 4 WHEN 1 THEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) < 864000001000
-           WHEN 2 THEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) < 129600001000 ELSE true END""")
+WHERE CASE c_nationkey % 4 WHEN 1 THEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) <= 864000000000
+           WHEN 2 THEN epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) <= 129600000000 ELSE true END""")
 def expire(spark, folder):
     limits = {0: "0 sec", 1: "10 days", 2: "36 hours", 3: ""}
     edges = table(spark, folder, "customer").select(

@@ -68,32 +68,57 @@ def named_list_diff(desired: Column, observed: Column, prefix: str = "parameter"
     The sizes must match (entries without a body count), every desired name must
     exist, and value and description differ only where both sides state them. Of
     several observed entries with one name the last counts. A null name reads as ``''``.
+
+    Both lists are sorted by name as one, where the observed entry that counts stands right
+    before the desired one, so that long lists take n log n. Only a name that the desired side
+    repeats looks further back.
     """
+    text = lambda c: F.coalesce(c, F.lit(""))
 
-    def entry_reasons(want: Column) -> Column:
-        name = F.coalesce(want["name"], F.lit(""))
-        same_name = F.filter(
-            observed,
-            lambda e: e["parameter"].isNotNull()
-            & (F.coalesce(e["parameter"]["name"], F.lit("")) == name),
+    def entry(name: Column, side: int, at: Column, value: Column, about: Column) -> Column:
+        return F.struct(
+            text(name).alias("name"), F.lit(side).alias("side"), at.alias("at"),
+            value.cast("string").alias("value"), about.cast("string").alias("about"),
         )
-        asked_text = F.coalesce(want["description"], F.lit(""))
-        label = lambda suffix: F.concat(F.lit(f"{prefix}{suffix}:"), name)
 
-        def against(last: Column) -> Column:
-            value, text = last["parameter"]["value"], last["parameter"]["description"]
-            return F.when(last.isNull(), F.array(label(""))).otherwise(
-                F.concat(
-                    reason(want["value"] != value, label("_value")),
-                    reason((asked_text != "") & (asked_text != text), label("_description")),
-                )
-            )
+    wanted = F.transform(desired, lambda d, i: entry(d["name"], 1, i, d["value"], d["description"]))
+    have = F.filter(
+        F.transform(observed, lambda o, i: F.when(
+            o["parameter"].isNotNull(),
+            entry(o["parameter"]["name"], 0, i, o["parameter"]["value"], o["parameter"]["description"]),
+        )),
+        lambda e: e.isNotNull(),
+    )
+    nobody = F.filter(wanted, lambda e: F.lit(False))
+
+    def found(entries: Column) -> Column:
+        def reasons(want: Column, j: Column) -> Column:
+            label = lambda suffix: F.concat(F.lit(f"{prefix}{suffix}:"), want["name"])
+
+            def against(before: Column) -> Column:
+                last = F.when(
+                    (before["side"] == 1) & (before["name"] == want["name"]),
+                    F.try_element_at(F.filter(entries, lambda e: (e["side"] == 0) & (e["name"] == want["name"])), F.lit(-1)),
+                ).otherwise(before)
+
+                def compared(last: Column) -> Column:
+                    absent = last.isNull() | (last["name"] != want["name"])
+                    return F.when(absent, F.array(label(""))).otherwise(F.concat(
+                        reason(want["value"] != last["value"], label("_value")),
+                        reason((text(want["about"]) != "") & (text(want["about"]) != last["about"]), label("_description")),
+                    ))
+
+                return once(last, compared)
+
+            return F.struct(want["side"].alias("side"), want["at"].alias("at"), once(F.get(entries, j - 1), against).alias("why"))
 
-        return once(F.try_element_at(same_name, F.lit(-1)), against)
+        listed = F.filter(F.transform(entries, reasons), lambda r: r["side"] == 1)
+        return F.flatten(F.transform(F.array_sort(listed), lambda r: r["why"]))
 
+    entries = F.array_sort(F.concat(F.coalesce(have, nobody), F.coalesce(wanted, nobody)))
     return F.concat(
         reason(list_size(desired) != list_size(observed), f"{prefix}_count"),
-        F.coalesce(F.flatten(F.transform(desired, entry_reasons)), no_reasons()),
+        F.coalesce(once(entries, found), no_reasons()),
     )
 
 

@@ -172,30 +172,36 @@ def int_text(value: Column) -> Column:
 
 
 # Unit names of the duration and size texts.
-DURATION_UNITS_MS = {
-    "ns|nano|nanos|nanosecond|nanoseconds": 0.000001,
-    "ms|milli|millis|millisecond|milliseconds": 1.0,
-    "s|sec|secs|second|seconds": 1000.0,
-    "m|min|mins|minute|minutes": 60000.0,
-    "h|hr|hrs|hour|hours": 3600000.0,
-    "d|day|days": 86400000.0,
-    "w|wk|wks|week|weeks": 604800000.0,
+DURATION_UNITS_NS = {
+    "ns|nano|nanos|nanosecond|nanoseconds": 1,
+    "us|micro|micros|microsecond|microseconds": 1_000,
+    "ms|milli|millis|millisecond|milliseconds": 1_000_000,
+    "s|sec|secs|second|seconds": 1_000_000_000,
+    "m|min|mins|minute|minutes": 60_000_000_000,
+    "h|hr|hrs|hour|hours": 3_600_000_000_000,
+    "d|day|days": 86_400_000_000_000,
+    "w|wk|wks|week|weeks": 604_800_000_000_000,
 }
 SIZE_UNITS = {"B": 0, "KB": 1, "MB": 2, "GB": 3, "TB": 4}
 
 
-def duration_ms(text: Column) -> Column:
-    """``"30 sec"`` as milliseconds; null for cron and other texts. An extension:
-    drift compares these fields as text."""
+def duration_ns(text: Column) -> Column:
+    """``"30 sec"`` as nanoseconds; null for cron and other texts and unknown units. An
+    extension: drift compares these fields as text."""
     pattern = r"^\s*(\d+(?:\.\d+)?)\s*([A-Za-z]+)\s*$"
     amount = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double")
     unit = F.lower(F.regexp_extract(text, pattern, 2))
     factor = F.lit(None).cast("double")
-    for names, ms in DURATION_UNITS_MS.items():
-        factor = F.when(unit.isin(*names.split("|")), F.lit(ms)).otherwise(factor)
+    for names, ns in DURATION_UNITS_NS.items():
+        factor = F.when(unit.isin(*names.split("|")), F.lit(float(ns))).otherwise(factor)
     return F.round(amount * factor).cast("bigint")
 
 
+def duration_ms(text: Column) -> Column:
+    """``duration_ns`` in whole milliseconds, rounded."""
+    return F.round(duration_ns(text) / 1_000_000).cast("bigint")
+
+
 def size_bytes(text: Column) -> Column:
     """``"1 GB"`` as bytes, null for other texts. An extension, as ``duration_ms``."""
     pattern = r"^\s*(\d+(?:\.\d+)?)\s*([KMGTkmgt]?[Bb])\s*$"

@@ -23,61 +23,59 @@ def latest_revision(log: DataFrame, key: list[str], revision: str, tiebreak: lis
     return log.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-#: A key with fewer rows is left whole: one task sorts that many in seconds.
-HOT_ROWS = 1_000_000
-#: At most so many keys are cut into slices, which bounds what is broadcast. A key beyond
-#: them holds less than a hundred-thousandth of all rows.
-HOT_KEYS = 100_000
-
-
-def hot_keys(log: DataFrame, key: list[str]) -> DataFrame:
-    """The keys with the most rows: at most ``HOT_KEYS``, none below ``HOT_ROWS``."""
-    counted = log.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    return counted.where(F.col("_rows") >= HOT_ROWS).orderBy(F.desc("_rows")).limit(HOT_KEYS)
+#: Slices that ``even_slices`` makes at most; a choice among them is worked out per row.
+MOST_SLICES = 512
 
 
 def with_previous(
-    log: DataFrame, key: list[str], order: list[str], values: list[str], slice_by: Column
+    log: DataFrame, key: list[str], order: list[str], values: list[str], slice_by: Column | None = None
 ) -> DataFrame:
     """Add ``_prev``, the struct of ``values`` in the row before, null for the first.
 
-    A key is one group of a window, but for the hot ones. Those are worked on in
-    slices, each its own group, so that they spread over as many tasks as they have
-    slices. ``slice_by`` must never fall as ``order`` rises: the hour of a timestamp, a
-    range of a number, ``even_slices``. The row before the first row of a slice is the
-    last row of a slice before; those come from an aggregate over the hot keys alone and
-    are merged in on the partitioning and the sort that the window has made already.
+    Every key, null included, is worked on in slices, each a group of its own, so that a hot
+    one spreads over as many tasks as it has slices. ``slice_by`` must never fall as
+    ``order`` rises; by default it is ``even_slices`` of the first order column. The row
+    before the first of a slice is the last of a slice before: first and last rows, few as
+    they are, meet once more by key. Both passes read one shuffle of the log.
     """
-    hot = hot_keys(log, key).select(
-        *[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(key)], F.lit(True).alias("_is_hot")
-    )
-    is_key = [F.col(k) == F.col(f"_hot_{i}") for i, k in enumerate(key)]
-    marked = log.join(F.broadcast(hot), is_key, "left").withColumn(
-        "_slice", F.when(F.col("_is_hot"), slice_by)
-    )
+    cut = even_slices(log, order[0]) if slice_by is None else slice_by
     state = F.struct(*values)
-    in_slice = W.partitionBy(*key, "_slice").orderBy(*order)
-    staged = marked.select(*log.columns, "_slice").withColumn("_prev", F.lag(state).over(in_slice))
-
-    last = F.max_by(state, F.struct(*order)).alias("_last")
-    ends = marked.where("_is_hot").groupBy(*key, "_slice").agg(last)
-    before = F.lag("_last").over(W.partitionBy(*key).orderBy("_slice"))
-    carry = ends.withColumn("_carry", before).select(
-        *[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(key)],
-        F.col("_slice").alias("_hot_slice"),
-        "_carry",
+    here = W.partitionBy(*key, "_slice").orderBy(*order)
+    staged = log.withColumn("_slice", cut).withColumns(
+        {
+            "_prev": F.lag(state).over(here),
+            "_first": F.lag(F.lit(True)).over(here).isNull(),
+            "_last": F.lead(F.lit(True)).over(here).isNull(),
+        }
+    )
+    across = W.partitionBy(*key).orderBy("_slice", *order)
+    ends = staged.where("_first OR _last").withColumn("_prev", F.lag(state).over(across))
+    return (
+        staged.where("NOT _first")
+        .select(*log.columns, "_prev")
+        .unionByName(ends.where("_first").select(*log.columns, "_prev"))
     )
-    joined = staged.join(carry, [*is_key, F.col("_slice") == F.col("_hot_slice")], "left")
-    return joined.select(*log.columns, F.coalesce("_prev", "_carry").alias("_prev"))
 
 
-def even_slices(log: DataFrame, column: str, slices: int) -> Column:
+def even_slices(log: DataFrame, column: str, slices: int | None = None) -> Column:
     """A ``slice_by`` for ``with_previous`` with about as many rows in each slice.
 
-    For histories that crowd into a few hours, where the hour would not split a hot key.
-    Takes one pass over the column; only the slice bounds come back.
+    Takes one pass over the column, of which only the slice bounds come back; they follow
+    the rows, so a key whose rows crowd into an hour is cut inside that hour. Equal values
+    stay together. A column that is neither a number nor a time gives one slice.
     """
-    number = F.col(column).cast("double")
+    kind = dict(log.dtypes)[column]
+    if kind == "timestamp_ntz":
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        number = F.timestamp_diff("MICROSECOND", epoch, F.col(column)).cast("double")
+    elif kind in ("timestamp", "date"):
+        number = F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        number = F.col(column).cast("double")
+    else:
+        return F.lit(0)
+    if slices is None:
+        slices = min(MOST_SLICES, int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / slices for i in range(1, slices)]
     bounds = sorted(set(log.select(number.alias("x")).approxQuantile("x", shares, 0.1 / slices)))
     return F.lit(0) if not bounds else F.coalesce(_bucket(number, bounds), F.lit(-1))
@@ -98,7 +96,7 @@ def _bucket(number: Column, bounds: list[float]) -> Column:
 
 
 def desired_changed(
-    log: DataFrame, key: list[str], order: list[str], fields: list[str], slice_by: Column
+    log: DataFrame, key: list[str], order: list[str], fields: list[str], slice_by: Column | None = None
 ) -> DataFrame:
     """Events whose desired fields differ from those of the event before of that key.
 
@@ -110,7 +108,7 @@ def desired_changed(
 
 
 def condition_transitions(
-    log: DataFrame, key: list[str], order: list[str], status: str, slice_by: Column
+    log: DataFrame, key: list[str], order: list[str], status: str, slice_by: Column | None = None
 ) -> DataFrame:
     """Rows at which the status of a condition changes, with the status before.
 

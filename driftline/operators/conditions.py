@@ -29,14 +29,17 @@ def condition_status(conditions: Column, kind: str) -> Column:
 def set_condition(df: DataFrame, action: str = "action") -> DataFrame:
     """Add ``condition`` (type, status, reason) for the action of each row.
 
-    Rows with an error keep no condition: observing failed before any was set.
+    ``exists`` says whether the resource was found. What was found is available; what was
+    not gets a condition only from its creation, so none where that is forbidden or
+    where a deletion is through. Rows with an error keep no condition either: observing failed before any was set.
     """
     value = F.lit(None).cast("struct<type:string,status:string,reason:string>")
     for name, (kind, status, why) in ACTION_CONDITIONS.items():
         stated = F.struct(
             F.lit(kind).alias("type"), F.lit(status).alias("status"), F.lit(why).alias("reason")
         )
-        value = F.when(F.col(action) == name, stated).otherwise(value)
+        sets = F.col(action) == name if name == "CREATE" else F.col("exists") & (F.col(action) == name)
+        value = F.when(sets, stated).otherwise(value)
     return df.withColumn("condition", value)
 
 

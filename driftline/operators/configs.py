@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline import schemas as S
+from driftline.operators.changes import latest_revision
 
 # Messages of a failed config lookup.
 MISSING_SCOPED = "cannot get ProviderConfig"
@@ -62,19 +63,24 @@ def resolve_config(resources: DataFrame, scoped: DataFrame, cluster: DataFrame)
     )
 
 
-def usage_edges(resources: DataFrame) -> DataFrame:
+def usage_edges(resources: DataFrame, newest: str | None = None) -> DataFrame:
     """One usage record per resource: the config it refers to, found or not.
 
     ``resources`` has ``apiVersion``, ``kind``, ``name``, ``namespace``, ``uid`` and
     ``providerConfigRef``. Every usage is of the namespaced usage type, also of a
-    cluster config.
+    cluster config. A resource is told by its uid, without one by type, kind, namespace and name. Of
+    several rows the greatest by the column ``newest`` counts, then the greatest reference.
     """
-    return resources.select(
-        "namespace",
+    name = F.struct("apiVersion", "kind", "namespace", "name")
+    rows = resources.select(
+        F.struct("uid", F.when(F.col("uid").isNull(), name).alias("name")).alias("_who"),
+        (F.lit(0) if newest is None else F.col(newest)).alias("_newest"),
         "providerConfigRef",
+        "namespace",
         F.struct("apiVersion", "kind", "name", "uid").alias("resourceRef"),
-        "uid",
-    ).dropDuplicates(["uid"]).drop("uid")
+    )
+    ties = ["providerConfigRef", "namespace", "resourceRef"]
+    return latest_revision(rows, ["_who"], "_newest", ties).select("namespace", "providerConfigRef", "resourceRef")
 
 
 def config_users(configs: DataFrame, usages: DataFrame) -> DataFrame:

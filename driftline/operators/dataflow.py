@@ -41,19 +41,27 @@ def expire(records: DataFrame, edges: DataFrame, as_of: Column, entered: str = "
     """Drop records that waited in their connection longer than its expiration at ``as_of``.
 
     ``edges`` has ``connection_id`` and ``flowFileExpiration``. ``"0 sec"``, an empty
-    text and none at all mean never; so does a connection that is not listed.
+    text and none at all mean never; so does a connection that is not listed. Limits are
+    taken in nanoseconds, ages in the microseconds that a timestamp has; texts that are no duration
+    are listed by ``unreadable_limits``.
     """
     limits = edges.select(
-        "connection_id", X.duration_ms(F.col("flowFileExpiration")).alias("_limit_ms")
-    ).where("_limit_ms > 0")
-    age_ms = F.timestamp_diff("MILLISECOND", F.col(entered), as_of)
+        "connection_id", X.duration_ns(F.col("flowFileExpiration")).alias("_limit_ns")
+    ).where("_limit_ns > 0")
+    age_us = F.timestamp_diff("MICROSECOND", F.col(entered), as_of)
     return (
         records.join(limits, "connection_id", "left")
-        .where(F.col("_limit_ms").isNull() | (age_ms <= F.col("_limit_ms")))
-        .drop("_limit_ms")
+        .where(F.col("_limit_ns").isNull() | (age_us.cast("decimal(38,0)") * 1000 <= F.col("_limit_ns")))
+        .drop("_limit_ns")
     )
 
 
+def unreadable_limits(edges: DataFrame) -> DataFrame:
+    """Connections whose expiration states something that is no duration, so that it never applies."""
+    text = F.coalesce("flowFileExpiration", F.lit(""))
+    return edges.where((F.trim(text) != "") & X.duration_ns(text).isNull()).select("connection_id", "flowFileExpiration")
+
+
 def back_pressure(queue: DataFrame, edges: DataFrame) -> DataFrame:
     """Per connection: queued objects and bytes and whether a threshold is reached.
 

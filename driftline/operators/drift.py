@@ -41,8 +41,11 @@ def diff_named_rows(
 
     Both sides have ``owner``, ``name``, ``value``, ``description`` and ``position``;
     ``has_body`` on the observed side is false for an entry without a body. Joined on
-    (owner, name), so an owner with very many entries spreads over all tasks.
+    (owner, name), so an owner with very many entries spreads over all tasks. A null name
+    reads as ``''``; owners that only the observed side has are not compared.
     """
+    name = F.coalesce("name", F.lit(""))
+    desired, observed = desired.withColumn("name", name), observed.withColumn("name", name)
     last = (
         observed.where("has_body")
         .groupBy(owner, "name")
@@ -68,9 +71,9 @@ def diff_named_rows(
         desired.select(owner, F.lit(1).alias("_n"))
         .unionByName(observed.select(owner, F.lit(-1).alias("_n")))
         .groupBy(owner)
-        .agg(F.sum("_n").alias("_n"))
+        .agg(F.sum("_n").alias("_n"), F.max(F.col("_n") > 0).alias("_declared"))
     )
-    counts = sizes.where("_n != 0").select(owner, F.lit("parameter_count").alias("reason"))
+    counts = sizes.where("_declared AND _n != 0").select(owner, F.lit("parameter_count").alias("reason"))
     return entries.unionByName(counts)
 
 

@@ -13,60 +13,56 @@ def dangling_edges(edges: DataFrame, vertices: DataFrame, groups: DataFrame) ->
     """Connections whose endpoint or group does not exist, one row per missing end.
 
     ``edges`` has ``connection_id``, ``source_id``, ``destination_id``, ``group_id``;
-    ``vertices`` has ``id``; ``groups`` has ``id``.
+    ``vertices`` has ``id``; ``groups`` has ``id``. One pass over the edges and one join:
+    groups and vertices are asked as one table.
     """
+    roles = (("source", "source_id", "vertex"), ("destination", "destination_id", "vertex"), ("group", "group_id", "group"))
     ends = edges.select(
         "connection_id",
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(role).alias("role"), F.col(c).cast("string").alias("id"))
-                    for role, c in (("source", "source_id"), ("destination", "destination_id"))
+                    F.struct(F.lit(role).alias("role"), F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id"))
+                    for role, c, kind in roles
                 ]
             )
         ).alias("end"),
-    ).select("connection_id", "end.role", "end.id")
-    lost = ends.join(vertices.select(F.col("id").cast("string")), "id", "left_anti")
-    homes = edges.select(
-        "connection_id", F.lit("group").alias("role"), F.col("group_id").cast("string").alias("id")
+    ).select("connection_id", "end.*")
+    known = vertices.select(F.lit("vertex").alias("kind"), F.col("id").cast("string")).unionByName(
+        groups.select(F.lit("group").alias("kind"), F.col("id").cast("string"))
     )
-    return lost.unionByName(
-        homes.join(groups.select(F.col("id").cast("string")), "id", "left_anti")
-    )
-
-
-#: Depth at which ``group_tree`` takes the parents for a cycle.
-DEEPEST = 100
+    return ends.join(known, ["kind", "id"], "left_anti").select("connection_id", "role", "id")
 
 
 def group_tree(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """Component counts of every group with those of all groups below it.
 
     ``groups`` has ``id`` and ``parent_id`` (null: a root); ``counts`` has ``id`` and
-    ``n``. Each round lifts the sums one level up: a join on the unique ``id`` and a sum
-    per parent that is taken inside each task first, so a parent of most groups is no
-    burden and no pairs of groups are formed. Rounds are written to the shared folder;
-    the next one reads them back instead of repeating all before it.
+    ``n``. After round k every group has the sum of what is less than 2^k levels below it
+    and a pointer 2^k levels up, so a tree takes as many rounds as its depth has binary digits.
+    Sums per parent are taken inside each task first, and pointers are followed by a join on the
+    unique ``id``. Rounds are written to the shared folder. A pointer
+    that is left when no tree of so many groups could have one is on a cycle.
     """
     spark = groups.sparkSession
     path = scratch_path(spark, "tree")
-    parents = groups.select("id", "parent_id")
-    own = groups.select("id").join(counts.select("id", "n"), "id", "left")
-    own.select("id", F.coalesce("n", F.lit(0)).alias("n")).write.parquet(f"{path}/level=0")
-    for depth in range(1, DEEPEST + 1):
-        below = spark.read.parquet(f"{path}/level={depth - 1}").where("n > 0")
-        lifted = (
-            below.join(parents.where(F.col("parent_id").isNotNull()), "id")
-            .groupBy(F.col("parent_id").alias("id"))
-            .agg(F.sum("n").alias("n"))
-        )
-        lifted.write.parquet(f"{path}/level={depth}")
-        if spark.read.parquet(f"{path}/level={depth}").isEmpty():
-            break
-    else:
-        raise ValueError(f"groups nest deeper than {DEEPEST} or form a cycle")
-    total = spark.read.parquet(path).groupBy("id").agg(F.sum("n").alias("n"))
-    return total.join(parents.select("id"), "id", "left_semi")
+    start = groups.select("id", F.col("parent_id").alias("up")).join(counts.select("id", "n"), "id", "left")
+    start.select("id", "up", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).write.parquet(f"{path}/0")
+    now = spark.read.parquet(f"{path}/0")
+    rounds, last = 0, now.count().bit_length() + 1
+    while not (going := now.where("up IS NOT NULL")).isEmpty():
+        if rounds == last:
+            found = ", ".join(sorted(str(r["id"]) for r in going.select("id").limit(3).collect()))
+            raise ValueError(f"groups are on or below a cycle, such as {found}")
+        rounds += 1
+        lifted = going.groupBy(F.col("up").alias("id")).agg(F.sum("n").alias("more"))
+        further = now.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        step = now.join(lifted, "id", "left").join(further, "up", "left")
+        step.select(
+            "id", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")
+        ).write.parquet(f"{path}/{rounds}")
+        now = spark.read.parquet(f"{path}/{rounds}")
+    return now.select("id", "n")
 
 
 def state_conflicts(groups: DataFrame, children: DataFrame) -> DataFrame:
@@ -82,33 +78,55 @@ def state_conflicts(groups: DataFrame, children: DataFrame) -> DataFrame:
     return children.join(wanted, "group_id").where(F.col("desired_state") != F.col("group_state"))
 
 
-def inherited_params(own: DataFrame, parents: DataFrame, levels: int) -> DataFrame:
+#: Levels that ``inherited_params`` works on between two written tables.
+LEVELS_AT_ONCE = 4
+
+
+def inherited_params(own: DataFrame, parents: DataFrame) -> DataFrame:
     """Effective parameters of each context: its own first, then inherited in order.
 
     ``own`` has ``context_id``, ``name``, ``value``; ``parents`` has ``context_id``,
     ``parent_id``, ``position``. The nearest definition on the earliest parent wins.
     Each level joins the few parent links with the parameters and keeps one row per
-    (context, name) at once.
+    (context, name) at once; it goes on until nothing changes, however deep that is. A
+    parameter that comes back to a context it has passed shows a cycle, which is an error.
     """
-    rank = F.array().cast("array<int>")
-    best = own.select("context_id", "name", "value", rank.alias("rank"))
-    for _ in range(levels - 1):
-        lifted = (
-            best.withColumnRenamed("context_id", "parent_id")
-            .join(parents, "parent_id")
-            .select(
-                "context_id", "name", "value",
-                F.concat(F.array(F.col("position").cast("int")), "rank").alias("rank"),
-            )
+    spark = own.sparkSession
+    mine = own.select(
+        "context_id", "name", "value", F.array().cast("array<int>").alias("rank"),
+        F.array("context_id").alias("path"), F.lit(False).alias("loop"),
+    )
+
+    def level(best: DataFrame) -> DataFrame:
+        lifted = best.withColumnRenamed("context_id", "parent_id").join(parents, "parent_id").select(
+            "context_id", "name", "value",
+            F.concat(F.array(F.col("position").cast("int")), "rank").alias("rank"),
+            F.concat(F.array("context_id"), "path").alias("path"),
+            (F.col("loop") | F.array_contains("path", F.col("context_id"))).alias("loop"),
         )
-        mine = own.select("context_id", "name", "value", rank.alias("rank"))
-        best = (
+        choice = F.min_by(F.struct("value", "rank", "path"), F.struct("rank", "value")).alias("_best")
+        return (
             mine.unionByName(lifted)
             .groupBy("context_id", "name")
-            .agg(F.min_by(F.struct("value", "rank"), F.struct("rank", "value")).alias("_best"))
-            .select("context_id", "name", "_best.*")
+            .agg(choice, F.max("loop").alias("loop"))
+            .select("context_id", "name", "_best.*", "loop")
         )
-    return best.select("context_id", "name", "value", (F.size("rank") > 0).alias("inherited"))
+
+    path, rounds = scratch_path(spark, "inherited"), 0
+    level(mine).write.parquet(f"{path}/0")
+    best = spark.read.parquet(f"{path}/0")
+    while True:
+        found = best.where("loop").select("path").first()
+        if found:
+            raise ValueError(f"contexts inherit from each other: {found['path']}")
+        rounds += 1
+        further = best
+        for _ in range(LEVELS_AT_ONCE):
+            further = level(further)
+        further.write.parquet(f"{path}/{rounds}")
+        before, best = best, spark.read.parquet(f"{path}/{rounds}")
+        if best.join(before, ["context_id", "name", "rank"], "left_anti").isEmpty() and best.where("loop").isEmpty():
+            return best.select("context_id", "name", "value", (F.size("rank") > 0).alias("inherited"))
 
 
 def latest_available(flows: DataFrame, versions: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.operators.conditions import condition_status
@@ -36,17 +37,41 @@ def state_metrics(resources: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def reconcile_metrics(
-    changelog: DataFrame, age: str = "age_seconds", accuracy: int = 10_000
-) -> DataFrame:
+#: Bits of an age that each pass of ``reconcile_metrics`` settles; so many bins per group at most.
+AGE_DIGITS = (42, 21, 0)
+SHARES = {"age_p50": 0.5, "age_p95": 0.95}
+
+
+def reconcile_metrics(changelog: DataFrame, age: str = "age_seconds") -> DataFrame:
     """Per kind and action: records, failures and the median and 95th percentile of age.
 
-    The percentiles are exact up to ``accuracy`` records per group; beyond it their
-    rank is off by one part in ``accuracy`` at most.
+    A percentile is the least age that this share of the records with an age does not
+    exceed. It is exact at every size: records are counted per whole age, and the place
+    of each percentile is narrowed down by the high, the middle and the low bits of the age.
     """
-    return changelog.groupBy("kind", "action").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("error").alias("failed"),
-        F.percentile_approx(age, 0.5, accuracy).alias("age_p50"),
-        F.percentile_approx(age, 0.95, accuracy).alias("age_p95"),
+    kept = changelog.select("kind", "action", F.col(age).cast("bigint").alias("_age"), F.col("error").isNotNull().alias("_bad"))
+    counted = kept.groupBy("kind", "action", "_age").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_bad").alias("_failed"))
+    group = F.struct("kind", "action")
+    ages = counted.where("_age IS NOT NULL").select(group.alias("_group"), "_age", "_n")
+    share = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("share")) for c, p in SHARES.items()])).alias("_of")
+    places = (
+        ages.groupBy("_group").agg(F.sum("_n").alias("_all"))
+        .select("_group", "_all", share)
+        .select("_group", F.col("_of.column").alias("_column"), F.ceil(F.col("_all") * F.col("_of.share")).alias("_place"), F.lit(0).cast("bigint").alias("_bin"))
     )
+    above = 63
+    for bits in AGE_DIGITS:
+        bins = ages.select("_group", F.shiftright("_age", bits).alias("_next"), "_n").groupBy("_group", "_next").agg(F.sum("_n").alias("_n"))
+        inside = bins.join(places, "_group") if above == 63 else bins.withColumn(
+            "_bin", F.shiftright("_next", above - bits)
+        ).join(places, ["_group", "_bin"])
+        running = W.partitionBy("_group", "_column").orderBy("_next")
+        placed = inside.withColumn("_upto", F.sum("_n").over(running.rowsBetween(W.unboundedPreceding, 0)))
+        hit = (F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_n") < F.col("_place"))
+        places = placed.where(hit).select(
+            "_group", "_column", (F.col("_place") - F.col("_upto") + F.col("_n")).alias("_place"), F.col("_next").alias("_bin")
+        )
+        above = bits
+    wide = places.groupBy("_group").agg(*[F.max(F.when(F.col("_column") == c, F.col("_bin"))).alias(c) for c in SHARES])
+    totals = counted.groupBy(group.alias("_group")).agg(F.sum("_n").alias("n"), F.sum("_failed").alias("failed"))
+    return totals.join(wide, "_group", "left").select("_group.*", "n", "failed", *SHARES)

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as X
-
-#: Tasks over which rows without an external name are spread in the join.
-NAMELESS_SPREAD = 1024
+from driftline.operators.changes import latest_revision
 
 
 def _named(df: DataFrame, key: str) -> DataFrame:
@@ -24,21 +22,30 @@ def _lookup(
     if row_id is None:
         return desired.join(found, key, how)
     nameless = F.col(key).isNull() | (F.col(key).cast("string") == "")
-    spread = F.when(nameless, F.pmod(F.hash(row_id), F.lit(NAMELESS_SPREAD))).otherwise(F.lit(0))
+    spread = F.when(nameless, F.xxhash64(row_id)).otherwise(F.lit(0).cast("bigint"))
     # One struct, because a constant column of its own would be optimised out of the join.
     left = desired.withColumn("_at", F.struct(F.col(key).alias("key"), spread.alias("spread")))
-    right = found.withColumn("_at", F.struct(F.col(key).alias("key"), F.lit(0).alias("spread")))
+    right = found.withColumn("_at", F.struct(F.col(key).alias("key"), F.lit(0).cast("bigint").alias("spread")))
     return left.join(right.drop(key), "_at", how).drop("_at")
 
 
+def newest_per_key(observed: DataFrame, key: str) -> DataFrame:
+    """One row per key: the highest revision, then the greatest text of the row."""
+    field = dict(observed.dtypes).get("observed", "")
+    revision = F.col("observed.revision.version") if "revision:struct<version:" in field else F.lit(None).cast("bigint")
+    marked = observed.withColumns({"_revision": revision, "_text": F.to_json(F.struct(*[c for c in observed.columns if c != key]))})
+    return latest_revision(marked, [key], "_revision", ["_text"]).drop("_revision", "_text")
+
+
 def observe(
     desired: DataFrame, observed: DataFrame, key: str, row_id: str | None = None,
-    only_fetched: bool = False,
+    only_fetched: bool = False, unique: bool = False,
 ) -> DataFrame:
     """``desired`` left-joined to ``observed`` on the external name ``key``.
 
-    ``observed`` holds one row per key with an ``observed`` struct and, where a
-    lookup failed, ``http_status`` and ``error_text`` instead. Adds ``exists`` and
+    ``observed`` has an ``observed`` struct and, where a lookup failed, ``http_status``
+    (outside 200 to 299) and ``error_text`` instead. Of several rows per key the one with the highest
+    revision counts, and of equal ones a fixed one; ``unique`` promises that there is one. Adds ``exists`` and
     ``error``: an empty name, no row and a not-found failure all mean that the
     resource does not exist; any other failure is an error.
 
@@ -47,7 +54,8 @@ def observe(
     ``row_id``: they are then spread by it instead of meeting in one task.
     ``only_fetched`` keeps just the rows that ``observed`` speaks about.
     """
-    found = _named(observed, key).withColumn("_fetched", F.lit(True))
+    found = _named(observed, key)
+    found = (found if unique else newest_per_key(found, key)).withColumn("_fetched", F.lit(True))
     joined = _lookup(desired, found, key, row_id, "inner" if only_fetched else "left")
     fetched = F.coalesce("_fetched", F.lit(False))
     if "error_text" not in observed.columns:
@@ -56,7 +64,8 @@ def observe(
             .withColumn("error", F.lit(None).cast("string"))
             .drop("_fetched")
         )
-    failed = F.col("error_text").isNotNull() | F.col("http_status").isNotNull()
+    status = F.col("http_status")
+    failed = F.col("error_text").isNotNull() | (status.isNotNull() & ~status.between(200, 299))
     lost = X.classify_error(F.col("http_status"), F.col("error_text")) == X.NOT_FOUND
     return (
         joined.withColumn("exists", fetched & ~failed)
@@ -84,9 +93,11 @@ def flow_current(flows: DataFrame, info: DataFrame, prior: DataFrame, key: str)
     """Current version and staleness of each flow.
 
     ``info`` holds ``version`` (variant), ``state`` and ``failed``. A failed or absent
-    lookup keeps both prior values; a version that is no number keeps the prior one.
+    lookup, and an answer with neither version nor state, keep both prior values; a version
+    that is no number keeps the prior one.
     """
-    known = info.where(~F.col("failed")).select(
+    stated = F.col("version").isNotNull() | F.col("state").isNotNull()
+    known = info.where(~F.col("failed") & stated).select(
         key, "version", "state", F.lit(True).alias("_known")
     )
     joined = flows.join(known, key, "left").join(

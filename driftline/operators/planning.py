@@ -171,38 +171,32 @@ def classify_writes(current: DataFrame, batch: DataFrame, key: str) -> DataFrame
     writers of a batch saw the same state: of the writes that submit the current
     revision the first by ``seq`` is ``applied``, every other one is a ``conflict``. A put
     of revision 0 creates a record that does not exist; any other write to one that
-    does not exist is ``not_found``.
+    does not exist, and any write without a key, is ``not_found``.
 
-    The batch is reduced to one row per (key, submitted revision) before it meets
-    ``current``, and winners are matched on (key, seq). Keys that do not exist are few
-    and are joined by key, where a hot key is split by the adaptive skew join.
+    Writes meet ``current`` once, as the side that the adaptive skew join splits where a key is
+    hot; those that fit are reduced to the first of each key inside every task, and
+    winners are matched on (key, seq). Both uses of the first join read the same shuffles.
     """
     is_put = F.col("op") == "PUT" if "op" in batch.columns else F.lit(True)
-    firsts = batch.groupBy(key, "revision").agg(
-        F.min("seq").alias("seq"), F.min(F.when(is_put, F.col("seq"))).alias("_put")
+    named = F.col(key).isNotNull()
+    known = current.where(named).select(key, F.col("revision").alias("_current"), F.lit(True).alias("_known"))
+    creates = named & (F.col("revision") == 0) & is_put
+    seen = batch.join(known, key, "left").withColumn(
+        "_fits", F.coalesce(F.when(F.col("_known"), F.col("_current") == F.col("revision")).otherwise(creates), F.lit(False))
     )
-    seen = firsts.join(current.select(key, F.col("revision").alias("_current")), key, "left")
-    unknown = F.col("_current").isNull()
-    creates = unknown & (F.col("revision") == 0) & F.col("_put").isNotNull()
-    winners = seen.where(creates | (F.col("_current") == F.col("revision"))).select(
-        key,
-        F.when(creates, F.col("_put")).otherwise(F.col("seq")).alias("seq"),
-        F.when(creates, F.lit(0)).otherwise(F.col("revision") + 1).cast("bigint").alias("_new"),
-    )
-    absent = seen.where(unknown).select(key).distinct().withColumn("_absent", F.lit(True))
-    applied = F.col("_new").isNotNull()
-    may_create = is_put & (F.col("revision") == 0)
+    winners = seen.where("_fits").groupBy(key).agg(F.min("seq").alias("seq")).withColumn("_won", F.lit(True))
+    new = F.when(F.col("_known"), F.col("_current") + 1).otherwise(0).cast("bigint")
+    may_create = F.coalesce(creates, F.lit(False))
     return (
-        batch.join(winners, [key, "seq"], "left")
-        .join(absent, key, "left")
+        seen.join(winners, [key, "seq"], "left")
         .withColumn(
             "outcome",
-            F.when(applied, "applied")
-            .when(F.col("_absent") & ~may_create, "not_found")
+            F.when(F.col("_won"), "applied")
+            .when(F.col("_known").isNull() & ~may_create, "not_found")
             .otherwise("conflict"),
         )
-        .withColumn("new_revision", F.when(is_put, F.col("_new")))
-        .drop("_new", "_absent")
+        .withColumn("new_revision", F.when(F.col("_won") & is_put, new))
+        .drop("_current", "_known", "_fits", "_won")
     )
 
 

@@ -14,15 +14,15 @@ from driftline.operators.planning import plan_action, plan_steps
 
 def reconcile(
     desired: DataFrame, observed: DataFrame, kind: str, key: str, row_id: str | None = None,
-    only_fetched: bool = False,
+    only_fetched: bool = False, unique: bool = False,
 ) -> DataFrame:
     """Observe, compare, decide and list the steps for every resource of a kind.
 
     ``desired`` has ``key`` and a ``desired`` struct, ``observed`` ``key`` and an
-    ``observed`` struct, one row per key; see ``observe`` for the rest. The join on the
+    ``observed`` struct; see ``observe`` for the rest. The join on the
     key is the only shuffle.
     """
-    seen = observe(desired, observed, key, row_id, only_fetched)
+    seen = observe(desired, observed, key, row_id, only_fetched, unique)
     return plan_steps(plan_action(drift(seen, kind)), kind)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,17 +28,18 @@ def local_session(cpus: int = 8, app: str = "driftline") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared scratch folder of the cluster.
+    """The shared scratch folder of the cluster: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only a local master, which has no other machine to share with, may fall
-    back to a temporary folder.
+    Where neither is set, a local master, which has no other machine to share with, gets a
+    temporary folder that goes when the process ends; a cluster has to name one.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="driftline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -44,3 +47,9 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; never reused, so reruns cannot mix."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written, in whatever store it is; nothing if it is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

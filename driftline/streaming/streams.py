@@ -2,7 +2,8 @@
 
 Every query takes ``trigger`` as keyword arguments of ``DataStreamWriter.trigger``.
 Sinks write one folder per micro-batch and overwrite it, so a batch that is run again
-after a failure replaces its own output and nothing else.
+after a failure replaces its own output and nothing else. State is a table of changes per
+micro-batch (``KeyedState``), so every micro-batch is an ordinary batch plan.
 """
 
 from __future__ import annotations
@@ -13,17 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from driftline.operators.changes import desired_changed, latest_revision
+from driftline.operators.changes import latest_revision, with_previous
 from driftline.operators.metrics import state_metrics
+from driftline.operators.observe import newest_per_key
 from driftline.plans.reconcile import reconcile
-from driftline.sources.sinks import merge_status
+from driftline.sources.sinks import changelog_rows
+from driftline.streaming.state import KeyedState
 
 # The default intervals.
 POLL = {"processingTime": "1 minute"}
-METRIC_WINDOW = "5 seconds"
-
-#: Snapshots a stream keeps of its own state: the last good one survives a failed write.
-STATE_SLOTS = 3
+METRIC_INTERVAL = {"processingTime": "5 seconds"}
 
 
 def _start(
@@ -38,8 +38,11 @@ def _start(
     )
 
 
-def _replace(rows: DataFrame, out: str, epoch: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
+def _replace(rows: DataFrame, out: str, epoch: int, name: str = "rows") -> DataFrame:
+    """Write ``rows`` as the output of ``epoch`` and give them as the written table, whose size Spark knows."""
+    path = f"{out}/{name}/epoch={epoch}"
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def read_rows(spark: SparkSession, out: str) -> DataFrame:
@@ -50,79 +53,100 @@ def read_rows(spark: SparkSession, out: str) -> DataFrame:
 def stream_observe(
     source: DataFrame, desired: DataFrame, kind: str, key: str, out: str, trigger: dict = POLL
 ) -> StreamingQuery:
-    """Check every observation that arrives against the declared state.
+    """Check every resource that is observed against its declared state, once per micro-batch.
 
-    The desired table is read again for each micro-batch. Inside a micro-batch this is
-    the batch plan, adaptive execution included.
+    The newest observation of each key is written first; it then meets the declared
+    table, read within the batch's range of keys, as a side whose size is known, and a small
+    one is broadcast instead of shuffling the declared table. What nobody observes is the
+    matter of ``stream_check_all``.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        _replace(reconcile(desired, batch, kind, key, only_fetched=True), out, epoch)
+        newest = _replace(newest_per_key(batch.where(F.col(key).isNotNull()), key), out, epoch, "observed")
+        low, high = newest.agg(F.min(key), F.max(key)).first()
+        wanted = desired.where(F.col(key).between(F.lit(low), F.lit(high)))
+        _replace(reconcile(wanted, newest, kind, key, only_fetched=True, unique=True), out, epoch)
 
     return _start(source, out, trigger, "append", write)
 
 
+def stream_check_all(
+    ticks: DataFrame, desired: Callable[[], DataFrame], observed: Callable[[], DataFrame], kind: str, key: str,
+    out: str, trigger: dict = POLL,
+) -> StreamingQuery:
+    """Check everything that is declared at each tick, also what no observation speaks of.
+
+    ``ticks`` only gives the pace, such as the rate source. ``desired`` and ``observed`` are asked
+    anew each time; ``observed`` has a row per key, such as the table of ``stream_latest_status``.
+    What is declared and gone gets its CREATE here.
+    """
+
+    def write(_: DataFrame, epoch: int) -> None:
+        _replace(reconcile(desired(), observed(), kind, key, unique=True), out, epoch)
+
+    return _start(ticks, out, trigger, "append", write)
+
+
 def stream_desired_changed(
     source: DataFrame,
     key: list[str],
     order: list[str],
     fields: list[str],
-    slice_by: Callable[[], Column],
     out: str,
     trigger: dict = POLL,
+    deleted: str | None = None,
 ) -> StreamingQuery:
     """Pass events whose desired fields differ from the last event of their key.
 
-    The last event per key is kept as a table that each micro-batch reads and writes
-    anew. So a micro-batch is an ordinary batch job: a key with most of its events is
-    worked on in slices by many tasks, without Python. Order within a micro-batch is
-    ``order``; across micro-batches it is arrival.
+    Events are compared inside the micro-batch, a hot key in slices by many tasks; only the
+    first event of each key meets the state, and only the last one enters it. Order within a micro-batch is
+    ``order``; across micro-batches it is arrival. ``deleted`` is a condition on events that end a
+    key: its state goes, and the next event of the key is a first one again.
     """
+    spark = source.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        slot = lambda n: f"{out}/state/slot={n % STATE_SLOTS}"
-        rows = batch.withColumn("_carried", F.lit(False))
-        if epoch > 0:
-            last = spark.read.schema(batch.schema).parquet(slot(epoch - 1))
-            rows = last.withColumn("_carried", F.lit(True)).unionByName(rows)
-        rows = rows.persist()
-        try:
-            # The carried event comes first, in a slice of its own.
-            rows_in_order = rows.withColumn("_fresh", ~F.col("_carried"))
-            piece = F.when(F.col("_fresh"), slice_by())
-            passed = desired_changed(rows_in_order, key, ["_fresh", *order], fields, piece)
-            _replace(passed.where("_fresh").select(*batch.columns), out, epoch)
-            newest = latest_revision(rows_in_order, key, "_fresh", order)
-            newest.select(*batch.columns).write.mode("overwrite").parquet(slot(epoch))
-        finally:
-            rows.unpersist()
+        state = KeyedState(
+            spark, f"{out}/state", batch.withColumn("_epoch", F.lit(epoch).cast("bigint")).schema, key, ["_epoch", *order], deleted
+        )
+        gone = F.coalesce(F.expr(deleted), F.lit(False)) if deleted else F.lit(False)
+        staged = with_previous(batch.withColumn("_gone", gone), key, order, [*fields, "_gone"])
+        now, before = F.struct(*fields), F.struct(*[F.col(f"_prev.{f}") for f in fields])
+        same = ~F.col("_prev._gone") & before.eqNullSafe(now)
+        later = staged.where(F.col("_prev").isNotNull() & ~same).select(*batch.columns)
+        firsts = _replace(staged.where("_prev IS NULL").select(*batch.columns), out, epoch, "firsts")
+        who = F.struct(*key).alias("_who")
+        last = state.rows(epoch).select(who, F.struct(*fields).alias("_last"))
+        met = firsts.withColumn("_who", F.struct(*key)).join(last, "_who", "left")
+        changed = met.where(F.col("_last").isNull() | ~F.col("_last").eqNullSafe(now)).select(*batch.columns)
+        _replace(later.unionByName(changed), out, epoch)
+        newest = latest_revision(batch, key, order[0], order[1:])
+        state.write(newest.withColumn("_epoch", F.lit(epoch).cast("bigint")), epoch)
 
     return _start(source, out, trigger, "append", write)
 
 
 def stream_state_metrics(
-    source: DataFrame, ts: str, late: str, out: str, size: str = METRIC_WINDOW, trigger: dict = POLL
+    source: DataFrame, key: list[str], revision: str, tiebreak: list[str], out: str,
+    trigger: dict = METRIC_INTERVAL, deleted: str | None = None,
 ) -> StreamingQuery:
-    """Counts per kind and tumbling window; a window is written once, when it is closed.
+    """Counts per kind of all resources as they are, at each tick.
 
-    ``source`` has ``kind`` and ``conditions``. ``ts`` must be a timestamp with zone.
+    ``source`` has ``key``, ``kind`` and ``conditions``; a late lower revision changes nothing. Every
+    micro-batch is a tick and writes its counts at once: nothing is dropped or left open.
     """
-    windowed = source.withWatermark(ts, late).withColumn("_window", F.window(ts, size))
-    counted = state_metrics(windowed, F.col("_window"))
-    rows = counted.select(
-        "kind",
-        F.col("_window.start").alias("window_start"),
-        F.col("_window.end").alias("window_end"),
-        "total",
-        "ready",
-        "synced",
-    )
-    return _start(rows, out, trigger, "append", lambda b, e: _replace(b, out, e))
+    spark = source.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        state = KeyedState(spark, f"{out}/state", batch.schema, key, [revision, *tiebreak], deleted)
+        state.write(latest_revision(batch, key, revision, tiebreak), epoch)
+        _replace(state_metrics(state.rows(epoch + 1)), out, epoch)
+
+    return _start(source, out, trigger, "append", write)
 
 
-def stream_changelog(source: DataFrame, out: str, trigger: dict = POLL) -> StreamingQuery:
-    """Append change records, or the lines of ``log_lines``, as they come."""
+def stream_rows(source: DataFrame, out: str, trigger: dict = POLL) -> StreamingQuery:
+    """Append rows, such as those of ``log_lines``, as they come."""
     return (
         source.writeStream.outputMode("append")
         .format("parquet")
@@ -133,22 +157,36 @@ def stream_changelog(source: DataFrame, out: str, trigger: dict = POLL) -> Strea
     )
 
 
+def stream_changelog(
+    plan: DataFrame, kind: str, key: str, at: Column, version: str, out: str, trigger: dict = POLL
+) -> StreamingQuery:
+    """Append a change record for every action of a stream of planned resources; see ``changelog_rows``."""
+    return stream_rows(changelog_rows(plan, kind, key, at, version), out, trigger)
+
+
 def stream_latest_status(
     source: DataFrame, key: list[str], revision: str, tiebreak: list[str], out: str,
-    trigger: dict = POLL,
+    trigger: dict = POLL, deleted: str | None = None,
 ) -> StreamingQuery:
     """Keep the newest status per resource; late lower revisions change nothing.
 
-    The newest row per key is Spark's own aggregation state, combined inside each task
-    first. A micro-batch writes only the resources it changed; ``read_status_rows``
-    folds them.
+    A micro-batch writes the newest row of each resource it speaks of. ``read_status_rows``
+    folds the last base and the changes since.
     """
-    newest = latest_revision(source, key, revision, tiebreak)
-    return _start(newest, out, trigger, "update", lambda b, e: _replace(b, out, e))
+    spark = source.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        state = KeyedState(spark, f"{out}/state", batch.schema, key, [revision, *tiebreak], deleted)
+        state.write(latest_revision(batch, key, revision, tiebreak), epoch)
+        spark.range(1).select(F.lit(epoch + 1).alias("epochs")).coalesce(1).write.mode("overwrite").json(f"{out}/epochs")
+
+    return _start(source, out, trigger, "append", write)
 
 
 def read_status_rows(
-    spark: SparkSession, out: str, key: list[str], revision: str, tiebreak: list[str]
+    source: DataFrame, out: str, key: list[str], revision: str, tiebreak: list[str], deleted: str | None = None
 ) -> DataFrame:
-    """The latest status per resource of a ``stream_latest_status``."""
-    return merge_status(None, read_rows(spark, out).drop("epoch"), key, revision, tiebreak)
+    """The latest status per resource of a ``stream_latest_status`` of rows like ``source``'s."""
+    spark = source.sparkSession
+    epochs = spark.read.schema("epochs int").json(f"{out}/epochs").first()["epochs"]
+    return KeyedState(spark, f"{out}/state", source.schema, key, [revision, *tiebreak], deleted).rows(epochs)

