@@ -144,24 +144,22 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of a bounded sample of the rows that have a language and are not held out.
 
-    Per language the rows of least hash of id, by a window over ids that Spark limits below its shuffle;
-    then their texts come to the driver: SAMPLE texts of SAMPLE_CHARS characters at most.
+    Rows are counted per language; then those whose hash of id and text falls below twice the share asked for are ranked by
+    it, so that no more than that reaches a task, and the first come to the driver: SAMPLE texts of SAMPLE_CHARS characters at most.
     """
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    rows = docs.where(~held_out(F.col(id_col))).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("rank")
-    ).where(f"lang IS NOT NULL AND text RLIKE '\\\\p{{L}}' AND char_length(text) <= {SAMPLE_CHARS}")
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    rows = docs.where(~held_out(F.col(id_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("key")).where(
+        f"lang IS NOT NULL AND text RLIKE '\\\\p{{L}}' AND char_length(text) <= {SAMPLE_CHARS}"
+    )
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not common:
         return Model([])
     each = min(SAMPLE_PER_LANGUAGE, max(1, SAMPLE // len(common)))
-    best = Window.partitionBy("lang").orderBy("rank")
-    ranks = rows.where(F.col("lang").isin(common)).select("lang", "rank").withColumn("at", F.row_number().over(best)).where(f"at <= {each}")
-    chosen = {r["rank"] for r in ranks.collect()}
-    # Rows that repeat an id come along; the sort and cut keep the bound.
-    again = Window.partitionBy("lang").orderBy("rank", "text")
-    texts = rows.where(F.col("rank").isin(list(chosen)) & F.col("lang").isin(common)).withColumn("at", F.row_number().over(again)).where(f"at <= {each}")
-    return Model([(r["lang"], r["text"]) for r in texts.orderBy("lang", "at").collect()])
+    shares = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], min(1.0, (2 * each + 50) / r["count"]))])
+    ranked = rows.withColumn("rank", F.xxhash64("key", "text"))
+    few = ranked.where(F.pmod("rank", F.lit(1 << 32)) / F.lit(float(1 << 32)) < F.element_at(shares, F.col("lang")))
+    best = Window.partitionBy("lang").orderBy("rank", "text")
+    chosen = few.withColumn("at", F.row_number().over(best)).where(f"at <= {each}")
+    return Model([(r["lang"], r["text"]) for r in sorted(chosen.select("lang", "at", "text").collect())])
 
 
 def predict_language(
