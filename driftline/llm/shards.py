@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.batches import WordCache, rows_to_rows, ship
+from driftline.llm.batches import column_values, ship
 from driftline.llm.pieces import byte_pieces
 
 #: Ids of a sequence, and bytes of a shard, about.
@@ -31,9 +31,9 @@ HEAD_SIZE = struct.calcsize(HEAD)
 NO_ID = 1 << 31
 #: Bytes of ids per byte of text, for the number of shards only.
 IDS_PER_BYTE = 0.9
-CHUNK = re.compile(r"\s*\S+|\s+\Z")
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-BLOCK = 50_000
+CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: Characters of a text, and records, that are worked on at a time.
+PART, RECORDS = 1 << 20, 4096
 SEQUENCES = "slot bigint, doc_id bigint, seq bigint, n_ids bigint, ids binary"
 
 
@@ -66,7 +66,7 @@ def permuted(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
 
 
 class ByteBpe:
-    """Ids of texts under a rank file; words are cached."""
+    """Ids of texts under a rank file."""
 
     def __init__(self, data: bytes, pattern: str):
         import tiktoken
@@ -75,23 +75,14 @@ class ByteBpe:
         self.type = "<u2" if len(ranks) < 1 << 16 else "<u4"
         self.end = np.array([len(ranks)], self.type).tobytes()
         self.coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.cache = WordCache(self.packed)
-
-    def packed(self, text: str) -> bytes:
-        return np.array(self.coder.encode_ordinary(text), self.type).tobytes()
 
     def blocks(self, text: str) -> Iterator[bytes]:
-        """The ids of ``text`` and of its end, in pieces. No match of the pattern goes past the end of a word, so words can be coded alone."""
-        if ODD_SPACE.search(text):
-            yield self.packed(text)
-        else:
-            held = []
-            for m in CHUNK.finditer(text):
-                held.append(m[0])
-                if len(held) == BLOCK:
-                    yield b"".join(self.cache(held))
-                    held = []
-            yield b"".join(self.cache(held))
+        """The ids of ``text`` and of its end, in pieces. No match of the pattern goes from the end of a word into white space, so texts can be cut there."""
+        at = 0
+        while len(text) - at > PART and (m := CUT.search(text, at + PART)):
+            yield np.array(self.coder.encode_ordinary(text[at : m.start()]), self.type).tobytes()
+            at = m.start()
+        yield np.array(self.coder.encode_ordinary(text[at:] if at else text), self.type).tobytes()
         yield self.end
 
 
@@ -138,36 +129,49 @@ def write_shards(
     with open(vocabulary, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
 
-    def make():
+    def records_of(coder: ByteBpe, doc: int | None, text: str) -> Iterator[bytes]:
+        full, place, parts, held = length * len(coder.end), 0, [], 0
+        for block in coder.blocks(text):
+            parts.append(block)
+            held += len(block)
+            if held >= full:
+                ids = b"".join(parts)
+                for at in range(0, held - full + 1, full):
+                    yield struct.pack(HEAD, doc or 0, place | (NO_ID if doc is None else 0), length) + ids[at : at + full]
+                    place += 1
+                parts, held = [ids[held - held % full :]], held % full
+        if held:
+            count = held // len(coder.end)
+            head = struct.pack(HEAD, doc or 0, place | (NO_ID if doc is None else 0), count)
+            yield head + b"".join(parts) + coder.end * (length - count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(data.value, pattern)
-        unit = len(coder.end)
-        full = length * unit
-
-        def rows(doc, first, text):
-            parts, held, records = [], 0, []
-
-            def cut(ids: bytes, n: int):
-                place = len(records) | (NO_ID if doc is None else 0)
-                records.append(struct.pack(HEAD, doc or 0, place, n) + ids)
-
-            for block in coder.blocks(text or ""):
-                parts.append(block)
-                held += len(block)
-                if held >= full:
-                    ids = b"".join(parts)
-                    for at in range(0, held - full + 1, full):
-                        cut(ids[at : at + full], length)
-                    parts, held = [ids[held - held % full :]], held % full
-            if held:
-                rest = b"".join(parts)
-                cut(rest + coder.end * ((full - held) // unit), held // unit)
-            places = permuted(np.arange(len(records), dtype=np.uint64) + np.uint64(first * most), domain, key)
-            return zip((places // np.uint64(width)).tolist(), places.tolist(), records, strict=True)
-
-        return rows
+        numbers: list[int] = []
+        held: list[bytes] = []
+
+        def sent():
+            places = permuted(np.array(numbers, np.uint64), domain, key)
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array((places // np.uint64(width)).astype(np.int32)), pa.array(places.astype(np.int64)), pa.array(held, pa.binary())],
+                ["shard", "place", "record"],
+            )
+            numbers.clear(), held.clear()
+            return batch
 
+        for batch in batches:
+            for doc, first, text in zip(*[column_values(c) for c in batch.columns], strict=True):
+                for i, record in enumerate(records_of(coder, doc, text or "")):
+                    numbers.append(first * most + i)
+                    held.append(record)
+                    if len(held) == RECORDS:
+                        yield sent()
+        if held:
+            yield sent()
+
+    ship(spark)
     source = docs.select(F.col(id_col).cast("long"), number.alias("number"), F.col(text_col).cast("string"))
-    records = rows_to_rows(source, "shard int, place bigint, record binary", make)
+    records = source.mapInArrow(run, "shard int, place bigint, record binary")
     ordered = records.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place", "record")
     out = ordered.select("shard", F.col("record").cast("string").alias("value"))
     out.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(f"{folder}/data")
