@@ -164,12 +164,14 @@ pd AS (SELECT d.user_id, d.prop, d.val AS dval, o.user_id IS NULL AS absent, o.v
        FROM dp d JOIN ou ON ou.user_id = d.user_id
        LEFT JOIN op o ON o.user_id = d.user_id AND o.prop = d.prop
        WHERE o.user_id IS NULL OR (d.val IS NOT NULL AND d.val <> coalesce(o.val, ''))),
+wl AS (SELECT user_id, prop, event_type, CASE WHEN k % 10 = 0 THEN NULL ELSE CAST(k // 25 AS VARCHAR) END AS val FROM pe
+       QUALIFY row_number() OVER (PARTITION BY user_id, prop ORDER BY ts DESC, event_id DESC) = 1),
 pr AS (SELECT user_id, string_agg('property:' || prop, ',' ORDER BY prop) AS r_props FROM pd GROUP BY 1)
 """
 
 
-def user_properties(spark: SparkSession, folder: str, early: bool, null_every: int) -> DataFrame:
-    """Per user the property map of one half of the month and the last event type in it.
+def user_properties(spark: SparkSession, folder: str, early: bool | None, null_every: int) -> DataFrame:
+    """Per user the property map of one half of the month, or all of it, and the last event type in it.
 
     Rows are reduced to one per (user, property) before the map of a user is formed,
     so a map is as long as a user has property names, however many events there are.
@@ -179,7 +181,7 @@ def user_properties(spark: SparkSession, folder: str, early: bool, null_every: i
     value = F.when(F.col("k") % null_every != 0, F.floor(F.col("k") / 25).cast("string"))
     log = (
         events(spark, folder)
-        .where(half if early else ~half)
+        .where(F.lit(True) if early is None else half if early else ~half)
         .withColumn(
             "prop",
             F.concat("event_type", F.lit(":"), F.floor(F.hour("ts") / 6).cast("string")),

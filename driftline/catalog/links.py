@@ -120,28 +120,32 @@ def load_balance(spark, folder):
 
 
 def claims(spark, folder):
-    """Customers as claims of the example composite; some state no config name."""
+    """Customers as claims of the example composite; some state no config name, some no namespace."""
     return table(spark, folder, "customer").select(
         F.col("c_custkey").alias("claim"),
         F.create_map(
             F.lit("spec.parentGroupId"), F.lit("root"),
             F.lit("spec.providerConfigRefName"),
-            F.when(F.col("c_nationkey") % 2 == 0, F.lit("default")),
+            F.when(F.col("c_nationkey") % 2 == 0, tag("cfg-", "c_nationkey")),
+            F.lit('metadata.labels["claim-namespace"]'),
+            F.when(F.col("c_nationkey") % 3 != 0, tag("ns-", "c_nationkey")),
         ).alias("spec"),
     )
 
 
 def outputs(spark, folder):
-    """What the resources of a claim have reported: the group, and some processors."""
+    """What the resources of a claim have reported, now and earlier: the group, and some processors."""
     paths = composite.HASH_TEMPLATE.outputs
     nation = F.col("c_nationkey")
     rows = F.array(
         *[
             F.when(
                 nation % 5 > i,
-                F.struct(F.lit(p).alias("path"), tag(f"id{i}-", "c_custkey").alias("value")),
+                F.struct(F.lit(p).alias("path"), value.alias("value"), F.lit(at).alias("at")),
             )
             for i, p in enumerate(paths)
+            # The older report sorts after the newer one as text.
+            for at, value in ((1, F.lit("zz-old")), (2, tag(f"id{i}-", "c_custkey")))
         ]
     )
     return table(spark, folder, "customer").select(
@@ -157,19 +161,39 @@ cs AS (SELECT c_custkey AS claim, c_nationkey, c_nationkey % 5 AS have, step, ki
 """
 
 
+def sql_rows(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in row) + ")" for row in rows)
+
+
+_STEPS = composite.HASH_TEMPLATE.steps
+
+
 @query("resolve_patches", f"""
-WITH {STEP_SQL}
-SELECT claim, step, kind, coalesce(list_max(needs), -1) >= have AS blocked,
-       CAST(CASE WHEN step = 'process-group' THEN 1 WHEN kind = 'Processor' THEN CASE WHEN have > 0 THEN 1 ELSE 0 END
-            ELSE (CASE WHEN have > 0 THEN 3 ELSE 0 END) + len(list_filter(needs[2:], lambda x: x < have)) END
-         + CASE WHEN c_nationkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS fields
-FROM cs""")
+WITH base(step, path, value) AS (VALUES {sql_rows((s.name, *kv) for s in _STEPS for kv in s.base)}),
+patch(step, source, path, required) AS (VALUES {sql_rows((s.name, p.source, p.target, p.required) for s in _STEPS for p in s.patches)}),
+kinds(step, kind) AS (VALUES {sql_rows((s.name, s.kind) for s in _STEPS)}),
+out(i, source) AS (VALUES {", ".join(f"({i}, '{p}')" for i, p in enumerate(composite.HASH_TEMPLATE.outputs))}),
+known AS (SELECT c_custkey AS claim, 'spec.parentGroupId' AS source, 'root' AS value FROM customer
+  UNION ALL SELECT c_custkey, 'spec.providerConfigRefName', 'cfg-' || c_nationkey FROM customer WHERE c_nationkey % 2 = 0
+  UNION ALL SELECT c_custkey, 'metadata.labels["claim-namespace"]', 'ns-' || c_nationkey FROM customer WHERE c_nationkey % 3 <> 0
+  UNION ALL SELECT c_custkey, source, 'id' || i || '-' || c_custkey FROM customer, out WHERE c_nationkey % 5 > i),
+put AS (SELECT claim, step, path, value FROM patch JOIN known USING (source)),
+field AS (SELECT * FROM put UNION ALL SELECT c_custkey, step, path, value FROM customer, base
+  WHERE NOT EXISTS (SELECT 1 FROM put WHERE put.claim = c_custkey AND put.step = base.step AND put.path = base.path)),
+texts AS (SELECT claim, step, string_agg(path || '=' || value, ';' ORDER BY path) AS fields FROM field GROUP BY ALL),
+lack AS (SELECT DISTINCT c_custkey AS claim, step FROM customer, patch WHERE required = 'True'
+  AND NOT EXISTS (SELECT 1 FROM known WHERE known.claim = c_custkey AND known.source = patch.source))
+SELECT c_custkey AS claim, k.step, k.kind, lack.claim IS NOT NULL AS blocked, coalesce(fields, '') AS fields
+FROM customer CROSS JOIN kinds k LEFT JOIN texts t ON t.claim = c_custkey AND t.step = k.step
+LEFT JOIN lack ON lack.claim = c_custkey AND lack.step = k.step""")
 def resolve_patches(spark, folder):
     resolved = composite.resolve_patches(
         claims(spark, folder), composite.HASH_TEMPLATE, outputs(spark, folder), "claim"
     )
+    field = lambda e: F.concat(e["key"], F.lit("="), e["value"])
     return resolved.select(
-        "claim", "step", "kind", "blocked", F.size(F.map_keys("fields")).alias("fields")
+        "claim", "step", "kind", "blocked",
+        F.array_join(F.transform(F.array_sort(F.map_entries("fields")), field), ";").alias("fields"),
     )
 
 

@@ -151,17 +151,20 @@ def build_processor(spark, folder):
     )
 
 
-@query("drop_null_props", f"WITH {PROPERTIES_SQL} SELECT user_id, prop, val FROM dp WHERE val IS NOT NULL")
+@query("drop_null_props", f"WITH {PROPERTIES_SQL} SELECT user_id, prop, val FROM wl WHERE val IS NOT NULL")
 def drop_null_props(spark, folder):
-    early = user_properties(spark, folder, early=True, null_every=10)
-    return early.select("user_id", F.explode(X.drop_null_props(F.col("props"))).alias("prop", "val"))
+    whole = user_properties(spark, folder, early=None, null_every=10)
+    return whole.select("user_id", F.explode(X.drop_null_props(F.col("props"))).alias("prop", "val"))
 
 
-@query("map_subset_diff", f"WITH {PROPERTIES_SQL} SELECT user_id, 'property:' || prop AS reason FROM pd")
+@query("map_subset_diff", f"""
+WITH {PROPERTIES_SQL}
+SELECT d.user_id, 'property:' || d.prop AS reason FROM dp d LEFT JOIN op o ON o.user_id = d.user_id AND o.prop = d.prop
+WHERE o.user_id IS NULL OR (d.val IS NOT NULL AND d.val <> coalesce(o.val, ''))""")
 def map_subset_diff(spark, folder):
     early, late = two_halves(spark, folder)
     both = early.select("user_id", "props").join(
-        late.select("user_id", F.col("props").alias("have")), "user_id"
+        late.select("user_id", F.col("props").alias("have")), "user_id", "left"
     )
     diff = C.map_subset_diff(F.col("props"), F.col("have"))
     return both.select("user_id", F.explode(diff).alias("reason"))
@@ -301,7 +304,7 @@ def late_parameters(late):
     return late.withColumn("parameters", F.transform("entries", entry))
 
 
-@query("drift_context", f"""
+CONTEXT_SQL = f"""
 WITH {PROPERTIES_SQL},
 e AS (SELECT du.user_id, want, have FROM du LEFT JOIN ou USING (user_id)),
 n AS (SELECT user_id, sum(s) AS diff FROM (SELECT user_id, 1 AS s FROM dp UNION ALL SELECT user_id, -1 FROM op) GROUP BY 1),
@@ -309,11 +312,23 @@ r AS (SELECT user_id, 'description' AS reason FROM e WHERE want <> have
       UNION ALL SELECT user_id, 'parameter_count' FROM n JOIN e USING (user_id) WHERE diff <> 0 AND have IS NOT NULL
       UNION ALL SELECT d.user_id, CASE WHEN o.user_id IS NULL THEN 'parameter:' ELSE 'parameter_value:' END || d.prop
       FROM dp d JOIN ou ON ou.user_id = d.user_id LEFT JOIN op o ON o.user_id = d.user_id AND o.prop = d.prop
-      WHERE o.user_id IS NULL OR d.val <> o.val)
-SELECT user_id, string_agg(reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY 1""")
+      WHERE o.user_id IS NULL OR d.val <> o.val),
+g AS (SELECT user_id, string_agg(reason, ',' ORDER BY reason) AS reasons,
+             string_agg(CASE WHEN reason = 'description' THEN '1' WHEN reason = 'parameter_count' THEN '2' ELSE '3' END, '' ORDER BY
+               CASE WHEN reason = 'description' THEN '1' WHEN reason = 'parameter_count' THEN '2' ELSE '3' END) AS checks FROM r GROUP BY 1)
+"""
+
+
+@query("drift_context", f"""{CONTEXT_SQL}
+SELECT user_id, coalesce(reasons, '') AS reasons, coalesce(checks, '') AS checks, have IS NOT NULL AND reasons IS NULL AS up_to_date
+FROM e LEFT JOIN g USING (user_id)""")
 def drift_context(spark, folder):
-    drifted = D.drift(contexts(spark, folder), "ParameterContext").where(F.size("reasons") > 0)
-    return drifted.select("user_id", joined(F.array_sort("reasons")).alias("reasons"))
+    """All contexts, missing and up-to-date ones too; ``checks`` has the order in which the reasons come."""
+    place = lambda r: F.when(r == "description", "1").when(r == "parameter_count", "2").otherwise("3")
+    return D.drift(contexts(spark, folder), "ParameterContext").select(
+        "user_id", joined(F.array_sort("reasons")).alias("reasons"),
+        F.array_join(F.transform("reasons", place), "").alias("checks"), "up_to_date",
+    )
 
 
 @query("build_context", f"""
@@ -363,12 +378,12 @@ def named_list_diff(spark, folder):
 
 @query("mask_sensitive", f"""
 WITH {PROPERTIES_SQL}
-SELECT user_id, prop, CASE WHEN event_type = 'error' AND val IS NOT NULL THEN '***' ELSE val END AS shown FROM dp""")
+SELECT user_id, prop, CASE WHEN event_type = 'error' AND val IS NOT NULL THEN '***' ELSE val END AS shown FROM wl""")
 def mask_sensitive(spark, folder):
     from driftline.operators.extensions import mask_sensitive as mask
 
-    early = user_properties(spark, folder, early=True, null_every=10)
-    entry = early.select("user_id", F.explode("entries").alias("e"))
+    whole = user_properties(spark, folder, early=None, null_every=10)
+    entry = whole.select("user_id", F.explode("entries").alias("e"))
     return entry.select(
         "user_id", F.col("e.name").alias("prop"),
         mask(F.col("e.value"), F.col("e.description") == "error").alias("shown"),

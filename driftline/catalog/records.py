@@ -11,12 +11,16 @@ from driftline.sources import generate, readers, sinks
 
 
 @query("src_list_items", """
-SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, s[i] AS name
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, s[i] AS name, 'id-' || doc_id AS id,
+       CASE WHEN length(s[i]) % 3 <> 0 THEN CAST(length(s[i]) AS BIGINT) END AS revision
 FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)""")
 def src_list_items(spark, folder):
     """Each document as a list dump whose items are named after its lines."""
     item = lambda line: F.struct(
-        F.lit("Processor").alias("kind"), F.struct(line.alias("name")).alias("metadata")
+        F.lit("Processor").alias("kind"), F.struct(line.alias("name")).alias("metadata"),
+        F.struct(F.struct(
+            tag("id-", "doc_id").alias("id"), F.when(F.length(line) % 3 != 0, F.length(line).cast("bigint")).alias("version")
+        ).alias("atProvider")).alias("status"),
     )
     dumps = table(spark, folder, "documents").select(
         "doc_id",
@@ -28,7 +32,10 @@ def src_list_items(spark, folder):
         ).alias("dump"),
     )
     items = readers.list_items(readers.parse_lists(dumps, "dump", "Processor"))
-    return items.select("doc_id", "position", F.col("resource.metadata.name").alias("name"))
+    status = "resource.status.atProvider"
+    return items.select(
+        "doc_id", "position", F.col("resource.metadata.name").alias("name"), F.col(f"{status}.id").alias("id"), F.col(f"{status}.version").alias("revision")
+    )
 
 
 @query("src_manifests", """

@@ -39,9 +39,10 @@ def with_previous(
     they are, meet once more by key. Both passes read one shuffle of the log.
     """
     cut = even_slices(log, order[0]) if slice_by is None else slice_by
-    state = F.struct(*values)
+    # The state is a column of its own, so that both passes want the same shuffle.
+    state = F.col("_state")
     here = W.partitionBy(*key, "_slice").orderBy(*order)
-    staged = log.withColumn("_slice", cut).withColumns(
+    staged = log.withColumns({"_slice": cut, "_state": F.struct(*values)}).withColumns(
         {
             "_prev": F.lag(state).over(here),
             "_first": F.lag(F.lit(True)).over(here).isNull(),

@@ -30,11 +30,16 @@ def _lookup(
 
 
 def newest_per_key(observed: DataFrame, key: str) -> DataFrame:
-    """One row per key: the highest revision, then the greatest text of the row."""
+    """One row per key: the highest revision, then the greatest text of the row.
+
+    Grouped by the key in a struct, so that a join by the key itself still has a plain
+    shuffle of its own on this side, without which Spark could not split the other.
+    """
     field = dict(observed.dtypes).get("observed", "")
     revision = F.col("observed.revision.version") if "revision:struct<version:" in field else F.lit(None).cast("bigint")
-    marked = observed.withColumns({"_revision": revision, "_text": F.to_json(F.struct(*[c for c in observed.columns if c != key]))})
-    return latest_revision(marked, [key], "_revision", ["_text"]).drop("_revision", "_text")
+    text = F.to_json(F.struct(*[c for c in observed.columns if c != key]))
+    marked = observed.withColumns({"_key": F.struct(key), "_revision": revision, "_text": text})
+    return latest_revision(marked, ["_key"], "_revision", ["_text"]).drop("_key", "_revision", "_text")
 
 
 def observe(
@@ -49,7 +54,7 @@ def observe(
     ``error``: an empty name, no row and a not-found failure all mean that the
     resource does not exist; any other failure is an error.
 
-    The join is on the plain key, so tables bucketed by it meet without a shuffle.
+    The join is on the plain key, so ``unique`` tables bucketed by it meet without a shuffle.
     Rows without a name match nothing. Where they may be many, name a column in
     ``row_id``: they are then spread by it instead of meeting in one task.
     ``only_fetched`` keeps just the rows that ``observed`` speaks about.

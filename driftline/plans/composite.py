@@ -24,12 +24,13 @@ class Patch:
 
 @dataclass(frozen=True)
 class Step:
-    """One resource of a composite and the claim path it reports its id to."""
+    """One resource of a composite, its fixed fields and the claim path it reports its id to."""
 
     name: str
     kind: str
     patches: tuple[Patch, ...]
     output: str | None = None
+    base: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -69,15 +70,22 @@ _GROUP = "status.pipeline.processGroupId"
 _GENERATE = "status.pipeline.generateFlowFileId"
 _HASH = "status.pipeline.replaceTextId"
 _LOG = "status.pipeline.logAttributeId"
+_NAMESPACE = Patch('metadata.labels["claim-namespace"]', "metadata.namespace")
 _CONFIG = Patch("spec.providerConfigRefName", "spec.providerConfigRef.name")
+_CONFIG_BASE = (("spec.providerConfigRef.name", "default"), ("spec.providerConfigRef.kind", "ProviderConfig"))
 _PARENT = Patch(_GROUP, "spec.forProvider.parentGroupId", required=True)
 
 
-def _connection(name: str, source: str, destination: str) -> Step:
+def _base(fields: dict[str, str]) -> tuple[tuple[str, str], ...]:
+    return (*((f"spec.forProvider.{k}", v) for k, v in fields.items()), *_CONFIG_BASE)
+
+
+def _connection(name: str, title: str, source: str, destination: str) -> Step:
     return Step(
         name,
         "Connection",
         (
+            _NAMESPACE,
             _PARENT,
             Patch(_GROUP, "spec.forProvider.source.groupId", required=True),
             Patch(_GROUP, "spec.forProvider.destination.groupId", required=True),
@@ -85,22 +93,46 @@ def _connection(name: str, source: str, destination: str) -> Step:
             Patch(destination, "spec.forProvider.destination.id", required=True),
             _CONFIG,
         ),
+        base=_base({
+            "name": title, "selectedRelationships": "success", "source.type": "PROCESSOR", "destination.type": "PROCESSOR",
+            "backPressureObjectThreshold": "10000", "backPressureDataSizeThreshold": "1 GB",
+        }),
     )
 
 
+def _processor(name: str, output: str, fields: dict[str, str]) -> Step:
+    return Step(name, "Processor", (_NAMESPACE, _PARENT, _CONFIG), output, _base(fields))
+
+
 HASH_TEMPLATE = Template(
     (
         Step(
             "process-group",
             "ProcessGroup",
-            (Patch("spec.parentGroupId", "spec.forProvider.parentGroupId"), _CONFIG),
-            output=_GROUP,
+            (_NAMESPACE, Patch("spec.parentGroupId", "spec.forProvider.parentGroupId"), _CONFIG),
+            _GROUP,
+            _base({"position.x": "0", "position.y": "0", "desiredState": "RUNNING"}),
         ),
-        Step("generate-flowfile", "Processor", (_PARENT, _CONFIG), output=_GENERATE),
-        Step("replace-text", "Processor", (_PARENT, _CONFIG), output=_HASH),
-        Step("log-attribute", "Processor", (_PARENT, _CONFIG), output=_LOG),
-        _connection("conn-generate-to-replace", _GENERATE, _HASH),
-        _connection("conn-replace-to-log", _HASH, _LOG),
+        _processor("generate-flowfile", _GENERATE, {
+            "type": "GenerateFlowFile", "name": "Generate FlowFile", "position.x": "400", "position.y": "100",
+            "config.schedulingStrategy": "TIMER_DRIVEN", "config.schedulingPeriod": "5 sec",
+            "config.concurrentlySchedulableTaskCount": "1", "config.properties.File Size": "1 KB",
+            "config.properties.Batch Size": "1", "config.comments": "Generates test flow files", "desiredState": "STOPPED",
+        }),
+        _processor("replace-text", _HASH, {
+            "type": "HashContent", "name": "Hash Content SHA-256", "position.x": "400", "position.y": "400",
+            "config.properties.Hash Attribute": "content.hash", "config.properties.Hash Algorithm": "SHA-256",
+            "config.autoTerminatedRelationships": "failure", "config.comments": "Hashes flow file content with SHA-256",
+            "desiredState": "STOPPED",
+        }),
+        _processor("log-attribute", _LOG, {
+            "type": "LogAttribute", "name": "Log Content Hash", "position.x": "400", "position.y": "700",
+            "config.properties.Log Level": "info", "config.properties.Log Payload": "true",
+            "config.autoTerminatedRelationships": "success", "config.comments": "Logs the SHA-256 content hash",
+            "desiredState": "STOPPED",
+        }),
+        _connection("conn-generate-to-replace", "GenerateFlowFile to ReplaceText", _GENERATE, _HASH),
+        _connection("conn-replace-to-log", "ReplaceText to LogAttribute", _HASH, _LOG),
     )
 )
 
@@ -110,14 +142,17 @@ def _with_outputs(
 ) -> tuple[DataFrame, dict[str, Column]]:
     """Claims with one column per path the template reads or reports, and those columns.
 
-    A value that a resource reported comes before one that the claim states.
+    A value that a resource reported comes before one that the claim states. Of several
+    reports for a path the one of the greatest ``at`` counts, and without such a column or
+    at equal ones the greatest value.
     """
     names = {
         path: f"_known_{i}"
         for i, path in enumerate(dict.fromkeys((*template.paths, *template.outputs)))
     }
+    at = F.col("at") if "at" in outputs.columns else F.lit(0)
     reported = outputs.groupBy(claim).agg(
-        *[F.max(F.when(F.col("path") == p, F.col("value"))).alias(n) for p, n in names.items()]
+        *[F.max_by("value", F.when(F.col("path") == p, F.struct(at.alias("at"), "value"))).alias(n) for p, n in names.items()]
     )
     stated = {n: F.coalesce(n, F.try_element_at("spec", F.lit(p))) for p, n in names.items()}
     known = claims.join(reported, claim, "left").withColumns(stated)
@@ -131,18 +166,21 @@ def _strings(items: list[Column]) -> Column:
 def resolve_patches(
     claims: DataFrame, template: Template, outputs: DataFrame, claim: str
 ) -> DataFrame:
-    """Each step of each claim with its patched fields, missing inputs and ``blocked``.
+    """Each step of each claim with its fields, missing inputs and ``blocked``.
 
     ``claims`` has ``claim`` and ``spec``, a map of path to value; ``outputs`` has
-    ``claim``, ``path`` and ``value`` of what resources reported. An optional patch
+    ``claim``, ``path`` and ``value`` of what resources reported and may have ``at``, a time or
+    a number. Fields are the step's fixed ones and, over them, the patched ones. An optional patch
     without a value leaves its field alone; a required one blocks the step.
     """
     known, at = _with_outputs(claims, template, outputs, claim)
     steps = []
     for step in template.steps:
-        fields = F.create_map(
-            *[c for p in step.patches for c in (F.lit(p.target), at[p.source])]
-        )
+        # Later patches and all patches go before what stands for the same field.
+        values = {path: F.lit(value) for path, value in step.base}
+        for p in step.patches:
+            values[p.target] = F.coalesce(at[p.source], values.get(p.target, F.lit(None).cast("string")))
+        fields = F.create_map(*[c for path, value in values.items() for c in (F.lit(path), value)])
         missing = [
             F.when(at[p.source].isNull(), F.lit(p.target)) for p in step.patches if p.required
         ]
@@ -173,7 +211,8 @@ def creation_rounds(
     makers = {s.output: s.name for s in template.steps if s.output}
     order = sorted(template.steps, key=lambda s: template.depths()[s.name])
     rounds: dict[str, Column] = {}
-    for step in order:
+    # A column per step: an expression refers to earlier steps by name and does not hold theirs.
+    for n, step in enumerate(order):
         waits = []
         for path in {p.source for p in step.patches if p.required}:
             later = rounds[makers[path]] if path in makers else F.lit(None).cast("int")
@@ -183,7 +222,8 @@ def creation_rounds(
             stuck |= wait.isNull()
         # greatest() wants two values at least.
         latest = F.greatest(F.lit(0), F.lit(0), *waits)
-        rounds[step.name] = F.when(~stuck, latest + 1)
+        known = known.withColumn(f"_round_{n}", F.when(~stuck, latest + 1))
+        rounds[step.name] = F.col(f"_round_{n}")
     rows = [
         F.struct(F.lit(s.name).alias("step"), rounds[s.name].cast("int").alias("round"))
         for s in template.steps

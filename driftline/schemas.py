@@ -82,21 +82,39 @@ METADATA = (
 )
 
 
+#: What a resource's status says of the remote record, by kind.
+STATUS = {
+    "Processor": "id STRING, runStatus STRING, version BIGINT, validationStatus STRING, validationErrors ARRAY<STRING>",
+    "Connection": "id STRING, version BIGINT",
+    "ControllerService": "id STRING, state STRING, version BIGINT, validationStatus STRING, validationErrors ARRAY<STRING>",
+    "ProcessGroup": "id STRING, runningCount INT, stoppedCount INT, disabledCount INT, invalidCount INT, version BIGINT",
+    "ParameterContext": "id STRING, version BIGINT, boundProcessGroups ARRAY<STRING>",
+    "RegistryFlow": "processGroupId STRING, currentVersion INT, latestVersion INT, stale BOOLEAN, version BIGINT",
+}
+
 SECRET = "STRUCT<name STRING, namespace STRING, key STRING>"
+#: Where credentials are, by their source: a secret, an environment variable, a file.
+SELECTORS = f"secretRef {SECRET}, env STRUCT<name STRING>, fs STRUCT<path STRING>"
 REFERENCE = "STRUCT<kind STRING, name STRING>"
 CONFIG_KINDS = ("ProviderConfig", "ClusterProviderConfig")
 USAGE_KINDS = ("ProviderConfigUsage", "ClusterProviderConfigUsage")
 
 
+#: The name that the config's version field has here; documents have their own.
 VERSION_FIELD = "systemVersion"
 
 
-def resource_schema(kind: str, version_field: str = VERSION_FIELD) -> str:
-    """DDL of one whole document: a resource, a config or a usage record."""
+def resource_schema(kind: str, version_field: str | None = None) -> str:
+    """DDL of one whole document: a resource, a config or a usage record.
+
+    A config must say under which name its documents state the system version.
+    """
     head = f"apiVersion STRING, kind STRING, metadata {METADATA}"
     if kind in CONFIG_KINDS:
+        if version_field is None:
+            raise ValueError("the version field of a config has to be named")
         return f"""{head},
-            spec STRUCT<credentials STRUCT<source STRING, secretRef {SECRET}>, {version_field} INT>,
+            spec STRUCT<credentials STRUCT<source STRING, {SELECTORS}>, {version_field} INT>,
             status STRUCT<users BIGINT>"""
     if kind in USAGE_KINDS:
         return f"""{head}, providerConfigRef {REFERENCE},
@@ -105,7 +123,7 @@ def resource_schema(kind: str, version_field: str = VERSION_FIELD) -> str:
         spec STRUCT<forProvider STRUCT<{DESIRED[kind]}>,
                     managementPolicies ARRAY<STRING>,
                     providerConfigRef {REFERENCE}>,
-        status STRUCT<conditions ARRAY<{CONDITION}>, observedGeneration BIGINT>"""
+        status STRUCT<atProvider STRUCT<{STATUS[kind]}>, conditions ARRAY<{CONDITION}>, observedGeneration BIGINT>"""
 
 
 # Enumerations and defaults of the resource contract.

@@ -15,8 +15,8 @@ from driftline.functions import scalars as X
 from driftline.functions.unnest import unnest
 
 
-def list_schema(kind: str) -> str:
-    return f"apiVersion STRING, kind STRING, items ARRAY<STRUCT<{S.resource_schema(kind)}>>"
+def list_schema(kind: str, version_field: str | None = None) -> str:
+    return f"apiVersion STRING, kind STRING, items ARRAY<STRUCT<{S.resource_schema(kind, version_field)}>>"
 
 
 def read_lists(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -58,8 +58,9 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if document is not None:
                         rows.append((source, position, json.dumps(document, default=plain), None))
                         position += 1
-            except yaml.YAMLError as error:
-                rows.append((source, position, None, str(error).splitlines()[0]))
+            except (yaml.YAMLError, TypeError, ValueError, RecursionError) as error:
+                # Also what YAML can say and JSON cannot, such as a date as a key.
+                rows.append((source, position, None, f"{error}".splitlines()[0] if f"{error}" else type(error).__name__))
         yield pd.DataFrame(rows, columns=["source", "position", "document", "error"])
 
 
@@ -75,22 +76,23 @@ def parse_manifests(texts: DataFrame, source: str, text: str) -> DataFrame:
 
 
 def manifest_resources(
-    documents: DataFrame, kind: str, column: str = "document", version_field: str = S.VERSION_FIELD
+    documents: DataFrame, kind: str, column: str = "document", version_field: str | None = None
 ) -> DataFrame:
     """Documents of one kind as rows with the schema of the kind.
 
-    ``version_field`` is the name under which a config states the system version.
+    ``version_field`` is the name under which a config states the system version; for
+    configs it has to be given.
     """
     is_kind = F.get_json_object(column, "$.kind") == kind
     keep = [c for c in documents.columns if c != column]
     read = F.from_json(column, S.resource_schema(kind, version_field))
     # The cast goes by position, so it only renames the version field.
-    resource = read.cast(f"struct<{S.resource_schema(kind)}>")
+    resource = read.cast(f"struct<{S.resource_schema(kind, version_field and S.VERSION_FIELD)}>")
     return documents.where(is_kind).select(*keep, resource.alias("resource"))
 
 
 def read_manifests(
-    spark: SparkSession, path: str, kind: str, version_field: str = S.VERSION_FIELD
+    spark: SparkSession, path: str, kind: str, version_field: str | None = None
 ) -> DataFrame:
     """Desired resources of ``kind`` from the YAML or JSON files below ``path``.
 

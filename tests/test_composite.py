@@ -9,7 +9,7 @@ from driftline.plans import composite as K
 
 def frames(spark, outputs):
     claims = spark.createDataFrame(
-        [("c", {"spec.parentGroupId": "root", "spec.providerConfigRefName": None})], "claim string, spec map<string,string>"
+        [("c", {"spec.parentGroupId": "root", "spec.providerConfigRefName": None, 'metadata.labels["claim-namespace"]': "team"})], "claim string, spec map<string,string>"
     )
     return claims, spark.createDataFrame(outputs, "claim string, path string, value string")
 
@@ -19,7 +19,9 @@ def test_nothing_reported(spark):
     got = {r["step"]: r for r in K.resolve_patches(claims, K.HASH_TEMPLATE, outputs, "claim").collect()}
     assert len(got) == 6
     assert not got["process-group"]["blocked"]
-    assert got["process-group"]["fields"] == {"spec.forProvider.parentGroupId": "root"}
+    base = {s.name: dict(s.base) for s in K.HASH_TEMPLATE.steps}
+    assert got["process-group"]["fields"] == {**base["process-group"], "spec.forProvider.parentGroupId": "root", "metadata.namespace": "team"}
+    assert all(r["fields"]["metadata.namespace"] == "team" and r["fields"]["spec.providerConfigRef.name"] == "default" for r in got.values())
     assert got["replace-text"]["missing"] == ["spec.forProvider.parentGroupId"]
     assert got["conn-replace-to-log"]["missing"] == [
         "spec.forProvider.parentGroupId", "spec.forProvider.source.groupId", "spec.forProvider.destination.groupId",
@@ -34,7 +36,8 @@ def test_all_reported(spark):
     claims, outputs = frames(spark, [("c", p, f"id-{i}") for i, p in enumerate(K.HASH_TEMPLATE.outputs)])
     got = {r["step"]: r for r in K.resolve_patches(claims, K.HASH_TEMPLATE, outputs, "claim").collect()}
     assert not any(r["blocked"] for r in got.values())
-    assert got["conn-generate-to-replace"]["fields"] == {
+    base = dict(next(s.base for s in K.HASH_TEMPLATE.steps if s.name == "conn-generate-to-replace"))
+    assert got["conn-generate-to-replace"]["fields"] == {**base, "metadata.namespace": "team",
         "spec.forProvider.parentGroupId": "id-0", "spec.forProvider.source.groupId": "id-0",
         "spec.forProvider.destination.groupId": "id-0", "spec.forProvider.source.id": "id-1",
         "spec.forProvider.destination.id": "id-2"}
@@ -54,3 +57,28 @@ def test_steps_in_a_circle():
                            K.Step("b", "P", (K.Patch("status.a", "x", required=True),), "status.b")))
     with pytest.raises(ValueError, match="a > b > a"):
         template.depths()
+
+
+def test_patches_go_before_bases_and_new_reports_before_old(spark):
+    claims = spark.createDataFrame([("c", {"spec.providerConfigRefName": "mine"})], "claim string, spec map<string,string>")
+    group = K.HASH_TEMPLATE.outputs[0]
+    outputs = spark.createDataFrame([("c", group, "z-old", 1), ("c", group, "a-new", 2)], "claim string, path string, value string, at int")
+    got = {r["step"]: r["fields"] for r in K.resolve_patches(claims, K.HASH_TEMPLATE, outputs, "claim").collect()}
+    assert got["replace-text"]["spec.forProvider.parentGroupId"] == "a-new"
+    assert got["replace-text"]["spec.providerConfigRef.name"] == "mine"
+    assert got["replace-text"]["spec.providerConfigRef.kind"] == "ProviderConfig"
+    assert "metadata.namespace" not in got["replace-text"]
+
+
+def test_a_deep_template_stays_small(spark):
+    """Every step needs two of the steps before it; the plan grows with the steps and no faster."""
+    steps = [K.Step("s0", "P", (), "o.0"), K.Step("s1", "P", (), "o.1")]
+    for i in range(2, 40):
+        steps.append(K.Step(f"s{i}", "P", tuple(K.Patch(f"o.{j}", f"t{j}", True) for j in (i - 1, i - 2)), f"o.{i}"))
+    template = K.Template(tuple(steps))
+    claims, outputs = frames(spark, [("c", "o.5", "done")])
+    rounds = {r["step"]: r["round"] for r in K.creation_rounds(claims, template, outputs, "claim").collect()}
+    want = {}
+    for i in range(40):
+        want[i] = 1 if i < 2 else 1 + max(0 if j == 5 else want[j] for j in (i - 1, i - 2))
+    assert rounds == {f"s{i}": n for i, n in want.items()}

@@ -112,7 +112,7 @@ def test_bucketed_tables_join_without_shuffle(spark):
     sinks.write_keyed_table(rows.select("name", F.struct("id").alias("observed")), "keyed_observed", "name", 4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = observe(spark.table("keyed_desired"), spark.table("keyed_observed"), "name")
+        joined = observe(spark.table("keyed_desired"), spark.table("keyed_observed"), "name", unique=True)
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "SortMergeJoin" in plan
         assert joined.where("exists").count() == 5000
