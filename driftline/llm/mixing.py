@@ -31,11 +31,10 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | N
         known = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else F.create_map().cast("map<string,double>")
         weight = F.coalesce(F.element_at(known, F.coalesce("source", F.lit(""))), F.lit(0.0))
     weighed = counts.withColumn("weight", weight)
-    sums = weighed.agg(F.sum("weight").alias("weights"), F.sum("n").alias("all"))
-    rows = F.col("all").cast("double") if total is None else F.lit(float(total))
-    share = F.when(F.col("weights") > 0, rows * F.col("weight") / F.col("weights") / F.col("n")).otherwise(0.0)
-    # One row joined to one row per source.
-    return weighed.crossJoin(F.broadcast(sums)).select("source", "n", share.alias("rate"))
+    weight_sum, rows = weighed.agg(F.sum("weight"), F.sum("n")).first()
+    wanted = float((rows or 0) if total is None else total)
+    share = F.lit(wanted) * F.col("weight") / F.lit(weight_sum) / F.col("n") if weight_sum else F.lit(0.0)
+    return weighed.select("source", "n", share.alias("rate"))
 
 
 def poisson_tables(rates: DataFrame) -> DataFrame:
