@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.text import SPACE_RUN, word_list
+from driftline.llm.text import SPACE_RUN, SPACES, word_list
 
 #: Phrases of page furniture and notices, in lower case.
 BOILERPLATE = (
     r"(?i)all rights reserved|licensed under|copyright \(c\)|©|terms of (use|service)|privacy policy|"
     r"cookie policy|use(s)? cookies|enable javascript|lorem ipsum|click here|subscribe to our|sign up for|log ?in to"
 )
+#: Words of a line that can be a notice; a longer one that has such a phrase is text.
+NOTICE_WORDS = 60
 SYMBOLS = "[#*$%&|<>]"
 #: A line fails if more than this share of its words carry a symbol, or end in '!!', or stand between bars.
 NOISY_WORDS = 0.3
@@ -26,12 +28,15 @@ WINDOW = 5
 
 def line_fails(line: Column) -> Column:
     """Whether a line with a word fails a rule: boilerplate, navigation, punctuation."""
-    n = F.size(F.split(F.trim(line), SPACE_RUN))
-    boilerplate = line.rlike(BOILERPLATE)
-    navigation = F.regexp_count(line, F.lit(r"[|»›·>]")) > F.lit(NOISY_WORDS) * n
-    symbols = F.regexp_count(line, F.lit(r"[#*$%&<>{}\\]+")) > F.lit(NOISY_WORDS) * n
-    shouting = F.regexp_count(line, F.lit(r"[!?]{2,}")) > F.lit(NOISY_WORDS) * n
-    return boilerplate | navigation | symbols | shouting
+
+    def fails(n: Column) -> Column:
+        boilerplate = (n <= NOTICE_WORDS) & line.rlike(BOILERPLATE)
+        navigation = F.regexp_count(line, F.lit(r"[|»›·>]")) > F.lit(NOISY_WORDS) * n
+        symbols = F.regexp_count(line, F.lit(r"[#*$%&<>{}\\]+")) > F.lit(NOISY_WORDS) * n
+        shouting = F.regexp_count(line, F.lit(r"[!?]{2,}")) > F.lit(NOISY_WORDS) * n
+        return navigation | symbols | shouting | boilerplate
+
+    return bind(F.size(F.split(F.btrim(line, F.lit(SPACES)), SPACE_RUN)), fails)
 
 
 def repeated_words(words: Column) -> Column:

@@ -72,7 +72,7 @@ def _count(pattern: str) -> str:
     return f"len(regexp_extract_all(x, '{pattern}')) > {lines.NOISY_WORDS} * {_N}"
 
 
-_FAILS = f"""(regexp_matches(x, '{lines.BOILERPLATE.replace("\\u00a9", "©")}') OR {_count("[|»›·>]")}
+_FAILS = f"""({_N} <= {lines.NOTICE_WORDS} AND regexp_matches(x, '{lines.BOILERPLATE.replace("\\u00a9", "©")}') OR {_count("[|»›·>]")}
  OR {_count(r"[#*$%&<>{}\\]+")} OR {_count("[!?]{2,}")})"""
 
 
