@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as X
-from driftline.session import scratch_path
+from driftline.session import drop_path, scratch_path
 
 
 def dangling_edges(edges: DataFrame, vertices: DataFrame, groups: DataFrame) -> DataFrame:
@@ -62,6 +62,7 @@ def group_tree(groups: DataFrame, counts: DataFrame) -> DataFrame:
             "id", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")
         ).write.parquet(f"{path}/{rounds}")
         now = spark.read.parquet(f"{path}/{rounds}")
+        drop_path(spark, f"{path}/{rounds - 1}")
     return now.select("id", "n")
 
 
@@ -125,7 +126,9 @@ def inherited_params(own: DataFrame, parents: DataFrame) -> DataFrame:
             further = level(further)
         further.write.parquet(f"{path}/{rounds}")
         before, best = best, spark.read.parquet(f"{path}/{rounds}")
-        if best.join(before, ["context_id", "name", "rank"], "left_anti").isEmpty() and best.where("loop").isEmpty():
+        done = best.join(before, ["context_id", "name", "rank"], "left_anti").isEmpty() and best.where("loop").isEmpty()
+        drop_path(spark, f"{path}/{rounds - 1}")
+        if done:
             return best.select("context_id", "name", "value", (F.size("rank") > 0).alias("inherited"))
 
 

@@ -348,6 +348,59 @@ def test_exact_percentiles(spark):
         assert (r["n"], r["failed"], r["age_p50"], r["age_p95"]) == (len(mine), sum(x[3] is not None for x in mine), at(50), at(95))
 
 
+def test_usage_of_the_newest_config(spark):
+    from driftline.operators.configs import usage_edges
+
+    schema = "apiVersion string, kind string, name string, namespace string, uid string, providerConfigRef struct<kind:string,name:string>, at int"
+    rows = [("v", "K", "a", "n", "u1", ("C", "old"), 1), ("v", "K", "a", "n", "u1", ("C", "new"), 2), ("v", "K", "a", "n", "u1", ("C", "zz"), 0)]
+    rows += [("v", "K", f"x{i}", "n", None, ("C", "c"), 1) for i in range(5)] + [("v", "K", "x0", "n", None, ("C", "later"), 9)]
+    got = sorted((r["resourceRef"]["name"], r["providerConfigRef"]["name"]) for r in usage_edges(spark.createDataFrame(rows, schema), "at").collect())
+    assert got == [("a", "new"), ("x0", "later"), ("x1", "c"), ("x2", "c"), ("x3", "c"), ("x4", "c")]
+
+
+def test_an_answer_without_version_information_keeps_what_was(spark):
+    from driftline.operators.observe import flow_current
+
+    flows = spark.createDataFrame([("f",), ("g",)], "k string")
+    info = spark.createDataFrame([("f", None, None, False), ("g", "3", "STALE", False)], "k string, version string, state string, failed boolean")
+    info = info.withColumn("version", F.try_parse_json("version"))
+    prior = spark.createDataFrame([("f", 7, True), ("g", 1, False)], "k string, current_version int, stale boolean")
+    got = {r["k"]: (r["current_version"], r["stale"]) for r in flow_current(flows, info, prior, "k").collect()}
+    assert got == {"f": (7, True), "g": (3, True)}
+
+
+def test_named_rows_without_names_and_owners(spark):
+    schema = "o string, position int, name string, value string, description string"
+    desired = spark.createDataFrame([("c", 0, None, "1", None)], schema)
+    observed = spark.createDataFrame([("c", 0, "", "2", None), ("undeclared", 0, "a", "1", None)], schema).withColumn("has_body", F.lit(True))
+    assert [tuple(r) for r in diff_named_rows(desired, observed, "o").collect()] == [("c", "parameter_value:")]
+
+
+def test_long_lists_of_names(spark):
+    """Tens of thousands of entries in one row, some repeated on either side."""
+    from driftline.functions.compare import named_list_diff
+
+    n = 20_000
+    want = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+        F.concat(F.lit("p"), i.cast("string")).alias("name"), F.lit("v").alias("value"), F.lit("").alias("description"), F.lit(False).alias("sensitive")))
+    have = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.struct(
+        F.concat(F.lit("p"), F.pmod(i * 7, F.lit(n)).cast("string")).alias("name"), F.when(i % 1000 == 0, "x").otherwise("v").alias("value"), F.lit("").alias("description")).alias("parameter")))
+    rows = spark.range(1).select(want.alias("w"), have.alias("h")).select(F.explode(named_list_diff(F.col("w"), F.col("h"))).alias("r")).collect()
+    assert len(rows) == n // 1000 and all(r["r"].startswith("parameter_value:p") for r in rows)
+    small = spark.sql("""SELECT array(named_struct('name','a','value','1','description',''), named_struct('name','a','value','2','description','d'), named_struct('name','b','value','1','description','')) w,
+      array(named_struct('parameter', named_struct('name','a','value','9','description','')), named_struct('parameter', named_struct('name','a','value','2','description','e'))) h""")
+    got = [r[0] for r in small.select(F.explode(named_list_diff(F.col("w"), F.col("h")))).collect()]
+    assert got == ["parameter_count", "parameter_value:a", "parameter_description:a", "parameter:b"]
+
+
+def test_limits_in_any_unit(spark):
+    edges = spark.createDataFrame([("n", "100 nanos"), ("u", "5 micros"), ("x", "30 foo"), ("z", "0 sec"), ("e", "")], "connection_id string, flowFileExpiration string")
+    queue = edges.select("connection_id", F.expr("timestamp_ntz '2024-01-01 00:00:00'").alias("entered"))
+    as_of = F.expr("timestamp_ntz '2024-01-01 00:00:00.000004'")
+    assert {r["connection_id"] for r in dataflow.expire(queue, edges, as_of).collect()} == {"u", "x", "z", "e"}
+    assert [r["connection_id"] for r in dataflow.unreadable_limits(edges).collect()] == ["x"]
+
+
 def test_writes_without_a_key(spark):
     now = spark.createDataFrame([("a", 1)], "key string, revision bigint")
     writes = spark.createDataFrame([(None, 0, 1), (None, 3, 2), ("a", 1, 3), ("a", 1, 4), ("b", 0, 5)], "key string, revision bigint, seq int")
