@@ -23,7 +23,7 @@ from driftline.llm.batches import column_values, ship
 from driftline.llm.pieces import byte_pieces
 
 #: Ids of a sequence, and bytes of a shard, about.
-LENGTH, SHARD_BYTES = 256, 32 << 20
+LENGTH, SHARD_BYTES = 256, 16 << 20
 ROUNDS = 6
 #: doc_id, place in the document (the top bit: no id), ids that are not padding.
 HEAD = "<qII"
