@@ -56,10 +56,10 @@ def rows_to_rows(
     mapInArrow without a shuffle; nothing outlives a task but what ``make`` keeps in its module.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType
 
     ship(df.sparkSession)
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.text import ascii_lower
+from driftline.llm.text import all_columns, ascii_lower
 from driftline.session import scratch_path
 
 #: A chunk ends at the first sentence end past the least length, or at the greatest length.
@@ -109,4 +109,4 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Only rows that repeat both id and text meet in a window; it uses the join's own order.
     same = Window.partitionBy("_exact_id", "_exact_sha").orderBy("_exact_id")
     rows = keyed.join(kept, ["_exact_id", "_exact_sha"], "left_semi").withColumn("_exact_row", F.row_number().over(same))
-    return rows.where("_exact_row = 1").select(*docs.columns)
+    return rows.where("_exact_row = 1").select(*all_columns(docs))

@@ -215,4 +215,6 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float, text_col:
                 found = m.predict([grams(t.as_py() or "", m.table, flags) for t in part.column(at)])
                 yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Numbered names on the way, as a name with a dot would not pass.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

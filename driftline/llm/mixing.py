@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.llm.text import all_columns
 from driftline.session import scratch_path
 
 #: The table of a Poisson distribution reaches so many standard deviations, and so many
@@ -63,15 +64,15 @@ def poisson_tables(rates: DataFrame) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 7,
-    id_col: str = "doc_id", source_col: str = "source",
+    id_col: str = "doc_id", source_col: str = "source", copy_col: str = "copy", key_col: str = "mix_key",
 ) -> DataFrame:
-    """The rows of ``docs``, each as often as drawn, in a random order, with copy and mix_key.
+    """The rows of ``docs``, each as often as drawn, in a random order, with the number of the copy and the key of the order.
 
     The number of copies inverts the Poisson distribution of the source's rate at a point
     that is a hash of seed and id, so runs and retries agree; rows that share an id are
     drawn alike, and null is an id of its own. A null source is a source of its own. Sources of weight 0
     do not appear. Tasks get rows by a hash of (seed, id, copy) and sort them by it, which
-    is the global shuffle. Columns of ``docs`` named copy or mix_key give way to the result's.
+    is the global shuffle. Columns of ``docs`` named as ``copy_col`` or ``key_col`` give way to them.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "mix")
@@ -80,7 +81,7 @@ def mix_sources(
     tables = spark.read.parquet(path).select(
         F.col("source").alias("_mix_source"), F.col("first").alias("_mix_first"), F.col("table").alias("_mix_table")
     )
-    columns = [c for c in docs.columns if c not in ("copy", "mix_key")]
+    columns = all_columns(docs, (copy_col, key_col))
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     point = hash_bits(F.lit(str(seed)), id_text) / F.lit(float(2**52))
     # The point is bound once by the outer transform; a plain reference would be hashed for every cell.
@@ -88,6 +89,6 @@ def mix_sources(
     drawn = docs.join(tables, F.col(source_col).eqNullSafe(F.col("_mix_source"))).select(
         *columns, (F.col("_mix_first") + copies).cast("int").alias("_mix_copies")
     )
-    rows = drawn.where("_mix_copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("copy"))
-    keyed = rows.withColumn("mix_key", hash_bits(F.lit(str(seed + 1)), id_text, F.col("copy").cast("string")))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    rows = drawn.where("_mix_copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias(copy_col))
+    keyed = rows.withColumn(key_col, hash_bits(F.lit(str(seed + 1)), id_text, F.col(copy_col).cast("string")))
+    return keyed.repartition(key_col).sortWithinPartitions(key_col)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.batches import blocks, rows_to_rows, ship
 from driftline.llm.components import components, written
+from driftline.llm.text import all_columns
 
 SEED = 42
 BITS = 64
@@ -250,4 +251,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.withColumns({"_near_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "_near_key": F.xxhash64(text_col)})
     same = Window.partitionBy("_near_id", "_near_key").orderBy("_near_id")
     rows = keyed.join(kept, ["_near_id", "_near_key"], "left_semi").withColumn("_near_row", F.row_number().over(same))
-    return rows.where("_near_row = 1").select(*docs.columns)
+    return rows.where("_near_row = 1").select(*all_columns(docs))

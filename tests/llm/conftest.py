@@ -27,7 +27,7 @@ def odd_docs(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     from pyspark.sql import functions as F
 
-    return df.select("*", *[F.lit("x").alias(c) for c in extra])
+    return df.select("*", *[F.lit("x").alias(c) for c in extra], F.lit(1).alias("a.b"))
 
 
 @pytest.fixture(scope="session")
