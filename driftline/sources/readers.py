@@ -53,6 +53,10 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for source, text in zip(batch["source"], batch["text"], strict=True):
             position = 0
+            if str(source).endswith(".json"):
+                # One document as it is.
+                rows.append((source, position, text, None))
+                continue
             try:
                 for document in yaml.load_all(text, Loader=loader):
                     if document is not None:
@@ -68,7 +72,8 @@ def parse_manifests(texts: DataFrame, source: str, text: str) -> DataFrame:
     """Documents of multi-document YAML texts: source, position, JSON document, error.
 
     Decoding YAML is the only Python step; it runs per partition on Arrow batches. A
-    text that breaks off keeps its documents before the fault and adds an error row.
+    text that breaks off, or that JSON cannot say, keeps its documents before the fault and adds
+    an error row. A source that ends in ``.json`` is one document as it stands.
     """
     return texts.select(
         F.col(source).cast("string").alias("source"), F.col(text).alias("text")
@@ -96,23 +101,10 @@ def read_manifests(
 ) -> DataFrame:
     """Desired resources of ``kind`` from the YAML or JSON files below ``path``.
 
-    JSON files hold one document each and skip the Python step.
+    JSON files hold one document each. Every file is read once.
     """
-    files = (
-        spark.read.text(path, wholetext=True)
-        .withColumn("source", F.input_file_name())
-        .withColumnRenamed("value", "text")
-    )
-    is_json = F.endswith("source", F.lit(".json"))
-    decoded = parse_manifests(files.where(~is_json), "source", "text")
-    direct = files.where(is_json).select(
-        "source",
-        F.lit(0).alias("position"),
-        F.col("text").alias("document"),
-        F.lit(None).cast("string").alias("error"),
-    )
-    documents = decoded.unionByName(direct)
-    return manifest_resources(documents, kind, version_field=version_field)
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("text"))
+    return manifest_resources(parse_manifests(files, "source", "text"), kind, version_field=version_field)
 
 
 def _flow_fields(entity: Column, prior: dict[str, Column]) -> dict[str, Column]:

@@ -165,3 +165,24 @@ def test_printer_columns_without_conditions(spark):
         CAST(NULL AS ARRAY<STRUCT<type: STRING, status: STRING>>) AS conditions""")
     row = printer_columns(df, F.expr("TIMESTAMP '2024-01-01 00:01:30'")).first()
     assert tuple(row) == ("n", None, None, "e", 90)
+
+
+def test_what_json_cannot_say_is_an_error_row(spark):
+    texts = spark.createDataFrame([("a", "kind: X\n---\n2024-01-01: y\n"), ("b", "kind: Y\n")], "source string, text string")
+    got = {(r["source"], r["position"]): (r["document"], r["error"]) for r in readers.parse_manifests(texts, "source", "text").collect()}
+    assert got["a", 0] == ('{"kind": "X"}', None) and got["b", 0] == ('{"kind": "Y"}', None)
+    assert got["a", 1][0] is None and got["a", 1][1]
+
+
+def test_status_and_selectors_are_read(spark):
+    import json
+
+    doc = {"kind": "Processor", "metadata": {"name": "p"}, "status": {"atProvider": {"id": "i", "version": 4, "runStatus": "Running"}}}
+    config = {"kind": "ProviderConfig", "spec": {"credentials": {"source": "Environment", "env": {"name": "E"}, "fs": {"path": "/p"}}, "theVersion": 1}}
+    rows = spark.createDataFrame([(json.dumps(doc),), (json.dumps(config),)], "document string")
+    status = readers.manifest_resources(rows, "Processor").select("resource.status.atProvider.*").collect()
+    assert [(r["id"], r["version"], r["runStatus"]) for r in status] == [("i", 4, "Running")]
+    found = readers.manifest_resources(rows, "ProviderConfig", version_field="theVersion").select("resource.spec.*").collect()
+    assert [(r["credentials"]["env"]["name"], r["credentials"]["fs"]["path"], r["systemVersion"]) for r in found] == [("E", "/p", 1)]
+    with pytest.raises(ValueError):
+        readers.manifest_resources(rows, "ProviderConfig")
