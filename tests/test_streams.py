@@ -166,3 +166,20 @@ def test_generator_stream(spark, tmp_path):
     finally:
         query.stop()
     assert [r["sequence"] for r in seen[:6]] == [0, 1, 2, 3, 4, 5] and seen[0]["content"] == "xxxx"
+
+
+@pytest.mark.parametrize("name", ["stream_desired_changed", "stream_state_metrics", "stream_observe", "stream_check_all"])
+def test_plans_inside_micro_batches(spark, folder, monkeypatch, name):
+    """What a micro-batch writes has no cross join, no shuffle into one task and no Python."""
+    import __spark_entry__ as contract
+    from test_scale import BAD
+
+    plans, write = [], streams._replace
+
+    def keep(rows, out, epoch, *more):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(rows, out, epoch, *more)
+
+    monkeypatch.setattr(streams, "_replace", keep)
+    contract.queries()[name](spark, folder)
+    assert plans and not [p for p in plans if BAD.search(p)]
