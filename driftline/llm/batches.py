@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -36,13 +38,15 @@ def ship(spark: SparkSession) -> None:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     root = os.path.dirname(package)
-    # addPyFile uploads the driver's copy; workers get it from the driver.
-    path = os.path.join(tempfile.mkdtemp(prefix="driftline-"), "driftline.zip")
+    # The driver serves its copy to the workers until it ends.
+    folder = tempfile.mkdtemp(prefix="driftline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "driftline.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(package):
+        for place, _, names in os.walk(package):
             for name in names:
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(place, name)
                     z.write(full, os.path.relpath(full, root))
     context.addPyFile(path)
     context._driftline_shipped = True
