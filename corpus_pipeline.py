@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, exact, language, mixing, simhash
+from driftline.llm import bpe, exact, language, mixing, simhash, similar
 from driftline.llm.components import written
 from driftline.llm.queries import vocabulary
 
@@ -32,7 +32,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source gets the same share of rows: documents repeat, or are left out, as drawn; in random order."""
+    """Of documents linked by a similarity of 0.8 or more on five-word shingles the one with the least id stays; then
+    every source gets the same share of rows: documents repeat, or are left out, as drawn; in random order."""
+    docs = written(similar.drop_similar(docs), "dissimilar")
     return mixing.mix_sources(docs, copy_col="_mix_copy", key_col="_mix_key").drop("_mix_copy", "_mix_key")
 
 

@@ -1,0 +1,122 @@
+"""Near duplicates by the Jaccard similarity of word shingles, none missed, in DataFrame operations only.
+
+Shingles have one order for all documents. Of two sets of m and n shingles that are alike to four
+fifths, the first n // 5 + 1 of the one and the first m // 5 + 1 of the other share a shingle,
+whatever the order, so that candidates meet by these leading shingles; those that cannot reach the overlap by what they share there go,
+and the others' whole sets are compared. Common shingles come late in the order, which only
+saves work: a sample tells which they are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from driftline.llm.components import components, written
+from driftline.llm.lines import bind
+from driftline.llm.text import all_columns, ascii_lower, word_list
+
+SHINGLE = 5
+#: Documents in the sample that tells common shingles, and buckets of shingles that it counts in.
+SAMPLE, BUCKETS = 8192, 1 << 16
+#: A leading shingle of more documents than this links them to one of them first, and pairs up only what that leaves apart.
+MANY = 64
+
+
+def shingles(text: Column, shingle: int = SHINGLE) -> Column:
+    """Distinct hashes of a text's runs of ``shingle`` words in lower case (A-Z only); of fewer words, or none, one hash of all."""
+
+    def windows(hs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(hs) - (shingle - 1)), lambda i: F.xxhash64(*[F.element_at(hs, i + k) for k in range(shingle)]))
+        return F.when(F.size(hs) < shingle, F.array(F.xxhash64(hs))).otherwise(F.array_distinct(runs))
+
+    return bind(F.transform(word_list(ascii_lower(F.coalesce(text, F.lit("")))), lambda w: F.xxhash64(w)), windows)
+
+
+def common_levels(sets: DataFrame, rows: int) -> list[int]:
+    """For each bucket of hashes how common its commonest shingle is, 0 to 7: logarithms of counts in a sample of ``sets``."""
+    sample = sets.where(F.pmod("node", F.lit(max(1, rows // SAMPLE))) == 0).select(F.explode("hs").alias("h"))
+    counted = sample.groupBy("h").count().where("count > 1").select(F.pmod("h", F.lit(BUCKETS)).cast("int").alias("bucket"), "count")
+    levels = [0] * BUCKETS
+    for bucket, count in counted.groupBy("bucket").agg(F.max("count")).collect():
+        levels[bucket] = min(7, count.bit_length() - 1)
+    return levels
+
+
+def leading(sets: DataFrame, levels: list[int]) -> DataFrame:
+    """token, node, n: the first n // 5 + 1 of the n shingles of each of ``sets``, the common ones last."""
+    level = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    token = lambda h: F.shiftleft(F.element_at(level, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1), 60).bitwiseOR(F.shiftrightunsigned(h, 4))
+    first = bind(F.col("hs"), lambda hs: F.struct(F.size(hs).alias("n"), F.slice(F.sort_array(F.transform(hs, token)), 1, F.floor(F.size(hs) / 5).cast("int") + 1).alias("tokens")))
+    return sets.select("node", first.alias("f")).select(F.explode("f.tokens").alias("token"), "node", F.col("f.n").alias("n"))
+
+
+def could_be(n: Column, m: Column) -> Column:
+    """Whether sets of these sizes can be alike to four fifths."""
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
+def hopeful(pairs: DataFrame) -> DataFrame:
+    """a, b of those ``pairs`` (a, b, na, nb, a row per shared leading shingle) whose overlap can reach four fifths.
+
+    What is not shared among the leading shingles lies behind those of the one whose last comes first.
+    """
+    behind = lambda n: n - F.floor(n / 5) - 1
+    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    na, nb = F.col("na"), F.col("nb")
+    return shared.where(9 * (F.col("c") + F.greatest(behind(na), behind(nb))) >= 4 * (na + nb)).select("a", "b")
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: those ``pairs`` of nodes whose sets have a Jaccard similarity of 0.8 or more."""
+    pairs = written(pairs, "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = written(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "candidate-sets")
+    for end in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("hs").alias(f"h{end}")), end)
+    overlap = F.size(F.array_intersect("ha", "hb"))
+    return written(pairs.where(9 * overlap >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b"), "alike")
+
+
+def similar_links(sets: DataFrame, rows: int) -> DataFrame:
+    """a, b: links that connect just those nodes of ``sets`` (node, hs) that chains of pairs alike to four fifths connect."""
+    index = written(leading(sets, common_levels(sets, rows)), "leading-shingles")
+    tokens = index.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("many")).where("pivot <> last")
+    shared = written(index.join(tokens.drop("last"), "token"), "shared-shingles")
+    # Of a shingle of many documents all are held against one first, so that dense groups become one class.
+    sizes = shared.select(F.col("node").alias("a"), F.col("n").alias("na")).distinct()
+    spokes = shared.where((F.col("many") > MANY) & (F.col("node") != F.col("pivot"))).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.first("n").alias("nb"))
+    near = spokes.join(sizes, "a").where(could_be(F.col("na"), F.col("nb"))).select("a", "b")
+    first = alike(near, sets)
+    roots = components(first)
+    # The rest pairs up inside each shingle, unless both are of one class already. Of two classes one is not the greatest.
+    classed = shared.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("class"))
+    weight = written(roots.groupBy(F.col("root").alias("class")).agg(F.count("*").alias("weight")), "class-weights")
+    weighed = classed.join(weight, "class", "left").select("token", F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), "class").alias("w"))
+    groups = weighed.groupBy("token").agg(F.min("w").alias("least"), F.max("w").alias("main")).where("least <> main").select("token", F.col("main.class").alias("main"))
+    members = written(classed.join(groups, "token"), "classed-shingles")
+    one = members.where("class <> main").select("token", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "class")])
+    two = members.select("token", "main", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "class")])
+    meet = (F.col("class1") != F.col("class2")) & ((F.col("class2") == F.col("main")) | (F.col("node1") < F.col("node2"))) & could_be(F.col("n1"), F.col("n2"))
+    met = one.withColumnRenamed("token", "token1").join(two, (F.col("token1") == F.col("token")) & meet)
+    swap = F.col("node1") > F.col("node2")
+    end = lambda c, x, y: F.when(swap, F.col(c + y)).otherwise(F.col(c + x))
+    pairs = met.select(end("node", "1", "2").alias("a"), end("node", "2", "1").alias("b"), end("n", "1", "2").alias("na"), end("n", "2", "1").alias("nb"))
+    return first.unionByName(alike(hopeful(pairs), sets))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` without those that chains of pairs with a similarity of 0.8 or more link to a lesser id, all columns as they are.
+
+    The similarity is Jaccard's, of the sets of shingles of ``shingle`` words; no pair that
+    reaches it is missed. Null ids are the greatest; rows that repeat id and text stay together.
+    """
+    node = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_col)
+    sets = docs.select(node.alias("node"), shingles(F.col(text_col), shingle).alias("hs"))
+    roots = components(similar_links(sets, docs.count()))
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "node")
+    ranked = docs.select(node.alias("node"), F.col(id_col)).join(roots, "node").select("root", order.alias("at"))
+    ranked = written(ranked, "similar")
+    least = written(ranked.groupBy("root").agg(F.min("at")["node"].alias("kept")), "least")
+    gone = written(ranked.join(least, "root").where("at.node <> kept").select(F.col("at.node").alias("_similar")).distinct(), "gone")
+    return docs.withColumn("_node", node).join(gone, F.col("_node") == F.col("_similar"), "left_anti").select(*all_columns(docs))

@@ -1,0 +1,71 @@
+"""Near duplicates by similarity, in the pipeline and by themselves, against brute force."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from driftline.llm import similar
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def alike(a, b):
+    return len(a & b) * 5 >= len(a | b) * 4
+
+
+def least(texts):
+    sets = {i: shingles(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in texts:
+        for j in texts:
+            if j < i and alike(sets[i], sets[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted({find(i) for i in texts})
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Texts alike to various degrees: single ones, and copies of one text, more than MANY, with further edits on the way."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    out = ["", None, " \n", "one two", "One  two"]
+    for k in range(60):
+        base = [word() for _ in range(rng.choice([12, 40, 120, 300]))]
+        out.append(" ".join(base))
+        for _ in range(2 if k else 90):
+            edited = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, len(base) // 40])):
+                edited[rng.randrange(len(edited))] = word()
+            out.append(" ".join(edited[rng.choice([0, 0, 3]) :]))
+    rng.shuffle(out)
+    return dict(enumerate(out))
+
+
+@pytest.mark.parametrize("many", [similar.MANY, 1])
+def test_no_pair_is_missed(spark, texts, many, monkeypatch):
+    monkeypatch.setattr(similar, "MANY", many)
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], SCHEMA)
+    got = similar.drop_similar(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == least(texts)
+
+
+def test_pipeline_keeps_no_similar_pair(spark, texts, folder):
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], SCHEMA)
+    mixed = corpus_pipeline.mix_sources(spark, corpus_pipeline.simhash_dedup(spark, docs, folder), folder)
+    sets = {r.doc_id: shingles(r.text) for r in mixed.collect()}
+    assert len(sets) > 30
+    assert not [(i, j) for i in sets for j in sets if i < j and alike(sets[i], sets[j])]
