@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, exact, html, language, lines, mixing, pieces, shards, simhash, warc
+from driftline.llm import audit, bpe, exact, html, language, lines, mixing, pieces, resample, shards, simhash, topk, warc
 from driftline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,56 @@ def op8_training_order(spark, folder):
     shards.write_shards(table(spark, folder, "documents"), out, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = shards.read_shards(spark, out)
     return rows.select("slot", "doc_id", "seq", "n_ids", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+@query("op11_top_scores", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20""")
+def op11_top_scores(spark, folder):
+    return topk.top_scores(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+# The SQL takes the CRC-32 of distinct words: their bytes through the table of all bytes, one after the other.
+@query("op12_resample", r"""
+WITH bits AS (SELECT b, list_reduce([b::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END) AS t
+ FROM range(256) AS r(b)),
+tab AS (SELECT list(t ORDER BY b) AS t FROM bits),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+bench AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+dw AS (SELECT doc_id, unnest(words) AS w FROM d), bw AS (SELECT unnest(words) AS w FROM bench),
+names AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT)),
+ lambda x, y: xor(x >> 8, t[(xor(x, y) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 10000 AS bucket FROM names, tab),
+s AS (SELECT bucket, count(*)::DOUBLE AS s FROM dw JOIN crc USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*)::DOUBLE AS t FROM bw JOIN crc USING (w) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS g
+ FROM s LEFT JOIN t USING (bucket)),
+weight AS (SELECT doc_id, count(*) AS n, sum(g)::BIGINT AS weight FROM dw JOIN crc USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT d.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+ coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score
+ FROM d LEFT JOIN weight USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+SELECT doc_id, n_words, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM ranked""")
+def op12_resample(spark, folder):
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+f AS (SELECT doc_id, part, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t))::INT
+ + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT i, substr('ABCDE', i + 1, 1) AS x FROM range(5) AS r(i)),
+orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o, a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+ WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT filter_order, step, 1 << o[step]::INT AS bit, coalesce(list_sum(list_transform(o[1:step - 1], lambda i: 1 << i::INT)), 0)::INT AS before FROM orders, range(1, 6) AS r(step)),
+m AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+ sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+ sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+ sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM cells, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM m""")
+def op13_filter_audit(spark, folder):
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
