@@ -34,11 +34,11 @@ def with_previous(
 
     Every key, null included, is worked on in slices, each a group of its own, so that a hot
     one spreads over as many tasks as it has slices. ``slice_by`` must never fall as
-    ``order`` rises; by default it is ``even_slices`` of the first order column. The row
+    ``order`` rises; by default it is ``even_slices`` of the order. The row
     before the first of a slice is the last of a slice before: first and last rows, few as
     they are, meet once more by key. Both passes read one shuffle of the log.
     """
-    cut = even_slices(log, order[0]) if slice_by is None else slice_by
+    cut = even_slices(log, order) if slice_by is None else slice_by
     # The state is a column of its own, so that both passes want the same shuffle.
     state = F.col("_state")
     here = W.partitionBy(*key, "_slice").orderBy(*order)
@@ -58,42 +58,41 @@ def with_previous(
     )
 
 
-def even_slices(log: DataFrame, column: str, slices: int | None = None) -> Column:
+#: Rows per slice that ``even_slices`` looks at.
+SLICE_SAMPLE = 64
+
+
+def even_slices(log: DataFrame, order: list[str], slices: int | None = None) -> Column:
     """A ``slice_by`` for ``with_previous`` with about as many rows in each slice.
 
-    Takes one pass over the column, of which only the slice bounds come back; they follow
-    the rows, so a key whose rows crowd into an hour is cut inside that hour. Equal values
-    stay together. A column that is neither a number nor a time gives one slice.
+    Takes one pass over the columns of ``order``, whatever their types; the bounds are rows of a
+    random sample, so that they follow the rows: a key whose rows crowd into an hour, or
+    into one value that only the next column tells apart, is cut there. Rows that are equal in all of ``order`` stay together.
     """
-    kind = dict(log.dtypes)[column]
-    if kind == "timestamp_ntz":
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        number = F.timestamp_diff("MICROSECOND", epoch, F.col(column)).cast("double")
-    elif kind in ("timestamp", "date"):
-        number = F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        number = F.col(column).cast("double")
-    else:
-        return F.lit(0)
     if slices is None:
         slices = min(MOST_SLICES, int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / slices for i in range(1, slices)]
-    bounds = sorted(set(log.select(number.alias("x")).approxQuantile("x", shares, 0.1 / slices)))
-    return F.lit(0) if not bounds else F.coalesce(_bucket(number, bounds), F.lit(-1))
+    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(order)]
+    kinds = [f.dataType for f in log.select(*columns).schema.fields]
+    names = [f"c{i}" for i in range(len(order))]
+    # Rows with the least of a random number each: a sample of fixed size, kept by each task as it reads.
+    sample = log.select(*columns).orderBy(F.rand(7)).limit(SLICE_SAMPLE * slices).orderBy(*names).collect()
+    wide = len(sample) / slices
+    bounds = list(dict.fromkeys(tuple(sample[int(i * wide)]) for i in range(1, slices) if int(i * wide)))
+    place = F.struct(*[F.col(c) for c in order])
+    cut = [F.struct(*[F.lit(v).cast(k) for v, k in zip(b, kinds, strict=True)]) for b in bounds]
+    return _bucket(place, cut) if cut else F.lit(0)
 
 
-def _bucket(number: Column, bounds: list[float]) -> Column:
-    """How many of the sorted bounds are not above the number, by halving."""
+def _bucket(place: Column, bounds: list[Column]) -> Column:
+    """How many of the sorted bounds are not above the place, by halving."""
 
     def between(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(number >= bounds[middle], between(middle + 1, high)).otherwise(
-            between(low, middle)
-        )
+        return F.when(place >= bounds[middle], between(middle + 1, high)).otherwise(between(low, middle))
 
-    return F.when(number.isNotNull(), between(0, len(bounds)))
+    return between(0, len(bounds))
 
 
 def desired_changed(

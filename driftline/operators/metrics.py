@@ -37,6 +37,21 @@ def state_metrics(resources: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def state_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per kind what ``total``, ``ready`` and ``synced`` change by when the resources ``before`` are replaced by those ``after``."""
+    signed = before.select("kind", "conditions", F.lit(-1).alias("_sign")).unionByName(after.select("kind", "conditions", F.lit(1).alias("_sign")))
+    holds = lambda name: F.when(condition_status(F.col("conditions"), name) == "True", F.col("_sign")).otherwise(0)
+    return signed.groupBy("kind").agg(
+        F.sum("_sign").alias("total"), F.sum(holds("Ready")).alias("ready"), F.sum(holds("Synced")).alias("synced")
+    )
+
+
+def add_deltas(counts: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The counts of ``state_metrics`` after ``deltas``; a kind that has no resource left goes."""
+    both = counts.unionByName(deltas).groupBy("kind")
+    return both.agg(*[F.sum(c).alias(c) for c in ("total", "ready", "synced")]).where("total > 0")
+
+
 #: Bits of an age that each pass of ``reconcile_metrics`` settles; so many bins per group at most.
 AGE_DIGITS = (42, 21, 0)
 SHARES = {"age_p50": 0.5, "age_p95": 0.95}

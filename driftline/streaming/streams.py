@@ -2,8 +2,9 @@
 
 Every query takes ``trigger`` as keyword arguments of ``DataStreamWriter.trigger``.
 Sinks write one folder per micro-batch and overwrite it, so a batch that is run again
-after a failure replaces its own output and nothing else. State is a table of changes per
-micro-batch (``KeyedState``), so every micro-batch is an ordinary batch plan.
+after a failure replaces its own output and nothing else. State is a table in key buckets
+(``KeyedState``) of which a micro-batch opens those of its keys, so every micro-batch is an
+ordinary batch plan whose cost follows the batch.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from driftline.operators.changes import latest_revision, with_previous
-from driftline.operators.metrics import state_metrics
+from driftline.operators.metrics import add_deltas, state_deltas
 from driftline.operators.observe import newest_per_key
 from driftline.plans.reconcile import reconcile
 from driftline.sources.sinks import changelog_rows
@@ -107,7 +108,9 @@ def stream_desired_changed(
 
     def write(batch: DataFrame, epoch: int) -> None:
         state = KeyedState(
-            spark, f"{out}/state", batch.withColumn("_epoch", F.lit(epoch).cast("bigint")).schema, key, ["_epoch", *order], deleted
+            spark, f"{out}/state", batch.withColumn("_epoch", F.lit(epoch).cast("bigint")).schema, key, ["_epoch", *order], deleted,
+            # What arrives later is newer here, so that nothing can come late.
+            lateness=0,
         )
         gone = F.coalesce(F.expr(deleted), F.lit(False)) if deleted else F.lit(False)
         staged = with_previous(batch.withColumn("_gone", gone), key, order, [*fields, "_gone"])
@@ -116,7 +119,7 @@ def stream_desired_changed(
         later = staged.where(F.col("_prev").isNotNull() & ~same).select(*batch.columns)
         firsts = _replace(staged.where("_prev IS NULL").select(*batch.columns), out, epoch, "firsts")
         who = F.struct(*key).alias("_who")
-        last = state.rows(epoch).select(who, F.struct(*fields).alias("_last"))
+        last = state.lookup(firsts, epoch).select(who, F.struct(*fields).alias("_last"))
         met = firsts.withColumn("_who", F.struct(*key)).join(last, "_who", "left")
         changed = met.where(F.col("_last").isNull() | ~F.col("_last").eqNullSafe(now)).select(*batch.columns)
         _replace(later.unionByName(changed), out, epoch)
@@ -128,23 +131,39 @@ def stream_desired_changed(
 
 def stream_state_metrics(
     source: DataFrame, key: list[str], revision: str, tiebreak: list[str], out: str,
-    trigger: dict = METRIC_INTERVAL, deleted: str | None = None,
+    trigger: dict = METRIC_INTERVAL, deleted: str | None = None, lateness: int | None = None,
 ) -> StreamingQuery:
     """Counts per kind of all resources as they are, at each tick.
 
     ``source`` has ``key``, ``kind`` and ``conditions``; a late lower revision changes nothing. Every
-    micro-batch is a tick and writes its counts at once: nothing is dropped or left open.
+    micro-batch is a tick: it takes off the counts what its resources were, adds what they are
+    now, and writes the counts. It reads the counts of the tick before and the state of the
+    batch's buckets, never all resources.
     """
     spark = source.sparkSession
+    order = [revision, *tiebreak]
 
     def write(batch: DataFrame, epoch: int) -> None:
-        state = KeyedState(spark, f"{out}/state", batch.schema, key, [revision, *tiebreak], deleted)
-        state.write(latest_revision(batch, key, revision, tiebreak), epoch)
-        _replace(state_metrics(state.rows(epoch + 1)), out, epoch)
+        state = KeyedState(spark, f"{out}/state", batch.schema, key, order, deleted, lateness)
+        newest = _replace(latest_revision(batch, key, revision, tiebreak), out, epoch, "newest")
+        live = ~F.coalesce(F.expr(deleted), F.lit(False)) if deleted else F.lit(True)
+        facts = F.struct(F.struct(*order).alias("order"), "kind", "conditions", live.alias("live"))
+        now = newest.select(F.struct(*key).alias("_who"), facts.alias("now"))
+        known = state.lookup(newest, epoch, ended=True).select(F.struct(*key).alias("_who"), facts.alias("was"))
+        met = now.join(known, "_who", "left").where("was IS NULL OR now.order >= was.order")
+        deltas = state_deltas(met.where("was.live").select("was.*"), met.where("now.live").select("now.*"))
+        _replace(add_deltas(_counts(spark, out, epoch), deltas), out, epoch)
+        state.write(newest, epoch)
 
     return _start(source, out, trigger, "append", write)
 
 
+def _counts(spark: SparkSession, out: str, epoch: int) -> DataFrame:
+    """The counts of the tick before ``epoch``: a row per kind."""
+    schema = "kind string, total bigint, ready bigint, synced bigint"
+    return spark.read.schema(schema).parquet(f"{out}/rows/epoch={epoch - 1}") if epoch else spark.createDataFrame([], schema)
+
+
 def stream_rows(source: DataFrame, out: str, trigger: dict = POLL) -> StreamingQuery:
     """Append rows, such as those of ``log_lines``, as they come."""
     return (
@@ -166,17 +185,17 @@ def stream_changelog(
 
 def stream_latest_status(
     source: DataFrame, key: list[str], revision: str, tiebreak: list[str], out: str,
-    trigger: dict = POLL, deleted: str | None = None,
+    trigger: dict = POLL, deleted: str | None = None, lateness: int | None = None,
 ) -> StreamingQuery:
-    """Keep the newest status per resource; late lower revisions change nothing.
+    """Keep the newest status per resource; late lower revisions change nothing, also those of a resource that ``deleted`` has ended.
 
-    A micro-batch writes the newest row of each resource it speaks of. ``read_status_rows``
-    folds the last base and the changes since.
+    A micro-batch writes the newest row of each resource it speaks of. Rows may come ``lateness``
+    micro-batches after the end of their resource, any number by default.
     """
     spark = source.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        state = KeyedState(spark, f"{out}/state", batch.schema, key, [revision, *tiebreak], deleted)
+        state = KeyedState(spark, f"{out}/state", batch.schema, key, [revision, *tiebreak], deleted, lateness)
         state.write(latest_revision(batch, key, revision, tiebreak), epoch)
         spark.range(1).select(F.lit(epoch + 1).alias("epochs")).coalesce(1).write.mode("overwrite").json(f"{out}/epochs")
 
@@ -184,9 +203,18 @@ def stream_latest_status(
 
 
 def read_status_rows(
-    source: DataFrame, out: str, key: list[str], revision: str, tiebreak: list[str], deleted: str | None = None
+    source: DataFrame, out: str, key: list[str], revision: str, tiebreak: list[str], deleted: str | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """The latest status per resource of a ``stream_latest_status`` of rows like ``source``'s."""
+    """The latest status per resource of a ``stream_latest_status`` of rows like ``source``'s.
+
+    ``only`` names resources by their ``key``: no bucket but theirs is opened.
+    """
     spark = source.sparkSession
     epochs = spark.read.schema("epochs int").json(f"{out}/epochs").first()["epochs"]
-    return KeyedState(spark, f"{out}/state", source.schema, key, [revision, *tiebreak], deleted).rows(epochs)
+    state = KeyedState(spark, f"{out}/state", source.schema, key, [revision, *tiebreak], deleted)
+    if only is None:
+        return state.rows(epochs)
+    wanted = only.select(*key).distinct()
+    who = lambda df: df.withColumn("_who", F.struct(*key))
+    return who(state.lookup(wanted, epochs)).join(who(wanted).select("_who"), "_who", "left_semi").drop("_who")

@@ -70,7 +70,7 @@ def test_a_key_inside_one_hour_is_cut(spark):
     hour = spark.range(6000).select(
         F.lit("k").alias("key"), F.col("id").alias("seq"), (F.col("id") % 3).alias("state"),
         F.expr("timestamp_ntz '2024-01-16 10:00:00' + make_dt_interval(0, 0, 0, id * 0.5)").alias("ts"))
-    cut = hour.select(changes.even_slices(hour, "ts", 16).alias("s")).groupBy("s").count().collect()
+    cut = hour.select(changes.even_slices(hour, ["ts"], 16).alias("s")).groupBy("s").count().collect()
     assert len(cut) > 12 and max(r["count"] for r in cut) < 1200
     assert changes.desired_changed(hour, ["key"], ["ts", "seq"], ["state"]).count() == 6000
 
@@ -86,7 +86,7 @@ def test_the_log_is_read_once(spark, folder):
 def test_even_slices_of_a_crowded_history(spark, skewed):
     crowded = [(k, t if t < 100 else 100 + t % 7, seq, s) for k, t, seq, s in skewed]
     df = spark.createDataFrame(crowded, LOG).repartition(7)
-    slices = changes.even_slices(df, "t", 16)
+    slices = changes.even_slices(df, ["t"], 16)
     assert 3 < df.select(slices).distinct().count() <= 16
     # A slice never falls as the order rises.
     spans = df.groupBy(slices.alias("s")).agg(F.min("t").alias("low"), F.max("t").alias("high")).orderBy("s").collect()
@@ -95,6 +95,21 @@ def test_even_slices_of_a_crowded_history(spark, skewed):
     assert sorted(r["seq"] for r in kept) == sorted(s for _, s, state, p in walk(crowded) if p != state)
 
 
+@pytest.mark.parametrize("kind", ["string", "timestamp_ntz", "decimal(20,3)", "bigint"])
+def test_a_crowded_column_of_any_type_is_cut(spark, kind):
+    """One value of the first column for most rows: the tie-break cuts it; a text column is cut like a number."""
+    first = {"timestamp_ntz": "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, least(id, 50))"}.get(kind, f"cast(least(id, 50) + 10 as {kind})")
+    log = spark.range(0, 8000, 1, 4).select(F.lit("k").alias("key"), F.expr(first).alias("at"), F.col("id").cast("string").alias("tie"), (F.floor(F.col("id") / 3) % 2).alias("state"))
+    cut = log.groupBy(changes.even_slices(log, ["at", "tie"], 16).alias("s")).count().collect()
+    assert len(cut) == 16 and max(r["count"] for r in cut) < 1000
+    kept = changes.desired_changed(log, ["key"], ["at", "tie"], ["state"])
+    before, want = None, 0
+    for r in log.orderBy("at", "tie").collect():
+        want += r["state"] != before
+        before = r["state"]
+    assert kept.count() == want
+
+
 def test_null_states_are_values(spark):
     rows = [("k", 1, 1, None), ("k", 2, 2, None), ("k", 3, 3, "a"), ("k", 4, 4, None)]
     df = spark.createDataFrame(rows, LOG)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators.changes import desired_changed, latest_revision
 from driftline.sources import generate
 from driftline.streaming import streams
+from driftline.streaming.state import KeyedState, due
 
 ALL = {"availableNow": True}
 SCHEMA = "user_id bigint, ts timestamp, event_id bigint, event_type string"
@@ -59,12 +62,10 @@ def test_a_deleted_key_starts_anew(spark, tmp_path):
     assert sorted(r["seq"] for r in streams.read_rows(spark, out).collect()) == [1, 3, 4, 6, 7, 8]
 
 
-@pytest.mark.parametrize("fold", [1, 2, 3, 50])
-def test_state_is_the_same_however_it_is_folded(spark, tmp_path, fold):
-    from driftline.streaming.state import KeyedState
-
+@pytest.mark.parametrize("fanout, buckets", [(2, 1), (2, 64), (3, 2), (50, 4)])
+def test_state_is_the_same_however_it_is_merged(spark, tmp_path, fanout, buckets):
     schema = spark.createDataFrame([], "k string, rev bigint, gone boolean").schema
-    state = KeyedState(spark, str(tmp_path / "s"), schema, ["k"], ["rev"], "gone", fold)
+    state = KeyedState(spark, str(tmp_path / "s"), schema, ["k"], ["rev"], "gone", buckets=buckets, fanout=fanout)
     want = {}
     for epoch in range(9):
         rows = [(f"k{epoch % 3}", epoch, False), (f"d{epoch % 2}", epoch, epoch % 4 == 3), ("late", 100 - epoch, False)]
@@ -77,6 +78,94 @@ def test_state_is_the_same_however_it_is_folded(spark, tmp_path, fold):
     assert {r["k"]: r["rev"] for r in state.rows(9).collect()} == {k: v for k, (v, gone) in want.items() if not gone}
 
 
+def test_levels_of_a_bucket():
+    """A full level becomes one run of the next; runs stay logarithmic in number."""
+    runs, most = [], 0
+    for epoch in range(300):
+        runs.append((0, epoch))
+        if found := due(runs, 4):
+            keep, level = found
+            runs = [*runs[:keep], (level, epoch)]
+        most = max(most, len(runs))
+        levels = [level for level, _ in runs]
+        assert levels == sorted(levels, reverse=True) and all(levels.count(x) < 4 for x in levels)
+    assert most <= 3 * 5
+
+
+def test_a_batch_opens_its_own_buckets_only(spark, tmp_path):
+    schema = spark.createDataFrame([], "k bigint, rev bigint, text string").schema
+    state = KeyedState(spark, str(tmp_path / "s"), schema, ["k"], ["rev"], buckets=64, fanout=3)
+    for epoch in range(7):
+        state.write(spark.range(20_000).select(F.col("id").alias("k"), F.lit(epoch).cast("bigint").alias("rev"), F.sha2(F.col("id").cast("string"), 256).alias("text")), epoch)
+    one = spark.createDataFrame([(17, 9, "x")], schema)
+    found = state.lookup(one, 7)
+    everything = state.rows(7).inputFiles()
+    (bucket,) = state.buckets_of(one, 7)
+    assert found.where("k = 17").first()["rev"] == 6 and 100 < found.count() < 700
+    assert 0 < len(found.inputFiles()) * 40 < len(everything) and all(f"_bucket={bucket}/" in f for f in found.inputFiles())
+    size = lambda files: sum(os.path.getsize(f.removeprefix("file://")) for f in files)
+    assert size(found.inputFiles()) * 40 < size(everything)
+    # What a batch of one key writes, a merge included, is of its bucket.
+    for epoch in (7, 8, 9):
+        state.write(one, epoch)
+    folders = [f for f in os.listdir(tmp_path / "s") if f.split("=")[0] in ("changes", "merged") and int(f.split("=")[1]) >= 7]
+    assert "merged=8" in folders or "merged=9" in folders or "merged=7" in folders
+    assert {b for f in folders for b in os.listdir(tmp_path / "s" / f) if b.startswith("_bucket")} == {f"_bucket={bucket}"}
+    assert state.rows(10).count() == 20_000
+
+
+def test_a_late_row_does_not_revive_a_deleted_key(spark, tmp_path):
+    schema = spark.createDataFrame([], "k string, rev bigint, gone boolean").schema
+    state = KeyedState(spark, str(tmp_path / "s"), schema, ["k"], ["rev"], "gone", buckets=2, fanout=2)
+    turns = [[("a", 9, False), ("b", 1, False)], [("a", 10, True)], [("b", 2, False)], [("b", 3, False)], [("b", 4, False)], [("a", 9, False)], [("a", 8, False), ("c", 1, True)]]
+    for epoch, rows in enumerate(turns):
+        state.write(spark.createDataFrame(rows, schema), epoch)
+    assert [tuple(r) for r in state.rows(len(turns)).collect()] == [("b", 4, False)]
+    assert {r["k"] for r in state.rows(len(turns), ended=True).collect()} == {"a", "b", "c"}
+    # A newer row does, and a row after the stated lateness may.
+    state.write(spark.createDataFrame([("a", 11, False)], schema), len(turns))
+    assert {r["k"] for r in state.rows(len(turns) + 1).collect()} == {"a", "b"}
+
+
+def test_ended_keys_go_after_the_lateness(spark, tmp_path):
+    schema = spark.createDataFrame([], "k string, rev bigint, gone boolean").schema
+    state = KeyedState(spark, str(tmp_path / "s"), schema, ["k"], ["rev"], "gone", lateness=2, buckets=1, fanout=2)
+    state.write(spark.createDataFrame([("a", 1, True), ("b", 1, False)], schema), 0)
+    state.write(spark.createDataFrame([("b", 2, False)], schema), 1)
+    assert state.rows(2, ended=True).count() == 2
+    for epoch in range(2, 8):
+        state.write(spark.createDataFrame([("b", epoch + 1, False)], schema), epoch)
+    assert [r["k"] for r in state.rows(8, ended=True).collect()] == ["b"]
+
+
+def test_gauges_follow_deletes_late_rows_and_changes_of_kind(spark, tmp_path):
+    """Every tick equals a recount of all rows so far."""
+    import random
+
+    path, out, rng = str(tmp_path / "in"), str(tmp_path / "out"), random.Random(4)
+    schema = "name string, rev int, kind string, ready string, gone boolean"
+    everything = []
+    for _ in range(6):
+        rows = [(f"n{rng.randrange(12)}", rng.randrange(100), rng.choice("PCS"), rng.choice(["True", "False"]), rng.random() < 0.2) for _ in range(8)]
+        everything.append(rows)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path).withColumn(
+            "conditions", F.array(F.struct(F.lit("Ready").alias("type"), F.col("ready").alias("status"))))
+        streams.stream_state_metrics(stream, ["name"], "rev", ["kind", "ready", "gone"], out, ALL, deleted="gone").awaitTermination()
+    for tick in range(6):
+        newest = {}
+        for row in (r for rows in everything[: tick + 1] for r in rows):
+            if row[0] not in newest or row[1:] > newest[row[0]][1:]:
+                newest[row[0]] = row
+        want = {}
+        for _, _, kind, ready, gone in newest.values():
+            if not gone:
+                n, r = want.get(kind, (0, 0))
+                want[kind] = (n + 1, r + (ready == "True"))
+        got = {r["kind"]: (r["total"], r["ready"]) for r in streams.read_rows(spark, out).where(F.col("epoch") == tick).collect()}
+        assert got == want
+
+
 def test_latest_status_ignores_late_revisions(spark, tmp_path):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "k string, rev bigint, seq bigint, state string"
