@@ -12,6 +12,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterable
+from hashlib import sha256
 
 import regex
 from pyspark.sql import DataFrame
@@ -25,8 +26,8 @@ PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 WORD_END = "</w>"
 SPACE = r"\t-\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
-#: Chunks of a text that are encoded at a time.
-BLOCK = 50_000
+#: Chunks of a text that are encoded at a time, and chunks in each generation of the cache.
+BLOCK, CACHED = 50_000, 100_000
 
 
 def byte_characters() -> list[str]:
@@ -86,7 +87,7 @@ class WordBpe:
         self.words = regex.compile(WORD)
         self.odd_space = regex.compile("[\x1c-\x1f]")
         self.chunks = regex.compile(f"[^{SPACE}]+")
-        self.cache = WordCache(self.chunk_ids)
+        self.cache = WordCache(self.chunk_ids, CACHED)
 
     def chunk_ids(self, chunk: str) -> bytes:
         """The ids of a run without white space, as little-endian 32-bit integers."""
@@ -118,10 +119,14 @@ class WordBpe:
 
     def decode(self, ids: bytes) -> str:
         """The strings of the ids, special ones included, joined by spaces: the file names no decoder."""
+        return self.decode_bytes(ids).decode()
+
+    def decode_bytes(self, ids: bytes) -> bytes:
+        """What ``decode`` gives, in UTF-8."""
         numbers = array("I")
         numbers.frombytes(ids)
         strings = self.strings
-        return b" ".join([strings[i] for i in numbers]).decode()
+        return b" ".join([strings[i] for i in numbers])
 
 
 _LOADED: dict[int, WordBpe] = {}
@@ -136,11 +141,13 @@ def loaded(data: bytes) -> WordBpe:
 
 
 def encode_documents(
-    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True, digests: bool = False
 ) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) and, where asked, decoded: a row per row of ``docs``.
+    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) and, where asked, decoded, or digests: a row per row of ``docs``.
 
-    Null is the empty text, which has no ids and decodes to ''. Whole texts, whatever their
+    ``digests`` gives ids_sha256 and decoded_sha256, of the ids' bytes and of what they decode to in
+    UTF-8, instead of the text decoded; they are taken where the ids are, so that the text goes no
+    further. Null is the empty text, which has no ids and decodes to ''. Whole texts, whatever their
     length; ids may be null or repeat; other columns play no part. No shuffle. The
     vocabulary's file, of fixed size, is broadcast.
     """
@@ -153,10 +160,13 @@ def encode_documents(
         def row(key, text):
             ids = bpe.encode(text or "")
             out = key, len(ids) // 4, ids
-            yield (*out, bpe.decode(ids)) if decoded else out
+            if digests:
+                yield (*out, sha256(ids).hexdigest(), sha256(bpe.decode_bytes(ids)).hexdigest())
+            else:
+                yield (*out, bpe.decode(ids)) if decoded else out
 
         return row
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids binary" + ", decoded string" * decoded
-    return rows_to_rows(docs.select(F.col(id_col), F.col(text_col).cast("string")), schema, make)
+    more = ", ids_sha256 string, decoded_sha256 string" if digests else ", decoded string" if decoded else ""
+    return rows_to_rows(docs.select(F.col(id_col), F.col(text_col).cast("string")), f"doc_id {kind}, n_tokens bigint, ids binary{more}", make)

@@ -102,11 +102,12 @@ def exact_duplicates(
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of equal texts, all columns as they are; see exact_duplicates."""
     kept = exact_duplicates(docs, id_col, text_col).where("kept").select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_exact_id"), F.col("text_sha256").alias("_exact_sha")
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), F.col("text_sha256").alias("sha")
     )
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    keyed = docs.withColumns({"_exact_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "_exact_sha": sha})
+    # The documents' columns travel as one, so that none of them can be taken for one of the join's.
+    keyed = docs.select(F.struct(*all_columns(docs)).alias("doc"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), sha.alias("sha"))
     # Only rows that repeat both id and text meet in a window; it uses the join's own order.
-    same = Window.partitionBy("_exact_id", "_exact_sha").orderBy("_exact_id")
-    rows = keyed.join(kept, ["_exact_id", "_exact_sha"], "left_semi").withColumn("_exact_row", F.row_number().over(same))
-    return rows.where("_exact_row = 1").select(*all_columns(docs))
+    same = Window.partitionBy("id", "sha").orderBy("id")
+    rows = keyed.join(kept, ["id", "sha"], "left_semi").withColumn("number", F.row_number().over(same))
+    return rows.where("number = 1").select("doc.*")

@@ -64,7 +64,7 @@ def poisson_tables(rates: DataFrame) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 7,
-    id_col: str = "doc_id", source_col: str = "source", copy_col: str = "copy", key_col: str = "mix_key",
+    id_col: str = "doc_id", source_col: str = "source", copy_col: str | None = "copy", key_col: str | None = "mix_key",
 ) -> DataFrame:
     """The rows of ``docs``, each as often as drawn, in a random order, with the number of the copy and the key of the order.
 
@@ -72,7 +72,8 @@ def mix_sources(
     that is a hash of seed and id, so runs and retries agree; rows that share an id are
     drawn alike, and null is an id of its own. A null source is a source of its own. Sources of weight 0
     do not appear. Tasks get rows by a hash of (seed, id, copy) and sort them by it, which
-    is the global shuffle. Columns of ``docs`` named as ``copy_col`` or ``key_col`` give way to them.
+    is the global shuffle. Columns of ``docs`` named as ``copy_col`` or ``key_col`` give way to them; where they are
+    None the columns of ``docs`` come alone.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "mix")
@@ -81,14 +82,18 @@ def mix_sources(
     tables = spark.read.parquet(path).select(
         F.col("source").alias("_mix_source"), F.col("first").alias("_mix_first"), F.col("table").alias("_mix_table")
     )
-    columns = all_columns(docs, (copy_col, key_col))
+    kept = F.struct(*all_columns(docs, tuple(c for c in (copy_col, key_col) if c)))
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     point = hash_bits(F.lit(str(seed)), id_text) / F.lit(float(2**52))
+    # The documents' columns travel as one, so that none of them can be taken for one of the join's.
+    rows = docs.select(kept.alias("_mix_row"), F.col(source_col).alias("_mix_of"), id_text.alias("_mix_id"), point.alias("_mix_point"))
     # The point is bound once by the outer transform; a plain reference would be hashed for every cell.
-    copies = F.element_at(F.transform(F.array(point), lambda u: F.size(F.filter("_mix_table", lambda c: c <= u))), 1)
-    drawn = docs.join(tables, F.col(source_col).eqNullSafe(F.col("_mix_source"))).select(
-        *columns, (F.col("_mix_first") + copies).cast("int").alias("_mix_copies")
+    copies = F.element_at(F.transform(F.array("_mix_point"), lambda u: F.size(F.filter("_mix_table", lambda c: c <= u))), 1)
+    drawn = rows.join(tables, F.col("_mix_of").eqNullSafe(F.col("_mix_source"))).select(
+        "_mix_row", "_mix_id", (F.col("_mix_first") + copies).cast("int").alias("_mix_copies")
     )
-    rows = drawn.where("_mix_copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias(copy_col))
-    keyed = rows.withColumn(key_col, hash_bits(F.lit(str(seed + 1)), id_text, F.col(copy_col).cast("string")))
-    return keyed.repartition(key_col).sortWithinPartitions(key_col)
+    several = drawn.where("_mix_copies > 0").select("_mix_row", "_mix_id", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy"))
+    keyed = several.select("_mix_row", "_mix_copy", hash_bits(F.lit(str(seed + 1)), F.col("_mix_id"), F.col("_mix_copy").cast("string")).alias("_mix_key"))
+    dealt = keyed.repartition("_mix_key").sortWithinPartitions("_mix_key")
+    added = [F.col(c).alias(name) for c, name in (("_mix_copy", copy_col), ("_mix_key", key_col)) if name is not None]
+    return dealt.select("_mix_row.*", *added)

@@ -103,10 +103,8 @@ def op6_piece_counts(spark, folder):
 
 @query("op10_bpe")
 def op10_bpe(spark, folder):
-    coded = bpe.encode_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
-    return coded.select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
-    )
+    coded = bpe.encode_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), digests=True)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @query("op2_simhash")

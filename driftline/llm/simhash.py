@@ -247,8 +247,9 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates, that of the least id, all columns as they are."""
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept")
-    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_near_id"), F.col("text_key").alias("_near_key")).distinct()
-    keyed = docs.withColumns({"_near_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "_near_key": F.xxhash64(text_col)})
-    same = Window.partitionBy("_near_id", "_near_key").orderBy("_near_id")
-    rows = keyed.join(kept, ["_near_id", "_near_key"], "left_semi").withColumn("_near_row", F.row_number().over(same))
-    return rows.where("_near_row = 1").select(*all_columns(docs))
+    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), F.col("text_key").alias("key")).distinct()
+    # The documents' columns travel as one, so that none of them can be taken for one of the join's.
+    keyed = docs.select(F.struct(*all_columns(docs)).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.xxhash64(text_col).alias("key"))
+    same = Window.partitionBy("id", "key").orderBy("id")
+    rows = keyed.join(kept, ["id", "key"], "left_semi").withColumn("number", F.row_number().over(same))
+    return rows.where("number = 1").select("row.*")

@@ -22,7 +22,8 @@ def odd_docs(spark):
     ]
     extra = (
         "kept keep_id group_size text_sha256 row pos h n chunk recipe best fp text_key fingerprint component_id root least copy mix_key rate "
-        "words lines lang_pred score held_out ids n_tokens decoded id url digest bytes first shard place record number"
+        "words lines lang_pred score held_out ids n_tokens decoded id url digest bytes first shard place record number "
+        "_mix_table _mix_copies _mix_row _near_id _near_key _exact_id _exact_sha _node"
     ).split()
     df = spark.createDataFrame(rows, SCHEMA)
     from pyspark.sql import functions as F

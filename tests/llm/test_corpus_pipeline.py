@@ -81,6 +81,7 @@ def test_odd_and_empty(spark, odd_docs, no_docs, folder):
     stages = run_stages(spark, odd_docs, folder)
     assert all(k.columns == odd_docs.columns for k in stages[:-1])
     assert Counter(r.doc_id for r in stages[3].collect()) == Counter([2, 6, 8, None])
+    assert all(r[c] == "x" for r in stages[4].collect() for c in ("_mix_table", "_mix_copies", "_near_id", "_exact_id", "_node"))
     # Columns that are named like the operators' own keep their values.
     assert all(r["copy"] == "x" and r["mix_key"] == "x" and r["a.b"] == 1 for r in stages[4].collect())
     assert [k.count() for k in run_stages(spark, no_docs, folder)] == [0] * 6

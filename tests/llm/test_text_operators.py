@@ -357,6 +357,9 @@ def test_bpe_odd(odd_docs, no_docs):
     rows = bpe.encode_documents(odd_docs, WORD_BPE).collect()
     assert len(rows) == odd_docs.count()
     assert [(r.n_tokens, r.ids, r.decoded) for r in rows if r.doc_id in (3, 4, 5)] == [(0, b"", "")] * 3
+    digests = bpe.encode_documents(odd_docs, WORD_BPE, digests=True).collect()
+    assert [(r.ids_sha256, r.decoded_sha256) for r in digests] == [
+        (hashlib.sha256(r.ids).hexdigest(), hashlib.sha256(r.decoded.encode()).hexdigest()) for r in rows]
     assert bpe.encode_documents(no_docs, WORD_BPE).collect() == []
 
 
