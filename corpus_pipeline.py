@@ -6,9 +6,8 @@ Each stage works on all rows that the one before has kept, and all but the last
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from driftline.llm import bpe, exact, language, mixing, simhash, similar
+from driftline.llm import bpe, exact, language, mixing, simhash
 from driftline.llm.components import written
 from driftline.llm.queries import vocabulary
 
@@ -32,18 +31,13 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more on five-word shingles the one with the least id stays; then
-    every source gets the same share of rows: documents repeat, or are left out, as drawn; in random order."""
-    docs = written(similar.drop_similar(docs), "dissimilar")
-    return mixing.mix_sources(docs, copy_col="_mix_copy", key_col="_mix_key").drop("_mix_copy", "_mix_key")
+    """Every source gets the same share of rows: documents repeat, or are left out, as drawn; in random order."""
+    return mixing.mix_sources(docs, copy_col=None, key_col=None)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every row, and a digest of what they decode to."""
-    coded = bpe.encode_documents(docs, vocabulary("word_bpe_49k.json"))
-    return coded.select(
-        "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
-    )
+    """The token ids of every row, and digests of them and of what they decode to."""
+    return bpe.encode_documents(docs, vocabulary("word_bpe_49k.json"), digests=True)
 
 
 STAGES = [
