@@ -27,7 +27,7 @@ WORD_END = "</w>"
 SPACE = r"\t-\r \x85\xa0  -     　"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: Chunks of a text that are encoded at a time, and chunks in each generation of the cache.
-BLOCK, CACHED = 50_000, 100_000
+BLOCK, CACHED = 50_000, 200_000
 
 
 def byte_characters() -> list[str]:
