@@ -7,6 +7,7 @@ from driftline.catalog import (  # noqa: F401
     fleet,
     flows,
     groups,
+    histories,
     links,
     properties,
     records,

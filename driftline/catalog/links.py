@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftline.catalog import example
 from driftline.catalog.common import EVENTS_SQL, events, pick, query, table, tag
 from driftline.operators import dataflow, extensions
 from driftline.plans import composite
@@ -123,6 +124,7 @@ def claims(spark, folder):
     """Customers as claims of the example composite; some state no config name, some no namespace."""
     return table(spark, folder, "customer").select(
         F.col("c_custkey").alias("claim"),
+        F.lit(example.NAME).alias("template"),
         F.create_map(
             F.lit("spec.parentGroupId"), F.lit("root"),
             F.lit("spec.providerConfigRefName"),
@@ -135,7 +137,7 @@ def claims(spark, folder):
 
 def outputs(spark, folder):
     """What the resources of a claim have reported, now and earlier: the group, and some processors."""
-    paths = composite.HASH_TEMPLATE.outputs
+    paths = example.OUTPUTS
     nation = F.col("c_nationkey")
     rows = F.array(
         *[
@@ -165,14 +167,11 @@ def sql_rows(rows) -> str:
     return ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in row) + ")" for row in rows)
 
 
-_STEPS = composite.HASH_TEMPLATE.steps
-
-
 @query("resolve_patches", f"""
-WITH base(step, path, value) AS (VALUES {sql_rows((s.name, *kv) for s in _STEPS for kv in s.base)}),
-patch(step, source, path, required) AS (VALUES {sql_rows((s.name, p.source, p.target, p.required) for s in _STEPS for p in s.patches)}),
-kinds(step, kind) AS (VALUES {sql_rows((s.name, s.kind) for s in _STEPS)}),
-out(i, source) AS (VALUES {", ".join(f"({i}, '{p}')" for i, p in enumerate(composite.HASH_TEMPLATE.outputs))}),
+WITH base(step, path, value) AS (VALUES {sql_rows(example.BASE_ROWS)}),
+patch(step, source, path, required) AS (VALUES {sql_rows((s, *p) for s, _, *p in example.PATCH_ROWS)}),
+kinds(step, kind) AS (VALUES {sql_rows((s, k) for s, k, _ in example.KINDS)}),
+out(i, source) AS (VALUES {", ".join(f"({i}, '{p}')" for i, p in enumerate(example.OUTPUTS))}),
 known AS (SELECT c_custkey AS claim, 'spec.parentGroupId' AS source, 'root' AS value FROM customer
   UNION ALL SELECT c_custkey, 'spec.providerConfigRefName', 'cfg-' || c_nationkey FROM customer WHERE c_nationkey % 2 = 0
   UNION ALL SELECT c_custkey, 'metadata.labels["claim-namespace"]', 'ns-' || c_nationkey FROM customer WHERE c_nationkey % 3 <> 0
@@ -187,9 +186,7 @@ SELECT c_custkey AS claim, k.step, k.kind, lack.claim IS NOT NULL AS blocked, co
 FROM customer CROSS JOIN kinds k LEFT JOIN texts t ON t.claim = c_custkey AND t.step = k.step
 LEFT JOIN lack ON lack.claim = c_custkey AND lack.step = k.step""")
 def resolve_patches(spark, folder):
-    resolved = composite.resolve_patches(
-        claims(spark, folder), composite.HASH_TEMPLATE, outputs(spark, folder), "claim"
-    )
+    resolved = composite.resolve_patches(claims(spark, folder), example.templates(spark), outputs(spark, folder))
     field = lambda e: F.concat(e["key"], F.lit("="), e["value"])
     return resolved.select(
         "claim", "step", "kind", "blocked",
@@ -202,9 +199,58 @@ WITH {STEP_SQL}
 SELECT claim, step, CAST(CASE WHEN coalesce(list_max(needs), -1) < have THEN 1
    WHEN kind = 'Processor' THEN 2 WHEN have = 0 THEN 3 ELSE 2 END AS INTEGER) AS round FROM cs""")
 def creation_rounds(spark, folder):
-    return composite.creation_rounds(
-        claims(spark, folder), composite.HASH_TEMPLATE, outputs(spark, folder), "claim"
+    return composite.creation_rounds(claims(spark, folder), example.templates(spark), outputs(spark, folder))
+
+
+#: Lines as steps of their order's template: a line needs the outputs of up to two lines, itself perhaps, by part and supplier.
+_WALKS = """
+s AS (SELECT l_orderkey AS t, l_linenumber AS n, min(l_partkey) % 7 + 1 AS a, min(l_suppkey) % 9 + 1 AS b FROM lineitem GROUP BY ALL),
+e AS (SELECT DISTINCT s.t, s.n, m.n AS needs FROM s JOIN s m ON m.t = s.t AND (m.n = s.a OR m.n = s.b)),
+up AS (SELECT t, n, n AS at, 1 AS depth FROM s UNION SELECT up.t, up.n, e.needs, depth + 1 FROM up JOIN e ON e.t = up.t AND e.n = up.at WHERE depth < 9),
+down AS (SELECT t, n, n AS at, 1 AS depth FROM s UNION SELECT down.t, down.n, e.n, depth + 1 FROM down JOIN e ON e.t = down.t AND e.needs = down.at WHERE depth < 9)
+"""
+
+
+def line_templates(spark, folder):
+    """Every order as a template of its lines, one for each line number."""
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    name = lambda n: F.concat(F.lit("line-"), n.cast("string"))
+    steps = lines.select(
+        F.col("l_orderkey").alias("template"), name(F.col("l_linenumber")).alias("step"), F.col("l_linenumber").alias("position"),
+        F.lit("Processor").alias("kind"), name(F.col("l_linenumber")).alias("output"),
+    )
+    sources = F.array(F.col("l_partkey") % 7 + 1, F.col("l_suppkey") % 9 + 1)
+    patches = lines.select("l_orderkey", "l_linenumber", F.posexplode(sources).alias("position", "of")).select(
+        F.col("l_orderkey").alias("template"), name(F.col("l_linenumber")).alias("step"), "position", name(F.col("of")).alias("source"),
+        tag("spec.input", "position").alias("target"), F.lit(True).alias("required"),
+    )
+    bases = lines.select(F.col("l_orderkey").alias("template"), name(F.col("l_linenumber")).alias("step"), F.lit("spec.part").alias("path"), F.col("l_partkey").cast("string").alias("value"))
+    return composite.Templates(steps, patches, bases)
+
+
+@query("template_levels", f"""
+WITH RECURSIVE {_WALKS}
+SELECT t AS template, 'line-' || n AS step, CASE WHEN max(up.depth) < 9 THEN max(up.depth) END AS level,
+       max(up.depth) >= 9 AND (SELECT max(depth) FROM down WHERE down.t = up.t AND down.n = up.n) >= 9 AS in_cycle FROM up GROUP BY t, n""")
+def template_levels(spark, folder):
+    """All orders as templates, their levels and cycles found together."""
+    return composite.template_levels(line_templates(spark, folder))
+
+
+@query("template_rounds", f"""
+WITH RECURSIVE s AS (SELECT l_orderkey AS t, l_linenumber AS n, [min(l_partkey) % 7 + 1, min(l_suppkey) % 9 + 1] AS needs, max(l_quantity) > 30 AS done FROM lineitem GROUP BY ALL),
+p AS (SELECT t, n, unnest(needs) AS m FROM s),
+e AS (SELECT p.t, p.n, m.n AS maker, m.n IS NULL AS none FROM p LEFT JOIN s m ON m.t = p.t AND m.n = p.m WHERE m.done IS NOT TRUE),
+up AS (SELECT t, n, n AS at, 1 AS depth, false AS none FROM s
+  UNION SELECT up.t, up.n, e.maker, depth + 1, e.none FROM up JOIN e ON e.t = up.t AND e.n = up.at WHERE depth < 9 AND NOT up.none)
+SELECT t AS claim, 'line-' || n AS step, CASE WHEN max(depth) < 9 AND NOT bool_or(none) THEN max(depth) END::INT AS round FROM up GROUP BY t, n""")
+def template_rounds(spark, folder):
+    """An order as a claim of its own template; lines of more than 30 pieces have reported."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("claim"), F.col("o_orderkey").alias("template"), F.lit(None).cast("map<string,string>").alias("spec"))
+    reported = table(spark, folder, "lineitem").where("l_quantity > 30").select(
+        F.col("l_orderkey").alias("claim"), tag("line-", "l_linenumber").alias("path"), F.col("l_quantity").cast("string").alias("value")
     )
+    return composite.creation_rounds(orders, line_templates(spark, folder), reported)
 
 
 @query("dangling_edges", """

@@ -12,27 +12,24 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.functions.columns import quoted
 from driftline.session import drop_path, scratch_path, written
 
 #: The low bits of a place number the rows of its range.
 PLACE_BITS = 33
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def with_positions(placed: DataFrame, place: str, out: str) -> DataFrame:
     """``placed`` with the dense position ``out`` from 1, from a ``place`` that monotonically_increasing_id() gave to a written table.
 
     Only a count per range comes to the driver, and goes back as a list of as many sums.
     """
     spark = placed.sparkSession
-    part = F.shiftright(F.col(_quoted(place)), PLACE_BITS).cast("int")
+    part = F.shiftright(F.col(quoted(place)), PLACE_BITS).cast("int")
     counts = sorted(placed.select(part.alias("part")).groupBy("part").count().collect())
     firsts = [0, *accumulate(n for _, n in counts)]
     offsets = spark.createDataFrame([(p, n) for (p, _), n in zip(counts, firsts, strict=False)], "_part int, _first bigint")
-    within = F.col(_quoted(place)).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    within = F.col(quoted(place)).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     # As many rows as there are ranges.
     return placed.join(F.broadcast(offsets), part == F.col("_part")).withColumn(out, F.col("_first") + within + 1).drop("_part", "_first", place)
 
@@ -77,7 +74,7 @@ def keyed_ranks(df: DataFrame, key: list[str], order: list[Column], out: str = "
     Ranges are of (key, order), so a key that holds much of the table is sorted by many
     tasks. A key's first position comes back as one row per key, on the side of the join that Spark need not split.
     """
-    keys = [F.col(_quoted(k)) for k in key]
+    keys = [F.col(quoted(k)) for k in key]
     positions = global_ranks(df, [*keys, *order], "_position")
     firsts = positions.groupBy(F.struct(*keys).alias("_who")).agg(F.min("_position").alias("_key_first"))
     who = F.struct(*keys)

@@ -1,8 +1,9 @@
-"""Composites: a claim that expands to several resources which feed each other.
+"""Composites: claims that expand to several resources which feed each other, by templates that are data.
 
-A template is a small fixed description, so everything about it is worked out while
-the plan is built. What is left for Spark is one projection per claim and one
-aggregate over the outputs that the resources have reported.
+Templates are three tables: steps, patches between a claim's paths and a step's fields, and fixed
+fields. Any number of templates is worked on in one plan. What depends on what inside
+them is found in rounds over all templates at once; a claim then needs one join with its
+template, as large as a document, and one with what its resources have reported.
 """
 
 from __future__ import annotations
@@ -12,223 +13,208 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.session import drop_path, scratch_path
 
-@dataclass(frozen=True)
-class Patch:
-    """Copy the value at ``source`` of the claim into ``target`` of a resource."""
-
-    source: str
-    target: str
-    required: bool = False
+STEPS = "template string, step string, position int, kind string, output string"
+PATCHES = "template string, step string, position int, source string, target string, required boolean"
+BASES = "template string, step string, path string, value string"
 
 
 @dataclass(frozen=True)
-class Step:
-    """One resource of a composite, its fixed fields and the claim path it reports its id to."""
+class Templates:
+    """``steps`` (template, step, position, kind, output), ``patches`` (template, step, position, source, target, required) and
+    ``bases`` (template, step, path, value).
+
+    A step reports its id at the path ``output`` of the claim, or nowhere. A patch copies what
+    the claim has at ``source`` to the step's field ``target``; later positions go before earlier
+    ones and patches before fixed fields. Of two steps with one output the later one counts.
+    ``template`` may be of any type that joins; (template, step) is unique.
+    """
 
-    name: str
-    kind: str
-    patches: tuple[Patch, ...]
-    output: str | None = None
-    base: tuple[tuple[str, str], ...] = ()
+    steps: DataFrame
+    patches: DataFrame
+    bases: DataFrame
 
 
-@dataclass(frozen=True)
-class Template:
-    steps: tuple[Step, ...]
-
-    @property
-    def outputs(self) -> tuple[str, ...]:
-        return tuple(s.output for s in self.steps if s.output)
-
-    @property
-    def paths(self) -> tuple[str, ...]:
-        return tuple(dict.fromkeys(p.source for s in self.steps for p in s.patches))
-
-    def depths(self) -> dict[str, int]:
-        """Earliest round in which each step can be created, counted from 1."""
-        makers = {s.output: s for s in self.steps if s.output}
-        known: dict[str, int] = {}
-
-        def depth(step: Step, seen: tuple[str, ...] = ()) -> int:
-            if step.name in seen:
-                raise ValueError(f"steps depend on each other: {' > '.join((*seen, step.name))}")
-            if step.name not in known:
-                before = [
-                    depth(makers[p.source], (*seen, step.name))
-                    for p in step.patches
-                    if p.required and p.source in makers
-                ]
-                known[step.name] = 1 + max(before, default=0)
-            return known[step.name]
-
-        return {s.name: depth(s) for s in self.steps}
-
-
-# The example composite, six resources in the order of its template.
-_GROUP = "status.pipeline.processGroupId"
-_GENERATE = "status.pipeline.generateFlowFileId"
-_HASH = "status.pipeline.replaceTextId"
-_LOG = "status.pipeline.logAttributeId"
-_NAMESPACE = Patch('metadata.labels["claim-namespace"]', "metadata.namespace")
-_CONFIG = Patch("spec.providerConfigRefName", "spec.providerConfigRef.name")
-_CONFIG_BASE = (("spec.providerConfigRef.name", "default"), ("spec.providerConfigRef.kind", "ProviderConfig"))
-_PARENT = Patch(_GROUP, "spec.forProvider.parentGroupId", required=True)
-
-
-def _base(fields: dict[str, str]) -> tuple[tuple[str, str], ...]:
-    return (*((f"spec.forProvider.{k}", v) for k, v in fields.items()), *_CONFIG_BASE)
-
-
-def _connection(name: str, title: str, source: str, destination: str) -> Step:
-    return Step(
-        name,
-        "Connection",
-        (
-            _NAMESPACE,
-            _PARENT,
-            Patch(_GROUP, "spec.forProvider.source.groupId", required=True),
-            Patch(_GROUP, "spec.forProvider.destination.groupId", required=True),
-            Patch(source, "spec.forProvider.source.id", required=True),
-            Patch(destination, "spec.forProvider.destination.id", required=True),
-            _CONFIG,
-        ),
-        base=_base({
-            "name": title, "selectedRelationships": "success", "source.type": "PROCESSOR", "destination.type": "PROCESSOR",
-            "backPressureObjectThreshold": "10000", "backPressureDataSizeThreshold": "1 GB",
-        }),
-    )
+def dependencies(templates: Templates) -> DataFrame:
+    """template, step, needs: each step that another one requires an output of, once; a step that needs itself too."""
+    makers = templates.steps.where("output IS NOT NULL").groupBy("template", F.col("output").alias("source"))
+    makers = makers.agg(F.max_by("step", "position").alias("needs"))
+    required = templates.patches.where("required").select("template", "step", "source")
+    return required.join(makers, ["template", "source"]).select("template", "step", "needs").distinct()
 
 
-def _processor(name: str, output: str, fields: dict[str, str]) -> Step:
-    return Step(name, "Processor", (_NAMESPACE, _PARENT, _CONFIG), output, _base(fields))
-
-
-HASH_TEMPLATE = Template(
-    (
-        Step(
-            "process-group",
-            "ProcessGroup",
-            (_NAMESPACE, Patch("spec.parentGroupId", "spec.forProvider.parentGroupId"), _CONFIG),
-            _GROUP,
-            _base({"position.x": "0", "position.y": "0", "desiredState": "RUNNING"}),
-        ),
-        _processor("generate-flowfile", _GENERATE, {
-            "type": "GenerateFlowFile", "name": "Generate FlowFile", "position.x": "400", "position.y": "100",
-            "config.schedulingStrategy": "TIMER_DRIVEN", "config.schedulingPeriod": "5 sec",
-            "config.concurrentlySchedulableTaskCount": "1", "config.properties.File Size": "1 KB",
-            "config.properties.Batch Size": "1", "config.comments": "Generates test flow files", "desiredState": "STOPPED",
-        }),
-        _processor("replace-text", _HASH, {
-            "type": "HashContent", "name": "Hash Content SHA-256", "position.x": "400", "position.y": "400",
-            "config.properties.Hash Attribute": "content.hash", "config.properties.Hash Algorithm": "SHA-256",
-            "config.autoTerminatedRelationships": "failure", "config.comments": "Hashes flow file content with SHA-256",
-            "desiredState": "STOPPED",
-        }),
-        _processor("log-attribute", _LOG, {
-            "type": "LogAttribute", "name": "Log Content Hash", "position.x": "400", "position.y": "700",
-            "config.properties.Log Level": "info", "config.properties.Log Payload": "true",
-            "config.autoTerminatedRelationships": "success", "config.comments": "Logs the SHA-256 content hash",
-            "desiredState": "STOPPED",
-        }),
-        _connection("conn-generate-to-replace", "GenerateFlowFile to ReplaceText", _GENERATE, _HASH),
-        _connection("conn-replace-to-log", "ReplaceText to LogAttribute", _HASH, _LOG),
-    )
-)
-
+def _peeled(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[list[DataFrame], DataFrame]:
+    """The ``nodes`` (template, step) in rounds, each round those that need none of the nodes left, and those that no round reaches.
 
-def _with_outputs(
-    claims: DataFrame, template: Template, outputs: DataFrame, claim: str
-) -> tuple[DataFrame, dict[str, Column]]:
-    """Claims with one column per path the template reads or reports, and those columns.
+    ``edges`` (template, step, needs) lie between ``nodes``. A round counts how many of a
+    step's needs it has met and takes that off the step's count; rounds and what is left are written.
+    """
+    spark = nodes.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    waits = edges.groupBy("template", "step").agg(F.count(F.lit(1)).alias("waits"))
+    left = kept(nodes.join(waits, ["template", "step"], "left").select("template", "step", F.coalesce("waits", F.lit(0)).alias("waits")), "left-0")
+    rounds = []
+    while True:
+        ready = left.where("waits = 0").select("template", "step")
+        if ready.isEmpty():
+            return rounds, left.select("template", "step")
+        rounds.append(kept(ready, f"round-{len(rounds)}"))
+        met = edges.join(rounds[-1].withColumnRenamed("step", "needs"), ["template", "needs"]).groupBy("template", "step").agg(F.count(F.lit(1)).alias("met"))
+        further = left.where("waits > 0").join(met, ["template", "step"], "left")
+        left = kept(further.select("template", "step", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")), f"left-{len(rounds)}")
+
+
+def template_levels(templates: Templates) -> DataFrame:
+    """template, step, level, in_cycle: the earliest round in which each step can be created, from 1.
+
+    A step on a cycle, or that needs one that is, has no level. ``in_cycle`` marks the steps
+    that need and are needed without end: those on cycles and between two. As many rounds as
+    the longest chain has steps, for all templates together.
+    """
+    path = scratch_path(templates.steps.sparkSession, "levels")
+    nodes = templates.steps.select("template", "step")
+    edges = dependencies(templates)
+    edges.write.parquet(f"{path}/edges")
+    edges = nodes.sparkSession.read.schema(edges.schema).parquet(f"{path}/edges")
+    rounds, stuck = _peeled(nodes, edges, f"{path}/up")
+    found = None
+    for level, ready in enumerate(rounds, 1):
+        one = ready.select("template", "step", F.lit(level).alias("level"), F.lit(False).alias("in_cycle"))
+        found = one if found is None else found.unionByName(one)
+    none = F.lit(None).cast("int").alias("level")
+    if stuck.isEmpty():
+        return found if found is not None else nodes.select("template", "step", none, F.lit(False).alias("in_cycle"))
+    # The same from the other end: what nothing stuck needs is behind a cycle and not on one.
+    among = edges.join(stuck, ["template", "step"]).join(stuck.withColumnRenamed("step", "needs"), ["template", "needs"])
+    turned = among.select("template", F.col("needs").alias("step"), F.col("step").alias("needs"))
+    _, cycles = _peeled(stuck, turned, f"{path}/down")
+    marked = stuck.join(cycles.withColumn("in_cycle", F.lit(True)), ["template", "step"], "left")
+    rest = marked.select("template", "step", none, F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
+    return rest if found is None else found.unionByName(rest)
+
+
+def template_cycles(levels: DataFrame) -> DataFrame:
+    """template, steps: the sorted steps that are in a cycle, for each template that has one."""
+    return levels.where("in_cycle").groupBy("template").agg(F.sort_array(F.collect_list("step")).alias("steps"))
+
+
+def assembled(templates: Templates, levels: DataFrame | None = None) -> DataFrame:
+    """template, steps: one row per template with its steps, their patches and fixed fields; by level if ``levels`` are given, else by position.
+
+    ``made`` of a patch is its maker's place among the steps, from 1, null where no step has that output.
+    A row is as large as the template's document. Written, so that its size is known to those who join it.
+    """
+    spark = templates.steps.sparkSession
+    rank = F.col("position")
+    steps = templates.steps
+    if levels is not None:
+        steps = steps.join(levels.select("template", "step", "level"), ["template", "step"], "left")
+        rank = F.struct(F.col("level").isNull().alias("last"), "level", "position")
+    patches = templates.patches.groupBy("template", "step").agg(
+        F.sort_array(F.collect_list(F.struct("position", "source", "target", F.coalesce("required", F.lit(False)).alias("required")))).alias("patches")
+    )
+    bases = templates.bases.groupBy("template", "step").agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("base"))
+    rows = steps.select("template", rank.alias("rank"), "position", "step", "kind", "output").join(patches, ["template", "step"], "left").join(bases, ["template", "step"], "left")
+    whole = rows.select("template", F.struct(
+        "rank", "position", "step", "kind", "output", F.coalesce("base", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("base"),
+        F.coalesce("patches", F.array().cast("array<struct<position:int,source:string,target:string,required:boolean>>")).alias("patches"),
+    ).alias("s"))
+    path = scratch_path(spark, "templates")
+    listed = whole.groupBy("template").agg(F.sort_array(F.collect_list(F.struct(F.col("s.rank").alias("rank"), F.col("s.step").alias("step"), F.struct(
+        F.col("s.step").alias("step"), F.col("s.kind").alias("kind"), F.col("s.output").alias("output"), F.col("s.position").alias("position"), F.col("s.patches").alias("patches"),
+    ).alias("s"), F.map_entries("s.base").alias("base")))).alias("l"))
+    listed = listed.select("template", F.transform("l", lambda x: x["s"].withField("base", F.map_from_entries(x["base"]))).alias("steps"))
+    listed.write.parquet(path)
+    return spark.read.schema(listed.schema).parquet(path)
+
+
+def known_values(claims: DataFrame, outputs: DataFrame) -> DataFrame:
+    """``claims`` (claim, template, spec) with ``known``, what each path of the claim is worth.
 
     A value that a resource reported comes before one that the claim states. Of several
     reports for a path the one of the greatest ``at`` counts, and without such a column or
     at equal ones the greatest value.
     """
-    names = {
-        path: f"_known_{i}"
-        for i, path in enumerate(dict.fromkeys((*template.paths, *template.outputs)))
-    }
     at = F.col("at") if "at" in outputs.columns else F.lit(0)
-    reported = outputs.groupBy(claim).agg(
-        *[F.max_by("value", F.when(F.col("path") == p, F.struct(at.alias("at"), "value"))).alias(n) for p, n in names.items()]
-    )
-    stated = {n: F.coalesce(n, F.try_element_at("spec", F.lit(p))) for p, n in names.items()}
-    known = claims.join(reported, claim, "left").withColumns(stated)
-    return known, {p: F.col(n) for p, n in names.items()}
-
-
-def _strings(items: list[Column]) -> Column:
-    return F.array_compact(F.array(F.lit(None).cast("string"), *items))
+    newest = outputs.groupBy("claim", "path").agg(F.max_by("value", F.struct(at.alias("at"), "value")).alias("value")).where("value IS NOT NULL")
+    reported = newest.groupBy("claim").agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("reported"))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    told, stated = F.coalesce("reported", empty), F.coalesce("spec", empty)
+    own = F.map_filter(stated, lambda k, v: v.isNotNull() & F.try_element_at(told, k).isNull())
+    return claims.join(reported, "claim", "left").select("claim", "template", F.map_concat(told, own).alias("known"))
 
 
-def resolve_patches(
-    claims: DataFrame, template: Template, outputs: DataFrame, claim: str
-) -> DataFrame:
-    """Each step of each claim with its fields, missing inputs and ``blocked``.
+def resolve_patches(claims: DataFrame, templates: Templates, outputs: DataFrame) -> DataFrame:
+    """claim, step, kind, fields, missing, blocked: each step of each claim with its fields and the required inputs it lacks.
 
-    ``claims`` has ``claim`` and ``spec``, a map of path to value; ``outputs`` has
+    ``claims`` has ``claim``, ``template`` and ``spec``, a map of path to value; ``outputs`` has
     ``claim``, ``path`` and ``value`` of what resources reported and may have ``at``, a time or
     a number. Fields are the step's fixed ones and, over them, the patched ones. An optional patch
-    without a value leaves its field alone; a required one blocks the step.
+    without a value leaves its field alone; a required one blocks the step. A claim of an unknown template has no steps.
     """
-    known, at = _with_outputs(claims, template, outputs, claim)
-    steps = []
-    for step in template.steps:
-        # Later patches and all patches go before what stands for the same field.
-        values = {path: F.lit(value) for path, value in step.base}
-        for p in step.patches:
-            values[p.target] = F.coalesce(at[p.source], values.get(p.target, F.lit(None).cast("string")))
-        fields = F.create_map(*[c for path, value in values.items() for c in (F.lit(path), value)])
-        missing = [
-            F.when(at[p.source].isNull(), F.lit(p.target)) for p in step.patches if p.required
-        ]
-        steps.append(
-            F.struct(
-                F.lit(step.name).alias("step"),
-                F.lit(step.kind).alias("kind"),
-                F.map_filter(fields, lambda k, v: v.isNotNull()).alias("fields"),
-                _strings(missing).alias("missing"),
-            )
-        )
-    return (
-        known.select(claim, F.explode(F.array(*steps)).alias("s"))
-        .select(claim, "s.*")
-        .withColumn("blocked", F.size("missing") > 0)
-    )
+    known = known_values(claims, outputs)
+    rows = known.join(assembled(templates), "template").select("claim", "known", F.explode("steps").alias("s"))
+    value = lambda p: F.try_element_at("known", p["source"])
+
+    def put(fields: Column, p: Column) -> Column:
+        others = F.map_filter(fields, lambda k, v: k != p["target"])
+        return F.when(value(p).isNull(), fields).otherwise(F.map_concat(others, F.create_map(p["target"], value(p))))
 
+    lacking = F.filter("s.patches", lambda p: p["required"] & value(p).isNull())
+    missing = F.transform(lacking, lambda p: p["target"])
+    return rows.select(
+        "claim", F.col("s.step").alias("step"), F.col("s.kind").alias("kind"),
+        F.map_filter(F.aggregate("s.patches", F.col("s.base"), put), lambda k, v: v.isNotNull()).alias("fields"), missing.alias("missing"),
+    ).withColumn("blocked", F.size("missing") > 0)
 
-def creation_rounds(
-    claims: DataFrame, template: Template, outputs: DataFrame, claim: str
-) -> DataFrame:
-    """The round in which each step of each claim can be created, counted from 1.
+
+def creation_rounds(claims: DataFrame, templates: Templates, outputs: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """claim, step, round: the round in which each step of each claim can be created, counted from 1.
 
     A step waits for the steps whose outputs it requires and which have not reported
-    yet. A step that needs a path nobody provides has no round.
+    yet. A step that needs a path nobody provides has no round, nor has one on a cycle of steps none
+    of which has reported. ``levels`` are those of ``template_levels``, found here if not given.
     """
-    known, at = _with_outputs(claims, template, outputs, claim)
-    makers = {s.output: s.name for s in template.steps if s.output}
-    order = sorted(template.steps, key=lambda s: template.depths()[s.name])
-    rounds: dict[str, Column] = {}
-    # A column per step: an expression refers to earlier steps by name and does not hold theirs.
-    for n, step in enumerate(order):
-        waits = []
-        for path in {p.source for p in step.patches if p.required}:
-            later = rounds[makers[path]] if path in makers else F.lit(None).cast("int")
-            waits.append(F.when(at[path].isNotNull(), F.lit(0)).otherwise(later))
-        stuck = F.lit(False)
-        for wait in waits:
-            stuck |= wait.isNull()
-        # greatest() wants two values at least.
-        latest = F.greatest(F.lit(0), F.lit(0), *waits)
-        known = known.withColumn(f"_round_{n}", F.when(~stuck, latest + 1))
-        rounds[step.name] = F.col(f"_round_{n}")
-    rows = [
-        F.struct(F.lit(s.name).alias("step"), rounds[s.name].cast("int").alias("round"))
-        for s in template.steps
-    ]
-    return (
-        known.select(claim, F.explode(F.array(*rows)).alias("s"))
-        .select(claim, "s.*")
-    )
+    levels = template_levels(templates) if levels is None else levels
+    listed = assembled(templates, levels)
+    makers = F.transform("steps", lambda s, i: F.struct(s["output"].alias("output"), s["position"].alias("position"), (i + 1).alias("at")))
+
+    def made(source: Column) -> Column:
+        of = F.filter(makers, lambda m: m["output"] == source)
+        return F.array_max(F.transform(of, lambda m: F.struct(m["position"].alias("position"), m["at"].alias("at"))))["at"]
+
+    # Of each step what it requires: the path and the place of its maker.
+    needs = F.transform("steps", lambda s: F.transform(F.filter(s["patches"], lambda p: p["required"]), lambda p: F.struct(p["source"].alias("source"), made(p["source"]).alias("made"))))
+    stuck = levels.where("level IS NULL").groupBy("template").agg(F.count(F.lit(1)).cast("int").alias("stuck"))
+    planned = listed.select("template", F.transform("steps", lambda s: s["step"]).alias("names"), needs.alias("needs")).join(stuck, "template", "left")
+    rows = known_values(claims, outputs).join(planned, "template")
+
+    def after(rounds: Column, need: Column) -> Column:
+        """The round of a step with these needs, given the rounds so far; null if one of them has none."""
+        waits = F.transform(need, lambda n: F.when(F.try_element_at("known", n["source"]).isNotNull(), F.lit(0)).otherwise(F.try_element_at(rounds, n["made"])))
+        return F.when(F.exists(waits, lambda w: w.isNull()), F.lit(None).cast("int")).otherwise(F.coalesce(F.array_max(waits), F.lit(0)) + 1)
+
+    def one_pass(rounds: Column, _: Column) -> Column:
+        # Steps come by level, so that what a step needs is known before it.
+        return F.aggregate("needs", F.struct(rounds.alias("rounds"), F.lit(1).alias("at")), lambda a, need: F.struct(
+            F.transform(a["rounds"], lambda r, i: F.when(i + 1 == a["at"], after(a["rounds"], need)).otherwise(r)).alias("rounds"), (a["at"] + 1).alias("at")
+        ))["rounds"]
+
+    # Steps without a level have no order; as many more passes as there are of them reach them all.
+    passes = F.sequence(F.lit(0), F.coalesce("stuck", F.lit(0)))
+    none = F.transform("names", lambda n: F.lit(None).cast("int"))
+    rounds = F.aggregate(passes, none, one_pass)
+    found = rows.select("claim", F.explode(F.arrays_zip(F.col("names").alias("step"), rounds.alias("round"))).alias("s"))
+    return found.select("claim", F.col("s.step").alias("step"), F.col("s.round").alias("round"))
+
+
+def drop_levels(df: DataFrame) -> None:
+    """Drop the folders that ``template_levels`` has written, once nothing reads its result any more."""
+    spark = df.sparkSession
+    for file in {f.split("/up/")[0].split("/down/")[0] for f in df.inputFiles()}:
+        drop_path(spark, file)
