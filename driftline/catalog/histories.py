@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftline.catalog.common import query, table
 from driftline.catalog.streams import ALL, finish
 from driftline.operators import asof, episodes, overlaps, ranks
+from driftline.sources import sinks, snapshots
 from driftline.session import scratch_path
 from driftline.streaming import streams
 
@@ -129,3 +130,33 @@ def stream_live_status(spark, folder):
         source = spark.readStream.schema(log.schema).parquet(feed)
         finish(streams.stream_latest_status(source, *keys, out, ALL, deleted="state = 'error'"))
     return streams.read_status_rows(log, out, *keys, deleted="state = 'error'").drop("ts")
+
+
+@query("snapshot_difference", """
+WITH old AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem),
+new AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 1000 = 7 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_returnflag FROM lineitem WHERE l_orderkey % 1000 <> 8
+ UNION ALL SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_orderkey % 1000 = 9),
+c AS (SELECT *, 1 AS change FROM (SELECT * FROM new EXCEPT ALL SELECT * FROM old) UNION ALL SELECT *, -1 FROM (SELECT * FROM old EXCEPT ALL SELECT * FROM new))
+SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, sum(change)::BIGINT AS change FROM c GROUP BY ALL""")
+def snapshot_difference(spark, folder):
+    """Lines of a day and of the next: some orders have changed, some have gone, some lines are there twice."""
+    old = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    turn = F.col("l_orderkey") % 1000
+    changed = old.where(turn != 8).withColumn("l_quantity", F.when(turn == 7, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    new = changed.unionByName(old.where(turn == 9))
+    paths = scratch_path(spark, "day"), scratch_path(spark, "day")
+    for df, path in zip((old, new), paths, strict=True):
+        snapshots.write_snapshot(df, path, ["l_orderkey"], 16)
+    return snapshots.snapshot_difference(spark, *paths, old.schema, 16)
+
+
+@query("status_upserts", """
+SELECT user_id, event_id, event_type AS state FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def status_upserts(spark, folder):
+    """Events as status reports in three batches, the second of which comes twice."""
+    log = table(spark, folder, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("state"))
+    status = sinks.StatusTable(spark, scratch_path(spark, "status-table"), log.schema, ["user_id"], "ts", ["event_id"], buckets=16)
+    for batch, part in enumerate((0, 1, 1, 2)):
+        status.upsert(log.where(F.col("event_id") % 3 == part), batch if batch < 2 else batch - 1)
+    return status.rows().drop("ts")

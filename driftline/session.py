@@ -60,3 +60,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library has written, in whatever store it is; nothing if it is not there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at ``path``, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)

@@ -4,8 +4,9 @@ A micro-batch writes the rows that it changed as one run, split by a hash of the
 buckets, and a reader that knows its keys opens only their buckets. When a bucket has
 ``FANOUT`` runs of a level they become one run of the next level, so a row is written
 again a logarithmic number of times and a bucket never has many runs. A manifest per
-micro-batch names the runs of every bucket; it is written last, so a micro-batch that fails or is
-run again leaves what went before as it was.
+micro-batch names the runs of every bucket; it is written last, so a micro-batch that fails
+leaves what went before as it was, and one that comes again is known and left out. With a
+fan-out of 1 every write merges at once: each bucket is one run, rewritten when it is touched.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from driftline.operators.changes import latest_revision
-from driftline.session import drop_path
+from driftline.session import drop_path, path_exists
 
 BUCKETS = 64
 #: Runs of a level in a bucket that become one run of the next level.
@@ -116,8 +117,17 @@ class KeyedState:
         """The buckets that a run has rows in."""
         return sorted(r[0] for r in self.spark.read.schema(self.dealt).parquet(f"{self.path}/{folder}").select(BUCKET).distinct().collect())
 
-    def write(self, changed: DataFrame, epoch: int) -> None:
-        """Add the newest row of each key that the micro-batch ``epoch`` (from 0) has changed; a row older than the state's changes nothing."""
+    def done(self, epoch: int) -> bool:
+        """Whether the micro-batch ``epoch`` has been written whole."""
+        return path_exists(self.spark, f"{self.path}/manifest={epoch}/_SUCCESS")
+
+    def write(self, changed: DataFrame, epoch: int) -> bool:
+        """Add the newest row of each key that the micro-batch ``epoch`` (from 0) has changed; a row older than the state's changes nothing.
+
+        False, and nothing is written, where the same micro-batch has been written before.
+        """
+        if self.done(epoch):
+            return False
         manifest = self.manifest(epoch)
         n, runs = manifest["buckets"], manifest["runs"]
         columns = [f.name for f in self.schema.fields]
@@ -141,6 +151,7 @@ class KeyedState:
         self._write_manifest(epoch, {"buckets": n, "runs": {b: r for b, r in runs.items() if r}, "replaced": [*waiting, *([epoch, f] for f in replaced)]})
         if epoch > GRACE:
             drop_path(self.spark, f"{self.path}/manifest={epoch - GRACE - 1}")
+        return True
 
     def _merged(self, runs: Runs, merges: dict[int, tuple[int, int]], epoch: int) -> DataFrame:
         """The newest rows of the runs that are merged; rows that ended a key long ago go where nothing older lies below."""
@@ -155,6 +166,8 @@ class KeyedState:
 
 def due(runs: list[tuple[int, str]], fanout: int) -> tuple[int, int] | None:
     """How many of a bucket's runs stay as they are, and the level of the run that the others become; None if no level is full."""
+    if fanout == 1:
+        return (0, 0) if len(runs) > 1 else None
     keep, level = len(runs), 0
     while True:
         start = keep

@@ -62,7 +62,7 @@ def test_a_deleted_key_starts_anew(spark, tmp_path):
     assert sorted(r["seq"] for r in streams.read_rows(spark, out).collect()) == [1, 3, 4, 6, 7, 8]
 
 
-@pytest.mark.parametrize("fanout, buckets", [(2, 1), (2, 64), (3, 2), (50, 4)])
+@pytest.mark.parametrize("fanout, buckets", [(1, 3), (2, 1), (2, 64), (3, 2), (50, 4)])
 def test_state_is_the_same_however_it_is_merged(spark, tmp_path, fanout, buckets):
     schema = spark.createDataFrame([], "k string, rev bigint, gone boolean").schema
     state = KeyedState(spark, str(tmp_path / "s"), schema, ["k"], ["rev"], "gone", buckets=buckets, fanout=fanout)
