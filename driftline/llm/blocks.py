@@ -16,7 +16,7 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page; that of the first kind is not even markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("noscript template select button svg math object canvas audio video datalist".split())
+HIDDEN = frozenset("noscript template select button datalist".split())
 #: A start tag closes an open element of the first set unless one of the second is nearer.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),

@@ -26,6 +26,8 @@ CUES = re.compile(
     r"comments?|reply|advertisement|sponsored|read more|related|search)\b", re.IGNORECASE
 )
 
+DIGIT = re.compile(r"\d")
+
 
 def features(block: Block, place: int) -> list[str]:
     """Names of what holds for ``block``: ancestors, then text."""
@@ -36,8 +38,8 @@ def features(block: Block, place: int) -> list[str]:
     return [
         "bias", *block.names, *near, f"tag={block.tag}", f"words={min(8, words.bit_length())}",
         f"links={block.linked * 4 // len(text)}", f"marks={min(4, marks.bit_length())}",
-        f"ends={text[-1] in '.!?…:;'}", f"cue={bool(CUES.search(text[:400])) and words < 40}",
-        f"first={place == 0}", f"digits={sum(c.isdigit() for c in text[:200]) * 4 > min(200, len(text))}",
+        f"ends={text[-1] in '.!?…:;'}", f"cue={words < 40 and bool(CUES.search(text))}",
+        f"first={place == 0}", f"digits={len(DIGIT.findall(text)) * 4 > len(text)}",
     ]
 
 

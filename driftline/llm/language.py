@@ -19,12 +19,11 @@ from pyspark.sql.types import StringType, StructField, StructType, BooleanType,
 
 from driftline.llm.batches import ship
 
-#: Symbols: 0 for runs of what is no letter, one each for the commonest letters, the last for all other letters.
-SYMBOLS = 64
-SIZE = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
-#: Bounds of the fit: rows per language and in all, languages (the commonest), landmarks, and the length
-#: of a text that may be in the sample. They bound the model; they do not depend on the input's size.
-SAMPLE_PER_LANGUAGE, SAMPLE, LANGUAGES, LANDMARKS, SAMPLE_CHARS = 256, 4096, 128, 128, 20_000
+#: n-grams are numbered by a hash of their code points into so many places, alike for every script.
+SIZE = 1 << 18
+#: Bounds of the fit: rows per language and in all (but one of each language at least), landmarks (the same), the
+#: length of a text in the sample, and the rows of a language that has longer ones only. They bound the model; they do not depend on the input's size.
+SAMPLE_PER_LANGUAGE, SAMPLE, LANDMARKS, SAMPLE_CHARS, LONG_TEXTS = 256, 4096, 128, 20_000, 2
 RIDGE = 1e-2
 #: Texts per matrix product, and characters of a text taken at a time.
 BATCH, PART = 128, 1 << 20
@@ -47,34 +46,28 @@ def code_points(text: str) -> Iterator[np.ndarray]:
         yield np.frombuffer(text[i : i + PART].encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def symbol_table(texts: list[str]) -> np.ndarray:
-    """For each code point its symbol, the letters of ``texts`` that are commonest having their own."""
-    low, seen = letters(), Counter()
-    for text in texts:
-        for points in code_points(text):
-            values, counts = np.unique(low[points], return_counts=True)
-            seen.update(dict(zip(values.tolist(), counts.tolist(), strict=True)))
-    seen.pop(0, None)
-    own = np.full(0x110000, SYMBOLS - 1, np.uint8)
-    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]):
-        own[c] = i + 1
-    return np.where(low > 0, own[low], 0).astype(np.uint8)
+# Odd multipliers, one for each place in an n-gram; the high bits of the product's sum are the n-gram's number.
+_ONE, _TWO, _THREE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
+_SHIFT = np.uint32(32 - 18)
 
 
-def grams(text: str, table: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """The n-grams that ``text`` contains, as sorted numbers below SIZE; ``flags`` is all false before and after."""
-    tail = np.zeros(1, np.int32)
+def grams(text: str, low: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """The n-grams that ``text`` contains, as sorted numbers below SIZE; ``flags`` is all false before and after.
+
+    ``low`` is ``letters()``. n-grams are of lower-cased letters and 0 for a run of what is no letter.
+    """
+    tail = np.zeros(1, np.uint32)
     for points in code_points(text):
-        s = np.concatenate([tail, table[points].astype(np.int32)])
-        # Runs of what is no letter are one separator.
+        s = np.concatenate([tail, low[points]])
         s = s[np.concatenate([[True], (s[1:] | s[:-1]) != 0])]
-        two = s[:-1] * SYMBOLS + s[1:]
-        three = two[:-1] * SYMBOLS + s[2:]
-        flags[s] = True
-        flags[SYMBOLS + two] = True
-        flags[SYMBOLS + SYMBOLS**2 + three] = True
+        one = s * _ONE
+        two = one[:-1] + s[1:] * _TWO
+        three = two[:-1] + s[2:] * _THREE
+        for numbers in (one, two, three):
+            flags[numbers >> _SHIFT] = True
         tail = s[-2:]
-    flags[0] = flags[SYMBOLS] = False
+    # The separator by itself says nothing.
+    flags[0] = False
     found = np.flatnonzero(flags)
     flags[found] = False
     return found
@@ -86,7 +79,7 @@ class Model:
     def __init__(self, rows: list[tuple[str, str]], ridge: float = RIDGE, landmarks: int = LANDMARKS):
         """``rows``: (language, text) in the order in which landmarks are taken."""
         self.languages = sorted({lang for lang, _ in rows})
-        self.table = symbol_table([t for _, t in rows])
+        self.table = letters()
         flags = np.zeros(SIZE, bool)
         sets = [grams(t, self.table, flags) for _, t in rows]
         share, taken, chosen = max(1, landmarks // max(1, len(self.languages))), Counter(), []
@@ -142,24 +135,36 @@ def held_out(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """The model of a bounded sample of the rows that have a language and are not held out.
+    """The model of a bounded sample of the rows that have a language and are not held out; every language among them is learned.
 
-    Rows are counted per language; then those whose hash of id and text falls below twice the share asked for are ranked by
-    it, so that no more than that reaches a task, and the first come to the driver: SAMPLE texts of SAMPLE_CHARS characters at most.
+    Distinct texts are counted per language; then those whose hash falls below twice the share asked for
+    are ranked by it, copies once, and the first come to the driver: texts of SAMPLE_CHARS characters
+    at most, SAMPLE of them or one of each language, and of a language that has none as short its LONG_TEXTS shortest, whole.
     """
-    rows = docs.where(~held_out(F.col(id_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("key")).where(
-        f"lang IS NOT NULL AND text RLIKE '\\\\p{{L}}' AND char_length(text) <= {SAMPLE_CHARS}"
-    )
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not common:
+    rows = docs.where(~held_out(F.col(id_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
+        "lang IS NOT NULL AND text RLIKE '\\\\p{L}'"
+    ).withColumns({"rank": F.xxhash64("text"), "chars": F.char_length("text")})
+    short = F.col("chars") <= SAMPLE_CHARS
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct(F.when(short, F.col("rank"))).alias("n")).collect()
+    if not counted:
         return Model([])
-    each = min(SAMPLE_PER_LANGUAGE, max(1, SAMPLE // len(common)))
-    shares = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], min(1.0, (2 * each + 50) / r["count"]))])
-    ranked = rows.withColumn("rank", F.xxhash64("key", "text"))
-    few = ranked.where(F.pmod("rank", F.lit(1 << 32)) / F.lit(float(1 << 32)) < F.element_at(shares, F.col("lang")))
-    best = Window.partitionBy("lang").orderBy("rank", "text")
-    chosen = few.withColumn("at", F.row_number().over(best)).where(f"at <= {each}")
-    return Model([(r["lang"], r["text"]) for r in sorted(chosen.select("lang", "at", "text").collect())])
+    each = min(SAMPLE_PER_LANGUAGE, max(1, SAMPLE // len(counted)))
+    shares = {r["lang"]: min(1.0, (2 * each + 50) / r["n"]) for r in counted if r["n"]}
+    chosen = []
+    if shares:
+        share = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("lang"))
+        few = rows.where(short & (F.pmod("rank", F.lit(1 << 32)) / F.lit(float(1 << 32)) < share))
+        chosen += _first(few.groupBy("lang", "rank").agg(F.min("text").alias("text")), ["rank", "text"], each)
+    long_only = [r["lang"] for r in counted if not r["n"]]
+    if long_only:
+        chosen += _first(rows.where(F.col("lang").isin(long_only)), ["chars", "rank", "text"], LONG_TEXTS)
+    return Model(sorted(chosen, key=lambda r: r[0]))
+
+
+def _first(rows: DataFrame, order: list[str], each: int) -> list[tuple[str, str]]:
+    """(lang, text) of the first ``each`` rows of each language, in order."""
+    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("at") <= each)
+    return [(r["lang"], r["text"]) for r in sorted(placed.select("lang", "at", "text").collect())]
 
 
 def predict_language(
@@ -168,7 +173,7 @@ def predict_language(
     """doc_id, held_out, lang_pred, score: a row per row of ``docs``, from its whole text alone.
 
     lang_pred is a learned language, ``und`` with score 0 for a text that is null or has no letter or if
-    nothing was learned. score is from 0 to 1. Ids may be null or repeat; other columns play no
+    nothing was learned. Letters of any script count. score is from 0 to 1. Ids may be null or repeat; other columns play no
     part. No shuffle; the model, of bounded size, is broadcast.
     """
     ship(docs.sparkSession)

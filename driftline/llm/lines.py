@@ -16,8 +16,8 @@ BOILERPLATE = (
     r"(?i)all rights reserved|licensed under|copyright \(c\)|©|terms of (use|service)|privacy policy|"
     r"cookie policy|use(s)? cookies|enable javascript|lorem ipsum|click here|subscribe to our|sign up for|log ?in to"
 )
-#: Words of a line that can be a notice; a longer one that has such a phrase is text.
-NOTICE_WORDS = 60
+#: A line is a notice if it has such a phrase for every so many of its words, or fewer.
+NOTICE_WORDS = 80
 SYMBOLS = "[#*$%&|<>]"
 #: A line fails if more than this share of its words carry a symbol, or end in '!!', or stand between bars.
 NOISY_WORDS = 0.3
@@ -30,7 +30,7 @@ def line_fails(line: Column) -> Column:
     """Whether a line with a word fails a rule: boilerplate, navigation, punctuation."""
 
     def fails(n: Column) -> Column:
-        boilerplate = (n <= NOTICE_WORDS) & line.rlike(BOILERPLATE)
+        boilerplate = line.rlike(BOILERPLATE) & (F.regexp_count(line, F.lit(BOILERPLATE)) * NOTICE_WORDS >= n)
         navigation = F.regexp_count(line, F.lit(r"[|»›·>]")) > F.lit(NOISY_WORDS) * n
         symbols = F.regexp_count(line, F.lit(r"[#*$%&<>{}\\]+")) > F.lit(NOISY_WORDS) * n
         shouting = F.regexp_count(line, F.lit(r"[!?]{2,}")) > F.lit(NOISY_WORDS) * n

@@ -72,7 +72,8 @@ def _count(pattern: str) -> str:
     return f"len(regexp_extract_all(x, '{pattern}')) > {lines.NOISY_WORDS} * {_N}"
 
 
-_FAILS = f"""({_N} <= {lines.NOTICE_WORDS} AND regexp_matches(x, '{lines.BOILERPLATE.replace("\\u00a9", "©")}') OR {_count("[|»›·>]")}
+_NOTICES = lines.BOILERPLATE.replace("\\u00a9", "©")
+_FAILS = f"""(regexp_matches(x, '{_NOTICES}') AND len(regexp_extract_all(x, '{_NOTICES}')) * {lines.NOTICE_WORDS} >= {_N} OR {_count("[|»›·>]")}
  OR {_count(r"[#*$%&<>{}\\]+")} OR {_count("[!?]{2,}")})"""
 
 

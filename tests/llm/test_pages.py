@@ -144,6 +144,23 @@ def test_main_text(page, text):
     assert html.main_text(page, html.default_model()) == text
 
 
+def test_text_inside_formulas_and_media_is_kept():
+    """The contract leaves out no mathematics and no fallback text of an article."""
+    from driftline.llm import blocks
+
+    page = "<article><p>The formula <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds.</p><object><p>Shown instead.</p></object></article>"
+    assert [b.text for b in blocks.leaf_blocks(page)] == ["The formula a=b holds.", "Shown instead."]
+
+
+def test_whole_blocks_are_looked_through():
+    from driftline.llm import blocks, html
+
+    block = blocks.leaf_blocks("<p>" + "x" * 600 + " privacy</p>")[0]
+    assert "cue=True" in html.features(block, 0)
+    block = blocks.leaf_blocks("<p>" + "x" * 300 + " " + "7" * 300 + "</p>")[0]
+    assert "digits=True" in html.features(block, 0)
+
+
 @pytest.mark.parametrize("page", ["<", "<p", "</p>", "<p><p", "<!--", "<script>x", "<a b='", "<p a=\"x>y", "&#xD800;&#0;&bogus;", "<" * 5000, "<div>" * 20_000 + "x", "</li>" * 5000])
 def test_broken_pages(page):
     html.main_text(page, html.default_model())

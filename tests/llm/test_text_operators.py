@@ -188,9 +188,15 @@ def test_language_of_held_out_rows(docs, spark):
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
+def number(*points):
+    """The place of an n-gram, from its code points."""
+    factors = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+    return sum(c * f for c, f in zip(points, factors, strict=False)) % (1 << 32) >> 14
+
+
 def test_grams_are_all_of_a_text():
-    texts = ["Ab, cd!  E", "", "...", "ß Éa" * 30, "x" * 5]
-    table = language.symbol_table(texts)
+    texts = ["Ab, cd!  E", "", "...", "ß Éa" * 30, "x" * 5, "日本語 です", "Привет мир"]
+    table = language.letters()
     flags = np.zeros(language.SIZE, bool)
     for text in texts:
         s = [0]
@@ -198,14 +204,74 @@ def test_grams_are_all_of_a_text():
             symbol = int(table[ord(c)])
             if symbol or s[-1]:
                 s.append(symbol)
-        k = language.SYMBOLS
-        want = set(s) | {k + a * k + b for a, b in zip(s, s[1:])} | {k + k * k + (a * k + b) * k + c for a, b, c in zip(s, s[1:], s[2:])}
-        assert set(language.grams(text, table, flags).tolist()) == want - {0, k}
+        want = {number(a) for a in s} | {number(a, b) for a, b in zip(s, s[1:])} | {number(a, b, c) for a, b, c in zip(s, s[1:], s[2:])}
+        assert set(language.grams(text, table, flags).tolist()) == want - {0}
         assert not flags.any()
     long = "abc d é " * 300_000
     assert language.grams(long, table, flags).tolist() == language.grams("abc d é " * 5, table, flags).tolist()
 
 
+def prose(alphabet, seed, n):
+    """Invented texts of words whose letters follow one another by a language's own habits."""
+    rng = random.Random(seed)
+    habits = {c: rng.sample(alphabet, 6) for c in alphabet}
+
+    def word():
+        out = rng.choice(alphabet)
+        for _ in range(rng.randrange(1, 7)):
+            out += rng.choice(habits[out[-1]])
+        return out
+
+    return [" ".join(word() for _ in range(rng.randrange(20, 60))) for _ in range(n)]
+
+
+def test_scripts_with_thousands_of_letters(spark):
+    """Two languages that share most of a large script, beside others: each letter counts for itself."""
+    han = [chr(0x4E00 + i) for i in range(1200)]
+    kana = [chr(0x3042 + i) for i in range(70)]
+    cyrillic, greek, latin = [[chr(a + i) for i in range(n)] for a, n in ((0x430, 32), (0x3B1, 25), (0x61, 26))]
+    alphabets = {"zh": han, "ja": han[:600] + kana * 5, "ru": cyrillic, "el": greek, "en": latin}
+    texts = [(lang, t) for seed, (lang, letters) in enumerate(alphabets.items()) for t in prose(letters, seed, 200)]
+    random.Random(0).shuffle(texts)
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id bigint, text string, lang string")
+    rows = [r for r in language.identify_languages(docs).collect() if r.held_out]
+    for lang in alphabets:
+        mine = [r for r in rows if texts[r.doc_id][0] == lang]
+        assert sum(r.lang_pred == lang for r in mine) >= 0.95 * len(mine) > 20, lang
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any list of common ones, one of them with long texts only."""
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    rows = [(f"l{i:03}", " ".join([w * 2, w * 3] * 10)) for i, w in enumerate(words) for _ in range(6)] + [("long", "qqzz xxqq " * 5000)] * 8
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == sorted({lang for lang, _ in rows})
+    found = language.predict_language(docs, model).collect()
+    assert sum(r.lang_pred == rows[r.doc_id][0] for r in found) >= 0.95 * len(found)
+
+
+def test_all_landmarks_equal_a_dense_ridge():
+    """With every text a landmark the scores are those of kernel ridge regression on the whole kernel."""
+    rows = [(lang, t) for seed, lang in enumerate("abc") for t in prose("abcdefghijklmnop", seed, 12)]
+    model = language.Model(rows, landmarks=len(rows) * 3)
+    flags = np.zeros(language.SIZE, bool)
+    sets = [language.grams(t, model.table, flags) for _, t in rows]
+    plain = [set(s.tolist()) for s in sets]
+    kernel = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in plain] for a in plain])
+    one = np.array([[lang == x for x in "abc"] for lang, _ in rows], float)
+    want = kernel @ np.linalg.solve(kernel + language.RIDGE * np.eye(len(rows)), one)
+    assert np.allclose(model.kernel(sets) @ model.weights, want, atol=2e-3)
+
+
+def test_the_sample_knows_no_ids(spark, docs):
+    """Other ids of rows that are not held out, and copies of them, change nothing."""
+    plain = docs.where(~language.held_out(F.col("doc_id")))
+    other = plain.withColumn("doc_id", F.expr("filter(transform(sequence(1, 40), i -> doc_id * 1000 + i), i -> crc32(cast(cast(i as string) as binary)) % 4 <> 2)[0]"))
+    a, b = language.fit(plain), language.fit(other.union(other))
+    assert a.languages == b.languages and np.allclose(a.weights, b.weights)
+
+
 def test_kernel_is_shared_grams():
     rows = [("a", "abc abd"), ("b", "xyz xyw"), ("a", "abd abe"), ("b", "zyx w")]
     model = language.Model(rows, landmarks=4)
@@ -271,6 +337,16 @@ def test_lines_that_fail(spark):
     assert got[4].kept
 
 
+@pytest.mark.parametrize("words", [20, 59, 62, 300])
+def test_a_notice_of_any_length_fails(spark, words):
+    """What counts is how many notice phrases there are for the words of the line; no length is let off."""
+    notice = ("We use cookies to improve this site and our privacy policy says more about what they are for and how long they stay . " * 30).split()[:words]
+    prose = "A line of words that ends well and says what it has to say , as lines do . ".split() * 30
+    rows = [(1, " ".join(notice)), (2, " ".join(prose[:290] + ["uses", "cookies"] + prose[:10]))]
+    got = {r.doc_id: r.n_failed_lines for r in lines.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0}
+
+
 def test_lines_odd(odd_docs, no_docs):
     rows = lines.clean_lines(odd_docs).collect()
     assert len(rows) == odd_docs.count()
