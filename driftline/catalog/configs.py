@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.catalog.common import events, joined, pick, query, table, tag
+from driftline.catalog.common import ORACLE, events, joined, pick, query, table, tag
 from driftline.functions import scalars as X
 from driftline.operators import configs as K
-from driftline.operators import extensions, observe as O
+from driftline.operators import extensions, observe as O, subtrees
 from driftline.operators.payloads import bound_groups as take_bound
 from driftline.operators.payloads import default_refs as fill_refs
 from driftline.operators.validation import config_violations
@@ -309,13 +309,18 @@ UNION ALL SELECT 'n' || n_nationkey, CAST(n AS BIGINT) FROM na UNION ALL SELECT
 UNION ALL SELECT 'root', CAST(sum(n) AS BIGINT) FROM re""")
 def group_tree(spark, folder):
     """root, regions, nations, customers, orders: lines counted at every level."""
+    return extensions.group_tree(tree(spark, folder), line_counts(spark, folder))
+
+
+def tree(spark, folder):
+    """root, regions, nations, customers, orders as groups."""
 
     def level(name, prefix, key, parent):
         return table(spark, folder, name).select(
             tag(prefix, key).alias("id"), parent.alias("parent_id")
         )
 
-    tree = (
+    return (
         level("orders", "o", "o_orderkey", tag("c", "o_custkey"))
         .unionByName(level("customer", "c", "c_custkey", tag("n", "c_nationkey")))
         .unionByName(level("nation", "n", "n_nationkey", tag("r", "n_regionkey")))
@@ -326,10 +331,29 @@ def group_tree(spark, folder):
             .agg(F.max(F.lit(None).cast("string")).alias("parent_id"))
         )
     )
-    counts = (
-        table(spark, folder, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(tag("o", "l_orderkey").alias("id"), "n")
-    )
-    return extensions.group_tree(tree, counts)
+
+
+def line_counts(spark, folder):
+    """Lines of every order."""
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return lines.select(tag("o", "l_orderkey").alias("id"), "n")
+
+
+@query("subtree_totals", ORACLE["group_tree"].replace("SELECT 'o' || o_orderkey AS id, CAST(n AS BIGINT) AS n", "SELECT 'o' || o_orderkey AS id, CAST(n AS BIGINT) AS total"))
+def subtree_totals(spark, folder):
+    """The same counts from the numbers of a walk through the tree, as differences of running sums."""
+    index = subtrees.subtree_index(tree(spark, folder).withColumnRenamed("parent_id", "parent"))
+    return subtrees.subtree_sums(index, line_counts(spark, folder).withColumnRenamed("n", "value"))
+
+
+@query("subtree_members", """
+WITH m AS (SELECT n_regionkey, n_nationkey, c_custkey, o_orderkey FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey),
+i AS (SELECT n_regionkey, n_nationkey, 'o' || o_orderkey AS id FROM m WHERE o_orderkey IS NOT NULL UNION SELECT n_regionkey, n_nationkey, 'c' || c_custkey FROM m WHERE c_custkey IS NOT NULL
+ UNION SELECT n_regionkey, n_nationkey, 'n' || n_nationkey FROM m)
+SELECT 'n' || n_nationkey AS "group", id FROM i UNION ALL SELECT 'r' || n_regionkey, id FROM i
+UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region""")
+def subtree_members(spark, folder):
+    """What lies below every nation and region."""
+    index = subtrees.subtree_index(tree(spark, folder).withColumnRenamed("parent_id", "parent"))
+    of = index.where(F.col("id").rlike("^[nr][0-9]"))
+    return subtrees.below(index, of)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftline.catalog.common import query, table
 from driftline.catalog.streams import ALL, finish
-from driftline.operators import asof, episodes, overlaps, ranks
+from driftline.operators import asof, episodes, overlaps, ranks, summaries
 from driftline.sources import sinks, snapshots
 from driftline.session import scratch_path
 from driftline.streaming import streams
@@ -160,3 +160,17 @@ def status_upserts(spark, folder):
     for batch, part in enumerate((0, 1, 1, 2)):
         status.upsert(log.where(F.col("event_id") % 3 == part), batch if batch < 2 else batch - 1)
     return status.rows().drop("ts")
+
+
+@query("summary_cube", """
+SELECT concat_ws(',', CASE WHEN grouping(event_type) = 0 THEN 'event_type' END, CASE WHEN grouping(part) = 0 THEN 'part' END) AS grouped,
+       event_type, part, count(*) AS n, count(DISTINCT user_id) AS "distinct"
+FROM (SELECT *, user_id % 3 AS part FROM events) GROUP BY CUBE (event_type, part)""")
+def summary_cube(spark, folder):
+    """Events summed up by day, and the days united along all sets of event type and part; so few users are counted exactly."""
+    path = scratch_path(spark, "summaries")
+    log = table(spark, folder, "events").withColumn("part", F.col("user_id") % 3)
+    for day, (low, high) in enumerate((("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01"))):
+        rows = log.where((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz")))
+        summaries.add_day(rows, path, str(day), ["event_type", "part"], "user_id", "value")
+    return summaries.united(summaries.read_days(spark, path), ["event_type", "part"], [0.5]).drop("quantiles")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.functions.columns import quoted
@@ -49,19 +50,36 @@ def global_ranks(df: DataFrame, order: list[Column], out: str = "rank") -> DataF
     written in it; a range is a task's share whatever the values, as the row's place in
     the input is the last column of the order.
     """
+    return with_positions(_placed(df, order), "_place", out)
+
+
+def prefix_sums(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``value``, a whole number, over all rows up to each one in ``order``; nulls add nothing.
+
+    As ``global_ranks``; inside its range a row's sum is a window's, and what the ranges before sum up to is added.
+    """
+    placed = _placed(df, order).withColumn("_part", F.shiftright("_place", PLACE_BITS).cast("int"))
+    sums = sorted(placed.groupBy("_part").agg(F.coalesce(F.sum(quoted(value)), F.lit(0))).collect())
+    firsts = [0, *accumulate(n for _, n in sums)]
+    offsets = df.sparkSession.createDataFrame([(p, n) for (p, _), n in zip(sums, firsts, strict=False)], "_part int, _first bigint")
+    running = W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
+    inside = placed.withColumn("_inside", F.sum(F.coalesce(F.col(quoted(value)), F.lit(0))).over(running))
+    # As many rows as there are ranges.
+    return inside.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_first") + F.col("_inside")).drop("_part", "_place", "_inside", "_first")
+
+
+def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows of ``df`` in ranges of ``order``, written with ``_place``."""
     spark = df.sparkSession
     path = scratch_path(spark, "unranked")
     # Written first: sampling the ranges reads it again, and its rows then have places that no retry can change.
     df.write.parquet(path)
     rows = spark.read.schema(df.schema).parquet(path).withColumn("_tie", F.monotonically_increasing_id())
-    placed = _placed(rows, [*order, F.col("_tie")])
+    whole = [*order, F.col("_tie")]
+    ranges = rows.repartitionByRange(_ranges(spark), *whole).sortWithinPartitions(*whole)
+    placed = written(ranges.drop("_tie").withColumn("_place", F.monotonically_increasing_id()), "ranked")
     drop_path(spark, path)
-    return with_positions(placed, "_place", out)
-
-
-def _placed(rows: DataFrame, order: list[Column]) -> DataFrame:
-    ranges = rows.repartitionByRange(_ranges(rows.sparkSession), *order).sortWithinPartitions(*order)
-    return written(ranges.drop("_tie").withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    return placed
 
 
 def _ranges(spark: SparkSession) -> int:
