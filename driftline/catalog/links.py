@@ -124,7 +124,8 @@ def claims(spark, folder):
     """Customers as claims of the example composite; some state no config name, some no namespace."""
     return table(spark, folder, "customer").select(
         F.col("c_custkey").alias("claim"),
-        F.lit(example.NAME).alias("template"),
+        # Not a literal, so that the plan is that of claims of many templates.
+        F.when(F.col("c_custkey").isNotNull(), F.lit(example.NAME)).alias("template"),
         F.create_map(
             F.lit("spec.parentGroupId"), F.lit("root"),
             F.lit("spec.providerConfigRefName"),
