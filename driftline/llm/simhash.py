@@ -29,6 +29,8 @@ SHINGLE = 4
 RADIUS = 4
 #: Members that a shard should have on average, and at most before it is cut by further bits.
 SHARD_MEAN, SHARD_MOST = 64, 4096
+#: How often a shard above that is cut before any two blocks of it make a tree.
+CUTS = 3
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -140,10 +142,10 @@ def shard_masks(rows: int, bits: list[int], radius: int) -> list[int]:
     return masks
 
 
-def shard_links(shards: DataFrame, keys: list[str], radius: int, most: int | None) -> DataFrame:
-    """a, b, whole: links inside the shards of ``fp`` by ``keys``; of a shard above ``most``, its members as (a, choice, whole = true)."""
+def shard_links(shards: DataFrame, radius: int, most: int | None) -> DataFrame:
+    """a, b, whole: links inside the shards of ``fp`` by ``shard``; of a shard above ``most``, its members as (a, shard, whole = true)."""
     ship(shards.sparkSession)
-    dealt = shards.repartition(*keys).sortWithinPartitions(*keys, "fp").select(*keys, "fp")
+    dealt = shards.repartition("shard").sortWithinPartitions("shard", "fp").select("shard", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, bool]] = []
@@ -162,15 +164,14 @@ def shard_links(shards: DataFrame, keys: list[str], radius: int, most: int | Non
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(whole, pa.bool_())], ["a", "b", "whole"])
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for *k, fp in zip(*columns, strict=True):
+            for k, fp in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if k != key:
                     close()
                     key, members, large = k, [], False
                 members.append(fp & (1 << 64) - 1)
                 if large or (most is not None and len(members) > most):
                     # Too many for one tree: they go on as rows and are held no longer.
-                    out.extend((signed(x), k[0], True) for x in members)
+                    out.extend((signed(x), k, True) for x in members)
                     members, large = [], True
                 if len(out) >= 100_000:
                     yield sent()
@@ -181,29 +182,54 @@ def shard_links(shards: DataFrame, keys: list[str], radius: int, most: int | Non
     return dealt.mapInArrow(run, "a bigint, b bigint, whole boolean")
 
 
+def cut_shards(large: DataFrame, radius: int, most: int) -> DataFrame:
+    """fp, shard: each shard cut by radius + 1 blocks of bits, of which any two within the radius share one.
+
+    A shard's own bits are dealt to the blocks by how evenly they split it, so that bits that
+    are alike in all its members, which are those of earlier cuts too, make no block useless.
+    """
+    ones = F.array(*[F.count_if(F.col("fp").bitwiseAND(F.lit(signed(1 << b))) != 0) for b in range(BITS)])
+    counts = large.groupBy("shard").agg(F.count("*").alias("n"), ones.alias("ones"))
+    bits = F.array(*[F.lit(signed(1 << b)) for b in range(BITS)])
+    uneven = F.zip_with("ones", bits, lambda c, bit: F.struct((-F.least(c, F.col("n") - c)).alias("even"), bit.alias("bit")))
+    dealt = counts.select("shard", F.array_sort(uneven).alias("bits"))
+
+    def mask(j: int):
+        dealt_to = F.filter("bits", lambda x, i: (x.even < 0) & (i % (radius + 1) == j))
+        return F.aggregate(dealt_to, F.lit(0).cast("bigint"), lambda all_, x: all_.bitwiseOR(x.bit))
+
+    cut = large.join(dealt.select("shard", F.array(*[mask(j) for j in range(radius + 1)]).alias("masks")), "shard")
+    parts = cut.select("fp", "shard", F.posexplode("masks").alias("block", "mask"))
+    return parts.select("fp", F.xxhash64("shard", "block", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"))
+
+
+def pair_shards(large: DataFrame, radius: int, most: int) -> DataFrame:
+    """fp, shard: each shard as blocks of some most / 2 members, and a shard for any two blocks."""
+    counts = large.groupBy("shard").agg(F.ceil(F.count("*") * 2 / most).cast("int").alias("blocks"))
+    dealt = large.join(counts, "shard").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    met = dealt.select("fp", "shard", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("block <> other")
+    return met.select("fp", F.xxhash64("shard", F.least("block", "other"), F.greatest("block", "other")).alias("shard"))
+
+
 def fingerprint_links(prints: DataFrame, rows: int, radius: int, most: int = SHARD_MOST) -> DataFrame:
     """a, b: links that connect just those of the distinct ``fp`` that links of at most ``radius`` bits connect.
 
-    Shards above ``most`` members are cut once more, by the bits that their own cut left
-    out, under the same guarantee; what is still large then is dense, which the tree skips through.
+    Shards above ``most`` members are cut again, three times at most, by bits that split them
+    evenly. What is large even then becomes trees of two blocks each, so that no task holds more
+    than about ``most`` members at a time. Shards are named by hashes; a name that two of them
+    share makes one shard of both, which costs time only.
     """
     masks = shard_masks(rows, list(range(BITS)), radius)
-    choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for i, m in enumerate(masks)])
-    shards = prints.select("fp", F.explode(choices).alias("s")).select("fp", "s.choice", "s.part")
-    first = written(shard_links(shards, ["choice", "part"], radius, most), "shard-links")
-    large = first.where("whole").select(F.col("a").alias("fp"), F.col("b").cast("int").alias("choice"))
-    links = first.where("NOT whole").select("a", "b")
-    if large.isEmpty():
-        return links
-    further = F.array(*[
-        F.array(*[F.lit(signed(f)) for f in block_masks([b for b in range(BITS) if not m >> b & 1], radius, radius + 1)]) for m in masks
-    ])
-    mask = F.element_at(F.array(*[F.lit(signed(m)) for m in masks]), F.col("choice") + 1)
-    cut = large.select(
-        "fp", "choice", F.col("fp").bitwiseAND(mask).alias("part"), F.posexplode(F.element_at(further, F.col("choice") + 1)).alias("again", "mask")
-    ).select("fp", "choice", "part", "again", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
-    more = written(shard_links(cut, ["choice", "part", "again", "rest"], radius, None), "shard-links")
-    return links.unionByName(more.select("a", "b"))
+    names = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])
+    found = written(shard_links(prints.select("fp", F.explode(names).alias("shard")), radius, most), "shard-links")
+    links = found.where("NOT whole").select("a", "b")
+    for again in [cut_shards] * CUTS + [pair_shards]:
+        large = found.where("whole").select(F.col("a").alias("fp"), F.col("b").alias("shard"))
+        if large.isEmpty():
+            break
+        found = written(shard_links(again(large, radius, most), radius, most if again is cut_shards else None), "shard-links")
+        links = links.unionByName(found.where("NOT whole").select("a", "b"))
+    return links
 
 
 def document_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:

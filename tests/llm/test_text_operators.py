@@ -140,6 +140,51 @@ def test_links_of_clusters(spark, rows, most):
     assert all(len(x) == 1 for x in named.values()) and len(set.union(*named.values())) == len(named)
 
 
+@pytest.mark.parametrize("size,free,most", [(3000, 32, 500), (1200, 11, 64)])
+def test_links_of_spread_fingerprints(spark, size, free, most):
+    """Fingerprints alike in most bits but of many classes, and more than cuts can part."""
+    rnd = random.Random(size)
+    top = rnd.getrandbits(64 - free) << free
+    values = sorted({top | rnd.getrandbits(free) for _ in range(size)})
+    near = np.array(values, np.uint64)
+    linked = {(values[i], values[i + 1 + j]) for i in range(len(values)) for j in np.nonzero(np.bitwise_count(near[i + 1 :] ^ near[i]) <= 4)[0]}
+    df = spark.createDataFrame([(simhash.signed(v),) for v in values], "fp bigint")
+    got = simhash.fingerprint_links(df, len(values), 4, most).distinct().collect()
+    mask = (1 << 64) - 1
+
+    def named(pairs):
+        parent = {v: v for v in values}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+        return {v: find(v) for v in values}
+
+    assert named((r.a & mask, r.b & mask) for r in got) == named(linked)
+
+
+def test_large_shards_are_cut_to_size(spark):
+    rnd = random.Random(4)
+    rows = [(simhash.signed(v), 7) for v in {rnd.getrandbits(32) << 16 for _ in range(4000)}] + [(simhash.signed(v), 8) for v in range(1000)]
+    shards = spark.createDataFrame(rows, "fp bigint, shard bigint")
+    cut = [r["count"] for r in simhash.cut_shards(shards.where("shard = 7"), 4, 500).groupBy("shard").count().collect()]
+    assert sum(cut) == 5 * 4000 and max(cut) <= 500
+    pairs = simhash.pair_shards(shards, 4, 500)
+    sizes = [r["count"] for r in pairs.groupBy("shard").count().collect()]
+    assert max(sizes) <= 750 and len(sizes) == 16 * 15 // 2 + 4 * 3 // 2
+    held = {}
+    for r in pairs.collect():
+        held.setdefault(r.fp, set()).add(r.shard)
+    for part in ([fp for fp, s in rows if s == 7][:300], [fp for fp, s in rows if s == 8][:300]):
+        assert all(held[a] & held[b] for a in part for b in part)
+
+
 def test_bk_tree_skips_without_loss():
     rnd = random.Random(5)
     dense = list({rnd.getrandbits(11) for _ in range(900)})
