@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import unquote_plus
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.batches import BATCH_BYTES, ship
+from driftline.llm.batches import BATCH_BYTES, rows_to_rows, ship
 from driftline.llm.components import written
 
 # Fixed values of the format.
@@ -43,14 +44,16 @@ def header(name: str, value: Column | str) -> Column:
 
 
 def record_texts(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int, date: str) -> DataFrame:
-    """value: a WARC record per page, without its last line feed. Equal payloads meet by digest and length."""
+    """value: a WARC record per page, without its last line feed. Equal payloads meet by digest, length and a second hash."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     base = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("bytes"), base32(F.sha1(payload.cast("binary"))).alias("digest"),
+        F.xxhash64(payload).alias("check"),
     )
-    firsts = written(base.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first")), "payloads")
-    found = base.join(firsts, ["digest", "bytes"], "left")
+    same = ["digest", "bytes", "check"]
+    firsts = written(base.where(F.col("bytes") >= least_bytes).groupBy(*same).agg(F.min("id").alias("first")), "payloads")
+    found = base.join(firsts, same, "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(F.col(c).cast("string")), F.lit("")), F.lit(">"))
     http = F.concat(
@@ -182,7 +185,7 @@ def normalise_archives(spark: SparkSession, source: str, folder: str) -> None:
     files = archive_files(spark, source).select("content")
     made = files.mapInArrow(run, "kind string, seq bigint, value binary").sortWithinPartitions("kind", "seq")
     out = made.select("kind", F.col("value").cast("string").alias("value"))
-    out.write.partitionBy("kind").option("lineSep", "\0").option("compression", "none").text(folder)
+    out.write.partitionBy("kind").option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 0).text(folder)
 
 
 def archive_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,6 +203,35 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("e")).select("e.*")
 
 
+def read_records(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """id, type, record: the records that ``wanted`` names, rows of ``read_index``; a row that is there twice gives two.
+
+    Of an archive only the bytes of these members are read, in the order of their places; other columns of
+    ``wanted`` play no part, and rows with a null place or of no archive in ``folder`` give nothing.
+    """
+    files = archive_files(spark, folder).select("path", F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("int").alias("part"))
+    placed = wanted.select("part", "offset", "length", "id", "type").dropna(subset=["offset", "length"]).join(files, "part")
+    placed = placed.select("path", "offset", "length", "id", "type").sortWithinPartitions("path", "offset")
+
+    def make():
+        from pyarrow.fs import FileSystem
+
+        path, file = None, None
+
+        def read(place, offset, length, name, kind):
+            nonlocal path, file
+            if place != path:
+                if file is not None:
+                    file.close()
+                system, inside = FileSystem.from_uri(re.sub("^file:/+", "file:///", place))
+                path, file = place, system.open_input_file(inside)
+            return ((name, kind, zlib.decompressobj(31).decompress(file.read_at(length, offset))),)
+
+        return read
+
+    return rows_to_rows(placed, "id string, type string, record binary", make)
+
+
 def parsed(record: bytes) -> tuple[str | None, str | None, int, str, str | None]:
     """id, type, payload length and digest, referred id; a response's are taken from its payload."""
     split = record.find(b"\r\n\r\n")

@@ -69,6 +69,32 @@ def test_members_and_index(spark, odd_pages, tmp_path):
     assert all(json.loads(line)["length"] for f in Path(tmp_path, "m", "kind=index").glob("part-*") for line in f.read_text().split("\0") if line)
 
 
+def test_records_by_place(spark, odd_pages, tmp_path):
+    warc.write_archives(odd_pages, f"{tmp_path}/s", records=3)
+    warc.normalise_archives(spark, f"{tmp_path}/s", f"{tmp_path}/m")
+    index = warc.read_index(spark, f"{tmp_path}/m")
+    whole = Counter(r for f in Path(tmp_path, "m", "kind=warc").glob("part-*") for r in warc.record_bytes([gzip.decompress(f.read_bytes())]))
+    rows = warc.read_records(spark, f"{tmp_path}/m", index.withColumn("path", F.lit(1))).collect()
+    assert Counter(bytes(r.record) for r in rows) == whole
+    for r in rows:
+        head = warc.fields(bytes(r.record).partition(b"\r\n\r\n")[0])
+        assert (head["warc-record-id"], head["warc-type"]) == (r.id, r.type)
+    one = warc.read_records(spark, f"{tmp_path}/m", index.where("id = '<urn:page:7>'")).collect()
+    assert len(one) == 1 and bytes(one[0].record).count(b"Some text &amp; more of it.") == 30_000
+    assert warc.read_records(spark, f"{tmp_path}/m", index.withColumn("part", F.lit(10**6))).collect() == []
+    assert warc.read_records(spark, f"{tmp_path}/m", index.withColumn("offset", F.lit(None).cast("bigint"))).collect() == []
+
+
+def test_payloads_meet_by_a_second_hash(spark, monkeypatch):
+    """Were two payloads of one digest and length, they would still be told apart."""
+    monkeypatch.setattr(warc, "base32", lambda digest: F.lit("A" * 32))
+    df = spark.createDataFrame([(1, "u", "aa"), (2, "u", "bb"), (3, "u", "aa")], PAGES)
+    kinds = {r.id: r.kind for r in warc.record_texts(df, "page_id", "url", "html", 0, "d").select(
+        F.regexp_extract("value", r"Record-ID: <urn:page:(\d)", 1).alias("id"), F.regexp_extract("value", r"WARC-Type: (\w+)", 1).alias("kind")
+    ).collect()}
+    assert kinds == {"1": "response", "2": "response", "3": "revisit"}
+
+
 def test_records_are_whole():
     record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 7\r\n\r\nab\r\n\r\nc\r\n\r\n"
     stream = record * 5
