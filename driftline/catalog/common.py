@@ -108,10 +108,11 @@ def desired_groups(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def component_counts(spark: SparkSession, folder: str) -> DataFrame:
+def component_counts(spark: SparkSession, folder: str, which: str = "true") -> DataFrame:
+    """Counts per order of the lines that the condition ``which`` holds for."""
     from driftline.operators.metrics import group_counts
 
-    lines = table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem").where(which).select(
         F.col("l_orderkey").alias("key"),
         pick(F.col("l_linestatus"), {"F": "running", "O": "stopped"}).alias("state"),
     )

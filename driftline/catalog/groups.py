@@ -39,9 +39,9 @@ pa AS (SELECT *, CASE WHEN desired_state = 'DISABLED' THEN CASE WHEN present THE
 """
 
 
-def planned(spark, folder):
+def planned(spark, folder, counts=None):
     """The reconcile of all groups; a group without lines does not exist yet."""
-    counts = component_counts(spark, folder)
+    counts = component_counts(spark, folder) if counts is None else counts
     seen = desired_groups(spark, folder).join(counts, "key", "left")
     found = observed_groups(seen).withColumn("exists", F.col("runningCount").isNotNull())
     sides = found.withColumn("observed", F.when(F.col("exists"), F.col("observed")))
@@ -344,14 +344,10 @@ def state_conflicts(spark, folder):
     return extensions.state_conflicts(parents, children)
 
 
-@query("reconcile_named_groups", f"""
-WITH {OBSERVE_SQL}
-SELECT key, CASE WHEN NOT named OR n IS NULL OR lost THEN 'CREATE'
-                 WHEN failure IS NOT NULL THEN 'ERROR' ELSE 'UPDATE' END AS action,
-       CASE WHEN NOT named OR n IS NULL OR lost THEN 'POST' WHEN failure IS NOT NULL THEN ''
-            WHEN o_orderstatus = 'O' THEN 'PUT,SCHEDULE_STOPPED' ELSE 'PUT' END AS steps
-FROM f JOIN orders ON o_orderkey = key""")
-def reconcile_named_groups(spark, folder):
+ACTION_SQL = """CASE WHEN NOT named OR n IS NULL OR lost THEN 'CREATE' WHEN failure IS NOT NULL THEN 'ERROR' ELSE 'UPDATE' END AS action"""
+
+
+def named_plan(spark, folder):
     """The whole chain with failed lookups: errors neither create nor update."""
     lookups = observed_lookups(spark, folder).withColumn(
         "observed",
@@ -365,5 +361,77 @@ def reconcile_named_groups(spark, folder):
             F.lit(0).alias("stoppedCount"),
         ),
     )
-    plan = reconcile(named_groups(spark, folder), lookups, "ProcessGroup", "external_name", "key", unique=True)
-    return plan.select("key", "action", joined(F.col("steps")).alias("steps"))
+    return reconcile(named_groups(spark, folder), lookups, "ProcessGroup", "external_name", "key", unique=True)
+
+
+@query("reconcile_named_groups", f"""
+WITH {OBSERVE_SQL}
+SELECT key, {ACTION_SQL},
+       CASE WHEN NOT named OR n IS NULL OR lost THEN 'POST' WHEN failure IS NOT NULL THEN ''
+            WHEN o_orderstatus = 'O' THEN 'PUT,SCHEDULE_STOPPED' ELSE 'PUT' END AS steps
+FROM f JOIN orders ON o_orderkey = key""")
+def reconcile_named_groups(spark, folder):
+    return named_plan(spark, folder).select("key", "action", joined(F.col("steps")).alias("steps"))
+
+
+@query("reconcile_failures", f"""
+WITH {OBSERVE_SQL}, a AS (SELECT {ACTION_SQL} FROM f)
+SELECT 'ProcessGroup' AS kind, action, count(*) AS n, count(*) FILTER (action = 'ERROR') AS failed FROM a GROUP BY action""")
+def reconcile_failures(spark, folder):
+    """Actions and failures where some lookups failed."""
+    rows = sinks.changelog_rows(named_plan(spark, folder), "ProcessGroup", "key", F.col("o_orderdate"), "v1")
+    return metrics.reconcile_metrics(rows.withColumn("age_seconds", F.lit(None).cast("bigint"))).drop("age_p50", "age_p95")
+
+
+@query("changelog_errors", f"""
+WITH {OBSERVE_SQL}
+SELECT CAST(key AS VARCHAR) AS key, 'ERROR' AS action, failure AS error FROM f WHERE named AND failure IS NOT NULL AND NOT lost""")
+def changelog_errors(spark, folder):
+    """The change log's rows that say why nothing was done."""
+    rows = sinks.changelog_rows(named_plan(spark, folder), "ProcessGroup", "key", F.col("o_orderdate"), "v1")
+    return rows.where("error IS NOT NULL").select("key", "action", "error")
+
+
+@query("drift_outcomes", f"""
+WITH {OBSERVE_SQL},
+a AS (SELECT {ACTION_SQL}, o_orderstatus FROM f JOIN orders ON o_orderkey = key),
+r AS (SELECT CASE action WHEN 'CREATE' THEN 'missing' WHEN 'ERROR' THEN 'error' ELSE 'drifted' END AS outcome,
+             unnest(CASE WHEN action <> 'UPDATE' THEN ['-'] WHEN o_orderstatus = 'O' THEN ['comments', 'running_count'] ELSE ['comments'] END) AS reason FROM a)
+SELECT kind, outcome, reason, count(*) AS n FROM (SELECT 'ProcessGroup' AS kind, outcome, reason FROM r) GROUP BY ROLLUP (kind, outcome, reason)""")
+def drift_outcomes(spark, folder):
+    """The summary where some lookups failed."""
+    return D.drift_summary(named_plan(spark, folder).withColumn("kind", F.lit("ProcessGroup")))
+
+
+@query("observe_repeated", """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
+           QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey || '}' DESC) = 1)
+SELECT o_orderkey AS key, l_orderkey IS NOT NULL AS exists, CAST(l_linenumber AS BIGINT) AS revision, l_partkey AS n
+FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+def observe_repeated(spark, folder):
+    """Every line as an observation of its order, its number the revision: the newest counts."""
+    seen = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("key"),
+        F.struct(F.struct(F.col("l_linenumber").cast("bigint").alias("version")).alias("revision"), F.col("l_partkey").alias("n")).alias("observed"),
+    )
+    return O.observe(desired_groups(spark, folder), seen, "key").select(
+        "key", "exists", F.col("observed.revision.version").alias("revision"), "observed.n"
+    )
+
+
+FIRST_LINES = "l_linenumber <= 3"
+
+
+@query("writes_outstanding", f"""
+WITH e AS (WITH {GROUPS_SQL.replace("FROM lineitem GROUP", f"FROM lineitem WHERE {FIRST_LINES} GROUP")}
+           SELECT key, present, up_to_date, CASE WHEN present THEN reasons ELSE '' END AS reasons FROM gr),
+l AS (WITH {GROUPS_SQL} SELECT key, present, up_to_date, CASE WHEN present THEN reasons ELSE '' END AS reasons FROM gr)
+SELECT key, CASE WHEN e.present THEN 'UPDATE' ELSE 'CREATE' END AS action, e.reasons AS "before", l.reasons AS "after",
+       CASE WHEN NOT l.present THEN 'missing' WHEN l.up_to_date THEN 'done' ELSE 'drifting' END AS outcome
+FROM e JOIN l USING (key) WHERE NOT (e.present AND e.up_to_date)""")
+def writes_outstanding(spark, folder):
+    """Planned when three lines of each order were there, and looked at again when all were."""
+    early = component_counts(spark, folder, FIRST_LINES)
+    later = observed_groups(desired_groups(spark, folder).join(component_counts(spark, folder), "key")).select("key", "observed")
+    found = planning.outstanding_writes(planned(spark, folder, early), later, "ProcessGroup", "key")
+    return found.withColumns({c: joined(F.col(c)) for c in ("before", "after")})

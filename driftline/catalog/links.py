@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftline.catalog import example
 from driftline.catalog.common import EVENTS_SQL, events, pick, query, table, tag
-from driftline.operators import dataflow, extensions
+from driftline.operators import dataflow, extensions, metrics
 from driftline.plans import composite
 
 SELECTED = {
@@ -120,6 +120,28 @@ def load_balance(spark, folder):
     )
 
 
+@query("source_rates", """
+WITH h AS (SELECT user_id, date_trunc('hour', ts) AS w, count(*) AS n, min(ts) AS f, max(ts) AS l FROM events GROUP BY ALL)
+SELECT user_id AS source, CAST(sum(n) AS BIGINT) AS records, min(f) AS "first", max(l) AS "last",
+       count(w) AS windows, max(n) FILTER (w IS NOT NULL) AS busiest FROM h GROUP BY 1""")
+def source_rates(spark, folder):
+    """How many records each user sent, and in how many hours."""
+    return metrics.source_rates(table(spark, folder, "events"), "user_id", "ts")
+
+
+@query("attribute_skew", """
+WITH v AS (SELECT 'event_type' AS attribute, CAST(event_type AS VARCHAR) AS value, count(*) AS n FROM events GROUP BY ALL
+  UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR), count(*) FROM events GROUP BY ALL
+  UNION ALL SELECT 'props', props, count(*) FROM events GROUP BY ALL),
+t AS (SELECT attribute, value FROM v QUALIFY row_number() OVER (PARTITION BY attribute ORDER BY n DESC, value NULLS FIRST) = 1)
+SELECT attribute, CAST(sum(n) AS BIGINT) AS records, count(*) AS "values", any_value(t.value) AS commonest, max(n) AS most,
+       CAST(max(n) * count(*) * 100 // CAST(sum(n) AS BIGINT) AS BIGINT) AS of_mean
+FROM v JOIN t USING (attribute) GROUP BY attribute""")
+def attribute_skew(spark, folder):
+    """Which attribute of the events could deal them evenly."""
+    return metrics.attribute_skew(table(spark, folder, "events"), ["event_type", "user_id", "props"])
+
+
 def claims(spark, folder):
     """Customers as claims of the example composite; some state no config name, some no namespace."""
     return table(spark, folder, "customer").select(

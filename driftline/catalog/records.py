@@ -65,6 +65,45 @@ def src_manifests(spark, folder):
     )
 
 
+_MANIFESTS_SQL = """
+WITH c AS (SELECT *, CAST(c_custkey AS VARCHAR) AS source, 'ns' || c_nationkey % 5 AS ns FROM customer),
+d AS (SELECT source, 0 AS position, 'ProcessGroup' AS kind, ns AS namespace, c_mktsegment AS name, 'ProviderConfig' AS rk, 'c' || c_custkey % 50 AS rn FROM c
+  UNION ALL SELECT source, 1, 'ProviderConfig', ns, 'c' || c_custkey % 45, NULL, NULL FROM c
+  UNION ALL SELECT source, 2, 'Processor', '', 'p' || c_custkey % 1000, 'ClusterProviderConfig', 'default' FROM c)
+"""
+
+
+def customer_documents(spark, folder):
+    """Every customer as the decoded documents of a group, a config and a processor, many of them named alike."""
+    key, space = F.col("c_custkey"), tag("ns", F.col("c_nationkey") % 5)
+
+    def document(kind, name, namespace, config=None):
+        spec = F.struct(F.struct(F.lit("ProviderConfig").alias("kind"), config.alias("name")).alias("providerConfigRef")) if config is not None else F.lit(None)
+        return F.to_json(F.struct(F.lit(kind).alias("kind"), F.struct(name.alias("name"), namespace.alias("namespace")).alias("metadata"), spec.alias("spec")))
+
+    documents = F.array(
+        document("ProcessGroup", F.col("c_mktsegment"), space, tag("c", key % 50)),
+        document("ProviderConfig", tag("c", key % 45), space),
+        document("Processor", tag("p", key % 1000), F.lit(None).cast("string")),
+    )
+    return table(spark, folder, "customer").select(key.cast("string").alias("source"), F.posexplode(documents).alias("position", "document"))
+
+
+@query("manifest_duplicates", f"""{_MANIFESTS_SQL}
+SELECT kind, namespace, name, count(*) AS documents, min(source) AS source, CAST(min(position) AS INTEGER) AS position
+FROM d GROUP BY kind, namespace, name HAVING count(*) > 1""")
+def manifest_duplicates(spark, folder):
+    return readers.manifest_duplicates(customer_documents(spark, folder))
+
+
+@query("lost_configs", f"""{_MANIFESTS_SQL},
+u AS (SELECT rk AS kind, CASE WHEN rk = 'ProviderConfig' THEN namespace ELSE '' END AS namespace, rn AS name, source, position FROM d WHERE rk IS NOT NULL)
+SELECT kind, namespace, name, count(*) AS documents, min(source) AS source, CAST(arg_min(position, source) AS INTEGER) AS position
+FROM u WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.kind = u.kind AND d.namespace = u.namespace AND d.name = u.name) GROUP BY kind, namespace, name""")
+def lost_configs(spark, folder):
+    return readers.lost_configs(customer_documents(spark, folder))
+
+
 @query("src_observed", f"""
 WITH {EVENTS_SQL}
 SELECT event_id, CASE WHEN k % 10 NOT IN (1, 2) THEN 'u' || user_id END AS id,

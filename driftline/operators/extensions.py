@@ -87,49 +87,52 @@ def inherited_params(own: DataFrame, parents: DataFrame) -> DataFrame:
     """Effective parameters of each context: its own first, then inherited in order.
 
     ``own`` has ``context_id``, ``name``, ``value``; ``parents`` has ``context_id``,
-    ``parent_id``, ``position``. The nearest definition on the earliest parent wins.
-    Each level joins the few parent links with the parameters and keeps one row per
-    (context, name) at once; it goes on until nothing changes, however deep that is. A
-    parameter that comes back to a context it has passed shows a cycle, which is an error.
+    ``parent_id``, ``position``. The nearest definition on the earliest parent wins; of parents
+    at one position, and of own values of one name, the least value. Links from or to null give nothing.
+
+    Each level joins the few parent links with the parameters and keeps one row of fixed width per
+    (context, name) at once. Beside it goes the set of open contexts, those with an ancestor
+    further away than the levels taken: it shrinks with each level, and when it is empty all parameters
+    are final. A set that no longer shrinks lies on or below a cycle, which is an error, whether or not a parameter reaches it.
     """
     spark = own.sparkSession
-    mine = own.select(
-        "context_id", "name", "value", F.array().cast("array<int>").alias("rank"),
-        F.array("context_id").alias("path"), F.lit(False).alias("loop"),
-    )
+    path = scratch_path(spark, "inherited")
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    def nearest(choices: DataFrame) -> DataFrame:
+        picked = choices.groupBy("context_id", "name").agg(F.min(F.struct("inherited", "position", "value")).alias("_pick"))
+        return picked.select("context_id", "name", "_pick.inherited", "_pick.position", "_pick.value")
+
+    place = dict(parents.dtypes)["position"]
+    links = table(parents.select("context_id", "parent_id", "position").distinct(), "links")
+    mine = table(nearest(own.select("context_id", "name", F.lit(False).alias("inherited"), F.lit(None).cast(place).alias("position"), "value")), "own")
 
     def level(best: DataFrame) -> DataFrame:
-        lifted = best.withColumnRenamed("context_id", "parent_id").join(parents, "parent_id").select(
-            "context_id", "name", "value",
-            F.concat(F.array(F.col("position").cast("int")), "rank").alias("rank"),
-            F.concat(F.array("context_id"), "path").alias("path"),
-            (F.col("loop") | F.array_contains("path", F.col("context_id"))).alias("loop"),
-        )
-        choice = F.min_by(F.struct("value", "rank", "path"), F.struct("rank", "value")).alias("_best")
-        return (
-            mine.unionByName(lifted)
-            .groupBy("context_id", "name")
-            .agg(choice, F.max("loop").alias("loop"))
-            .select("context_id", "name", "_best.*", "loop")
-        )
-
-    path, rounds = scratch_path(spark, "inherited"), 0
-    level(mine).write.parquet(f"{path}/0")
-    best = spark.read.parquet(f"{path}/0")
-    while True:
-        found = best.where("loop").select("path").first()
-        if found:
-            raise ValueError(f"contexts inherit from each other: {found['path']}")
+        lifted = best.select(F.col("context_id").alias("parent_id"), "name", "value").join(links, "parent_id")
+        return nearest(mine.unionByName(lifted.select("context_id", "name", F.lit(True).alias("inherited"), "position", "value")))
+
+    def below(contexts: DataFrame) -> DataFrame:
+        return links.join(contexts.select(F.col("context_id").alias("parent_id")), "parent_id", "left_semi").select("context_id").distinct()
+
+    best, rounds = mine, 0
+    still = table(links.where("parent_id IS NOT NULL").select("context_id").distinct(), "open-0")
+    left = still.count()
+    while left:
         rounds += 1
-        further = best
         for _ in range(LEVELS_AT_ONCE):
-            further = level(further)
-        further.write.parquet(f"{path}/{rounds}")
-        before, best = best, spark.read.parquet(f"{path}/{rounds}")
-        done = best.join(before, ["context_id", "name", "rank"], "left_anti").isEmpty() and best.where("loop").isEmpty()
-        drop_path(spark, f"{path}/{rounds - 1}")
-        if done:
-            return best.select("context_id", "name", "value", (F.size("rank") > 0).alias("inherited"))
+            best, still = level(best), below(still)
+        still, before = table(still, f"open-{rounds}"), left
+        left = still.count()
+        if left == before:
+            found = ", ".join(sorted(str(r["context_id"]) for r in still.limit(3).collect()))
+            raise ValueError(f"contexts inherit from each other, or from such, as {found}")
+        best = table(best, f"best-{rounds}")
+        for name in (f"open-{rounds - 1}", f"best-{rounds - 1}"):
+            drop_path(spark, f"{path}/{name}")
+    return best.select("context_id", "name", "value", "inherited")
 
 
 def latest_available(flows: DataFrame, versions: DataFrame) -> DataFrame:

@@ -90,3 +90,35 @@ def reconcile_metrics(changelog: DataFrame, age: str = "age_seconds") -> DataFra
     wide = places.groupBy("_group").agg(*[F.max(F.when(F.col("_column") == c, F.col("_bin"))).alias(c) for c in SHARES])
     totals = counted.groupBy(group.alias("_group")).agg(F.sum("_n").alias("n"), F.sum("_failed").alias("failed"))
     return totals.join(wide, "_group", "left").select("_group.*", "n", "failed", *SHARES)
+
+
+def source_rates(records: DataFrame, source: str, at: str, window: str = "1 hour") -> DataFrame:
+    """Per source: records, first and last time, windows with a record and the most records in one of them.
+
+    Records are counted per source and window first, inside each task already, so a source with most of
+    the records is as many rows as it has windows. Records without a time are counted, but are in no
+    window; those without a source are one source.
+    """
+    counted = records.groupBy(F.col(source).alias("source"), F.window(at, window).alias("_window")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"), F.max(at).alias("_last")
+    )
+    untimed = records.where(F.col(at).isNull()).groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.unionByName(untimed, allowMissingColumns=True).groupBy("source").agg(
+        F.sum("_n").alias("records"), F.min("_first").alias("first"), F.max("_last").alias("last"),
+        F.count("_window").alias("windows"), F.max(F.when(F.col("_window").isNotNull(), F.col("_n"))).alias("busiest"),
+    )
+
+
+def attribute_skew(records: DataFrame, attributes: list[str]) -> DataFrame:
+    """Per attribute: records, distinct values, the commonest value (of equal ones the least as text), its count,
+    and by how many hundredths that count is above the mean of all values.
+
+    Says before a shuffle by an attribute whether one value would hold it up. Null is a value. The records are read once,
+    as one row per attribute; counts per value combine inside each task.
+    """
+    pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes])
+    counted = records.select(F.explode(pairs).alias("_of")).groupBy("_of.attribute", "_of.value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("attribute").agg(
+        F.sum("n").alias("records"), F.count(F.lit(1)).alias("values"),
+        F.min_by(F.struct("value"), F.struct(-F.col("n"), "value")).alias("_top"), F.max("n").alias("most"),
+    ).select("attribute", "records", "values", F.col("_top.value").alias("commonest"), "most", F.expr("most * `values` * 100 div records").alias("of_mean"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftline.functions import scalars as X
 from driftline.functions.unnest import unnest
 from driftline.operators.drift import drift
+from driftline.operators.observe import observe
 
 POLICY_NAMES = {"CREATE": "Create", "UPDATE": "Update", "DELETE": "Delete"}
 
@@ -340,3 +341,26 @@ def converge(planned: DataFrame, kind: str) -> DataFrame:
         ).otherwise(F.col("observed")),
     ).drop("reasons", "up_to_date")
     return drift(updated, kind)
+
+
+def outstanding_writes(planned: DataFrame, later: DataFrame, kind: str, key: str, row_id: str | None = None) -> DataFrame:
+    """What the next observation shows of each planned write: key, action, ``before``, ``after`` and ``outcome``.
+
+    ``planned`` comes from ``plan_steps``, ``later`` has ``key`` and ``observed``, one row per key, and where a
+    lookup failed what ``observe`` takes. A create or update is ``done`` when nothing drifts any
+    more, ``drifting`` by the reasons in ``after``, or ``missing``; a delete is ``done`` when
+    the record is gone and ``present`` otherwise. After a failed lookup the outcome is ``unknown``. Rows without a
+    key match nothing; a column of ``planned`` named in ``row_id`` spreads them and is kept.
+    """
+    kept = [key] if row_id in (None, key) else [key, row_id]
+    writes = planned.where(F.col("action").isin("CREATE", "UPDATE", "DELETE")).select(*kept, "desired", "action", F.col("reasons").alias("before"))
+    again = drift(observe(writes, later, key, row_id, unique=True), kind)
+    deletes = F.col("action") == "DELETE"
+    outcome = (
+        F.when(F.col("error").isNotNull(), "unknown")
+        .when(~F.col("exists"), F.when(deletes, "done").otherwise("missing"))
+        .when(deletes, "present")
+        .when(F.col("up_to_date"), "done")
+        .otherwise("drifting")
+    )
+    return again.select(*kept, "action", "before", F.col("reasons").alias("after"), outcome.alias("outcome"))

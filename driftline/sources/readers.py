@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from driftline import schemas as S
 from driftline.functions import scalars as X
 from driftline.functions.unnest import unnest
+from driftline.kinds import KINDS
 
 
 def list_schema(kind: str, version_field: str | None = None) -> str:
@@ -96,6 +97,54 @@ def manifest_resources(
     return documents.where(is_kind).select(*keep, resource.alias("resource"))
 
 
+def manifest_heads(documents: DataFrame) -> DataFrame:
+    """kind, namespace, name, source, position, config_kind, config_name of the documents that have a kind and a name.
+
+    No namespace is the empty text, and so is that of a cluster's config. The config is what the document
+    refers to, or the default where it names none; only the six kinds refer to one. Documents that could not be decoded have no row.
+    """
+    said = lambda path: F.get_json_object("document", f"$.{path}")
+    heads = documents.select(
+        said("kind").alias("kind"), F.coalesce(said("metadata.namespace"), F.lit("")).alias("namespace"), said("metadata.name").alias("name"), "source", "position",
+        F.coalesce(said("spec.providerConfigRef.kind"), F.lit(S.DEFAULT_CONFIG_KIND)).alias("config_kind"),
+        F.coalesce(said("spec.providerConfigRef.name"), F.lit(S.DEFAULT_CONFIG_NAME)).alias("config_name"),
+    ).where("kind IS NOT NULL AND name IS NOT NULL")
+    refers = F.col("kind").isin(*KINDS)
+    return heads.withColumn("namespace", _scope(F.col("kind"))).withColumns(
+        {c: F.when(refers, F.col(c)) for c in ("config_kind", "config_name")}
+    )
+
+
+def _scope(kind: Column) -> Column:
+    return F.when(kind == "ClusterProviderConfig", F.lit("")).otherwise(F.col("namespace"))
+
+
+def _first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: ``documents``, and source and position of the first; counted inside each task before the shuffle."""
+    grouped = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("source", "position")).alias("_first"))
+    return grouped.select(*keys, "documents", "_first.source", "_first.position")
+
+
+def manifest_duplicates(documents: DataFrame) -> DataFrame:
+    """Resources that several documents declare: kind, namespace, name, ``documents``, source and position of the first."""
+    return _first_of(manifest_heads(documents), ["kind", "namespace", "name"]).where("documents > 1")
+
+
+def lost_configs(documents: DataFrame) -> DataFrame:
+    """Configs that documents refer to and none declares: kind, namespace, name, ``documents``, source and position of the first.
+
+    References are counted per config before they meet the declared ones, so a config that
+    most documents use is one row by then.
+    """
+    heads = manifest_heads(documents)
+    used = heads.where("config_kind IS NOT NULL").select(
+        F.col("config_kind").alias("kind"), _scope(F.col("config_kind")).alias("namespace"), F.col("config_name").alias("name"), "source", "position"
+    )
+    keys = ["kind", "namespace", "name"]
+    declared = heads.where(F.col("kind").isin(*S.CONFIG_KINDS)).select(*keys).distinct()
+    return _first_of(used, keys).join(declared, keys, "left_anti")
+
+
 def read_manifests(
     spark: SparkSession, path: str, kind: str, version_field: str | None = None
 ) -> DataFrame:
