@@ -7,11 +7,16 @@ follow one another in the order of their ids, which ranges of (parent, id) numbe
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.ranks import prefix_sums
-from driftline.session import drop_path, scratch_path
+from driftline.session import drop_path, scratch_path, written
+
+#: Widths of blocks of the walk, as powers of two. The widest bounds how many members meet in one place.
+BLOCK_BITS = (0, 4, 8, 12, 16)
 
 
 class _Rounds:
@@ -84,25 +89,21 @@ def _places(nodes: DataFrame, sizes: DataFrame, rounds: _Rounds) -> DataFrame:
 def below(index: DataFrame, of: DataFrame) -> DataFrame:
     """group, id: everything below each group of ``of`` (id), itself included, by the numbers alone.
 
-    Numbers are cut into the dyadic ranges that make up each group's range, so that they meet by equality: a group
-    has two ranges per level at most, and a member one per level.
+    A group's range is cut into blocks no wider than itself, so that a member meets it in the one block that it is in;
+    the blocks at both ends reach beyond the range, by twice its length at most. Members take one row per
+    width that some group has. Blocks are written, so that their size is known to the join.
     """
-    wanted = index.join(of.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("group"), "first", F.col("last").alias("end"))
-    top = (index.agg(F.max("last")).first()[0] or 1).bit_length()
-    # A level's block is of the range if it lies in it whole while the block above does not.
-    parts = []
-    for level in range(top + 1):
-        width = F.lit(1 << level)
-        low, high = F.ceil(F.col("first") / width), F.floor((F.col("end") + 1) / width) - 1
-        whole = lambda b: ((F.floor(b / 2) * 2 * width) < F.col("first")) | (((F.floor(b / 2) + 1) * 2 * width - 1) > F.col("end"))  # noqa: B023, E731
-        parts.append(F.when(low <= high, F.transform(
-            F.array_distinct(F.filter(F.array(low, high), whole)), lambda b: F.struct(F.lit(level).alias("level"), b.cast("bigint").alias("block"))  # noqa: B023
-        )).otherwise(F.array().cast("array<struct<level:int,block:bigint>>")))
-    ranges = wanted.select("group", F.explode(F.flatten(F.array(*parts))).alias("r")).select("group", "r.level", "r.block")
-    members = index.select("id", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("level"), F.floor(F.col("first") / F.lit(1 << n)).cast("bigint").alias("block")) for n in range(top + 1)
-    ])).alias("r")).select("id", "r.level", "r.block")
-    return ranges.join(members, ["level", "block"]).select("group", "id")
+    wanted = index.join(of.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("group"), F.col("first").alias("_from"), F.col("last").alias("_to"))
+    bits = F.lit(BLOCK_BITS[0])
+    for n in BLOCK_BITS[1:]:
+        bits = F.when(F.col("_to") - F.col("_from") + 1 >= 1 << n, n).otherwise(bits)
+    block = F.explode(F.sequence(F.expr("shiftright(_from, bits)"), F.expr("shiftright(_to, bits)")))
+    blocks = written(wanted.withColumn("bits", bits).select("*", block.alias("block")), "blocks")
+    # A branch per width, not one row made into several: Spark would take these to be as large as the one.
+    widths = sorted(r["bits"] for r in blocks.select("bits").distinct().collect()) or BLOCK_BITS[:1]
+    members = [index.select("id", "first", F.lit(n).alias("bits"), F.shiftright("first", n).alias("block")) for n in widths]
+    met = reduce(DataFrame.unionByName, members).join(blocks, ["bits", "block"])
+    return met.where(F.col("first").between(F.col("_from"), F.col("_to"))).select("group", "id")
 
 
 def subtree_sums(index: DataFrame, values: DataFrame) -> DataFrame:

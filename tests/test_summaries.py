@@ -107,6 +107,17 @@ def test_numbers_of_a_forest(spark):
     assert sums == {r["id"]: r["n"] for r in extensions.group_tree(linked, counts).collect()}
 
 
+def test_members_are_as_many_as_spark_takes_them_for(spark):
+    """Members that were exploded into a row per level were estimated as one, and broadcast through the driver."""
+    n = 200_000
+    index = spark.range(1, n + 1).select(F.col("id").cast("string").alias("id"), F.col("id").alias("first"), F.when(F.col("id") == 1, n).when(F.col("id") == 70_000, 70_019).otherwise(F.col("id")).alias("last"))
+    pairs = subtrees.below(index, spark.createDataFrame([("1",), ("70000",), ("70003",), ("none",), (None,)], "id string"))
+    counts = {r["group"]: (r["n"], r["low"], r["high"]) for r in pairs.groupBy("group").agg(F.countDistinct("id").alias("n"), F.min(F.col("id").cast("int")).alias("low"), F.max(F.col("id").cast("int")).alias("high")).collect()}
+    assert counts == {"1": (n, 1, n), "70000": (20, 70_000, 70_019), "70003": (1, 70_003, 70_003)} and pairs.count() == n + 21
+    assert "Generate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert subtrees.below(index, spark.createDataFrame([], "id string")).collect() == []
+
+
 def test_a_chain_takes_few_rounds(spark, monkeypatch):
     made = []
     write = subtrees._Rounds.write
