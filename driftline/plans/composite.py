@@ -8,17 +8,23 @@ template, as large as a document, and one with what its resources have reported.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.session import scratch_path
+from driftline.session import scratch_path, written
 
 STEPS = "template string, step string, position int, kind string, output string"
 PATCHES = "template string, step string, position int, source string, target string, required boolean"
 BASES = "template string, step string, path string, value string"
 
+#: A template of at most so many steps and required patches is worked on in one row, its steps the bits of a whole number.
+ROW_STEPS, ROW_PATCHES = 60, 600
+#: The bit of a step that never comes.
+NEVER = 1 << 62
+
 
 @dataclass(frozen=True)
 class Templates:
@@ -69,13 +75,104 @@ def _peeled(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[list[DataFra
         left = kept(further.select("template", "step", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")), f"left-{len(rounds)}")
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _by_size(templates: Templates) -> tuple[DataFrame, Templates | None]:
+    """template, steps, needs: a row per template that fits into one; and the other templates, if there are any.
+
+    ``steps`` (position, step, output) are the later ones first. ``needs`` has for each of them the
+    ``source`` of its required patches and ``made``, the place from 1 of the step that makes it, or 0.
+    What templates are made of is written and counted before any is put together.
+    """
+    steps = templates.steps.where("template IS NOT NULL").select("template", "step", "position", "output", F.lit(False).alias("patch"))
+    patches = templates.patches.where("template IS NOT NULL AND step IS NOT NULL AND required").select("template", "step", "source", F.lit(True).alias("patch"))
+    rows = written(steps.unionByName(patches, allowMissingColumns=True), "steps")
+    sizes = rows.groupBy("template").agg(F.count_if("patch").alias("patches"), F.count_if(~F.col("patch")).alias("steps"))
+    large = written(sizes.where((F.col("steps") > ROW_STEPS) | (F.col("patches") > ROW_PATCHES)).select("template"), "large")
+    rest = None
+    if not large.isEmpty():
+        rows = rows.join(large, "template", "left_anti")
+        rest = Templates(*(df.join(large, "template", "left_semi") for df in (templates.steps, templates.patches, templates.bases)))
+    listed = rows.groupBy("template").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("patch"), F.struct("position", "step", "output"))), asc=False).alias("steps"),
+        F.collect_list(F.when(F.col("patch"), F.struct("step", "source"))).alias("patches"),
+    )
+    found = lambda outputs: F.transform("patches", lambda p: F.struct(
+        p["step"].alias("step"), p["source"].alias("source"), F.coalesce(F.array_position(outputs, p["source"]), F.lit(0)).cast("int").alias("made")
+    ))
+    needs = _with(_with(F.transform("steps", lambda s: s["output"]), found), lambda wants: F.transform("steps", lambda s: F.transform(
+        F.filter(wants, lambda w: w["step"] == s["step"]), lambda w: F.struct(w["source"].alias("source"), w["made"].alias("made"))
+    )))
+    return listed.select("template", "steps", needs.alias("needs")), rest
+
+
+def _bits(needs: Column, bit: Callable[[Column], Column]) -> Column:
+    """bit, needs: each step's own bit, and the bits of all that it waits for."""
+    zero = F.lit(0).cast("bigint")
+    return F.transform(needs, lambda of, i: F.struct(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), i).alias("bit"), F.aggregate(of, zero, lambda m, n: m.bitwiseOR(bit(n))).alias("needs")
+    ))
+
+
+def _made_bit(need: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), need["made"] - 1)
+
+
+def _done(bits: Column) -> Column:
+    """The steps that are there before the first round and after each one, until a round adds none."""
+    zero = F.lit(0).cast("bigint")
+
+    def after(done: Column) -> Column:
+        return F.aggregate(bits, zero, lambda m, s: F.when(s["needs"].bitwiseAND(F.bitwise_not(done)) == 0, m.bitwiseOR(s["bit"])).otherwise(m))
+
+    def further(seen: Column, _: Column) -> Column:
+        still = (F.size(seen) > 1) & (F.element_at(seen, -1) == F.try_element_at(seen, F.lit(-2)))
+        return F.when(still, seen).otherwise(F.array_append(seen, after(F.element_at(seen, -1))))
+
+    return F.aggregate(bits, F.array(zero), further)
+
+
+def _round_of(step: Column, done: Column) -> Column:
+    """The round from 1 that a step of ``_bits`` comes in, null if none does."""
+    return F.when(F.element_at(done, -1).bitwiseAND(step["bit"]) != 0, F.size(F.filter(done, lambda m: m.bitwiseAND(step["bit"]) == 0)))
+
+
+def _endless(bits: Column, done: Column) -> Column:
+    """Of the steps that are in none of the rounds of ``done``, those that such steps need without end."""
+    zero = F.lit(0).cast("bigint")
+    every = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.size(bits)) - 1
+    wanted = lambda left: F.aggregate(bits, zero, lambda m, s: F.when(s["bit"].bitwiseAND(left) != 0, m.bitwiseOR(s["needs"])).otherwise(m))
+    stuck = every.bitwiseAND(F.bitwise_not(F.element_at(done, -1)))
+    return F.aggregate(bits, stuck, lambda left, _: F.when(left == 0, left).otherwise(left.bitwiseAND(wanted(left))))
+
+
 def template_levels(templates: Templates) -> DataFrame:
     """template, step, level, in_cycle: the earliest round in which each step can be created, from 1.
 
     A step on a cycle, or that needs one that is, has no level. ``in_cycle`` marks the steps
-    that need and are needed without end: those on cycles and between two. As many rounds as
-    the longest chain has steps, for all templates together.
+    that need and are needed without end: those on cycles and between two. Templates of
+    ordinary size meet in one shuffle, a row each; large ones take as many rounds as the longest of their chains has steps.
     """
+    listed, rest = _by_size(templates)
+    # What only steps without a position make never comes.
+    placed = F.size(F.filter("steps", lambda s: s["position"].isNotNull()))
+    bit = lambda n: F.when(n["made"] == 0, F.lit(0).cast("bigint")).when(n["made"] > placed, F.lit(NEVER)).otherwise(_made_bit(n))
+    of = lambda bits, done, endless: F.transform("steps", lambda s, i: F.struct(
+        s["step"].alias("step"), _round_of(bits[i], done).alias("level"), (bits[i]["bit"].bitwiseAND(endless) != 0).alias("in_cycle")
+    ))
+    each = _with(_bits(F.col("needs"), bit), lambda bits: _with(_done(bits), lambda done: _with(_endless(bits, done), lambda endless: of(bits, done, endless))))
+    found = listed.select("template", F.explode(each).alias("s")).select("template", "s.step", "s.level", "s.in_cycle")
+    # Nothing meets a step of no template.
+    alone = templates.steps.where("template IS NULL").select("template", "step", F.lit(1).alias("level"), F.lit(False).alias("in_cycle"))
+    found = found.unionByName(alone)
+    return found if rest is None else found.unionByName(_levels_in_rounds(rest))
+
+
+def _levels_in_rounds(templates: Templates) -> DataFrame:
+    """``template_levels`` of templates of any size: as many rounds as the longest chain has steps, for all of them together."""
     path = scratch_path(templates.steps.sparkSession, "levels")
     nodes = templates.steps.select("template", "step")
     edges = dependencies(templates)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
 
 from driftline.catalog import example
 from driftline.plans import composite as K
+from driftline.session import shared_folder
 
 OUTPUTS = "claim string, path string, value string"
 
@@ -129,3 +131,50 @@ def test_thousands_of_random_templates_in_one_plan(spark):
 
     got = {(r["template"], r["step"]): r["level"] for r in K.template_levels(templates(spark, rows)).collect()}
     assert got == {(t, s): level(of, s) for t, of in rows.items() for s, _, _ in of}
+
+
+def tables(spark):
+    """How many tables there are below the scratch folder."""
+    return sum("_SUCCESS" in names for _, _, names in os.walk(shared_folder(spark).removeprefix("file:")))
+
+
+def chain(spark, n):
+    return templates(spark, {"t": [(f"s{i}", f"o.{i}", [f"o.{i - 1}"] if i else []) for i in range(n)]})
+
+
+def odd(spark, rows):
+    """Random templates with nulls in every column, optional patches and steps that need a path twice."""
+    rng = random.Random(8)
+    some = lambda x: None if rng.random() < 0.08 else x
+    steps, patches = [], []
+    for t in range(rows):
+        n, free = rng.randrange(1, 8), rng.random() < 0.3
+        steps += [(some(f"t{t}"), f"s{i}", None if free and not i else i, "P", some(f"o{rng.randrange(n)}" if rng.random() < 0.3 else f"o{i}")) for i in range(n)]
+        steps += [(f"t{t}", None, 9, "P", "o9")]
+        patches += [(f"t{t}", some(f"s{rng.randrange(n + 1)}"), i, some(f"o{rng.randrange(n + 2)}"), "spec.x", some(rng.random() < 0.8)) for i in range(rng.randrange(2 * n))]
+    return K.Templates(spark.createDataFrame(steps, K.STEPS), spark.createDataFrame(patches, K.PATCHES), spark.createDataFrame([], K.BASES))
+
+
+def test_levels_of_a_chain_take_no_table_per_level(spark):
+    before = tables(spark)
+    assert levels(chain(spark, 12)) == {f"s{i}": i + 1 for i in range(12)}
+    assert tables(spark) - before <= 3
+
+
+@pytest.mark.parametrize("most", [(60, 600), (4, 600), (60, 3)])
+def test_levels_by_rows_are_those_by_rounds(spark, monkeypatch, most):
+    found = odd(spark, 150)
+    of = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    monkeypatch.setattr(K, "ROW_STEPS", most[0])
+    monkeypatch.setattr(K, "ROW_PATCHES", most[1])
+    got = of(K.template_levels(found))
+    assert got == of(K._levels_in_rounds(found))
+    assert any("True" in x for x in got) and any("None, False" in x for x in got)
+
+
+def test_a_row_holds_as_many_steps_as_it_may(spark):
+    """All 60 bits, and the step after them."""
+    for n in (60, 61):
+        assert levels(chain(spark, n) if n == 60 else templates(spark, {"t": [(f"s{i}", f"o.{i}", ["o.0"] if i else []) for i in range(n)]})) == {f"s{i}": i + 1 if n == 60 else min(i, 1) + 1 for i in range(n)}
+    ring = templates(spark, {"t": [(f"s{i}", f"o.{i}", [f"o.{(i - 1) % 60}"]) for i in range(60)]})
+    assert {(r["level"], r["in_cycle"]) for r in K.template_levels(ring).collect()} == {(None, True)}
