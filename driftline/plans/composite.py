@@ -275,9 +275,23 @@ def creation_rounds(claims: DataFrame, templates: Templates, outputs: DataFrame,
 
     A step waits for the steps whose outputs it requires and which have not reported
     yet. A step that needs a path nobody provides has no round, nor has one on a cycle of steps none
-    of which has reported. ``levels`` are those of ``template_levels``, found here if not given.
+    of which has reported. ``levels`` are those of ``template_levels``; only large templates need them, and they are found here if not given.
     """
-    levels = template_levels(templates) if levels is None else levels
+    listed, rest = _by_size(templates)
+    known = known_values(claims, outputs)
+    # Written, so that its size is known to the join; of what is known only the paths go there.
+    planned = written(listed.select("template", F.transform("steps", lambda s: s["step"]).alias("names"), "needs"), "planned")
+    rows = known.select("claim", "template", F.map_keys("known").alias("paths")).join(planned, "template")
+    bit = lambda n: F.when(F.array_contains("paths", n["source"]), F.lit(0).cast("bigint")).when(n["made"] == 0, F.lit(NEVER)).otherwise(_made_bit(n))
+    of = lambda bits, done: F.transform("names", lambda name, i: F.struct(name.alias("step"), _round_of(bits[i], done).alias("round")))
+    each = _with(_bits(F.col("needs"), bit), lambda bits: _with(_done(bits), lambda done: of(bits, done)))
+    found = rows.select("claim", F.explode(each).alias("s")).select("claim", "s.step", "s.round")
+    return found if rest is None else found.unionByName(_rounds_in_passes(known, rest, levels))
+
+
+def _rounds_in_passes(known: DataFrame, templates: Templates, levels: DataFrame | None) -> DataFrame:
+    """``creation_rounds`` of templates of any size, for claims with their ``known`` values: step after step in the order of their levels."""
+    levels = _levels_in_rounds(templates) if levels is None else levels
     listed = assembled(templates, levels)
     makers = F.transform("steps", lambda s, i: F.struct(s["output"].alias("output"), s["position"].alias("position"), (i + 1).alias("at")))
 
@@ -289,7 +303,7 @@ def creation_rounds(claims: DataFrame, templates: Templates, outputs: DataFrame,
     needs = F.transform("steps", lambda s: F.transform(F.filter(s["patches"], lambda p: p["required"]), lambda p: F.struct(p["source"].alias("source"), made(p["source"]).alias("made"))))
     stuck = levels.where("level IS NULL").groupBy("template").agg(F.count(F.lit(1)).cast("int").alias("stuck"))
     planned = listed.select("template", F.transform("steps", lambda s: s["step"]).alias("names"), needs.alias("needs")).join(stuck, "template", "left")
-    rows = known_values(claims, outputs).join(planned, "template")
+    rows = known.join(planned, "template")
 
     def after(rounds: Column, need: Column) -> Column:
         """The round of a step with these needs, given the rounds so far; null if one of them has none."""

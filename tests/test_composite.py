@@ -178,3 +178,23 @@ def test_a_row_holds_as_many_steps_as_it_may(spark):
         assert levels(chain(spark, n) if n == 60 else templates(spark, {"t": [(f"s{i}", f"o.{i}", ["o.0"] if i else []) for i in range(n)]})) == {f"s{i}": i + 1 if n == 60 else min(i, 1) + 1 for i in range(n)}
     ring = templates(spark, {"t": [(f"s{i}", f"o.{i}", [f"o.{(i - 1) % 60}"]) for i in range(60)]})
     assert {(r["level"], r["in_cycle"]) for r in K.template_levels(ring).collect()} == {(None, True)}
+
+
+def test_rounds_of_a_chain_take_no_table_per_level(spark):
+    claims = spark.createDataFrame([("c", "t", {})], "claim string, template string, spec map<string,string>")
+    before = tables(spark)
+    assert rounds(claims, chain(spark, 12), spark.createDataFrame([("c", "o.5", "done")], OUTPUTS)) == {f"s{i}": i + 1 if i < 6 else i - 5 for i in range(12)}
+    assert tables(spark) - before <= 3
+
+
+@pytest.mark.parametrize("most", [(60, 600), (4, 600), (60, 3)])
+def test_rounds_by_rows_are_those_by_passes(spark, monkeypatch, most):
+    found, rng = odd(spark, 120), random.Random(9)
+    claims = spark.createDataFrame([(f"c{i}", rng.choice([None, *[f"t{i % 120}"] * 9]), rng.choice([None, {}, {"o1": None}, {"o0": "stated"}])) for i in range(300)], "claim string, template string, spec map<string,string>")
+    outputs = spark.createDataFrame([(f"c{rng.randrange(300)}", f"o{rng.randrange(8)}", rng.choice([None, "x", "y"])) for _ in range(300)], OUTPUTS)
+    of = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    want = of(K._rounds_in_passes(K.known_values(claims, outputs), found, None))
+    monkeypatch.setattr(K, "ROW_STEPS", most[0])
+    monkeypatch.setattr(K, "ROW_PATCHES", most[1])
+    assert of(K.creation_rounds(claims, found, outputs)) == want
+    assert of(K.creation_rounds(claims, found, outputs, K.template_levels(found))) == want
